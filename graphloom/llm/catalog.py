@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphloom.llm import packing, quality_rules, sharding
+from graphloom.llm import near_dedup, packing, quality_rules, sharding
 
 QUERIES = {
+    "op2_min_max_near_dedup": near_dedup.op2_min_max_near_dedup,
     "op3_cost_balanced_packing": packing.op3_cost_balanced_packing,
     "op7_jump_hash_shards": sharding.op7_jump_hash_shards,
     "op9_quality_rules": quality_rules.op9_quality_rules,
