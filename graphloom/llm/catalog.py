@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import near_dedup, packing, quality_rules, sharding
+from graphloom.llm import near_dedup, packing, pii, quality_rules, sharding
 
 QUERIES = {
     "op2_min_max_near_dedup": near_dedup.op2_min_max_near_dedup,
     "op3_cost_balanced_packing": packing.op3_cost_balanced_packing,
+    "op6_disclosure_pii": pii.op6_disclosure_pii,
     "op7_jump_hash_shards": sharding.op7_jump_hash_shards,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
