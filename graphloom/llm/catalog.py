@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphloom.llm import near_dedup, packing, pii, quality_rules, sharding
+from graphloom.llm import near_dedup, packing, pii, quality_classifier, quality_rules, sharding
 
 QUERIES = {
+    "op1_hierarchical_quality": quality_classifier.op1_hierarchical_quality,
     "op2_min_max_near_dedup": near_dedup.op2_min_max_near_dedup,
     "op3_cost_balanced_packing": packing.op3_cost_balanced_packing,
     "op6_disclosure_pii": pii.op6_disclosure_pii,
