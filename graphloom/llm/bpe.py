@@ -1,98 +1,59 @@
-"""Byte-level BPE ids through ``tokenizers``, with a bounded cache of words.
+"""Byte-level BPE ids of whole texts.
 
-A pre-token of this vocabulary never spans a blank that starts a word, so a text
-whose blanks are all followed by something else than white space is the
-concatenation of its blank-led words. Each distinct word is given to the
-library once; other texts go to it whole.
+The vocabulary is a ``tokenizers`` file with byte-level pre-tokens. Its entries
+are the merge ranks of the same vocabulary, so ``tiktoken`` gives the ids that
+``tokenizers`` gives (the tests hold both against each other), several times as
+fast. A text with a very long run of white space, on which its pattern would
+backtrack, goes to ``tokenizers``.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-_RAGGED = re.compile(r" \s")
-_encoders: dict[str, WordEncoder] = {}
+#: Pre-token pattern of byte-level vocabularies (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LONG_BLANK = re.compile(r"\s{500}")
+_encoders: dict[str, Encoder] = {}
 
 
-class _Index(dict):
-    """Numbers new words in order and lists them."""
+def byte_of_char() -> dict[str, int]:
+    """The byte that each printable stand-in character of a byte-level vocabulary means."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
 
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        self.new.append(word)
-        return at
-
-
-class WordEncoder:
-    def __init__(self, path: str, max_words: int = 300_000) -> None:
+class Encoder:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
-        self.max_words = max_words
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index = _Index()
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.sizes = np.zeros(1 << 14, np.int64)
-        self.known = 0
-
-    def _plain(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self) -> None:
-        new, self.index.new = self.index.new, []
-        if not new:
-            return
-        ids = self._plain([" " + w for w in new])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.known + len(new) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.starts[self.known : self.known + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[self.known : self.known + len(new)] = sizes
-        self.used += total
-        self.known += len(new)
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        special = {x["content"] for x in described.get("added_tokens", [])}
+        byte = byte_of_char()
+        ranks = {bytes(byte[c] for c in word): i for word, i in described["model"]["vocab"].items() if word not in special}
+        self._fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._library = Tokenizer.from_file(path)
+        self._library.encode_special_tokens = True  # control strings in a text are ordinary text
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of one text as unsigned 32-bit integers; none for null or empty."""
         if not text:
             return np.zeros(0, np.uint32)
-        if _RAGGED.search(text):
-            return np.array(self._plain([text])[0], np.uint32)
-        if len(self.index) > self.max_words:
-            self._reset()
-        first, *words = text.split(" ")
-        head = self._plain([first])[0] if first else []
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        self._learn()
-        sizes = self.sizes[at]
-        out = np.empty(len(head) + int(sizes.sum()), np.uint32)
-        out[: len(head)] = head
-        ends = np.cumsum(sizes)
-        if len(ends):
-            steps = np.arange(int(ends[-1])) - np.repeat(ends - sizes, sizes)
-            out[len(head) :] = self.flat[np.repeat(self.starts[at], sizes) + steps]
-        return out
+        if _LONG_BLANK.search(text):
+            return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self._fast(text), np.uint32)
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> Encoder:
     """One encoder per file and worker process."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
