@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
+from graphloom.llm import chat, decontamination, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
 
 QUERIES = {
     "op1_hierarchical_quality": quality_classifier.op1_hierarchical_quality,
     "op2_min_max_near_dedup": near_dedup.op2_min_max_near_dedup,
     "op3_cost_balanced_packing": packing.op3_cost_balanced_packing,
+    "op4_cgk_decontamination": decontamination.op4_cgk_decontamination,
     "op5_fingerprint_chat": chat.op5_fingerprint_chat,
     "op6_disclosure_pii": pii.op6_disclosure_pii,
     "op7_jump_hash_shards": sharding.op7_jump_hash_shards,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_cgk_decontamination": decontamination.op4_cgk_decontamination,
     "op5_fingerprint_chat": chat.OP5_SQL,
     "op7_jump_hash_shards": sharding.OP7_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
