@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, decontamination, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
+from graphloom.llm import chat, decontamination, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, token_counts
 
 QUERIES = {
+    "op10_separator_scan": token_counts.op10_separator_scan,
     "op1_hierarchical_quality": quality_classifier.op1_hierarchical_quality,
     "op2_min_max_near_dedup": near_dedup.op2_min_max_near_dedup,
     "op3_cost_balanced_packing": packing.op3_cost_balanced_packing,
