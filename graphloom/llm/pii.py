@@ -132,18 +132,22 @@ def terms_of(text: Column) -> Column:
 
 
 def disclosing_terms(entities: DataFrame, docs: DataFrame, min_contexts: int, generalise_at: float) -> DataFrame:
-    """entity, term, disclosure of the pairs at or above ``generalise_at``. entities: entity, context, near; docs: text."""
+    """entity, term, disclosure of the pairs at or above ``generalise_at``. entities: key, entity, context, near; docs: text."""
     repeated = entities.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= min_contexts)
     pairs = entities.join(repeated, "entity").select("entity", "n_c", "context", F.explode("near").alias("term")).distinct()
-    pairs = stored(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c")).filter(F.col("n_ct") >= min_contexts), "term-pairs")
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c")).filter(F.col("n_ct") >= min_contexts)
+    near = entities.select("key", F.explode("near").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    total = docs.agg(F.count("*").alias("n"))
+    information = F.log2(F.col("n") / F.col("n_c"))
+    pmi = lambda n_t: F.log2(F.col("n_ct") * F.col("n") / (F.col("n_c") * F.col(n_t)))
+    # a term is in as many documents as it is near values in at least, so no pair that may disclose is lost here
+    pairs = pairs.join(near, "term").crossJoin(F.broadcast(total))  # total is one row
+    pairs = stored(pairs.filter((information > 0) & (pmi("n_near") >= generalise_at * information)), "term-pairs")
     terms = stored(pairs.select("term").distinct(), "terms")
     held = docs.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
     counts = held.join(broadcast_if_small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.count("*").alias("n"))
-    information = F.log2(F.col("n") / F.col("n_c"))
-    pmi = F.log2(F.col("n_ct") * F.col("n") / (F.col("n_c") * F.col("n_t")))
-    scored = pairs.join(counts, "term").crossJoin(F.broadcast(total))  # total is one row
-    return scored.filter(information > 0).select("entity", "term", F.least(pmi / information, F.lit(1.0)).alias("disclosure")).filter(F.col("disclosure") >= generalise_at)
+    scored = pairs.join(counts, "term")
+    return scored.select("entity", "term", F.least(pmi("n_t") / information, F.lit(1.0)).alias("disclosure")).filter(F.col("disclosure") >= generalise_at)
 
 
 def find_spans(
