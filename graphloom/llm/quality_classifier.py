@@ -63,24 +63,23 @@ def tokens(text: str | None) -> set[str]:
     return bare | {"^" + w[:4] for w in bare} | {"^" + w[:5] for w in bare} | {f" {k}{i}" for k, v in levels for i in range(1, v + 1)}
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, n_cols: int, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a ridge logistic regression on a sparse binary matrix, by accelerated full-batch descent."""
-    n = len(target)
-    w, b = np.zeros(n_cols), math.log(target.mean() / (1 - target.mean()))
-    m, v, mb, vb = np.zeros(n_cols), np.zeros(n_cols), 0.0, 0.0
+def logistic(x: np.ndarray, target: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a ridge logistic regression on a matrix of 0 and 1, by accelerated full-batch descent."""
+    x, y = x.astype(np.float32), target.astype(np.float32)
+    w, b = np.zeros(x.shape[1], np.float32), math.log(y.mean() / (1 - y.mean()))
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(rows, w[cols], n) + b
-        r = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - target
-        g, gb = np.bincount(cols, r[rows], n_cols) + l2 * w, r.sum()
+        r = 1 / (1 + np.exp(-np.clip(x @ w + b, -80, 80))) - y
+        g, gb = r @ x + l2 * w, float(r.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.1 * (1 - t / (steps + 1))
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    return w, b
+    return w.astype(float), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_terms: int = 4_000, least_g2: float = 15.0) -> dict[str, tuple[float, float, dict[str, float]]]:
+def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_terms: int = 1_000, least_g2: float = 15.0) -> dict[str, tuple[float, float, dict[str, float]]]:
     """Per class its prior log odds, an intercept and the weights of tokens. docs: doc_id, text; labels: doc_id, quality, toxic.
 
     The sample is the first ``max_labels`` labelled ids in the order of their hash.
@@ -116,11 +115,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_terms:
         part = lambda x, side: F.when(x > 0, x * F.log(x * (pos + neg) / ((a + b) * side))).otherwise(0.0)  # noqa: B023, E731
         best = counts.withColumn("g2", 2 * (part(a, pos) + part(b, neg))).filter(F.col("g2") >= least_g2).orderBy(F.desc("g2"), "token").limit(max_terms)
         names = sorted(r[0] for r in best.select("token").collect())
-        chosen = kept.filter(F.col(c).isNotNull()).select(c, F.array_sort(F.array_intersect("tokens", F.lit(names) if names else F.array().cast("array<string>"))).alias("held")).toPandas()
         number = {x: i for i, x in enumerate(names)}
-        held = [[number[x] for x in own] for own in chosen["held"]]
-        at = np.repeat(np.arange(len(held)), [len(x) for x in held])
-        w, intercept = logistic(at, np.array([i for x in held for i in x], np.int64), chosen[c].to_numpy(float), len(names))
+
+        def bits(batches: Iterator[pd.DataFrame], number: dict = number) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                held = np.zeros((len(batch), len(number)), np.uint8)
+                for row, own in zip(held, batch["tokens"], strict=True):
+                    row[[number[x] for x in own if x in number]] = 1
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "bits": [x.tobytes() for x in np.packbits(held, axis=1)]})
+
+        # a bit per sampled row and term: max_labels * max_terms / 8 bytes
+        rows = kept.filter(F.col(c).isNotNull()).select("doc_id", F.col(c).cast("int").alias("y"), "tokens").mapInPandas(bits, "doc_id long, y int, bits binary").toPandas().sort_values("doc_id")
+        held = np.unpackbits(np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1), axis=1, count=len(names)) if names else np.zeros((len(rows), 0), np.uint8)
+        w, intercept = logistic(held, rows["y"].to_numpy())
         prior = math.log(pos / neg)
         model[c] = (prior, intercept - prior, dict(zip(names, w.tolist(), strict=True)))
     return model
