@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, decontamination, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, token_counts
+from graphloom.llm import chat, decontamination, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op10_separator_scan": token_counts.op10_separator_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_fingerprint_chat": chat.op5_fingerprint_chat,
     "op6_disclosure_pii": pii.op6_disclosure_pii,
     "op7_jump_hash_shards": sharding.op7_jump_hash_shards,
+    "op8_suffix_dedup": substring_dedup.op8_suffix_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
@@ -20,5 +21,6 @@ ORACLES = {
     "op4_cgk_decontamination": decontamination.op4_cgk_decontamination,
     "op5_fingerprint_chat": chat.OP5_SQL,
     "op7_jump_hash_shards": sharding.OP7_SQL,
+    "op8_suffix_dedup": substring_dedup.op8_suffix_dedup,
     "op9_quality_rules": quality_rules.OP9_SQL,
 }
