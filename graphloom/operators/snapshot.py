@@ -16,7 +16,7 @@ def node_hash(nodes: DataFrame) -> DataFrame:
 
 def snapshot_nodes(nodes: DataFrame) -> DataFrame:
     """id, hash: the last node of each id."""
-    return node_hash(nodes).groupBy("id").agg(F.max_by("hash", "node_ord").alias("hash"))
+    return node_hash(nodes).groupBy("id").agg(F.max_by("hash", F.coalesce("node_ord", F.lit(-1))).alias("hash"))
 
 
 def snapshot_edges(edges: DataFrame) -> DataFrame:
