@@ -32,7 +32,6 @@ class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
@@ -40,15 +39,22 @@ class Encoder:
         byte = byte_of_char()
         ranks = {bytes(byte[c] for c in word): i for word, i in described["model"]["vocab"].items() if word not in special}
         self._fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True  # control strings in a text are ordinary text
+        self._path, self._library = path, None
+
+    def library(self) -> object:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+            self._library.encode_special_tokens = True  # control strings in a text are ordinary text
+        return self._library
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of one text as unsigned 32-bit integers; none for null or empty."""
         if not text:
             return np.zeros(0, np.uint32)
         if _LONG_BLANK.search(text):
-            return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(self.library().encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self._fast(text), np.uint32)
 
 

@@ -150,7 +150,7 @@ class Matcher:
     def encode(self, text: str | None) -> np.ndarray:
         """Numbers of a text's words in the items' vocabulary, -1 for others, -3 for mere punctuation."""
         words = (text or "").lower().split()
-        if len(self.codes) > 400_000:
+        if len(self.codes) > 150_000:
             self.codes.clear()
         return np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
 

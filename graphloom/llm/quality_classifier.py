@@ -93,10 +93,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_terms:
     rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", *CLASSES)  # at most max_labels ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part.iloc[low : low + 200] for part in batches for low in range(0, len(part), 200)):  # token lists are many times their texts
             firsts = [shingles.shingle_set(shingles.split(t)) for t in batch["text"]]
             copy_of = [int(v[0].view(np.int64)) if len(v) else 0 for v in firsts]
-            yield pd.DataFrame({"copy_of": copy_of, "doc_id": batch["doc_id"], "low": batch["low"], "toxic": batch["toxic"], "tokens": [sorted(tokens(t)) for t in batch["text"]]})
+            yield pd.DataFrame({"copy_of": copy_of, "doc_id": batch["doc_id"].to_numpy(), "low": batch["low"].to_numpy(), "toxic": batch["toxic"].to_numpy(), "tokens": [sorted(tokens(t)) for t in batch["text"]]})
 
     seen = stored(rows.mapInPandas(run, "copy_of long, doc_id long, low boolean, toxic boolean, tokens array<string>"), "labelled")
     once = seen.groupBy("copy_of", *CLASSES).agg(F.min("doc_id").alias("doc_id"))

@@ -9,7 +9,7 @@ WIDTH = 5
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 _words: dict[bytes, int] = {}
-_MAX_WORDS = 400_000
+_MAX_WORDS = 150_000
 
 
 class _Words(dict):
