@@ -447,3 +447,64 @@ def node_delete_cascade(spark, sf_dir):
 def id_uniqueness(spark, sf_dir):
     nodes = b.nodes(spark, sf_dir)
     return nodes.unionByName(nodes.filter("node_ord % 11 = 0")).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+_DIFF = """SELECT CAST(o_custkey AS STRING) AS file, rn * 4 + j AS ord, CASE j WHEN 0 THEN 'diff --git a/c b/c' WHEN 1 THEN '--- a/old' || CAST(o_custkey AS STRING) || '.py' WHEN 2 THEN CASE WHEN o_custkey % 11 = 0 THEN '+++ /dev/null' ELSE '+++ b/c' || CAST(o_custkey AS STRING) || '.py' END
+  ELSE '@@ -' || CAST(o_orderkey AS STRING) || ',' || CAST(o_orderkey % 4 AS STRING) || ' +' || CAST(o_orderkey + 1 AS STRING) || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ',' || CAST(o_orderkey % 5 AS STRING) END || ' @@' END AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) o CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k"""  # four lines an order
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderkey % 4 AS n, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_orderkey % 5 END AS m FROM orders WHERE o_orderkey > 0)
+SELECT c::VARCHAR AS file, CASE WHEN c % 11 = 0 THEN 'old' || c || '.py' ELSE 'c' || c || '.py' END AS path, side, (CASE side WHEN 'old' THEN k ELSE k + 1 END)::INTEGER AS start,
+  (CASE side WHEN 'old' THEN k + greatest(n, 1) - 1 ELSE k + 1 + greatest(m, 1) - 1 END)::INTEGER AS "end", c % 11 = 0 AS deleted
+FROM o CROSS JOIN (SELECT unnest(['old', 'new']) AS side)""")
+def unified_diff_parse(spark, sf_dir):
+    from graphloom.sources import diffs
+
+    b.views(spark, sf_dir)
+    return diffs.parse_diff(spark.sql(_DIFF).filter("line not like '@@ -0,%'"), by="file").select("file", "path", "side", "start", "end", "deleted")
+
+
+def _sources(rows: DataFrame, lang: str, key: str, text) -> DataFrame:
+    """repo, path, lang, content: a synthetic source file per key from its rows' texts in order."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", text.alias("t")))), lambda x: x["t"]), "")
+    return rows.groupBy(F.col(key).cast("string").alias("path")).agg(F.encode(body, "UTF-8").alias("content")).select(F.lit("r").alias("repo"), "path", F.lit(lang).alias("lang"), "content")
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders)
+SELECT 'node' AS part, 'r::' || c || '::o' || k AS id, 'function' AS kind, 'o' || k || '(x, y=1)' AS signature, (1 + 4 * (rn - 1))::INTEGER AS line, NULL AS scope, NULL AS target FROM o
+UNION ALL SELECT 'pending', NULL, 'CALLS_PENDING', NULL, (3 + 4 * (rn - 1))::INTEGER, 'o' || k, 'self.o' || coalesce(p, 0) FROM o
+UNION ALL SELECT 'node', 'r::' || c, 'module', NULL, NULL, NULL, NULL FROM (SELECT DISTINCT c FROM o)""")
+def extract_python(spark, sf_dir):
+    from graphloom.sources.extract import extract
+
+    b.views(spark, sf_dir)
+    rows = spark.sql("SELECT o_custkey, o_orderkey AS ord, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders")
+    text = F.concat(F.lit("def o"), F.col("ord").cast("string"), F.lit('(x, y=1):\n    "Doc."\n    return self.o'), F.coalesce("prev", F.lit(0)).cast("string"), F.lit("(x)\n\n"))
+    return extract(_sources(rows, "python", "o_custkey", text)).filter("part <> 'edge'").select("part", "id", F.coalesce("kind", "type").alias("kind"), "signature", F.coalesce("start_line", "line").alias("line"), F.col("src_scope").alias("scope"), "target")
+
+
+@query("""SELECT p_brand AS path, k.type, CASE k.type WHEN 'PRODUCES_PENDING' THEN 'w.p' || p_partkey ELSE k.pre || (p_partkey % 7) END AS target
+FROM part CROSS JOIN (SELECT unnest(['PRODUCES_PENDING', 'CONSUMES_PENDING', 'CONSUMES_PENDING']) AS type, unnest(['', 'q', 's.r']) AS pre) k""")
+def extract_sql(spark, sf_dir):
+    from graphloom.sources.extract import extract
+
+    b.views(spark, sf_dir)
+    rows = spark.table("part").withColumn("ord", F.col("p_partkey"))
+    n = (F.col("ord") % 7).cast("string")
+    text = F.concat(F.lit("-- from nowhere\nCREATE TABLE IF NOT EXISTS w.p"), F.col("ord").cast("string"), F.lit(" AS SELECT 'join x' FROM q"), n, F.lit(" t JOIN s.r"), n, F.lit(" u ON t.a = u.a;\n"))
+    return extract(_sources(rows, "sql", "p_brand", text)).filter("part = 'pending'").select("path", "type", "target")
+
+
+@query("""SELECT s_nationkey::VARCHAR AS path, 'S' || s_suppkey || x.m AS qualname, x.kind AS kind, NULL AS target FROM supplier CROSS JOIN (SELECT unnest(['', '.go']) AS m, unnest(['class', 'method']) AS kind) x
+UNION ALL SELECT s_nationkey::VARCHAR, 'S' || s_suppkey || x.m, x.kind, CASE x.kind WHEN 'INHERITS_PENDING' THEN 'S' || (s_suppkey // 10) ELSE 'lib.f' || s_suppkey END
+FROM supplier CROSS JOIN (SELECT unnest(['', '.go']) AS m, unnest(['INHERITS_PENDING', 'CALLS_PENDING']) AS kind) x""")
+def extract_polyglot(spark, sf_dir):
+    from graphloom.sources.extract import extract
+
+    b.views(spark, sf_dir)
+    rows = spark.table("supplier").withColumn("ord", F.col("s_suppkey"))
+    k = F.col("ord").cast("string")
+    text = F.concat(F.lit("class S"), k, F.lit(" extends S"), F.floor(F.col("ord") / 10).cast("string"), F.lit(" {\n  go(x) { return lib.f"), k, F.lit("(x); } // f()\n}\n"))
+    out = extract(_sources(rows, "javascript", "s_nationkey", text)).filter("part <> 'edge' and not (kind <=> 'module')")
+    return out.select("path", F.coalesce("src_scope", fn.id_part(F.col("id"), 3)).alias("qualname"), F.coalesce("kind", "type").alias("kind"), "target")

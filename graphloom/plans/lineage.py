@@ -1,12 +1,30 @@
-"""Cutting the lineage of loops, and size-checked broadcasts."""
+"""Cutting the lineage of loops, size-checked broadcasts, and getting the package to the executors."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors for code that runs in Python there, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom_sources.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
 
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; one of our own only where it is unset."""

@@ -26,18 +26,18 @@ def parse_diff(lines: DataFrame, default_path: str | None = None, by: str | None
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = lambda mark, side: F.when(F.startswith("line", F.lit(mark)), F.regexp_replace(F.trim(F.substring("line", 5, 1 << 20)), f"^{side}/", ""))
     git = F.startswith("line", F.lit("diff --git "))
-    rows = lines.withColumns({"old": head("--- ", "a"), "new": head("+++ ", "b")})
+    rows = lines.withColumns({"__old": head("--- ", "a"), "__new": head("+++ ", "b")})
     null_ = lambda c: F.when(F.col(c) != "/dev/null", F.col(c))
     # a "diff" line forgets the old path, a later header of either kind replaces it
-    mark = F.when(git, F.struct(F.lit(None).cast("string").alias("p"))).when(F.col("old").isNotNull(), F.struct(null_("old").alias("p")))
-    rows = rows.withColumn("old_now", F.last(mark, ignorenulls=True).over(upto)["p"])
-    file = F.when(F.col("new").isNotNull(), F.struct(F.coalesce(null_("new"), F.col("old_now"), F.lit(default_path)).alias("path"), F.col("old_now").alias("old_path"), null_("new").isNull().alias("deleted"))).when(git, F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit(False).alias("deleted")))
-    rows = rows.withColumn("file", F.last(file, ignorenulls=True).over(upto))
+    mark = F.when(git, F.struct(F.lit(None).cast("string").alias("p"))).when(F.col("__old").isNotNull(), F.struct(null_("__old").alias("p")))
+    rows = rows.withColumn("__old_now", F.last(mark, ignorenulls=True).over(upto)["p"])
+    file = F.when(F.col("__new").isNotNull(), F.struct(F.coalesce(null_("__new"), F.col("__old_now"), F.lit(default_path)).alias("path"), F.col("__old_now").alias("old_path"), null_("__new").isNull().alias("deleted"))).when(git, F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit(False).alias("deleted")))
+    rows = rows.withColumn("__file", F.last(file, ignorenulls=True).over(upto))
     hunk = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
     n = lambda i: F.regexp_extract("line", hunk, i)
     count = lambda i: F.when(n(i) == "", 1).otherwise(n(i).try_cast("int"))
     hunks = rows.filter(F.col("line").rlike(hunk)).select(
-        *keys, "ord", F.coalesce("file.path", F.lit(default_path)).alias("path"), F.when(F.col("file.path").isNull(), F.lit(default_path)).otherwise(F.col("file.old_path")).alias("old_path"), F.coalesce("file.deleted", F.lit(False)).alias("deleted"),
+        *keys, "ord", F.coalesce("__file.path", F.lit(default_path)).alias("path"), F.when(F.col("__file.path").isNull(), F.lit(default_path)).otherwise(F.col("__file.old_path")).alias("old_path"), F.coalesce("__file.deleted", F.lit(False)).alias("deleted"),
         F.explode(F.array(F.struct(F.lit("old").alias("side"), n(1).cast("int").alias("start"), count(2).alias("count")), F.struct(F.lit("new").alias("side"), n(3).cast("int").alias("start"), count(4).alias("count")))).alias("h"),
     )
     hunks = hunks.filter("path is not null and (h.count > 0 or h.start > 0)")

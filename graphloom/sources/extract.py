@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from graphloom.plans.lineage import ship
+
 Def = tuple[str, str, int, int, str, str | None]
 Ref = tuple[str, int, str, list[str]]
 Extractor = Callable[[str], tuple[list[Def], list[Ref]]]
@@ -152,14 +154,15 @@ class _Braces:
         return [(kind, m.start(g), m[g].strip(), []) for m in re.finditer(pattern, source, re.M) for g in range(1, (m.lastindex or 0) + 1) if m[g] and m[g].strip() and m[g].strip() not in skip and self.code[m.start()] == self.text[m.start()]]
 
 
-_KEYWORDS = set("if for while switch catch return function new typeof super this else do try await yield throw match case import require constructor sizeof defer go select func range synchronized".split())
+_KEYWORDS = set("if for while switch catch return function new typeof super this else do try await yield throw match case import require constructor synchronized".split())
+_GO_KEYWORDS = _KEYWORDS | set("defer go select func range".split())
 _CALL = r"(?<![\w$.])([A-Za-z_$][\w$]*(?:\s*\??\.\s*[A-Za-z_$][\w$]*)*)\s*\("
 
 
-def _calls(b: _Braces, defs: list[Def], pattern: str = _CALL) -> list[Ref]:
+def _calls(b: _Braces, defs: list[Def], pattern: str = _CALL, skip: set[str] = _KEYWORDS) -> list[Ref]:
     """Calls outside the heads of definitions."""
     heads = {(name, m) for _, name, start, end, _, _ in defs for m in [b.code.find(name, start, end)]}
-    return [r for r in b.refs("CALLS", pattern, _KEYWORDS) if (r[2], r[1]) not in heads]
+    return [r for r in b.refs("CALLS", pattern, skip) if (r[2], r[1]) not in heads]
 
 
 def _script(text: str) -> tuple[list[Def], list[Ref]]:
@@ -214,7 +217,7 @@ def go(text: str) -> tuple[list[Def], list[Ref]]:
     name = r"(?P<name>[A-Za-z_]\w*)"
     defs = b.defs("function", rf"^func\s+{name}\s*(?:\[[^\]]*\])?(?P<params>\()") + b.defs("method", rf"^func\s*\([^)]*\)\s*{name}\s*(?P<params>\()")
     defs += b.defs("class", rf"\b{name}\s+(?:struct|interface)\b(?=\s*\{{)")
-    refs = _calls(b, defs)
+    refs = _calls(b, defs, skip=_GO_KEYWORDS)
     for m in re.finditer(r"^import\s*(?:\(([^)]*)\)|(?:\w+\s+)?(\"[^\"]+\"))", text, re.M):
         refs += [("IMPORTS", m.start(), x, []) for x in re.findall(r"\"([^\"]+)\"", m[0])]
     return defs, refs
@@ -277,6 +280,7 @@ _ROW = "part string, n int, id string, kind string, name string, repo string, pa
 
 def extract(files: DataFrame) -> DataFrame:
     """One row per node, pending reference or edge (``part``) of the files: repo, path, lang, content."""
+    ship(files.sparkSession)
     columns = [c.split()[0] for c in _ROW.split(", ")]
     empty = dict.fromkeys(columns)
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.names import glob_regex, ignore_regex
+from graphloom.plans.lineage import ship
 from graphloom.schema import MAX_FILE_BYTES
 from graphloom.sources.extract import LANGUAGES
 
@@ -97,6 +98,7 @@ def package_names(path: str, text: str) -> set[str]:
 
 def packages(files: DataFrame) -> DataFrame:
     """repo, name of all packages that the trees declare."""
+    ship(files.sparkSession)
     wanted = files.filter(F.col("path").isin("pyproject.toml", "setup.py", "package.json", "go.mod", "build.sbt") | F.col("path").rlike(r"^(src/)?[^/]+/__init__\.py$"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,6 +111,7 @@ def packages(files: DataFrame) -> DataFrame:
 
 def owner_rules(files: DataFrame) -> DataFrame:
     """repo, ord, pattern, regex, owner: the rules of the first owner file that exists in each repo."""
+    ship(files.sparkSession)
     place = F.array_position(F.array(*[F.lit(p) for p in OWNER_FILES]), F.col("path"))
     own = files.filter(F.col("path").isin(*OWNER_FILES)).groupBy("repo").agg(F.min_by("content", place).alias("content"))
 
