@@ -71,9 +71,10 @@ def blast_radius_by_owner(spark, sf_dir):
     return reach.by_owner(reach.blast_radius(b.edges(spark, sf_dir), b.nodes(spark, sf_dir), _seeds(spark, "dataset::p7", "dataset::p11", "NATION_0")))
 
 
-@query(N)
+@query(f"SELECT * REPLACE (coalesce(start_line, 0) AS start_line, coalesce(end_line, 0) AS end_line) FROM ({N})")
 def node_scan(spark, sf_dir):
-    return b.nodes(spark, sf_dir)
+    """All nodes; 0 where a node has no lines."""
+    return b.nodes(spark, sf_dir).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("start_line", "end_line")})
 
 
 @query(E)
@@ -474,14 +475,14 @@ def _sources(rows: DataFrame, lang: str, key: str, text) -> DataFrame:
 @query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders)
 SELECT 'node' AS part, 'r::' || c || '::o' || k AS id, 'function' AS kind, 'o' || k || '(x, y=1)' AS signature, (1 + 4 * (rn - 1))::INTEGER AS line, NULL AS scope, NULL AS target FROM o
 UNION ALL SELECT 'pending', NULL, 'CALLS_PENDING', NULL, (3 + 4 * (rn - 1))::INTEGER, 'o' || k, 'self.o' || coalesce(p, 0) FROM o
-UNION ALL SELECT 'node', 'r::' || c, 'module', NULL, NULL, NULL, NULL FROM (SELECT DISTINCT c FROM o)""")
+UNION ALL SELECT 'node', 'r::' || c, 'module', NULL, 0, NULL, NULL FROM (SELECT DISTINCT c FROM o)""")
 def extract_python(spark, sf_dir):
     from graphloom.sources.extract import extract
 
     b.views(spark, sf_dir)
     rows = spark.sql("SELECT o_custkey, o_orderkey AS ord, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders")
     text = F.concat(F.lit("def o"), F.col("ord").cast("string"), F.lit('(x, y=1):\n    "Doc."\n    return self.o'), F.coalesce("prev", F.lit(0)).cast("string"), F.lit("(x)\n\n"))
-    return extract(_sources(rows, "python", "o_custkey", text)).filter("part <> 'edge'").select("part", "id", F.coalesce("kind", "type").alias("kind"), "signature", F.coalesce("start_line", "line").alias("line"), F.col("src_scope").alias("scope"), "target")
+    return extract(_sources(rows, "python", "o_custkey", text)).filter("part <> 'edge'").select("part", "id", F.coalesce("kind", "type").alias("kind"), "signature", F.coalesce("start_line", "line", F.lit(0)).alias("line"), F.col("src_scope").alias("scope"), "target")
 
 
 @query("""SELECT p_brand AS path, k.type, CASE k.type WHEN 'PRODUCES_PENDING' THEN 'w.p' || p_partkey ELSE k.pre || (p_partkey % 7) END AS target
