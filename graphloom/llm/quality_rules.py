@@ -122,8 +122,9 @@ def judge(docs: DataFrame, text_col: str = "text", rules: list = RULES) -> DataF
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: list = RULES) -> DataFrame:
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return judge(docs, text_col, rules).filter("quality_rules.kept").select(*columns)
+    """The rows of ``docs`` that pass, with all their columns as they were."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return judge(docs.select(whole.alias("row"), F.col(text_col).alias("text")), "text", rules).filter("quality_rules.kept").select("row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def test_rules(spark):
         assert r.quality_rules.base_failed == base and not (base and r.quality_rules.kept)
         assert r.quality_rules.kept == (not base and not r.quality_rules.failed)
     kept = quality_rules.keep_good(docs)
-    assert kept.columns == docs.columns and 8 in {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs.columns and (8, "q") in {(r.doc_id, r.quality_rules) for r in kept.collect()}
     assert quality_rules.keep_good(docs.limit(0)).count() == 0
 
 
