@@ -174,7 +174,7 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def find_repeats(docs: DataFrame, text_col: str = "text", width: int = 200, k: int = 50, group_limit: int = 1 << 19, chunk: int = 20_000) -> DataFrame:
+def find_repeats(docs: DataFrame, text_col: str = "text", width: int = 200, k: int = 50, group_limit: int = 1 << 19, chunk: int = 8_000) -> DataFrame:
     """key (MD5 of the text), spans (sorted maximal stretches in bytes) of the texts that have any and don't occur twice."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -246,22 +246,21 @@ def find_repeats(docs: DataFrame, text_col: str = "text", width: int = 200, k: i
     per_text = shared.groupBy("key").agg(F.collect_list(F.struct("h", "pos", "o", "hot")).alias("at"))
     keys = stored(shared.select("key").distinct(), "anchor-keys")
     texts = rows.join(broadcast_if_small(keys), "key", "left_semi")
-    both = texts.join(per_text, "key").select("key", "text", "at")
+    both = texts.join(per_text, "key").select("key", "text", "at.h", "at.pos", "at.o", "at.hot")
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
         for batch in batches:
             out = []
-            for key, t, at in batch.itertuples(index=False):
+            for key, t, *at in batch.itertuples(index=False):
                 if (key := bytes(key)) in seen:
                     continue
                 if len(seen) < 500_000:
                     seen.add(key)
                 data = _bytes(t)
-                for x in at:
-                    pos, o = x["pos"], x["o"]
-                    out.append((x["h"], key, pos, o, x["hot"], data[pos - (o >> 8) : pos - (o & 255) + width]))
-                if len(out) > 20_000:
+                for h, pos, o, hot in zip(*(x.tolist() for x in at), strict=True):
+                    out.append((h, key, pos, o, hot, data[pos - (o >> 8) : pos - (o & 255) + width]))
+                if len(out) > 5_000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
             if out:
