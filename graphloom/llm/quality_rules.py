@@ -140,8 +140,8 @@ OP9_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
-g AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
-k AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i : i + 4], ' ')) AS c FROM g),
+g AS (SELECT r, unnest(list_transform(range(1, len(w) - 3), lambda i: {{'i': i, 's': array_to_string(w[i : i + 4], ' ')}})) AS x FROM w WHERE len(w) >= 5),
+k AS (SELECT r, x.i AS i, count(*) OVER (PARTITION BY r, x.s) AS c FROM g),
 s AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) - i AS gap FROM k WHERE c > 1),
 p AS (SELECT r, sum(least(5, coalesce(gap, 5)))::BIGINT AS n FROM s GROUP BY r),
 m AS (SELECT w.r, doc_id, len(w)::BIGINT AS n_words,
@@ -150,7 +150,7 @@ m AS (SELECT w.r, doc_id, len(w)::BIGINT AS n_words,
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines,
         len(list_filter(l, lambda x: regexp_matches(x, '^[ \t]*[-*\x{{2022}}]')))::BIGINT AS n_bullet,
         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})[ \t]*$')))::BIGINT AS n_ellipsis,
-        len(list_filter(w, lambda x: list_contains([{_STOPS}], lower(x))))::BIGINT AS n_stop,
+        len(list_filter(w, lambda x: lower(x) IN ({_STOPS})))::BIGINT AS n_stop,
         coalesce(n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN p USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)

@@ -90,11 +90,12 @@ WITH RECURSIVE bits AS (
   SELECT byte, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, step + 1 FROM bits WHERE step < 8),
 crc_table AS (SELECT list(crc ORDER BY byte) AS t FROM bits WHERE step = 8),
 b16 AS ({_jump_sql(16)}), b17 AS ({_jump_sql(17)}),
+digits AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents),
 sized AS (
-  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size,
-    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(coalesce(text, ''))), lambda i: ('0x' || hex(encode(coalesce(text, '')))[2 * i + 1 : 2 * i + 2])::BIGINT)),
+  SELECT doc_id, n + 1 AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(n), lambda i: ((instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)::BIGINT)),
       lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295)::BIGINT AS text_crc32
-  FROM documents, crc_table)
+  FROM digits, crc_table)
 SELECT doc_id, size, text_crc32, 'key' AS law, b16::INTEGER AS shard,
   (row_number() OVER (PARTITION BY b16 ORDER BY doc_id) - 1)::BIGINT AS slot, b17::INTEGER AS grown_shard
 FROM sized JOIN b16 USING (doc_id) JOIN b17 USING (doc_id)

@@ -236,9 +236,7 @@ def find_repeats(docs: DataFrame, text_col: str = "text", width: int = 200, k: i
             if size > group_limit:
                 hot = True
                 yield from flush()
-                held = [held[-1].iloc[-1:].iloc[:0]]
-                size = group_limit
-                held = []
+                held, size = [], group_limit  # the group goes on, and all of it is hot
         yield from flush()
 
     dealt = placed.repartition("h").sortWithinPartitions("h", "key", "pos", "o")
