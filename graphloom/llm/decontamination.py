@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows.
+"""Benchmark decontamination: CGK embedding and bit-sampling LSH over windows of words.
 
 Texts are sequences of words (lower case, without outer punctuation). A leak is a
 stretch of a document whose word edit distance to an item is at most
@@ -6,16 +6,22 @@ stretch of a document whose word edit distance to an item is at most
 
 The CGK walk reads a window and at each step copies the current word and moves on
 if a random bit of (step, word) says so; windows at a small edit distance thus
-agree in most steps. A table of the LSH samples a few steps; a window that agrees
-with an item in all of them is compared exactly. With ``p`` the assumed agreement
-of a step, K samples and L tables a leak is found with 1 - (1 - p^K)^L; L follows
+agree in most steps. A table of the LSH samples a few steps; where a window agrees
+in all of them, the whole item is compared exactly. With ``p`` the assumed agreement
+of a step, K samples and L tables a window is found with 1 - (1 - p^K)^L; L follows
 from ``target_recall``.
 
-Windows that can't hold a leak aren't embedded: k edits spoil k words and 2 k
-neighbouring pairs at most, so all others of a window must be words and pairs
-that occur in the items. This loses nothing.
+The agreement falls with the number of edits, not with their share, so an item that
+may have k edits is cut into k // 2 + 1 parts, each with a window of its own. Some
+part then has one edit at most, which is all that a window must bear whatever the
+item's length; a part has about 2 / ``max_edits`` words.
 
-Items are grouped by length; a window has the least length of its group. Items
+Windows that can't hold such a part aren't embedded: an edit spoils one word and two
+neighbouring pairs at most, so all others of a window must be words and pairs that
+occur in the items. Nor is an item compared where its part shares fewer words with
+the window. This loses nothing.
+
+Parts are grouped by length; a window has the least length of its group. Items
 are dealt into blocks bounded in number and size, and each block is sent to every
 task of one pass over the documents; there is one block up to ``block_items``.
 
@@ -77,22 +83,40 @@ class _Codes(dict):
 
 
 class Tables:
-    """The LSH of one group of items, whose windows have ``width`` words."""
+    """The LSH of one group of parts (number and words of the item, place in it), whose windows have ``width`` words with ``edits`` edits."""
 
-    def __init__(self, width: int, items: list[tuple[int, np.ndarray]], tables: int, samples: int, seed: int) -> None:
+    def __init__(self, width: int, parts: list[tuple[int, np.ndarray, int]], edits: int, tables: int, samples: int, seed: int) -> None:
         rng = np.random.default_rng([seed, width])
-        self.width, self.items = width, items
+        self.width, self.parts, self.edits = width, parts, edits
         self.steps = max(samples, math.ceil(1.6 * width))
         self.salt = rng.integers(1, 1 << 63, (tables, self.steps), dtype=np.uint64)
         self.sampled = np.sort(np.array([rng.choice(self.steps, samples, replace=False) for _ in range(tables)]), axis=1)
-        windows = np.array([x[:width] for _, x in items], np.int64)
-        self.buckets: list[dict[int, list[int]]] = []
-        for t in range(tables):
-            bucket: dict[int, list[int]] = {}
-            for i, key in enumerate(self.keys(windows, t).tolist()):
-                bucket.setdefault(key, []).append(i)
-            self.buckets.append(bucket)
-        self.known = [np.array(sorted(b), np.uint64) for b in self.buckets]
+        windows = np.array([x[at : at + width] for _, x, at in parts], np.int64)
+        keys = [self.keys(windows, t) for t in range(tables)]
+        self.windows = windows
+        self.order = [np.argsort(k, kind="stable") for k in keys]
+        self.known = [k[o] for k, o in zip(keys, self.order, strict=True)]
+
+    def hits(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``windows`` and the parts that agree with them in a table and share all words but ``edits``, by row."""
+        pairs = []
+        for t, known in enumerate(self.known):
+            keys = self.keys(windows, t)
+            low = np.searchsorted(known, keys)
+            n = np.searchsorted(known, keys, "right") - low
+            if n.sum() > 50_000 and len(windows) > 1:  # many equal parts: fewer rows at a time
+                half = len(windows) // 2
+                (row, part), (row2, part2) = self.hits(windows[:half]), self.hits(windows[half:])
+                return np.concatenate([row, row2 + half]), np.concatenate([part, part2])
+            row = np.repeat(np.arange(len(windows)), n)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            pairs.append(row * len(self.parts) + self.order[t][low[row] + nth])
+        row, part = np.divmod(np.unique(np.concatenate(pairs)), len(self.parts))
+        shared = np.zeros(len(row), np.int64)
+        for j in range(self.width):
+            shared += (windows[row] == self.windows[part, j][:, None]).any(axis=1)
+        fit = shared >= self.width - self.edits
+        return row[fit], part[fit]
 
     def keys(self, windows: np.ndarray, t: int) -> np.ndarray:
         """Sampled steps of the walk over each row, combined; past a window's end the walk reads a blank."""
@@ -122,10 +146,16 @@ class Matcher:
             if words:
                 coded.append((item_id, np.array(words, np.int64)))
         tables = math.ceil(math.log(1 - target_recall) / math.log(1 - agreement**samples))
-        groups: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for item in coded:
-            groups.setdefault(self.width_of(len(item[1])), []).append(item)
-        self.groups = [Tables(w, own, tables, min(samples, max(1, w // 2)), seed) for w, own in sorted(groups.items())]
+        self.ids = [item_id for item_id, _ in coded]
+        groups: dict[int, list[tuple[int, np.ndarray, int]]] = {}
+        edits: dict[int, int] = {}
+        for n, (_, words) in enumerate(coded):
+            k = int(max_edits * len(words))
+            parts = k // 2 + 1
+            width = self.width_of(len(words) // parts)
+            groups.setdefault(width, []).extend((n, words, len(words) * i // parts) for i in range(parts))
+            edits[width] = max(edits.get(width, 0), k // parts)
+        self.groups = [Tables(w, own, edits[w], tables, min(samples, max(1, w // 2)), seed) for w, own in sorted(groups.items())]
         self.codes = _Codes(self.number)
         pairs = [self.pairs(x) for _, x in coded]
         self.known_pairs = np.unique(np.concatenate([p[p >= 0] for p in pairs])) if pairs else np.zeros(0, np.int64)
@@ -173,7 +203,7 @@ class Matcher:
         linked = np.concatenate([[0], np.cumsum(self.known_pairs[at_pair] == pairs)]) if len(self.known_pairs) else np.zeros(len(codes), np.int64)
         found: list[dict] = [{} for _ in texts]
         for g in self.groups:
-            k = int(self.max_edits * max(len(x) for _, x in g.items))
+            k = g.edits
             n = len(codes) - g.width + 1
             words, joints = held[g.width :] - held[:n], linked[g.width - 1 :] - linked[:n]
             starts = np.flatnonzero((words >= max(1, g.width - k)) & (joints >= g.width - 1 - 2 * k))
@@ -181,36 +211,33 @@ class Matcher:
                 self._look_up(codes, starts[low : low + 50_000], g, first, [len(p) for p in places], found)
         out = []
         for text, place, own in zip(texts, places, found, strict=True):
-            spans = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)] if own else []
-            out.append([(item, spans[place[a]][0], spans[place[b - 1]][1], d, n) for item, a, b, d, n in sorted(own.values())])
+            spans = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)] if any(own.values()) else []
+            out.append([(item, spans[place[a]][0], spans[place[b - 1]][1], d, n) for item, a, b, d, n in sorted(filter(None, own.values()))])
         return out
 
     def _look_up(self, codes: np.ndarray, starts: np.ndarray, g: Tables, first: np.ndarray, sizes: list[int], found: list[dict]) -> None:
-        windows = codes[starts[:, None] + np.arange(g.width)]
-        for t, known in enumerate(g.known):
-            keys = g.keys(windows, t)
-            hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
-            for i, key in zip(starts[hit].tolist(), keys[hit].tolist(), strict=True):
-                d = int(np.searchsorted(first, i, "right")) - 1
-                own = codes[first[d] : first[d] + sizes[d]]
-                for n in g.buckets[t][key]:
-                    self._compare(own, i - int(first[d]), g, n, found[d])
-
-    def _compare(self, codes: np.ndarray, i: int, g: Tables, n: int, found: dict) -> None:
-        item_id, words = g.items[n]
+        rows, parts = g.hits(codes[starts[:, None] + np.arange(g.width)])
+        for i, part in zip(starts[rows].tolist(), parts.tolist(), strict=True):
+            d = int(np.searchsorted(first, i, "right")) - 1
+            n, words, at = g.parts[part]
+            self._compare(codes[first[d] : first[d] + sizes[d]], i - int(first[d]) - at, n, words, found[d])
+
+    def _compare(self, codes: np.ndarray, i: int, n: int, words: np.ndarray, found: dict) -> None:
+        """Look for item n about word i, where it would start without edits; ``found`` has None for places already searched in vain."""
         size, most = len(words), int(self.max_edits * len(words))
-        if any((g.width, n, s) in found for s in range(i - most, i + most + 1)):
+        if (n, i, None) in found or any((n, s) in found for s in range(i - most, i + most + 1)):
             return
         low, high = max(0, i - most), min(len(codes), i + size + 2 * most)
         near = codes[low:high].tolist()
         pattern = words.tolist()
         distance, end = edit_search(pattern, near)
         if distance > most or not end:
+            found[n, i, None] = None
             return
         back, length = edit_search(pattern[::-1], near[:end][::-1])
-        key = (g.width, n, low + end - length)
+        key = (n, low + end - length)
         if key not in found:
-            found[key] = (item_id, low + end - length, low + end, distance, size)
+            found[key] = (self.ids[n], low + end - length, low + end, distance, size)
 
 
 def leaks(

@@ -78,6 +78,22 @@ def test_recall_of_edited_items():
     assert sum(w in {x[0] for x in own} for w, own in zip(wanted, found, strict=True)) / len(wanted) >= 0.97
 
 
+@pytest.mark.parametrize("n", [10, 15, 23, 60, 120, 200])
+@pytest.mark.parametrize("kind", ["substitute", "insert", "delete"])
+def test_recall_at_most_edits(n, kind):
+    """At exactly max_edits the declared recall holds, for items of any length."""
+    rng = random.Random(n)
+    items = [(i, " ".join(f"v{rng.randrange(4000)}" for _ in range(n))) for i in range(100)]
+    texts = []
+    for _, text in items:
+        at = set(rng.sample(range(n), int(0.2 * n)))
+        new = {"substitute": lambda w: ["new"], "insert": lambda w: ["new", w], "delete": lambda w: []}[kind]
+        words = [x for i, w in enumerate(text.split()) for x in (new(w) if i in at else [w])]
+        texts.append(" ".join([*(f"h{k}" for k in range(30)), *words, *(f"t{k}" for k in range(30))]))
+    found = dc.Matcher(items, 0.2, 0.99, 0.55, 3).find(texts)
+    assert sum(any(x[0] == i for x in own) for i, own in enumerate(found)) / len(items) >= 0.99
+
+
 @pytest.mark.parametrize("pattern,text", [("kitten", "xxsittingxx"), ("abc", "abc"), ("abc", ""), ("abcd", "zzabxcdzz")])
 def test_edit_search(pattern, text):
     def distance(a, b):
