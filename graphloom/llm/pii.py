@@ -2,11 +2,13 @@
 
 Base kinds are found by patterns and checks. For each protected value the corpus
 then tells which nearby terms disclose it: with n(c) the distinct contexts of a
-value c, n(c, t) those that hold the term t, n(t) the documents with t and N all
-documents, a term's disclosure is PMI(c; t) / IC(c) =
+value c, n(c, t) those that hold the term t, n(t) = n(c, t) plus the distinct
+passages with t that are in no document with t near c, and N the distinct texts, a
+term's disclosure is PMI(c; t) / IC(c) =
 log2(n(c, t) N / (n(c) n(t))) / log2(N / n(c)), 1 where t never appears without
-c. Copies of a passage are one context, so they don't count as several
-witnesses. In a document that holds c, terms above ``remove_at`` are removed and
+c. Copies of a passage count once in each of these, so they are neither several
+witnesses for a term nor several against it. A document shows one passage of a
+term: the words around it. In a document that holds c, terms above ``remove_at`` are removed and
 those above ``generalise_at`` are replaced by a placeholder.
 
 Everything is DataFrame functions. The patterns are written so that the Java
@@ -131,23 +133,36 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TERM_BREAK), lambda t: F.length(t) >= 3)
 
 
-def disclosing_terms(entities: DataFrame, docs: DataFrame, min_contexts: int, generalise_at: float) -> DataFrame:
-    """entity, term, disclosure of the pairs at or above ``generalise_at``. entities: key, entity, context, near; docs: text."""
+def passages(docs: DataFrame, terms: DataFrame, reach: int = 6) -> DataFrame:
+    """key, term, passage: for each document and term of ``terms`` in it a hash of the words around the term, the least where it has several."""
+    around = lambda words: F.transform(
+        words, lambda t, i: F.struct(t.alias("term"), F.xxhash64(F.slice(words, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1)).alias("passage"))
+    )
+    held = docs.select("key", F.explode(let(terms_of(F.col("text")), around)).alias("w")).select("key", "w.term", "w.passage")
+    return held.join(broadcast_if_small(terms), "term", "left_semi").groupBy("key", "term").agg(F.min("passage").alias("passage"))
+
+
+def disclosing_terms(entities: DataFrame, holders: DataFrame, docs: DataFrame, min_contexts: int, generalise_at: float) -> DataFrame:
+    """entity, term, disclosure of the pairs at or above ``generalise_at``. entities: key, entity, context, near; docs and those with values: key, text."""
     repeated = entities.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= min_contexts)
-    pairs = entities.join(repeated, "entity").select("entity", "n_c", "context", F.explode("near").alias("term")).distinct()
+    near = entities.join(repeated, "entity").select("key", "entity", "n_c", "context", F.explode("near").alias("term"))
+    pairs = near.select("entity", "n_c", "context", "term").distinct()
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c")).filter(F.col("n_ct") >= min_contexts)
-    near = entities.select("key", F.explode("near").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    total = docs.agg(F.count("*").alias("n"))
+    pairs = stored(pairs, "repeated-pairs")
+    total = docs.select(F.xxhash64("text").alias("text")).distinct().agg(F.count("*").alias("n"))
     information = F.log2(F.col("n") / F.col("n_c"))
-    pmi = lambda n_t: F.log2(F.col("n_ct") * F.col("n") / (F.col("n_c") * F.col(n_t)))
-    # a term is in as many documents as it is near values in at least, so no pair that may disclose is lost here
-    pairs = pairs.join(near, "term").crossJoin(F.broadcast(total))  # total is one row
-    pairs = stored(pairs.filter((information > 0) & (pmi("n_near") >= generalise_at * information)), "term-pairs")
-    terms = stored(pairs.select("term").distinct(), "terms")
-    held = docs.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
-    counts = held.join(broadcast_if_small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = pairs.join(counts, "term")
-    return scored.select("entity", "term", F.least(pmi("n_t") / information, F.lit(1.0)).alias("disclosure")).filter(F.col("disclosure") >= generalise_at)
+    pmi = F.log2(F.col("n_ct") * F.col("n") / (F.col("n_c") * (F.col("n_ct") + F.col("n_passages") - F.col("n_own"))))
+    by_term = lambda held: held.select("term", "passage").distinct().groupBy("term").agg(F.count("*").alias("n_passages"))
+    shown = stored(passages(holders, stored(pairs.select("term").distinct(), "near-terms")), "passages")
+    own = near.select("entity", "term", "key").distinct().join(pairs.select("entity", "term"), ["entity", "term"], "left_semi").join(shown, ["key", "term"])
+    own = own.select("entity", "term", "passage").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_own"))
+    pairs = pairs.join(own, ["entity", "term"]).crossJoin(F.broadcast(total))  # total is one row
+    # the passages in documents with values are some of all, so no pair that may disclose is lost here
+    likely = pairs.join(by_term(shown), "term").filter((information > 0) & (pmi >= generalise_at * information)).drop("n_passages")
+    likely = stored(likely, "term-pairs")
+    counts = by_term(passages(docs, stored(likely.select("term").distinct(), "terms")))
+    scored = likely.join(counts, "term")
+    return scored.select("entity", "term", F.least(pmi / information, F.lit(1.0)).alias("disclosure")).filter(F.col("disclosure") >= generalise_at)
 
 
 def find_spans(
@@ -180,7 +195,7 @@ def find_spans(
     right = F.when(F.length("right") == reach, F.regexp_replace("right", r"[\p{L}\p{N}_]+$", "")).otherwise(F.col("right"))
     context = F.xxhash64(F.expr("right(left, 40)"), F.expr("left(right, 40)"))
     entities = s.select("key", "entity", context.alias("context"), F.array_distinct(F.concat(terms_of(left), terms_of(right))).alias("near"))
-    shown = stored(disclosing_terms(entities, plain, min_contexts, generalise_at), "disclosing")
+    shown = stored(disclosing_terms(entities, holders.select("key", "text"), plain, min_contexts, generalise_at), "disclosing")
     per_doc = (
         entities.select("key", "entity").distinct().join(shown, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
         .groupBy("key")

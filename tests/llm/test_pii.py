@@ -47,6 +47,20 @@ def test_terms_that_disclose(spark):
     assert "Zorblat" not in clean[100] and "<EMAIL>" in clean[100] and clean[5] == docs[5][1]
 
 
+def test_terms_of_copied_passages(spark):
+    """Copies of a passage count neither for a term nor against it, near its value or away from it."""
+    docs = [(i, f"word{i % 7} other{i % 11} text{i}") for i in range(2000)]
+    places = ["before the lake", "in a quiet street", "near our office", "at some market"]
+    passage = [f"{p} lives Zorblat word{i} of the town, mail z@q.org {i} and {p} again" for i, p in enumerate(places)]
+    docs += [(3000 + i, t) for i, t in enumerate(passage)]
+    docs += [(4000 + i, f"{'pad ' * 60}{i} {passage[0]} {'end ' * 60}{i}") for i in range(1000)]  # the passage in other documents
+    docs += [(6000 + i, passage[1]) for i in range(1000)]  # the whole document
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = {r.doc_id: [(s.kind, r.text[s.start : s.end], s.mask) for s in r.pii_spans] for r in pii.find_spans(df).collect()}
+    assert all(("term", "Zorblat", "") in spans[i] for i in [*range(3000, 3004), *range(4000, 5000), *range(6000, 7000)])
+    assert all(spans[i] == [] for i in range(2000))
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail a@b.co or 1.2.3.4@x.com, ok", "z"), (2, None, "z"), (3, "+4912345678", "z")], "doc_id long, text string, source string")
     out = {r.doc_id: (r.text, r.source) for r in pii.sanitize(df).collect()}
