@@ -17,10 +17,8 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
-ORACLES = {
-    "op4_cgk_decontamination": decontamination.op4_cgk_decontamination,
+ORACLES: dict[str, str] = {
     "op5_fingerprint_chat": chat.OP5_SQL,
     "op7_jump_hash_shards": sharding.OP7_SQL,
-    "op8_suffix_dedup": substring_dedup.op8_suffix_dedup,
     "op9_quality_rules": quality_rules.OP9_SQL,
 }
