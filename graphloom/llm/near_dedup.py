@@ -3,7 +3,9 @@
 One pass hashes every text once per permutation and keeps both the minimum and
 the maximum, so 64 hash evaluations give 128 signature values. They are banded
 four by four: two texts at the threshold of 0.75 share one of the 32 bands with
-probability 1 - (1 - 0.75^4)^32 = 0.999995, and closer ones nearly surely.
+probability 1 - (1 - 0.75^4)^32 = 0.999995, and closer ones nearly surely. That takes
+minimum and maximum as independent; with 3 of 4 shingles shared both agree with
+probability 1/2, which gives 1 - (1 - 0.5^2)^32 = 0.9999.
 """
 
 from __future__ import annotations
