@@ -108,9 +108,9 @@ def counted(ids, end):
     return out + ([(n, False)] if n else [])
 
 
-@pytest.mark.parametrize("options", [{"block_bytes": 2}, {"block_bytes": 64}, {"block_bytes": 1000, "whole_bytes": 100}, {}])
+@pytest.mark.parametrize("options", [{"block_bytes": 2}, {"block_bytes": 64}, {"block_bytes": 1000}, {}])
 def test_scan(spark, tmp_path, options):
-    ids = np.random.default_rng(1).integers(0, 7, 3030).astype(">u2")
+    ids = np.random.default_rng(1).integers(0, 7, 3037).astype(">u2")  # a prime number of tokens
     ids[500:2200] = 3
     files = {"a.bin": ids, "b.bin": np.array([5, 5, 9], ">u2"), "c.bin": np.zeros(0, ">u2"), "d.bin": np.array([9, 9], ">u2")}
     for name, x in files.items():
@@ -124,10 +124,30 @@ def test_scan(spark, tmp_path, options):
         token_counts.count_tokens(spark, f"file://{tmp_path}", end_id=5)
 
 
+def test_scan_of_a_large_file(spark, tmp_path):
+    n = 35_000_011  # 70 MB
+    ids = np.zeros(n, ">u2")
+    ids[[7, 8, 20_000_000, n - 2]] = 5
+    ids.tofile(tmp_path / "large.bin")
+    assert token_counts.blocks_of(spark, f"file://{tmp_path}").rdd.getNumPartitions() > 10
+    rows = token_counts.count_tokens(spark, f"file://{tmp_path}", end_id=5).orderBy("doc_no").collect()
+    assert [(r.n_tokens, r.ended) for r in rows] == [(7, True), (0, True), (19_999_991, True), (n - 2 - 20_000_001, True), (1, False)]
+
+
+@pytest.mark.parametrize("run_blocks", [1, 2, 3, 5])
+def test_prefix_scan_over_runs(spark, run_blocks):
+    rows = [("f", b, 4, e, l) for b, (e, l) in enumerate([(0, None), (1, 2), (0, None), (0, None), (0, None), (2, 3), (0, None)])] + [("g", 0, 3, 0, None)]
+    found = token_counts.carry(spark.createDataFrame(rows, "file string, block long, n_tokens long, n_ends long, last_end long"), run_blocks)
+    expected = {("f", b): (4 * b, d, o, b == 6) for b, (d, o) in enumerate([(0, 0), (0, 0), (1, 7), (1, 7), (1, 7), (1, 7), (3, 24)])} | {("g", 0): (0, 0, 0, True)}
+    assert {(r.file, r.block): (r.at, r.docs_before, r.open_from, r.is_last) for r in found.collect()} == expected
+
+
 def test_token_query(spark):
     e = bpe.Encoder(vocabulary_path("byte_bpe_50k.json"))
     texts = dict(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect())
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 7)
     rows = token_counts.op10_separator_scan(spark, "/root/testdata/sf0.001").collect()
+    spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     assert {r.doc_id: r.n_tokens for r in rows} == {i: len(e.encode(t)) for i, t in texts.items()} and len(rows) == len(texts)
 
 
@@ -135,3 +155,6 @@ def test_token_files_of_nulls(spark, tmp_path):
     path = os.path.join(str(tmp_path), "t")
     token_counts.write_token_files(spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b")], "doc_id long, text string").coalesce(1), path)
     assert [r.n_tokens for r in token_counts.count_tokens(spark, path).orderBy("doc_no").collect()] == [0, 0, 2, 2]
+    empty = os.path.join(str(tmp_path), "empty")
+    token_counts.write_token_files(spark.createDataFrame([], "doc_id long, text string"), empty)
+    assert token_counts.count_tokens(spark, empty).count() == 0
