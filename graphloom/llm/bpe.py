@@ -39,22 +39,26 @@ class Encoder:
         byte = byte_of_char()
         ranks = {bytes(byte[c] for c in word): i for word, i in described["model"]["vocab"].items() if word not in special}
         self._fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._path, self._library = path, None
+        self._path, self._added, self._libraries = path, sorted(x["content"] for x in described.get("added_tokens", [])), {}
 
-    def library(self) -> object:
-        if self._library is None:
+    def library(self, control: bool) -> object:
+        if control not in self._libraries:
             from tokenizers import Tokenizer
 
-            self._library = Tokenizer.from_file(self._path)
-            self._library.encode_special_tokens = True  # control strings in a text are ordinary text
-        return self._library
+            self._libraries[control] = Tokenizer.from_file(self._path)
+            self._libraries[control].encode_special_tokens = not control
+        return self._libraries[control]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of one text as unsigned 32-bit integers; none for null or empty."""
+    def encode(self, text: str | None, control: bool = False) -> np.ndarray:
+        """Ids of one text as unsigned 32-bit integers; none for null or empty.
+
+        With ``control`` an added token of the file that stands in the text gets its
+        own id, as ``tokenizers`` has it by default; without, it is ordinary text.
+        """
         if not text:
             return np.zeros(0, np.uint32)
-        if _LONG_BLANK.search(text):
-            return np.array(self.library().encode(text, add_special_tokens=False).ids, np.uint32)
+        if _LONG_BLANK.search(text) or (control and any(x in text for x in self._added)):
+            return np.array(self.library(control).encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self._fast(text), np.uint32)
 
 

@@ -8,9 +8,12 @@ is left over goes, longest first, to the sequence of the lowest estimated cost
 sequence has room for all of a piece it is cut, so a group pads fewer than
 ``capacity`` tokens altogether.
 
-Defined results: a null or empty text is packed as its end id alone; null ids
-and repeated rows are packed like any other row; an empty table gives no
-pieces; other columns of the input are not read.
+Defined results: a null or empty text is packed as its end id alone; a control
+string of the vocabulary in a text gets its own id; null ids and repeated rows are
+packed like any other row; a text of any length is encoded whole and cut into
+pieces; among sequences of equal cost the first takes the piece, among pieces of
+equal length the first document goes first; an empty table gives no pieces; other
+columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -96,7 +99,7 @@ def pack(
 
         for batch in batches:
             for key, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.append(encode(text), np.uint32(end_id))
+                ids = np.append(encode(text, control=True), np.uint32(end_id))
                 keys.append(None if pd.isna(key) else int(key))
                 arrays.append(ids)
                 total += len(ids)
