@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word rule: the blank and tab .. carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -55,10 +56,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset: one of our own on a single machine, an error on a cluster."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="graphloom-checkpoint-")
         sc.setCheckpointDir(at)
     return at
@@ -76,12 +79,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Hint a broadcast of a stored, narrow table only when its counted rows are within ``max_rows``.
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row in memory: 8 a value, and the contents of strings, binaries and arrays."""
+    size = F.lit(16)
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        else:
+            size = size + 8
+    return size
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
+    """Hint a broadcast of a stored table only when its measured rows are within ``max_bytes``.
 
     Beyond that the hint is left off and Spark joins by a shuffle.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= max_bytes else df
 
 
 def vocabulary_path(name: str) -> str:

@@ -6,36 +6,38 @@ another place, in the same text or another. The corpus isn't sorted as a whole:
 1. Every window of ``width`` bytes picks an anchor, the leftmost of its k-byte
    strings with the least hash. Equal windows pick the same string at the same
    place, so they can be compared among the windows of equal anchors alone.
-2. Anchors that occur once are dropped.
-3. The contexts of the others are compared group by group. Their pieces to the
-   right and to the left of the anchor are strings over a small alphabet; suffix
-   grouping (:mod:`gsaca`) orders them, and the common prefixes of neighbours
-   bound how far any other context can agree. Windows inside these bounds are
-   then counted by their hash.
+2. Anchors are counted with partial aggregation; those that occur once are dropped.
+3. The contexts of the others are ordered by suffix grouping (:mod:`gsaca`) of
+   their pieces, once by what follows the anchor and once by what precedes it, read
+   backwards. Two contexts share a window that starts o bytes before the anchor if
+   they agree in o bytes to the left and in the rest to the right; agreement in so
+   many bytes puts them into one run of either order. So the windows that repeat are
+   those whose pair of runs is met twice, and nothing is hashed to find them.
 4. Covered stretches meet their text again and are cut out.
 
 Texts that occur twice or more are removed whole if they have ``width`` bytes,
-and stand once in the comparison. Groups of more than ``group_limit`` anchors are
-compared window by window in a distributed aggregation instead of in one task.
-
-Defined results: null is empty; texts shorter than ``width`` are kept whole;
-repeated rows repeat each other's text; an empty table gives no rows; other
-columns aren't read. Identity of anchors and windows rests on 64-bit hashes, that
-of texts on MD5.
+and stand once in the comparison. An anchor with more than ``group_limit`` places
+doesn't fit into one task: its contexts are told apart first, and the windows of
+the distinct ones are counted by their hash in a distributed aggregation instead.
+
+Defined results: null is empty; texts shorter than ``width`` are kept whole; very
+long texts are gone through in steps; repeated rows repeat each other's text; ties
+can't arise, as all repeats go; an empty table gives no rows; other columns aren't
+read. Identity of anchors, and of windows under step 3's exception, rests on 64-bit
+hashes, that of texts on MD5.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import broadcast_if_small, read, ship, stored
-from graphloom.llm.gsaca import common_prefixes, suffix_array
+from graphloom.llm.gsaca import suffix_array
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -95,78 +97,82 @@ def anchors(data: bytes, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _piece_strings(pieces: list[list[int]]) -> np.ndarray:
-    """For each string of numbered pieces how many of its first pieces some other string shares (the first is its group)."""
-    flat, starts = [], []
-    for p in pieces:
-        starts.append(len(flat))
-        flat += p
+def _ordered(strings: list[bytes], groups: np.ndarray) -> list[int]:
+    """Positions of the strings by group and then bytes, from the suffix grouping of their pieces.
+
+    Pieces are numbered in the order of their bytes, so the order of the numbers is that of the strings.
+    """
+    pieces = [[x[at : at + PIECE] for at in range(0, len(x), PIECE)] for x in strings]
+    first = int(groups.max()) + 3 if len(groups) else 3
+    number = {x: first + i for i, x in enumerate(sorted({x for own in pieces for x in own}))}
+    flat, starts = [], {}
+    for i, (own, group) in enumerate(zip(pieces, groups.tolist(), strict=True)):
+        starts[len(flat)] = i
+        flat.append(group + 2)
+        flat += [number[x] for x in own]
         flat.append(1)
     flat.append(0)
-    sa = suffix_array(flat)
-    lcp = common_prefixes(flat, sa)
-    at = {s: i for i, s in enumerate(starts)}
-    best = np.zeros(len(pieces), np.int64)
-    for r, s in enumerate(sa):
-        i = at.get(s)
-        if i is not None:
-            most = max(lcp[r], lcp[r + 1] if r + 1 < len(lcp) else 0)
-            best[i] = min(most, len(pieces[i]))
-    return best
-
-
-def bounds(contexts: list[tuple[int, bytes, int, int]], width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest offset of each context (group, bytes, greatest and least offset) at which another may agree."""
-    number: dict[object, int] = {}
-    num = lambda x: number.setdefault(x, len(number) + 2)
-    right, left = [], []
-    for i, (h, data, most, least) in enumerate(contexts):
-        group = num(("g", h))
-        tail = data[most + k :]
-        right.append([group] + [num(("r", j, tail[j : j + PIECE])) if len(tail) >= j + PIECE else num(("own", i, j)) for j in range(0, width - k - PIECE + 1, PIECE)])
-        head = data[:most][::-1]
-        left.append([group] + [num(("l", j, head[j : j + PIECE])) if len(head) >= j + PIECE else num(("own", i, -1 - j)) for j in range(0, width - k - PIECE + 1, PIECE)])
-    # a common group counts as one; a string shared throughout may go on to its end
-    reach = lambda strings: np.where((n := _piece_strings(strings)) == len(strings[0]), width, np.maximum(n - 1, 0) * PIECE + PIECE - 1)
-    r = np.minimum(k + reach(right), width)
-    ll = reach(left)
-    most, least = np.array([c[2] for c in contexts]), np.array([c[3] for c in contexts])
-    return np.maximum(least, width - r), np.minimum(most, ll)
+    return [starts[at] for at in suffix_array(flat) if at in starts]
+
+
+def _agreement(matrix: np.ndarray, sizes: np.ndarray, groups: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each place of the order the bytes that its string shares with the one before it; -1 at a new group."""
+    out = np.full(len(order), -1, np.int64)
+    for low in range(1, len(order), 4096):
+        a, b = order[low - 1 : low + 4095][: len(order) - low], order[low : low + 4096]
+        differ = matrix[a] != matrix[b]
+        n = np.where(differ.any(axis=1), differ.argmax(axis=1), matrix.shape[1])
+        out[low : low + 4096] = np.where(groups[a] == groups[b], np.minimum(n, np.minimum(sizes[a], sizes[b])), -1)
+    return out
+
+
+def _matrix(strings: list[bytes], columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings as rows of bytes, with their sizes; what lies beyond a size is 0."""
+    sizes = np.array([len(x) for x in strings], np.int64)
+    return np.frombuffer(b"".join(x.ljust(columns, b"\0") for x in strings), np.uint8).reshape(-1, columns), sizes
 
 
 def repeated_offsets(contexts: list[tuple[int, bytes, int, int]], copies: list[int], width: int, k: int) -> list[list[tuple[int, int]]]:
-    """For each context the ranges (least, greatest) of offsets whose window starts more than once, counting each context's copies."""
+    """For each context (group, bytes, greatest and least offset) the ranges of offsets whose window starts more than once.
+
+    Contexts are distinct; one that stands for several copies repeats throughout.
+    """
+    rest = width - k
+    numbers: dict[int, int] = {}
+    groups = np.array([numbers.setdefault(h, len(numbers)) for h, *_ in contexts], np.int64)
+    most, least = np.array([c[2] for c in contexts], np.int64), np.array([c[3] for c in contexts], np.int64)
+    sides = [data[m + k :][:rest] for _, data, m, _ in contexts], [data[:m][::-1][:rest] for _, data, m, _ in contexts]
+    run_of, reach = [], []
+    for strings in sides:
+        matrix, sizes = _matrix(strings, rest)
+        order = np.array(_ordered(strings, groups), np.int64)
+        shared = _agreement(matrix, sizes, groups, order)
+        best = np.maximum(shared, np.append(shared[1:], -1))
+        far = np.empty(len(order), np.int64)
+        far[order] = best
+        reach.append(far)
+        run_of.append((order, shared))
+    right, left = reach
+    # a window that starts o bytes before the anchor has o bytes to the left of it and rest - o to the right
+    low, high = np.maximum(least, rest - right), np.minimum(most, left)
+    again = np.zeros((len(contexts), rest + 1), bool)
+    for o in range(rest + 1):
+        own = np.flatnonzero((low <= o) & (o <= high))
+        if len(own) < 2:
+            continue
+        runs = []
+        for (order, shared), least_shared in zip(run_of, (rest - o, o), strict=True):
+            at = np.empty(len(order), np.int64)
+            at[order] = np.cumsum(shared < least_shared)
+            runs.append(at[own])
+        _, pair, n = np.unique(runs[0] * (len(contexts) + 1) + runs[1], return_inverse=True, return_counts=True)
+        again[own, o] = n[pair] > 1
+    offsets = np.arange(rest + 1)
+    again |= (np.array(copies) > 1)[:, None] & (least[:, None] <= offsets) & (offsets <= most[:, None])
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    low, high = bounds(contexts, width, k)
-    copies_ = np.array(copies)
-    low = np.where(copies_ > 1, [c[3] for c in contexts], low)
-    high = np.where(copies_ > 1, [c[2] for c in contexts], high)
-    use = np.flatnonzero(high >= low)
-    if not len(use):
-        return out
-    data = np.frombuffer(b"".join(contexts[i][1] for i in use), np.uint8)
-    sizes = np.array([len(contexts[i][1]) for i in use])
-    base = np.cumsum(sizes) - sizes
-    count = high[use] - low[use] + 1
-    owner = np.repeat(np.arange(len(use)), count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[use], count)
-    most = np.array([contexts[i][2] for i in use])
-    group = np.array([contexts[i][0] for i in use], np.int64).view(np.uint64)
-    hashes = Hasher(data).at(base[owner] + most[owner] - offset, width)
-    hashes = (hashes ^ (group[owner] + offset.astype(np.uint64) * _ROOT)) * _MIX
-    order = np.argsort(hashes, kind="stable")
-    sorted_ = hashes[order]
-    edge = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]]))
-    totals = np.add.reduceat(copies_[use][owner[order]], edge[:-1])
-    again = np.empty(len(order), bool)
-    again[order] = np.repeat(totals > 1, np.diff(edge))
-    hit = np.flatnonzero(again)
-    if not len(hit):
-        return out
-    run = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (owner[hit][1:] != owner[hit][:-1])]))
-    ends = np.concatenate([run[1:], [len(hit)]]) - 1
-    for a, b in zip(hit[run].tolist(), hit[ends].tolist(), strict=True):
-        out[use[owner[a]]].append((int(offset[a]), int(offset[b])))
+    edges = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    for (i, a), (_, b) in zip(np.argwhere(edges == 1).tolist(), np.argwhere(edges == -1).tolist(), strict=True):
+        out[i].append((a, b - 1))
     return out
 
 
@@ -174,167 +180,169 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def find_repeats(docs: DataFrame, text_col: str = "text", width: int = 200, k: int = 50, group_limit: int = 1 << 19, chunk: int = 8_000) -> DataFrame:
-    """key (MD5 of the text), spans (sorted maximal stretches in bytes) of the texts that have any and don't occur twice."""
-    ship(docs.sparkSession)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("key"), text.alias("text")).filter(F.octet_length("text") >= width)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            keys, parts = [], []
-            for key, t in zip(batch["key"], batch["text"], strict=True):
-                key = bytes(key)
-                if key not in seen:
-                    if len(seen) < 500_000:
-                        seen.add(key)
-                    parts.append(anchors(_bytes(t), width, k))
-                    keys += [key] * len(parts[-1][0])
-            if keys:
-                h, pos, most, least = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pd.DataFrame({"h": h, "key": keys, "pos": pos, "o": most << 8 | least})
-
-    placed = rows.mapInPandas(place, "h long, key binary, pos long, o int")
+def _key(data: Column) -> list[Column]:
+    """The MD5 of a text as two numbers."""
+    half = lambda at: F.conv(F.substring(F.md5(data), at, 16), 16, -10).cast("long")
+    return [half(1).alias("k1"), half(17).alias("k2")]
 
-    def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows of anchors that occur twice or more; ``hot`` beyond the limit. Groups come in order; copies of a row are one."""
-        held: list[pd.DataFrame] = []
-        size, hot, current = 0, False, None
 
-        def flush() -> Iterator[pd.DataFrame]:
-            if size > 1:
-                for x in held:
-                    yield x.assign(hot=hot)
+def _contexts(shared: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """h, k1, k2, pos, o, data: the bytes around each anchor, from one row of each text."""
+    keys = stored(shared.select("k1", "k2").distinct(), "anchor-keys")
+    texts = rows.join(broadcast_if_small(keys), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    per_text = shared.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "pos", "o")).alias("at"))  # as many as the text itself has
+    both = texts.join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "at.h", "at.pos", "at.o")
+    names = ["h", "k1", "k2", "pos", "o", "data"]
 
-        for batch in batches:
-            same = (batch["h"] == batch["h"].shift()) & (batch["key"] == batch["key"].shift()) & (batch["pos"] == batch["pos"].shift()) & (batch["o"] == batch["o"].shift())
-            if held and len(batch):
-                a, b = held[-1].iloc[-1], batch.iloc[0]
-                same.iloc[0] = a["h"] == b["h"] and a["key"] == b["key"] and a["pos"] == b["pos"] and a["o"] == b["o"]
-            batch = batch[~same]
-            if not len(batch):
-                continue
-            h = batch["h"].to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
-            if h[0] == current and len(cuts) == 2:
-                held.append(batch)
-                size += len(batch)
-            else:
-                first = 0
-                if h[0] == current:
-                    held.append(batch.iloc[: cuts[1]])
-                    size += int(cuts[1])
-                    first = 1
-                yield from flush()
-                middle = batch.iloc[cuts[first] : cuts[-2]]
-                n = np.diff(cuts[first:-1])
-                middle = middle[np.repeat(n > 1, n)]
-                if len(middle):
-                    yield middle.assign(hot=False)
-                held, size, hot, current = [batch.iloc[cuts[-2] :]], int(cuts[-1] - cuts[-2]), False, h[-1]
-            if size > group_limit:
-                hot = True
-                yield from flush()
-                held, size = [], group_limit  # the group goes on, and all of it is hot
-        yield from flush()
-
-    dealt = placed.repartition("h").sortWithinPartitions("h", "key", "pos", "o")
-    shared = stored(dealt.mapInPandas(several, "h long, key binary, pos long, o int, hot boolean"), "anchors")
-    per_text = shared.groupBy("key").agg(F.collect_list(F.struct("h", "pos", "o", "hot")).alias("at"))
-    keys = stored(shared.select("key").distinct(), "anchor-keys")
-    texts = rows.join(broadcast_if_small(keys), "key", "left_semi")
-    both = texts.join(per_text, "key").select("key", "text", "at.h", "at.pos", "at.o", "at.hot")
-
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[bytes] = set()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, t, *at in batch.itertuples(index=False):
-                if (key := bytes(key)) in seen:
-                    continue
-                if len(seen) < 500_000:
-                    seen.add(key)
+            for k1, k2, t, *at in batch.itertuples(index=False):
                 data = _bytes(t)
-                for h, pos, o, hot in zip(*(x.tolist() for x in at), strict=True):
-                    out.append((h, key, pos, o, hot, data[pos - (o >> 8) : pos - (o & 255) + width]))
-                if len(out) > 5_000:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
+                for h, pos, o in zip(*(x.tolist() for x in at), strict=True):
+                    out.append((h, k1, k2, pos, o, data[pos - (o >> 8) : pos - (o & 255) + width]))
+                    if len(out) > 5_000:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    names = ["h", "key", "pos", "o", "hot", "data"]
-    around = both.mapInPandas(contexts, "h long, key binary, pos long, o int, hot boolean, data binary")
+    return both.mapInPandas(run, "h long, k1 long, k2 long, pos long, o int, data binary")
+
+
+SPANS = "k1 long, k2 long, start long, end long"
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _compared(contexts: DataFrame, width: int, k: int, chunk: int) -> DataFrame:
+    """Spans of the windows that repeat, group by group in tasks; some ``chunk`` contexts are ordered at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         groups: dict[tuple, list] = {}
-        current = None
+        current, size = None, 0
 
         def settle() -> pd.DataFrame:
-            many = list(groups)
-            found = repeated_offsets([(h, data, o >> 8, o & 255) for h, o, data in many], [len(groups[x]) for x in many], width, k)
-            out = [(key, pos - b, pos - a + width) for x, ranges in zip(many, found, strict=True) if ranges for key, pos in groups[x] for a, b in ranges]
-            return pd.DataFrame(out, columns=["key", "start", "end"])
+            # an anchor with one context and one place has lost its partners to equal texts
+            many = [x for x in groups if len(groups[x]) > 1 or several[x[0]] > 1]
+            found = repeated_offsets([(h, data, o >> 8, o & 255) for h, o, data in many], [len(groups[x]) for x in many], width, k) if many else []
+            out = [(*key, pos - b, pos - a + width) for x, ranges in zip(many, found, strict=True) if ranges for *key, pos in groups[x] for a, b in ranges]
+            return pd.DataFrame(out, columns=["k1", "k2", "start", "end"], dtype="int64")
 
+        several: dict[int, int] = {}
         for batch in batches:
-            for h, key, pos, o, data in zip(batch["h"], batch["key"], batch["pos"], batch["o"], batch["data"], strict=True):
+            for h, k1, k2, pos, o, data in batch.itertuples(index=False):
                 if h != current:
-                    if len(groups) >= chunk:
+                    if len(groups) >= chunk or size >= 8 * chunk:
                         yield settle()
-                        groups = {}
+                        groups, several, size = {}, {}, 0
                     current = h
                 own = groups.setdefault((h, o, bytes(data)), [])
-                place_ = (bytes(key), pos)
-                if not own or own[-1] != place_:
-                    own.append(place_)
+                if not own:
+                    several[h] = several.get(h, 0) + 1
+                own.append((k1, k2, pos))
+                size += 1
         if groups:
             yield settle()
 
-    spans = "key binary, start long, end long"
-    cool = around.filter("not hot").select("h", "key", "pos", "o", "data").repartition("h").sortWithinPartitions("h", "key", "pos", "o").mapInPandas(compare, spans)
+    dealt = contexts.select("h", "k1", "k2", "pos", "o", "data").repartition("h").sortWithinPartitions("h")
+    return dealt.mapInPandas(run, SPANS)
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for h, key, pos, o, data in zip(batch["h"], batch["key"], batch["pos"], batch["o"], batch["data"], strict=True):
-                for at in range(len(data) - width + 1):
-                    digest = np.frombuffer(hashlib.md5(data[at : at + width]).digest(), np.int64)
-                    out.append((h, int(digest[0]), int(digest[1]), bytes(key), pos - (o >> 8) + at))
-            yield pd.DataFrame(out, columns=["h", "w1", "w2", "key", "start"])
 
-    hot = stored(around.filter("hot").mapInPandas(windows, "h long, w1 long, w2 long, key binary, start long").distinct(), "hot-windows")
-    again = hot.groupBy("h", "w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    warm = hot.join(again, ["h", "w1", "w2"], "left_semi").select("key", "start", (F.col("start") + width).alias("end"))
+def _counted(contexts: DataFrame, width: int) -> DataFrame:
+    """Spans of the windows that repeat, for anchors with too many places for a task.
+
+    Equal contexts are told apart by aggregation and repeat throughout; the windows
+    of the distinct ones are counted by hash, and looked up for those that stand alone.
+    """
+    places = stored(contexts.withColumn("d", F.md5("data")), "hot-contexts")
+    distinct = places.groupBy("h", "o", "d").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at"), F.first("data").alias("data"))
+    distinct = stored(distinct, "hot-distinct")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low in range(0, len(batch), 500):
+                part = batch.iloc[low : low + 500]
+                sizes = np.array([len(x) for x in part["data"]])
+                data = np.frombuffer(b"".join(part["data"]), np.uint8)
+                count = sizes - width + 1
+                row = np.repeat(np.arange(len(part)), count)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                hashes = Hasher(data).at(np.repeat(np.cumsum(sizes) - sizes, count) + nth, width)
+                own = {c: part[c].to_numpy()[row] for c in ("h", "k1", "k2", "n")}
+                begin = (part["pos"].to_numpy() - (part["o"].to_numpy() >> 8))[row] + nth
+                yield pd.DataFrame({"h": own["h"], "w": hashes.view(np.int64), "k1": own["k1"], "k2": own["k2"], "start": begin, "n": own["n"]})
+
+    single = distinct.select("h", "o", "n", "data", "at.k1", "at.k2", "at.pos")
+    windows = stored(single.mapInPandas(run, "h long, w long, k1 long, k2 long, start long, n long"), "hot-windows")
+    again = windows.groupBy("h", "w").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
+    alone = windows.filter("n = 1").join(again, ["h", "w"], "left_semi").select("k1", "k2", "start", (F.col("start") + width).alias("end"))
+    copied = stored(distinct.filter("n > 1").select("h", "o", "d"), "hot-copied")
+    whole = places.join(broadcast_if_small(copied), ["h", "o", "d"], "left_semi")
+    begin = F.col("pos") - F.shiftright("o", 8)
+    return alone.unionByName(whole.select("k1", "k2", begin.alias("start"), (F.col("pos") - F.col("o").bitwiseAND(F.lit(255)) + width).alias("end")))
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """k1, k2, spans: the maximal stretches of each text, sorted. Spans are merged as they pass in order."""
+    order = Window.partitionBy("k1", "k2").orderBy("start", "end")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = spans.withColumn("new", F.when(F.col("start") <= F.max("end").over(before), 0).otherwise(1))
+    rows = rows.withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = rows.groupBy("k1", "k2", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def find_repeats(docs: DataFrame, text_col: str = "text", width: int = 200, k: int = 50, group_limit: int = 1 << 15, chunk: int = 8_000) -> DataFrame:
+    """k1, k2 (the MD5 of the text), spans (sorted maximal stretches in bytes) of the texts that have any and don't occur twice."""
+    ship(docs.sparkSession)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(*_key(F.encode(text, "UTF-8")), text.alias("text")).filter(F.octet_length("text") >= width)
 
-    def merge(s: object) -> object:
-        add = lambda a, x: F.when((F.size(a) > 0) & (x["start"] <= F.element_at(a, -1)["end"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x)))
-        return F.aggregate(s, F.array().cast("array<struct<start:bigint,end:bigint>>"), add)
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            keys, parts = [], []
+            for key, t in zip(batch[["k1", "k2"]].itertuples(index=False, name=None), batch["text"], strict=True):
+                if key not in seen:
+                    if len(seen) < 500_000:
+                        seen.add(key)
+                    parts.append(anchors(_bytes(t), width, k))
+                    keys.append(key)
+            if keys:
+                h, pos, most, least = (np.concatenate(x) for x in zip(*parts, strict=True))
+                k1, k2 = np.repeat(np.array(keys, np.int64), [len(x[0]) for x in parts], axis=0).T
+                yield pd.DataFrame({"h": h, "k1": k1, "k2": k2, "pos": pos, "o": most << 8 | least})
 
-    all_spans = cool.unionByName(warm).groupBy("key").agg(merge(F.sort_array(F.collect_set(F.struct("start", "end")))).alias("spans"))
-    return all_spans
+    placed = stored(rows.mapInPandas(place, "h long, k1 long, k2 long, pos long, o int"), "anchors")
+    groups = stored(placed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "anchor-groups")
+    hot = stored(groups.filter(F.col("n") > group_limit).select("h"), "hot-anchors")
+    shared = stored(placed.join(broadcast_if_small(groups.select("h")), "h", "left_semi"), "shared-anchors").distinct()
+    hot_n = hot.count()
+    near = shared.join(broadcast_if_small(hot), "h", "left_anti") if hot_n else shared
+    spans = _compared(_contexts(near, rows, width), width, k, chunk)
+    if hot_n:
+        spans = spans.unionByName(_counted(_contexts(shared.join(broadcast_if_small(hot), "h", "left_semi"), rows, width), width))
+    return merged(spans)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, **options: object) -> DataFrame:
     """id, n_bytes, spans and kept (the bytes that remain) of every row of ``docs``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     data = F.encode(text, "UTF-8")
-    rows = docs.select(F.col(id_col).alias("id"), data.alias("data"), F.unhex(F.md5(data)).alias("key"))
-    copies = stored(rows.filter(F.length("data") >= width).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "copied-texts")
-    spans = find_repeats(docs, text_col, width, **options).withColumnRenamed("spans", "found")
-    spans = stored(spans.join(copies, "key", "left_anti").withColumn("copied", F.lit(False)).unionByName(copies.select("key", F.array().cast("array<struct<start:bigint,end:bigint>>").alias("found"), F.lit(True).alias("copied"))), "repeats")
-    keys = spans.select("key")
-    touched = rows.join(broadcast_if_small(keys), "key", "left_semi").join(spans, "key")
+    rows = docs.select(F.col(id_col).alias("id"), data.alias("data"), *_key(data))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    copies = stored(rows.filter(F.length("data") >= width).groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2"), "copied-texts")
+    found = stored(find_repeats(docs, text_col, width, **options), "spans")
+    copied = copies.select("k1", "k2", none.alias("spans"), F.lit(True).alias("copied"))
+    spans = stored(found.join(broadcast_if_small(copies), ["k1", "k2"], "left_anti").withColumn("copied", F.lit(False)).unionByName(copied), "repeats")
+    both = rows.join(broadcast_if_small(spans).withColumnRenamed("spans", "found"), ["k1", "k2"], "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("data").cast("long").alias("end")))
-    cut = F.when(F.col("copied"), whole).otherwise(F.col("found"))
+    both = both.select("id", "data", F.when(F.col("copied"), whole).otherwise(F.coalesce("found", none)).alias("spans"))
     end_before = lambda i: F.coalesce(F.get("spans", i - 1)["end"], F.lit(0))
     part = lambda a, b: F.substring("data", (a + 1).cast("int"), (b - a).cast("int"))
-    pieces = F.transform("spans", lambda s, i: part(end_before(i), s["start"]))
-    tail = part(F.element_at("spans", -1)["end"], F.length("data"))
-    kept = F.aggregate(F.concat(pieces, F.array(tail)), F.lit(b""), lambda a, x: F.concat(a, x))
-    touched = touched.select("id", "data", cut.alias("spans")).select("id", F.length("data").cast("long").alias("n_bytes"), "spans", kept.alias("kept"))
-    rest = rows.join(broadcast_if_small(keys), "key", "left_anti").select("id", F.length("data").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.col("data").alias("kept"))
-    return touched.unionByName(rest).withColumnRenamed("id", id_col)
+    pieces = F.transform("spans", lambda s, i: F.hex(part(end_before(i), s["start"])))
+    tail = F.hex(part(F.element_at("spans", -1)["end"], F.length("data")))
+    kept = F.when(F.size("spans") == 0, F.col("data")).otherwise(F.unhex(F.array_join(F.concat(pieces, F.array(tail)), "")))
+    return both.select(F.col("id").alias(id_col), F.length("data").cast("long").alias("n_bytes"), "spans", kept.alias("kept"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

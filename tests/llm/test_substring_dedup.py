@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -21,6 +22,34 @@ def test_suffix_array(s):
         assert lcp[r] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.binary(max_size=400).map(lambda x: bytes(b % 2 for b in x))), min_size=1, max_size=12))
+def test_order(rows):
+    groups = np.array([g for g, _ in rows])
+    order = sd._ordered([x for _, x in rows], groups)
+    assert [rows[i] for i in order] == sorted(rows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 12), st.integers(0, 12), st.integers(0, 4)), min_size=2, max_size=14, unique=True), st.randoms(use_true_random=False))
+def test_repeated_offsets(rows, rng):
+    """Windows of 20 bytes about an anchor of 8, against a count of the windows themselves."""
+    width, k = 20, 8
+    contexts = {}
+    for h, a, b, seed in rows:
+        most, least = max(a, b), min(a, b)
+        left, right = (bytes(rng.choice(b"ab") if i > seed * 2 else 97 for i in range(n)) for n in (most, width - k - least))
+        contexts[h, left[::-1] + b"%08d" % h + right, most, least] = rng.choice([1, 1, 1, 2])
+    count = Counter()
+    for (h, data, most, least), n in contexts.items():
+        for o in range(least, most + 1):
+            count[h, o, data[most - o :][:width]] += n
+    found = sd.repeated_offsets(list(contexts), list(contexts.values()), width, k)
+    for (h, data, most, least), ranges in zip(contexts, found, strict=True):
+        expected = {o for o in range(least, most + 1) if count[h, o, data[most - o :][:width]] > 1}
+        assert {o for a, b in ranges for o in range(a, b + 1)} == expected
+
+
 def brute(texts, width):
     data = [(t or "").encode() for t in texts]
     counts = Counter(d[i : i + width] for d in data for i in range(len(d) - width + 1))
@@ -70,5 +99,15 @@ def test_seams_of_long_texts(spark, monkeypatch):
         assert starts == list(range(max(0, len((t or "").encode()) - 199)))
 
 
+def test_windows_are_found_by_the_order(spark, monkeypatch):
+    """Without the order of the suffix grouping nothing but the exact copies is found."""
+    real = sd._ordered
+    monkeypatch.setattr(sd, "_ordered", lambda strings, groups: sorted(real(strings, groups), key=lambda i: hashlib.md5(b"%d" % i).digest()))
+    contexts = [(1, bytes([65 + i % 2] * 10) + b"anchor00" + bytes([66 + i // 20] * 10) + b"%d" % i, 10, 2) for i in range(40)]
+    wrong = sd.repeated_offsets(contexts, [1] * 40, 20, 8)
+    monkeypatch.setattr(sd, "_ordered", real)
+    assert wrong != sd.repeated_offsets(contexts, [1] * 40, 20, 8)
+
+
 def test_empty(spark):
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
