@@ -43,7 +43,7 @@ def strip_space(text: Column) -> Column:
 def normalize_dataset(raw: Column) -> Column:
     """Matching name of a data target, null where it is too general."""
     n = F.lower(F.regexp_replace(strip_space(raw), r"""^['"]+|['"]+$""", ""))
-    n = F.regexp_replace(n, r"^[a-z0-9+.-]+://", "")
+    n = F.regexp_replace(n, r"^[a-z0-9+.-]+://", "")  # an address's scheme (fixed pattern)
     n = F.regexp_replace(F.regexp_replace(n, r"^dbfs:", ""), r"^/", "")
     n = F.regexp_replace(F.regexp_replace(n, r"\{[^}]*\}", "*"), r"/+$", "")
     n = F.regexp_replace(F.substring_index(n, "/", -1), r"\.(" + "|".join(DATASET_ENDINGS) + ")$", "")
@@ -72,10 +72,20 @@ def dotted_suffixes(path: Column) -> Column:
 
 
 def glob_regex(pattern: Column) -> Column:
-    """Anchored regular expression of a shell pattern column (* ? [seq] [!seq]); * crosses slashes and dots."""
-    p = F.regexp_replace(pattern, r"([.+^$(){}|\\])", r"\\$1")
-    p = F.replace(F.replace(p, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
-    return F.concat(F.lit("(?s)^"), F.replace(p, F.lit("[!"), F.lit("[^")), F.lit("$"))
+    """Anchored regular expression of a shell pattern column (* ? [seq] [!seq]); * crosses slashes and dots.
+
+    A bracket that nothing closes is a plain character.
+    """
+    # sequences are set aside as they stand; a ] directly after the opening is part of one
+    tokens = F.regexp_extract_all(pattern, F.lit(r"\[!?\]?[^\]]*\]|[\s\S]"), F.lit(0))
+
+    def one(t: Column) -> Column:
+        inner = F.regexp_replace(F.substring(t, 2, F.length(t) - 2), r"([\\\[\]&~|^])", r"\\$1")
+        sequence = F.concat(F.lit("["), F.when(F.startswith(t, F.lit("[!")), F.concat(F.lit("^"), F.substring(inner, F.lit(2), F.length(inner)))).otherwise(inner), F.lit("]"))
+        plain = F.regexp_replace(t, r"([^\p{L}\p{N}_\s])", r"\\$1")
+        return F.when(F.length(t) > 1, sequence).when(t == "*", ".*").when(t == "?", ".").otherwise(plain)
+
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(tokens, one), ""), F.lit("$"))
 
 
 def ignore_regex(pattern: str) -> str | None:

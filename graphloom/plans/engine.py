@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import data_edges, history, lookup, owners, reach, resolve, snapshot
 from graphloom.plans.lineage import cut
-from graphloom.schema import STALE_SECONDS, GraphError
+from graphloom.schema import EDGES, NODES, STALE_SECONDS, GraphError
 from graphloom.sources import diffs, repos, tables
 from graphloom.sources.extract import extract
 
@@ -21,19 +22,26 @@ def _edges(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in EDGE_COLUMNS.items()])
 
 
-def parse(spark: SparkSession, roots: dict[str, str], languages: list[str] | None = None, path_globs: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def numbered(df: DataFrame, by: list[str], into: str) -> DataFrame:
+    """``df`` with its rank from 0 in a total order, by a distributed sort and the sizes of its ranges."""
+    row = F.monotonically_increasing_id()
+    rows = cut(df.orderBy(*by).withColumns({"__part": F.shiftright(row, 33), "__row": row.bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("__part").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0)))  # a row per partition
+    return rows.join(F.broadcast(sizes.drop("count")), "__part").withColumn(into, F.col("__before") + F.col("__row")).drop("__part", "__row", "__before")
+
+
+def parse(spark: SparkSession, roots: dict[str, str], languages: list[str] | None = None, path_globs: dict[str, list[str]] | None = None, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, pending, structural edges of the trees; their order is that of repos, paths and offsets."""
-    parts = []
-    for i, (repo, root) in enumerate(roots.items()):
-        files = repos.all_files(spark, repo, root)
-        parts.append(repos.source_files(files, languages, (path_globs or {}).get(repo)).withColumn("repo_ord", F.lit(i)))
     order = {r: i for i, r in enumerate(roots)}
+    files = repos.trees(spark, roots) if files is None else files
+    parts = [repos.source_files(files.filter(F.col("repo") == repo), languages, (path_globs or {}).get(repo)) for repo in roots]
     rows = cut(extract(reduce(DataFrame.unionByName, parts).select("repo", "path", "lang", "content")))
-    place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     repo = F.coalesce("repo", F.split_part("src", F.lit("::"), F.lit(1)))
     # numbered file by file: the file's rank by repo and path, then the row's place in it
-    files = rows.select(repo.alias("repo"), F.coalesce("path", "src_file").alias("path")).distinct()
-    ranked = files.withColumn("file_ord", F.row_number().over(Window.orderBy(place[F.col("repo")], "path")))  # one short row per file
+    place = spark.createDataFrame(list(order.items()), "repo string, repo_ord int")
+    named = rows.select(repo.alias("repo"), F.coalesce("path", "src_file").alias("path")).distinct()
+    ranked = numbered(named.join(F.broadcast(place), "repo"), ["repo_ord", "path"], "file_ord").drop("repo_ord")  # place has a row per tree
     rows = rows.withColumn("repo", repo).withColumn("path", F.coalesce("path", "src_file")).join(ranked, ["repo", "path"])
     ord_ = F.col("file_ord").cast("long") * (1 << 24) + F.col("n")
     repo_nodes = spark.createDataFrame([(r, "repo", r, r, i - len(order)) for r, i in order.items()], "id string, kind string, name string, repo string, node_ord long")
@@ -65,13 +73,15 @@ class Engine:
 
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.base = spark, base.rstrip("/")
+        self.pending: DataFrame | None = None
 
     def build(self, roots: dict[str, str], languages: list[str] | None = None, path_globs: dict[str, list[str]] | None = None, **options: object) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges (structural and resolved) of source trees."""
-        nodes, pending, structural = parse(self.spark, roots, languages, path_globs)
-        files = reduce(DataFrame.unionByName, [repos.all_files(self.spark, r, p) for r, p in roots.items()])
+        files = repos.trees(self.spark, roots)
+        nodes, pending, structural = parse(self.spark, roots, languages, path_globs, files)
         order = self.spark.createDataFrame(list(enumerate(roots)), "repo_ord long, repo string")
         nodes, edges = resolve_graph(nodes, pending, repos.packages(files).join(order, "repo"), repos.owner_rules(files), **options)
+        self.pending = cut(pending)
         return cut(nodes), cut(structural.unionByName(edges))
 
     def index(self, nodes: DataFrame, edges: DataFrame, at: str, sha: str = "unknown", full: bool = False, source: str = "local", trigger_repo: str = "", repo_shas: dict | None = None, fetch_status: dict | None = None, state_run: str | None = "same") -> dict:
@@ -81,8 +91,8 @@ class Engine:
         way) or ``full``, everything is upserted; ``full`` also prunes.
         """
         spark, has = self.spark, tables.current_version(self.spark, self.base) is not None
-        last = self.runs().orderBy(F.desc("ord")).select("id").first() if has else None
-        mismatch = has and state_run not in ("same", last and last[0])
+        state = self.graph_state() if has else None
+        mismatch = has and state_run not in ("same", state)
         compare = has and not full and not mismatch
         old_nodes = tables.load_table(spark, self.base, "snapshot_nodes") if compare else None
         old_edges = tables.load_table(spark, self.base, "snapshot_edges") if compare else None
@@ -92,16 +102,48 @@ class Engine:
             current = tables.load_table(spark, self.base, "nodes")
             gone_now = snapshot.deletes(nodes, current.select("id")) if full else gone
             stored = snapshot.upsert(current, up.dropDuplicates(["id"]), ["id"]).join(gone_now.select("id"), "id", "left_anti").select(NODE_COLUMNS)
-        changed = cut(snapshot.changes(nodes, up, gone))
         n_up, n_gone, n_stale, n_all = up.count(), gone.count(), stale.count(), nodes.count()
         linked = snapshot.with_endpoints(edges, stored).select(list(EDGE_COLUMNS))
         run_id = spark.range(1).select(history.run_id(F.to_timestamp(F.lit(at)), F.lit(sha))).first()[0]
-        tables.save_version(spark, self.base, {"nodes": stored, "edges": linked, "snapshot_nodes": snapshot.snapshot_nodes(nodes), "snapshot_edges": snapshot.snapshot_edges(edges), "changes": changed.withColumn("run_id", F.lit(run_id))})
+        # a run's changes are a table of their own, as the first index of a large graph changes all of it
+        changed = snapshot.changes(nodes, up, gone).withColumn("change_id", F.concat_ws(":", F.lit(run_id), "op", "node_id"))
+        changed.write.mode("overwrite").parquet(f"{self.base}/changes/run_id={run_id}")
+        pending = self.pending
+        written = {"nodes": stored, "edges": linked, "snapshot_nodes": snapshot.snapshot_nodes(nodes), "snapshot_edges": snapshot.snapshot_edges(edges), "state": spark.createDataFrame([(run_id, sha, at)], "run_id string, sha string, at string")}
+        tables.save_version(spark, self.base, written | ({"pending": pending} if pending is not None else {}))
         status = F.from_json(F.lit(_json(fetch_status or {})), "map<string,struct<status:string,reason:string,operation:string,sha:string,previous_sha:string>>")
-        run = changed.agg(F.collect_list(F.struct(*changed.columns)).alias("changes"))  # a run's record holds its changes, as the log's format asks
-        run = run.select(F.lit(run_id).alias("id"), F.lit(sha).alias("sha"), F.lit(at).alias("at"), F.lit(source).alias("source"), F.lit(trigger_repo).alias("trigger_repo"), F.from_json(F.lit(_json(repo_shas or {})), "map<string,string>").alias("repo_shas"), F.lit(n_up).alias("upserted"), F.lit(n_gone).alias("deleted"), status.alias("fetch_status"), "changes")
-        tables.append_run(run, f"{self.base}/runs")
-        return {"run_id": run_id, "nodes": n_all, "upserted": n_up, "deleted": n_gone, "stale_edges": n_stale, "unchanged": n_all - n_up, "recovered": bool(mismatch)}
+        run = spark.range(1).select(F.lit(run_id).alias("id"), F.lit(sha).alias("sha"), F.lit(at).alias("at"), F.lit(source).alias("source"), F.lit(trigger_repo).alias("trigger_repo"), F.from_json(F.lit(_json(repo_shas or {})), "map<string,string>").alias("repo_shas"), F.lit(n_up).alias("upserted"), F.lit(n_gone).alias("deleted"), status.alias("fetch_status"))
+        tables.append_run(run.coalesce(1), f"{self.base}/runs")
+        return {"run_id": run_id, "nodes": n_all, "upserted": n_up, "deleted": n_gone, "stale_edges": n_stale, "unchanged": n_all - n_up, "pending_edges": pending.count() if pending is not None else 0, "resolved_edges": edges.count(), "recovered": bool(mismatch)}
+
+    def graph_state(self) -> str | None:
+        """The run that the stored graph is of; the newest of the log where no state was kept."""
+        if tables.current_version(self.spark, self.base) is not None:
+            return tables.load_table(self.spark, self.base, "state").first().run_id
+        last = history.latest(self.last_runs()).select("id").first()
+        return last[0] if last else None
+
+    def clear(self) -> None:
+        """Forget the graph and its snapshot; the run log and its changes stay."""
+        spark = self.spark
+        nodes, edges, state = (spark.createDataFrame([], s) for s in (NODES, EDGES, "run_id string, sha string, at string"))
+        empty = {"nodes": nodes, "edges": edges, "snapshot_nodes": snapshot.snapshot_nodes(nodes), "snapshot_edges": snapshot.snapshot_edges(edges), "state": state.unionByName(spark.createDataFrame([("", "", "")], state.schema))}
+        tables.save_version(spark, self.base, empty, keep=1)
+
+    def all_edges(self) -> DataFrame:
+        """Unresolved references, then structural and resolved edges: type, src, dst and what else each has."""
+        _, edges = self.graph()
+        pending = tables.load_table(self.spark, self.base, "pending").select("type", F.concat_ws("::", "repo", "src_file", F.nullif("src_scope", F.lit(""))).alias("src"), F.col("target").alias("dst"), "line", F.col("pend_ord").alias("edge_ord"))
+        return _edges(pending).withColumn("pending", F.lit(True)).unionByName(edges.withColumn("pending", F.lit(False)))
+
+    def sql(self, text: str, **args: object) -> DataFrame:
+        """Any query over the stored tables, bound as the views nodes, edges, runs and changes; ``:name`` takes ``args``."""
+        views = dict(zip(("nodes", "edges"), self.graph(), strict=True)) | {"runs": self.runs()}
+        if tables.exists(self.spark, f"{self.base}/changes"):
+            views["changes"] = self.spark.read.parquet(f"{self.base}/changes")
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        return self.spark.sql(text, args=args or None)
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         return tables.load_graph(self.spark, self.base)
@@ -117,31 +159,50 @@ class Engine:
     def find(self, pattern: str, limit: int = 50) -> DataFrame:
         return lookup.find_symbols(self.graph()[0], pattern, limit)
 
-    def changed_ids(self, diff: str, repo: str, default_path: str | None = None) -> DataFrame:
+    def changed_ids(self, diff: str, *hints: str, default_path: str | None = None) -> DataFrame:
+        """Ids that a diff touches in the repo that the first fitting hint means."""
         ranges = diffs.changed_ranges(diffs.parse_diff(diffs.diff_lines(self.spark, diff), default_path))
-        return lookup.changed_nodes(self.graph()[0], ranges, self.repo_of(repo) or repo).orderBy("id")
+        name = self.repo_of(*hints)
+        if name is None:
+            raise GraphError(f"none of {', '.join(h for h in hints if h)} is a repository of the graph")
+        return self.touched(ranges, name)
+
+    def touched(self, ranges: DataFrame, repo: str) -> DataFrame:
+        """Ids of the nodes of a repo that changed ranges (path, start, end) touch."""
+        return lookup.changed_nodes(self.graph()[0], ranges, repo).orderBy("id")
 
     def repo_of(self, *hints: str) -> str | None:
-        """The indexed repo that the first fitting hint means: exactly, else in lower case with dashes as underscores."""
-        known = [r[0] for r in self.graph()[0].filter("kind = 'repo'").select("id").collect()]
+        """The indexed repo that the first fitting hint means: by its name, else by its name in lower case with dashes as underscores."""
+        known = [r[0] for r in self.graph()[0].filter("kind = 'repo'").select("id").collect()]  # a row per repo
         plain = lambda x: x.lower().replace("-", "_")
-        for same in (lambda a, b: a == b, lambda a, b: plain(a) == plain(b)):
-            for h in hints:
-                for r in known:
-                    if h and same(h, r):
-                        return r
-        return None
+        loose = {plain(r): r for r in reversed(known)}
+        fits = (h if h in known else loose.get(plain(h)) for h in hints if h)
+        return next((r for r in fits if r), None)
 
     def runs(self) -> DataFrame:
         return tables.read_runs(self.spark, f"{self.base}/runs")
 
+    def last_runs(self, n: int = 1) -> DataFrame:
+        """The last records of the log, read from its end."""
+        return tables.tail_runs(self.spark, f"{self.base}/runs", n)
+
     def run_changes(self, prefix: str) -> DataFrame:
-        return history.matching(self.runs(), prefix).select("id", F.explode("changes").alias("c")).select("id", "c.*")
+        """id and the changes of the last run whose sha or id starts with the prefix."""
+        run = history.matching(self.runs(), prefix).select("id").first()
+        if run is None:
+            raise GraphError(f"no run {prefix}")
+        return tables.changes_of(self.spark, self.base, run[0]).select(F.lit(run[0]).alias("id"), "*")
+
+    def run_edges(self, prefix: str) -> DataFrame:
+        """type, src, dst: a run's RECORDED edges to its changes, and TOUCHED edges to the nodes that it wrote."""
+        rows = self.run_changes(prefix)
+        touched = rows.filter("op = 'upsert'").select(F.lit("TOUCHED").alias("type"), F.col("id").alias("src"), F.col("node_id").alias("dst"))
+        return rows.select(F.lit("RECORDED").alias("type"), F.col("id").alias("src"), F.col("change_id").alias("dst")).unionByName(touched)
 
     def freshness(self, as_of: Column) -> DataFrame:
         """One row on the last run: its age, whether it is stale, and which repos failed or were dirty."""
-        last = history.latest(self.runs())
-        blank = F.trim(F.col("at")) == ""
+        last = history.latest(self.last_runs())
+        blank = F.trim(F.coalesce("at", F.lit(""))) == ""
         ran = F.try_to_timestamp("at")
         age = F.greatest(F.lit(0).cast("long"), F.coalesce(F.floor((F.unix_micros(as_of) - F.unix_micros(ran)) / 1_000_000), F.lit(0)))
         with_ = lambda s: F.array_sort(F.map_keys(F.map_filter("fetch_status", lambda k, v: v["status"] == s)))
@@ -153,6 +214,4 @@ class Engine:
 
 
 def _json(x: dict) -> str:
-    import json
-
     return json.dumps(x)

@@ -26,15 +26,26 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where it is unset: one of our own on a single machine, an error on a cluster."""
     sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="graphloom-checkpoint-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+        sc.setCheckpointDir(at)
+    return at
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast of a cut table when its counted rows are within ``max_rows``."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def small(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
+    """Hint a broadcast of a cut table when its rows, measured as JSON, are within ``max_bytes``."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 32)).first()[0]
+    return F.broadcast(df) if (size or 0) <= max_bytes else df

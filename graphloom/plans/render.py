@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import groupby
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def impact(found: DataFrame, limit: int = 10_000) -> str:
@@ -26,3 +27,24 @@ def freshness(record: DataFrame) -> str:
         return "no run is recorded"
     warnings = ["stale"] * bool(r.stale) + [f"failed: {', '.join(r.failed_repos)}"] * bool(r.failed_repos) + [f"dirty: {', '.join(r.dirty_repos)}"] * bool(r.dirty_repos)
     return f"run {r.run_id} at {r.indexed_at}, {r.age_days} days old, {r.repo_count} repos" + "".join(f"; {w}" for w in warnings)
+
+
+def runs(log: DataFrame, limit: int = 20) -> str:
+    """The last runs, newest first: a line each."""
+    rows = log.orderBy(F.desc("ord")).limit(limit).collect()
+    line = lambda r: f"{r.id}  {r.at}  {r.source or '-'}  +{r.upserted or 0} -{r.deleted or 0}" + (f"  by {r.trigger_repo}" if r.trigger_repo else "")
+    return "\n".join(map(line, rows)) or "no run is recorded"
+
+
+def run_changes(changes: DataFrame, limit: int = 10_000) -> str:
+    """A run's changes by operation, kind and id; at most ``limit`` are fetched for display."""
+    rows = changes.orderBy("op", F.col("kind").asc_nulls_last(), "node_id").limit(limit + 1).collect()
+    signs = {"upsert": "+", "delete": "-"}
+    lines = [f"{signs.get(r.op, r.op)} {r.kind or 'unknown'} {r.node_id}" + (f"  ({r.owner})" if r.owner else "") for r in rows[:limit]]
+    return "\n".join(lines + [f"... more than {limit} changes"] * (len(rows) > limit)) or "nothing changed"
+
+
+def indexed(result: dict) -> str:
+    """The counts of one run of the index."""
+    extra = "; the store had another state, so all was written" if result["recovered"] else ""
+    return f"run {result['run_id']}: {result['nodes']} nodes ({result['upserted']} written, {result['deleted']} deleted, {result['unchanged']} unchanged), {result['resolved_edges']} edges, {result['pending_edges']} references, {result['stale_edges']} edges gone{extra}"

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import ast
 import json
-import re
 import tomllib
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.names import glob_regex, ignore_regex
-from graphloom.plans.lineage import ship
+from graphloom.plans.lineage import cut, ship
 from graphloom.schema import MAX_FILE_BYTES
 from graphloom.sources.extract import LANGUAGES
+from graphloom.sources.files import open_file, walk
 
 #: Folders that are never entered (fixed values).
 SKIP_DIRS = [".git", ".hg", ".svn", "node_modules", ".venv", "venv", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", "dist", "build", ".idea", ".vscode"]
@@ -23,27 +25,42 @@ OWNER_FILES = ("CODEOWNERS", ".github/CODEOWNERS", "docs/CODEOWNERS")
 
 
 def all_files(spark: SparkSession, repo: str, root: str) -> DataFrame:
-    """repo, path (relative), length, content of a tree, in any file system that Spark reads.
+    """repo, path (relative), length, content of a tree, hidden files too (Spark's own file sources pass over those)."""
+    return trees(spark, {repo: root})
 
-    Spark's file sources pass over names that start with a dot or an underscore, so
-    those few (ignore and owner files, package markers) are read by the driver.
+
+def trees(spark: SparkSession, roots: dict[str, str], files_per_task: int = 512) -> DataFrame:
+    """repo, path, length, content of all files of the trees; content is null above the size that is parsed.
+
+    A task walks each tree for names and sizes; the files are then dealt out anew and
+    read, so neither the driver nor a walking task holds contents.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(root)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = fs.makeQualified(at).toString().rstrip("/") + "/"
-    hidden, found = [], fs.listFiles(at, True)
-    while found.hasNext():
-        file = found.next()
-        path = file.getPath().toString()[len(base) :]
-        parts = path.split("/")
-        if any(x[0] in "._" for x in parts) and not set(parts[:-1]) & set(SKIP_DIRS) and file.getLen() <= MAX_FILE_BYTES:
-            stream = fs.open(file.getPath())
-            hidden.append((repo, path, file.getLen(), bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
-            stream.close()
-    seen = rows.select(F.lit(repo).alias("repo"), F.substring("path", len(base) + 1, 1 << 20).alias("path"), "length", "content")
-    return seen.unionByName(spark.createDataFrame(hidden, "repo string, path string, length long, content binary"))
+    ship(spark)
+    rows = spark.createDataFrame(list(roots.items()), "repo string, root string").repartition(len(roots), "repo")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for repo, root in batch.itertuples(index=False):
+                found = walk(root, set(SKIP_DIRS))
+                while part := list(islice(found, 10_000)):
+                    yield pd.DataFrame([(repo, root, path, size) for path, size in part], columns=["repo", "root", "path", "length"])
+
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low in range(0, len(batch), 16):
+                part = batch.iloc[low : low + 16]
+                own = []
+                for root, path, size in part[["root", "path", "length"]].itertuples(index=False):
+                    if size > MAX_FILE_BYTES:
+                        own.append(None)
+                        continue
+                    with open_file(f"{root.rstrip('/')}/{path}") as f:
+                        own.append(f.read())
+                yield pd.DataFrame({"repo": part["repo"], "path": part["path"], "length": part["length"], "content": own})
+
+    names = cut(rows.mapInPandas(listed, "repo string, root string, path string, length long"))
+    tasks = max(1, -(-names.count() // files_per_task))
+    return names.repartition(tasks, "repo", "path").mapInPandas(contents, "repo string, path string, length long, content binary")
 
 
 def _text_of(files: DataFrame, path: str) -> str:
@@ -73,37 +90,59 @@ def source_files(files: DataFrame, languages: list[str] | None = None, path_glob
     return rows.filter(~ignored).select("repo", "path", "lang", "content")
 
 
+def _toml_names(text: str) -> list:
+    data = tomllib.loads(text)
+    tools = data.get("tool", {})
+    return [data.get("project", {}).get("name"), tools.get("poetry", {}).get("name"), *tools.get("setuptools", {}).get("packages", [])]
+
+
+def _setup_names(text: str) -> list:
+    """The constant given as ``name`` to the first call that has one."""
+    calls = [n for n in ast.walk(ast.parse(text)) if isinstance(n, ast.Call)]
+    given = [k.value.value for c in calls for k in c.keywords if k.arg == "name" and isinstance(k.value, ast.Constant)]
+    return given[:1]
+
+
+def _assigned_name(text: str) -> list:
+    """The string that a build definition's line assigns to the setting ``name``, alone or behind a scope."""
+    for line in text.splitlines():
+        setting, assigned, value = line.partition(":=")
+        if assigned and setting.replace("/", " ").split()[-1:] == ["name"]:
+            quoted = value.strip().split('"')
+            return [quoted[1]] if len(quoted) > 2 and not quoted[0] else []
+    return []
+
+
+def _module_names(text: str) -> list:
+    module = next((line.split()[1] for line in text.splitlines() if line.startswith("module ") and len(line.split()) > 1), None)
+    return [module, module.rpartition("/")[2]] if module else []
+
+
+#: Readers of the manifests at a repo's root: text to names, or whatever else stands there.
+MANIFESTS = {"pyproject.toml": _toml_names, "package.json": lambda text: [json.loads(text).get("name")], "setup.py": _setup_names, "build.sbt": _assigned_name, "go.mod": _module_names}
+
+
 def package_names(path: str, text: str) -> set[str]:
-    """Package names that one manifest file at a repo's root declares."""
+    """Package names that one manifest or package marker declares; none where it can't be read."""
+    folders = path.split("/")
+    if folders[-1] == "__init__.py":
+        own = folders[1:-1] if folders[0] == "src" and len(folders) == 3 else folders[:-1]
+        return set(own) if len(own) == 1 else set()
     try:
-        if path == "pyproject.toml":
-            data = tomllib.loads(text)
-            tools = data.get("tool", {})
-            found = [data.get("project", {}).get("name"), tools.get("poetry", {}).get("name"), *(tools.get("setuptools", {}).get("packages", []))]
-            return {x for x in found if isinstance(x, str) and x}
-        if path == "package.json":
-            name = json.loads(text).get("name")
-            return {name} if name else set()
-    except (ValueError, AttributeError):
+        found = MANIFESTS[path](text)
+    except (KeyError, ValueError, AttributeError, TypeError, SyntaxError):
         return set()
-    if path == "setup.py":
-        return set(re.findall(r"""name\s*=\s*["']([^"']+)["']""", text)[:1])
-    if path == "build.sbt":
-        return set(re.findall(r"""name\s*:=\s*["']([^"']+)["']""", text)[:1])
-    if path == "go.mod":
-        for module in re.findall(r"^module (\S+)", text, re.M)[:1]:
-            return {module, module.rpartition("/")[2]}
-    return {m[1]} if (m := re.fullmatch(r"(?:src/)?([^/]+)/__init__\.py", path)) else set()
+    return {x for x in found if isinstance(x, str) and x}
 
 
 def packages(files: DataFrame) -> DataFrame:
     """repo, name of all packages that the trees declare."""
     ship(files.sparkSession)
-    wanted = files.filter(F.col("path").isin("pyproject.toml", "setup.py", "package.json", "go.mod", "build.sbt") | F.col("path").rlike(r"^(src/)?[^/]+/__init__\.py$"))
+    wanted = files.filter(F.col("path").isin(*MANIFESTS) | F.col("path").rlike(r"^(src/)?[^/]+/__init__\.py$"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(r, n) for r, p, c in batch[["repo", "path", "content"]].itertuples(index=False) for n in sorted(package_names(p, bytes(c).decode("utf-8", "replace")))]
+            rows = [(r, n) for r, p, c in batch[["repo", "path", "content"]].itertuples(index=False) for n in sorted(package_names(p, bytes(c or b"").decode("utf-8", "replace")))]
             yield pd.DataFrame(rows, columns=["repo", "name"])
 
     return wanted.mapInPandas(run, "repo string, name string").distinct()
@@ -119,7 +158,7 @@ def owner_rules(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for repo, content in batch.itertuples(index=False):
-                for i, line in enumerate(bytes(content).decode("utf-8", "replace").splitlines()):
+                for i, line in enumerate(bytes(content or b"").decode("utf-8", "replace").splitlines()):
                     pattern, *names = line.split() or [""]
                     if pattern and not pattern.startswith("#") and names and (regex := ignore_regex(pattern)):
                         rows.append((repo, i, pattern, regex, " ".join(names)))

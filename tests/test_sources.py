@@ -1,12 +1,13 @@
 """Extraction, diffs, patterns, names and trees."""
 
+import json
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import names as fn
-from graphloom.operators import lookup
+from graphloom.operators import history, lookup
 from graphloom.sources import diffs, repos, tables
 from graphloom.sources.extract import parse_file
 from graphloom.schema import NODES, GraphError
@@ -96,11 +97,54 @@ def test_jsonl(spark, tmp_path):
     with pytest.raises(GraphError):
         tables.read_jsonl(spark, path, NODES)
     (tmp_path / "n.jsonl").write_text('{"id": "a", "kind": "repo", "name": "a", "repo": "a"}\n\n{"id": \n')
-    assert tables.broken_line(spark, path) == 3
+    assert tables.broken_line(spark, path)[1] == 3
+    with pytest.raises(GraphError, match="n.jsonl:3"):
+        tables.check_jsonl(spark, path)
+    out = str(tmp_path / "out")
+    for n in (3, 2):
+        assert tables.write_jsonl(spark.range(n), out) == n and spark.read.json(out).count() == n
+    assert [x.name for x in tmp_path.iterdir() if x.name.startswith("out.")] == []
     with pytest.raises(Exception):
         tables.read_jsonl(spark, path, NODES).collect()
 
 
+def test_run_log(spark, tmp_path):
+    """The place in the log decides which run is last, and blank or backward times don't break it."""
+    for at in (str(tmp_path / "runs"), str(tmp_path / "runs.jsonl")):
+        assert tables.read_runs(spark, at).count() == 0 and tables.tail_runs(spark, at).count() == 0
+    times = ["2024-05-01T00:00:00Z", "2024-04-01T00:00:00Z", "", None]
+    for n, t in enumerate(times):
+        tables.append_run(spark.createDataFrame([(f"run{n}", "s", t)], "id string, sha string, at string"), str(tmp_path / "runs"))
+        assert history.latest(tables.read_runs(spark, str(tmp_path / "runs"))).first().id == f"run{n}"
+        assert [r.id for r in tables.tail_runs(spark, str(tmp_path / "runs"), 2).orderBy("ord").collect()] == [f"run{k}" for k in (n - 1, n) if k >= 0]
+    big = [{"op": "upsert", "node_id": f"node{i}" * 5} for i in range(2500)]
+    lines = [{"id": "a", "at": ""}, {"id": "b", "at": "2024-01-01T00:00:00Z", "changes": big}, {"id": "c", "at": "2023-01-01T00:00:00Z", "changes": big}]
+    file = tmp_path / "runs.jsonl"
+    file.write_text("\n".join(json.dumps(x) for x in lines) + "\n")
+    assert file.stat().st_size > 2 * tables.TAIL_BYTES
+    assert [r.id for r in tables.tail_runs(spark, str(file)).collect()] == ["c"] and [len(r.changes) for r in tables.tail_runs(spark, str(file), 2).collect()] == [2500, 2500]
+    assert history.latest(tables.read_runs(spark, str(file))).first().id == "c" and tables.tail_runs(spark, str(file), 9).count() == 3
+    file.write_text(file.read_text() + "{broken")
+    assert tables.tail_runs(spark, str(file)).count() == 0
+
+
+def test_patterns(spark):
+    cases = [("a[b", "a[b", True), ("a[b*", "a[bcd", True), ("a[bc]d", "acd", True), ("a[!bc]d", "acd", False), ("a[!bc]d", "axd", True), ("[]]x", "]x", True), ("[^a]", "^", True), ("a?c.*", "abc.d/e", True), ("a.c", "abc", False), ("(x|y)", "x", False), ("(x|y)", "(x|y)", True), ("[a-c]x", "bx", True), ("", "", True), ("a\\b", "a\\b", True), ("[a&&b]", "&", True)]
+    rows = spark.createDataFrame(cases, "pattern string, name string, fits boolean").withColumn("found", F.regexp_like("name", fn.glob_regex(F.col("pattern"))))
+    assert [(r.pattern, r.name, r.found) for r in rows.collect()] == cases
+    import fnmatch
+
+    assert [(p, n, fnmatch.fnmatchcase(n, p)) for p, n, _ in cases] == cases
+
+
+def test_package_names():
+    found = repos.package_names
+    assert found("setup.py", "from setuptools import setup\nsetup(version='1', name='lib-a')\n") == {"lib-a"} and found("setup.py", "name = = 1") == set()
+    assert found("build.sbt", 'version := "1"\nThisBuild / name := "lib-b"\n') == {"lib-b"} and found("build.sbt", "names := x") == set()
+    assert found("go.mod", "// x\nmodule ex.org/y/z\n") == {"ex.org/y/z", "z"} and found("package.json", '{"name": "p"}') == {"p"} and found("package.json", "[]") == set()
+    assert found("pyproject.toml", '[tool.poetry]\nname = "q"\n') == {"q"} and found("src/mod/__init__.py", "") == {"mod"} and found("mod/__init__.py", "") == {"mod"} and found("a/b/__init__.py", "") == set()
+
+
 def test_git_diff(tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.email=a@b", "-c", "user.name=n", *a], check=True, capture_output=True)
     run("init")
