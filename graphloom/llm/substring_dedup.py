@@ -315,7 +315,8 @@ def find_repeats(docs: DataFrame, text_col: str = "text", width: int = 200, k: i
     placed = stored(rows.mapInPandas(place, "h long, k1 long, k2 long, pos long, o int"), "anchors")
     groups = stored(placed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "anchor-groups")
     hot = stored(groups.filter(F.col("n") > group_limit).select("h"), "hot-anchors")
-    shared = stored(placed.join(broadcast_if_small(groups.select("h")), "h", "left_semi"), "shared-anchors").distinct()
+    # as many groups as the corpus has repeated passages, so they meet by a shuffle at any size
+    shared = stored(placed.join(groups.select("h"), "h", "left_semi"), "shared-anchors").distinct()
     hot_n = hot.count()
     near = shared.join(broadcast_if_small(hot), "h", "left_anti") if hot_n else shared
     spans = _compared(_contexts(near, rows, width), width, k, chunk)
