@@ -4,8 +4,10 @@ The law is ``key``: the key and the number of shards alone decide the shard, and
 one more shard takes rows only into itself. No ring table is kept.
 
 Defined results: a null key is hashed as 0; a null text has no bytes, so size 1
-and checksum 0; repeated rows share a shard and have slots of their own; an
-empty table gives no rows; other columns of the input are not read.
+and checksum 0; a very long text is measured whole; rows of one key are ordered by
+checksum and size, and repeated rows, which share a shard, have slots of their own
+in any order; an empty table gives no rows; other columns of the input are not
+read.
 """
 
 from __future__ import annotations
@@ -38,11 +40,12 @@ def jump_hash(key: str, shards: int) -> Column:
     )
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", chunks: int = 64) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Slots follow the keys' order. They are numbered in ranges of the keys, so no
-    task has to sort all of a shard; ``chunks`` quantiles bound the ranges.
+    Slots follow the keys' order. They come from one distributed sort whose last key
+    is the row's place, so that neither a shard nor the rows of one key, nor equal
+    rows, have to meet in one task.
     """
     data = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     rows = stored(
@@ -51,17 +54,16 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         .withColumn("grown_shard", jump_hash("doc_id", shards + 1)),
         "shards",
     )
-    bounds = rows.select(F.percentile_approx("doc_id", [i / chunks for i in range(1, chunks)], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    chunk = F.size(F.filter(F.lit(bounds), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    rows = rows.withColumn("chunk", F.coalesce(chunk, F.lit(0)))
-    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("shard", "chunk").count().select("shard", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("shard", "chunk").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    numbered = rows.withColumn("place", F.row_number().over(inside))
-    # offsets has at most shards * chunks rows, so its broadcast is bounded by the two parameters
-    return numbered.join(F.broadcast(offsets), ["shard", "chunk"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("place") - 1).cast("long").alias("slot"), "grown_shard"
+    place = F.monotonically_increasing_id()
+    ordered = rows.withColumn("place", place).orderBy("shard", F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "place")
+    part, row = F.shiftright(place, 33), place.bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = stored(ordered.drop("place").withColumns({"part": part, "row": row}), "shard-ranges")
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy("shard", "part").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    starts = starts.select("shard", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    # a range holds a stretch of the shards in order, so starts has fewer rows than ranges and shards together
+    return ordered.join(F.broadcast(starts), ["shard", "part"]).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("row") + F.col("shift")).cast("long").alias("slot"), "grown_shard"
     )
 
 

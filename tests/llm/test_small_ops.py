@@ -25,12 +25,22 @@ def jump(key, n):
 def test_shards(spark):
     ids = [*range(300), -1, -(1 << 63), (1 << 63) - 1]
     docs = spark.createDataFrame([(i, f"é{i}" * (i % 5), "c", 3) for i in ids] + [(7, "é7" * 2, "c", 3), (None, None, "c", 3)], "doc_id long, text string, chunk string, size int").repartition(4)
-    rows = sharding.shard(docs, chunks=5).collect()
+    docs = docs.unionByName(spark.createDataFrame([(7, "hot", "c", 3)], docs.schema).join(spark.range(500)).drop("id"))
+    rows = [r for r in sharding.shard(docs).collect()]
+    hot = [r for r in rows if r.text_crc32 == zlib.crc32(b"hot")]
+    assert len(hot) == 500 and len({r.slot for r in hot}) == 500
+    own = sorted((r for r in rows if r.shard == hot[0].shard), key=lambda r: r.slot)
+    assert [(r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size) for r in own] == sorted((r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size) for r in own)
+    assert [r.slot for r in own] == list(range(len(own)))
+    slots_of_hot = {r.slot for r in hot}
+    rows = [r for r in rows if r not in hot]
     slots = {}
     for r in rows:
         key = (r.doc_id or 0) % (1 << 64)
         assert r.shard == jump(key, 16) and r.grown_shard == jump(key, 17) and r.grown_shard in (r.shard, 16) and r.law == "key"
         slots.setdefault(r.shard, []).append(r.slot)
+    slots[hot[0].shard] += slots_of_hot
+    for r in rows:
         if r.doc_id is not None:
             text = (f"é{r.doc_id}" * (r.doc_id % 5)).encode()
             assert (r.size, r.text_crc32) == (len(text) + 1, zlib.crc32(text))
