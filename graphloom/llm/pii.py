@@ -17,8 +17,11 @@ positions: a match may start only where a run starts or the last match ended,
 which is where the leftmost match starts anyway.
 
 Defined results: a null or empty text has no spans; rows that share id and text
-get the same spans; a null id is kept; very long texts are scanned whole; an
-empty table gives no rows; :func:`sanitize` keeps all other columns.
+get the same spans; a null id is kept; very long texts are scanned whole; spans of
+one kind never overlap, the leftmost of two counts, and a term gives way to a base
+span that it touches; a term at exactly a threshold is over it; an empty table
+gives no rows; :func:`sanitize` keeps all other columns, and :func:`find_spans` all
+but one that is named as its result.
 """
 
 from __future__ import annotations
@@ -145,7 +148,8 @@ def passages(docs: DataFrame, terms: DataFrame, reach: int = 6) -> DataFrame:
 def disclosing_terms(entities: DataFrame, holders: DataFrame, docs: DataFrame, min_contexts: int, generalise_at: float) -> DataFrame:
     """entity, term, disclosure of the pairs at or above ``generalise_at``. entities: key, entity, context, near; docs and those with values: key, text."""
     repeated = entities.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") >= min_contexts)
-    near = entities.join(repeated, "entity").select("key", "entity", "n_c", "context", F.explode("near").alias("term"))
+    repeated = stored(repeated, "repeated-values")
+    near = entities.join(broadcast_if_small(repeated), "entity").select("key", "entity", "n_c", "context", F.explode("near").alias("term"))
     pairs = near.select("entity", "n_c", "context", "term").distinct()
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c")).filter(F.col("n_ct") >= min_contexts)
     pairs = stored(pairs, "repeated-pairs")
@@ -181,8 +185,12 @@ def find_spans(
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.xxhash64(F.col(id_col).cast("string"), text)
-    plain = docs.select(key.alias("key"), text.alias("text"))
-    holders = stored(plain.withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0), "pii-holders")
+    # written once with their base spans, so the patterns go over each text once and no text is shuffled to meet them
+    docs_ = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != into]).alias("row"), text.alias("text"), key.alias("key"))
+    docs_ = stored(docs_.withColumn("spans", base_spans(F.col("text"))).drop("text"), "pii-spans")
+    own = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    plain = docs_.select("key", own.alias("text"))
+    holders = stored(docs_.filter(F.size("spans") > 0).select("key", own.alias("text"), "spans"), "pii-holders")
     s = holders.select("key", "text", F.explode("spans").alias("s")).withColumns(
         {
             "entity": F.lower(F.expr("substring(text, s.start + 1, s.end - s.start)")),
@@ -206,19 +214,18 @@ def find_spans(
     )
     per_doc = stored(per_doc, "doc-terms")
     whole = lambda words: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
-    rows = docs.withColumns({"__key": key, "__text": text})
-    rows = rows.join(broadcast_if_small(per_doc).withColumnRenamed("key", "__key2"), F.col("__key") == F.col("__key2"), "left")
+    rows = docs_.join(broadcast_if_small(per_doc), "key", "left").withColumn("text", own)
 
     def terms(words: str, mask: str) -> Column:
         none = F.array().cast(SPAN)
-        return F.when(F.size(words) > 0, matches(F.col("__text"), "term", whole(F.col(words)), lambda m: F.lit(True), F.lit(mask))).otherwise(none)
+        return F.when(F.size(words) > 0, matches(F.col("text"), "term", whole(F.col(words)), lambda m: F.lit(True), F.lit(mask))).otherwise(none)
 
     def joined(base: Column) -> Column:
         clear = lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
         return F.concat(base, F.sort_array(F.filter(F.concat(terms("remove", ""), terms("general", "<TERM>")), clear)))
 
-    spans = let(base_spans(F.col("__text")), lambda b: F.when(F.col("__key2").isNull(), b).otherwise(joined(b)))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c != into], spans.alias(into))
+    spans = F.when(F.col("remove").isNull(), F.col("spans")).otherwise(joined(F.col("spans")))
+    return rows.select("row.*", spans.alias(into))
 
 
 def redact(text: Column, spans: Column) -> Column:
