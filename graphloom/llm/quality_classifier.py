@@ -13,10 +13,13 @@ rates by the method of moments. A document's own share is left out of its site's
 sums, and its final log odds are its evidence plus the log odds of its path.
 
 Defined results: a null or empty text has no words and is judged by its
-structure and site; null host or path parts are the empty site; repeated rows get
-equal verdicts up to their common site; without labelled rows of both classes a
+structure and site; a very long text is scored whole; null host or path parts are
+the empty site; repeated rows get equal verdicts up to their common site; a
+probability of exactly ``reject_at`` is kept, and of terms of equal significance
+those first in the alphabet are taken; without labelled rows of both classes a
 class has no evidence and rejects nothing; an empty table gives no rows; labels
-that are null or whose document is absent are not used.
+that are null or whose document is absent are not used; other columns are not
+read, and :func:`drop_rejected` returns them as they were.
 """
 
 from __future__ import annotations
@@ -206,13 +209,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
 def drop_rejected(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, **options: object) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; all columns stay.
 
-    Texts are scored a second time rather than shuffled to meet their verdict.
+    Rows are written once with their evidence, so a text is scored once and not shuffled to meet its verdict.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[v.alias(k) for k, v in sites_of(docs, host, path).items()])
     model = fit(rows, labels, **options)
-    scored = rows.select("row", "host", "path", evidence(F.col("text"), model).alias("evidence"))
+    scored = stored(rows.select("row", "host", "path", evidence(F.col("text"), model).alias("evidence")), "scored")
     sites = site_table(scored.select("host", "path", "evidence"), model)
     return judge(scored, sites, model).filter("kept").select("row.*")
 
