@@ -75,32 +75,69 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInPandas(run, SIGNED)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int = 75, block: int = 256) -> DataFrame:
     """Those of the stored pairs (a, b) whose full shingle sets are similar enough.
 
-    ``docs`` has doc_id and text. Only texts that stand in a pair are moved, and
-    sorted by ``a`` so that a set shared by many pairs is hashed once.
+    ``docs`` has doc_id and text. The partners of each ``a`` are dealt into blocks of
+    about ``block``; a block gets the text of ``a`` once, ahead of theirs, and is
+    compared as it streams by. So a hub with any number of partners fills many small
+    tasks and its text is copied once a block.
     """
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+    blocks = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("n")), "pair-blocks")
+    hubs = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), F.lit(0).alias("side"), F.col("a").alias("doc_id"))
+    partners = pairs.join(broadcast_if_small(blocks), "a").select("a", F.pmod(F.xxhash64("b"), "n").cast("int").alias("block"), F.lit(1).alias("side"), F.col("b").alias("doc_id"))
+    rows = stored(hubs.unionByName(partners), "pair-rows")
+    ids = stored(rows.select("doc_id").distinct(), "pair-ids")
     texts = docs.join(broadcast_if_small(ids), "doc_id", "left_semi")
-    left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    rows = pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b")
+    dealt = rows.join(texts, "doc_id").select("a", "block", "side", "doc_id", "text").repartition("a", "block").sortWithinPartitions("a", "block", "side")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        recent: dict[int, np.ndarray] = {}
+        current, own = None, []
+        for batch in batches:
+            found = []
+            for a, part, side, doc_id, text in batch.itertuples(index=False):
+                if (a, part) != current:
+                    current, own = (a, part), []
+                values = shingles.shingle_set(shingles.split(text))
+                if side == 0:
+                    own.append(values)  # several only where rows share an id
+                elif any(shingles.similar(x, values, percent) for x in own):
+                    found.append((a, doc_id))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.mapInPandas(run, "a long, b long").distinct()
+
+
+def rare_keys(ids: DataFrame, docs: DataFrame, percent: int = 75, slots: int = 1 << 20) -> DataFrame:
+    """key, doc_id: for each of the documents those of its shingles, the rarest first, of which similar documents share one.
+
+    Sets of n shingles that are similar to ``percent`` lack at most n - ceil(n *
+    percent / 100) of each other's, so any one more of them meet in whatever order
+    all sets are gone through; going by rarity makes the meetings few. Rarity is
+    counted in a table of ``slots`` numbers, its only effect is on cost.
+    """
+    texts = docs.join(broadcast_if_small(ids), "doc_id", "left_semi")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingles.shingle_set(shingles.split(t)).view(np.int64) for t in batch["text"]]})
 
-        def values(key: int, text: str | None) -> np.ndarray:
-            if key not in recent:
-                if len(recent) >= 64:
-                    recent.pop(next(iter(recent)))
-                recent[key] = shingles.shingle_set(shingles.split(text))
-            return recent[key]
+    held = stored(texts.mapInPandas(sets, "doc_id long, shingles array<long>"), "loose-sets")
+    counts = held.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(slots)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
+    # at most one row per slot
+    seen = np.zeros(slots, np.int64)
+    for slot, n in counts.toPandas().itertuples(index=False):
+        seen[slot] = n
+    shared = ids.sparkSession.sparkContext.broadcast(seen)
 
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ok = [shingles.similar(values(a, ta), values(b, tb), percent) for a, ta, b, tb in batch.itertuples(index=False)]
-            yield batch.loc[ok, ["a", "b"]]
+            for doc_id, own in batch.itertuples(index=False):
+                take = len(own) - -(-len(own) * percent // 100) + 1
+                order = np.lexsort((own, shared.value[own % slots]))[:take]
+                yield pd.DataFrame({"key": own[order], "doc_id": doc_id})
 
-    return rows.mapInPandas(run, "a long, b long").distinct()
+    return held.mapInPandas(rarest, "key long, doc_id long")
 
 
 def overlaps_in(sets: list[np.ndarray], component: list[int], percent: int = 75) -> list[tuple[int, int]]:
@@ -143,11 +180,22 @@ def overlaps_in(sets: list[np.ndarray], component: list[int], percent: int = 75)
 def settle(buckets: DataFrame, component: DataFrame, docs: DataFrame, block: int = 256) -> DataFrame:
     """Links (a, b) between different components that share a bucket: the exact way for what the hubs left open.
 
-    buckets: key, doc_id. Members of a bucket are dealt into blocks; a component
-    of more than ``block`` members has blocks of its own, which are compared with
-    the blocks of others only. So a bucket that one large group of copies fills
-    costs in proportion to its size, and a task holds two blocks at most.
+    buckets: key, doc_id. A bucket of more than ``block`` members in several
+    components is opened: its members meet by their rarest shingles instead
+    (:func:`rare_keys`), which similar ones share wherever they lie, so texts that
+    merely share a frequent passage don't meet. Members of what is then a bucket are
+    dealt into blocks; a component of more than ``block`` members has blocks of its
+    own, which are compared with the blocks of others only. A task holds two blocks
+    at most.
     """
+    named = buckets.join(component, buckets.doc_id == component.id, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    state = named.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    state = stored(state.select("key", (F.col("m") > block).alias("wide")), "open-buckets")
+    open_ = stored(named.select("key", "doc_id").join(broadcast_if_small(state), "key"), "open-members")
+    wide = stored(open_.filter("wide").select("doc_id").distinct(), "wide-members")
+    buckets = open_.filter("not wide").select("key", "doc_id")
+    if not wide.isEmpty():
+        buckets = buckets.unionByName(stored(rare_keys(wide, docs), "rare-keys"))
     member = buckets.join(component, buckets.doc_id == component.id, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     parts = member.groupBy("key", "c").agg(F.count("*").alias("mc"))
     large = F.col("mc") > block
@@ -206,8 +254,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Defined results: a text without words has no shingles and stands alone, as does
     a row without id (component_id null, kept); texts of fewer than five words have
-    their whole sequence as one shingle; repeated rows share their id's component;
-    an empty table gives no rows; other columns are not read. Rows that share an id
+    their whole sequence as one shingle; very long texts are hashed whole; a pair at
+    exactly the threshold is linked; repeated rows share their id's component; an
+    empty table gives no rows; other columns are not read. Rows that share an id
     count as one node.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
