@@ -25,9 +25,12 @@ Parts are grouped by length; a window has the least length of its group. Items
 are dealt into blocks bounded in number and size, and each block is sent to every
 task of one pass over the documents; there is one block up to ``block_items``.
 
-Defined results: null or empty items and texts match nothing; repeated items and
-rows are reported each; an item under 1 / ``max_edits`` words must appear
-unchanged; an empty table on either side gives no leaks; other columns aren't read.
+Defined results: null or empty items and texts match nothing; null ids are reported
+as null; repeated items and rows are reported each; an item under 1 / ``max_edits``
+words must appear unchanged; very long texts are searched whole; of stretches that
+overlap about one place the first that is looked up is reported, at its least
+distance, and of equal distances the one that ends first; an empty table on either
+side gives no leaks; other columns aren't read.
 """
 
 from __future__ import annotations

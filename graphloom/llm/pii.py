@@ -225,7 +225,8 @@ def find_spans(
         return F.concat(base, F.sort_array(F.filter(F.concat(terms("remove", ""), terms("general", "<TERM>")), clear)))
 
     spans = F.when(F.col("remove").isNull(), F.col("spans")).otherwise(joined(F.col("spans")))
-    return rows.select("row.*", spans.alias(into))
+    # in a step of its own: beside row.* a column of docs could be taken for one of these
+    return rows.withColumn("found", spans).select("row.*", F.col("found").alias(into))
 
 
 def redact(text: Column, spans: Column) -> Column:
