@@ -4,6 +4,14 @@ Every stage but the last returns the columns of ``documents``. The quality
 classifier drops what it rejects, near-duplicate removal keeps the smallest id of
 each group, decontamination drops documents that hold a benchmark passage, PII
 sanitising rewrites texts, and packing returns pieces of sequences with their ids.
+
+Defined results: null texts and ids go through all stages (a row without id has no
+copies and its pieces have no id); rows that share an id share its fate in the
+near-duplicate stage and are each packed; very long texts are worked on whole;
+labels and items that are null are not used, repeated ones count once or change
+nothing; of equal documents the smallest id stays; other columns of ``documents``
+come through all stages but the last as they were, whatever their names; an empty
+table gives no pieces.
 """
 
 from __future__ import annotations
@@ -44,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: A trained classifier, LSH and byte-pair ids have no SQL form; tests/llm holds the run against a brute-force version.
+#: A trained classifier, LSH and byte-pair ids have no SQL form; tests/llm/test_pipeline.py holds the run against a brute-force version.
 ORACLE_SQL = None
 
 
