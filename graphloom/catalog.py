@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import names as fn
 from graphloom.operators import data_edges, history, lookup, owners, reach, resolve, snapshot
+from graphloom.plans.lineage import written
 from graphloom.sources import binding as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,8 +165,10 @@ def package_map_last_wins(spark, sf_dir):
 
 
 def _refs(spark, sf_dir, kind):
-    nodes = b.nodes(spark, sf_dir)
-    return resolve.attribute(b.pending(spark, sf_dir).filter(F.col("type") == kind), nodes), nodes
+    """Attributed references of a kind and the nodes, both written once as several strategies read them."""
+    nodes, _ = written(b.nodes(spark, sf_dir), "nodes")
+    refs, _ = written(resolve.attribute(b.pending(spark, sf_dir).filter(F.col("type") == kind), nodes), "refs")
+    return refs, nodes
 
 
 _SYM = f"""nodes AS ({N}), pend AS ({P}), syms AS (SELECT id, name, repo, path, coalesce(nullif(split_part(id, '::', 3), ''), name) AS q, node_ord FROM nodes WHERE kind IN ('function', 'method', 'class')),
@@ -253,13 +256,17 @@ def relative_import_resolve(spark, sf_dir):
     return import_resolution(spark, sf_dir).filter("raw like '.%'")
 
 
-_DATA = """SELECT 'CONSUMES_PENDING' AS type, 'o' || CAST(l_orderkey AS STRING) AS src, CASE l_partkey % 3 WHEN 0 THEN 's3://b/ds' || CAST(l_partkey % 400 AS STRING) || '.parquet' WHEN 1 THEN 'an.ds' || CAST(l_partkey % 400 AS STRING) ELSE 'ds' || CAST(l_partkey % 40 AS STRING) || '_{x}' END AS target,
-  CAST(l_linenumber AS INT) AS line, l_orderkey * 10 + l_linenumber AS pend_ord FROM lineitem WHERE l_orderkey % 20 = 0
-UNION ALL SELECT 'PRODUCES_PENDING', 's' || CAST(l_suppkey AS STRING), CASE l_partkey % 3 WHEN 0 THEN '/mnt/ds' || CAST(l_partkey % 400 AS STRING) || '.csv' WHEN 1 THEN 'wh.ds' || CAST(l_partkey % 400 AS STRING) ELSE 'ds' || CAST(l_partkey % 40 AS STRING) || '_' || CAST(l_partkey AS STRING) END,
-  CAST(l_linenumber AS INT), 1000000000 + l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_orderkey % 20 = 1"""
+#: Every line item is read by its order and written by its supplier, under names that agree, agree in the table only, or need a wildcard.
+_K, _B = "CAST(l_partkey AS STRING)", "CAST(CAST(floor(l_partkey / 5.0) AS BIGINT) AS STRING)"
+_DATA = f"""SELECT 'CONSUMES_PENDING' AS type, 'o' || CAST(l_orderkey AS STRING) AS src, CASE l_partkey % 3 WHEN 0 THEN 's3://b/ds' || {_K} || '.parquet' WHEN 1 THEN 'an.ds' || {_K} ELSE 'ds' || {_B} || '_{{x}}' END AS target,
+  CAST(l_linenumber AS INT) AS line, l_orderkey * 10 + l_linenumber AS pend_ord FROM lineitem
+UNION ALL SELECT 'PRODUCES_PENDING', 's' || CAST(l_suppkey AS STRING), CASE l_partkey % 3 WHEN 0 THEN '/mnt/ds' || {_K} || '.csv' WHEN 1 THEN 'wh.ds' || {_K} ELSE 'ds' || {_B} || '_' || {_K} END,
+  CAST(l_linenumber AS INT), 1000000000000 + l_orderkey * 10 + l_linenumber FROM lineitem"""
 _TARGETS = f"t AS (SELECT *, list_last(string_split(norm, '.')) AS key FROM (SELECT type, src, target AS raw, {_norm_sql('target')} AS norm, line, pend_ord FROM ({_DATA})) WHERE norm IS NOT NULL), c AS (SELECT DISTINCT src, norm, key FROM t WHERE type = 'CONSUMES_PENDING'), p AS (SELECT DISTINCT src AS w_src, norm AS w_norm, key AS w_key FROM t WHERE type = 'PRODUCES_PENDING')"
-_DERIVED = """dd AS (SELECT src, w_src, key, CASE WHEN norm = w_norm THEN 0.8::DOUBLE WHEN key = w_key THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS c
-  FROM c JOIN p ON key = w_key OR ((contains(norm, '*') OR contains(w_norm, '*')) AND (norm GLOB w_norm OR w_norm GLOB norm)) WHERE src <> w_src),
+_DERIVED = """cn AS (SELECT DISTINCT norm FROM c), pn AS (SELECT DISTINCT w_norm FROM p),
+wn AS (SELECT norm, w_norm FROM (SELECT norm FROM cn WHERE contains(norm, '*')) JOIN pn ON w_norm GLOB norm UNION SELECT norm, w_norm FROM cn JOIN (SELECT w_norm FROM pn WHERE contains(w_norm, '*')) ON norm GLOB w_norm),
+dd AS (SELECT src, w_src, key, CASE WHEN norm = w_norm THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS c FROM c JOIN p ON key = w_key WHERE src <> w_src
+  UNION ALL SELECT src, w_src, key, 0.5::DOUBLE FROM c JOIN wn USING (norm) JOIN p USING (w_norm) WHERE key <> w_key AND src <> w_src),
 db AS (SELECT src, w_src, max({'c': c, 'key': key}) AS m FROM dd GROUP BY src, w_src)"""
 
 
@@ -321,7 +328,7 @@ def find_symbols_ranked(spark, sf_dir):
     return lookup.find_symbols(b.nodes(spark, sf_dir), "O1", 50)
 
 
-_RANGES = "SELECT n_name AS repo, 'cust/' || CAST(c_custkey AS STRING) || '.py' AS path, CAST(10 * (o_orderkey % 5) + 3 AS INT) AS start, CAST(10 * (o_orderkey % 5) + 9 AS INT) AS `end` FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 49 = 0"
+_RANGES = "SELECT n_name AS repo, 'cust/' || CAST(c_custkey AS STRING) || '.py' AS path, CAST(10 * (o_orderkey % 5) + 3 AS INT) AS start, CAST(10 * (o_orderkey % 5) + 9 AS INT) AS `end` FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 
 
 @query(f"""WITH n AS ({N}), r AS ({_RANGES.replace('`', '"')})
@@ -455,15 +462,15 @@ _DIFF = """SELECT CAST(o_custkey AS STRING) AS file, rn * 4 + j AS ord, CASE j W
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) o CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k"""  # four lines an order
 
 
-@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderkey % 4 AS n, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_orderkey % 5 END AS m FROM orders WHERE o_orderkey > 0)
+@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderkey % 4 AS n, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_orderkey % 5 END AS m FROM orders)
 SELECT c::VARCHAR AS file, CASE WHEN c % 11 = 0 THEN 'old' || c || '.py' ELSE 'c' || c || '.py' END AS path, side, (CASE side WHEN 'old' THEN k ELSE k + 1 END)::INTEGER AS start,
   (CASE side WHEN 'old' THEN k + greatest(n, 1) - 1 ELSE k + 1 + greatest(m, 1) - 1 END)::INTEGER AS "end", c % 11 = 0 AS deleted
-FROM o CROSS JOIN (SELECT unnest(['old', 'new']) AS side)""")
+FROM o CROSS JOIN (SELECT unnest(['old', 'new']) AS side) WHERE side = 'new' OR n > 0 OR k > 0""")
 def unified_diff_parse(spark, sf_dir):
     from graphloom.sources import diffs
 
     b.views(spark, sf_dir)
-    return diffs.parse_diff(spark.sql(_DIFF).filter("line not like '@@ -0,%'"), by="file").select("file", "path", "side", "start", "end", "deleted")
+    return diffs.parse_diff(spark.sql(_DIFF), by="file").select("file", "path", "side", "start", "end", "deleted")
 
 
 def _sources(rows: DataFrame, lang: str, key: str, text) -> DataFrame:

@@ -19,8 +19,11 @@ def assign_owners(nodes: DataFrame, rules: DataFrame, registry: DataFrame | None
     fallback = F.lit(None).cast("string")
     if registry is not None:
         prefixes = registry.filter(F.contains("key", F.lit("/"))).select("key", F.col("owner").alias("reg_owner"), "ord")
-        near = paths.join(F.broadcast(prefixes), F.startswith(F.concat_ws("/", "repo", "path"), F.col("key")))  # a configuration file's entries
-        near = near.groupBy("repo", "path").agg(F.min_by("reg_owner", "ord").alias("by_prefix"))
+        # a path's beginnings of the lengths that occur among the prefixes, so that they meet by equality
+        lengths = prefixes.agg(F.sort_array(F.collect_set(F.length("key"))).alias("lengths"))
+        at = F.concat_ws("/", "repo", "path")
+        near = paths.crossJoin(F.broadcast(lengths)).select("repo", "path", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length(at)), lambda n: F.substring(at, F.lit(1), n))).alias("key"))  # lengths is one row
+        near = near.join(prefixes, "key").groupBy("repo", "path").agg(F.min_by("reg_owner", "ord").alias("by_prefix"))
         whole = registry.select(F.col("key").alias("repo"), F.col("owner").alias("by_repo"))
         out = out.join(near, ["repo", "path"], "left").join(whole, "repo", "left")
         fallback = F.coalesce("by_prefix", "by_repo")

@@ -1,8 +1,10 @@
 """Reverse reachability ("blast radius") by frontier joins.
 
-Each hop is one join of the frontier with the dependency edges and one grouped
-maximum; the frontier is cut per hop, so plans stay small and a lost executor
-costs one hop. All seeds travel in one loop keyed (seed, id).
+Each hop is one job: a join of the frontier with the dependency edges, a grouped
+maximum, and a table of the new frontier in the shared folder. So plans stay
+small, a lost executor costs one hop, and Spark knows each frontier's size. The
+edges are dealt by their target once; a frontier too large to broadcast moves to
+them. All seeds travel in one loop keyed (seed, id).
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.plans.lineage import cut
+from graphloom.plans.lineage import written
 from graphloom.schema import DEPENDENCY_TYPES
 
 
@@ -28,41 +30,42 @@ def reach_offline(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> Da
     The first hop is taken at any depth, and of parallel edges there the last
     counts; a seed on a cycle reaches itself.
     """
-    deps = dependencies(edges).persist()
+    deps = dependencies(edges).repartition("on").persist()
     first = deps.join(seeds.select(F.col("seed"), F.col("seed").alias("on")).distinct(), "on").groupBy("seed", "id").agg(F.max_by("c", "edge_ord").alias("confidence"))
-    frontier = cut(first.withColumn("distance", F.lit(1)))
+    frontier, n = written(first.withColumn("distance", F.lit(1)), "hop")
     hops, depth = [frontier], 1
-    while depth < max_depth and not frontier.isEmpty():
+    while depth < max_depth and n:
         depth += 1
         step = frontier.select("seed", F.col("id").alias("on"), "confidence").join(deps, "on")
         step = step.groupBy("seed", "id").agg(F.max(F.least("confidence", "c")).alias("confidence")).withColumn("distance", F.lit(depth))
         seen = reduce(DataFrame.unionByName, hops).select("seed", "id")
-        frontier = cut(step.join(seen, ["seed", "id"], "left_anti"))
+        frontier, n = written(step.join(seen, ["seed", "id"], "left_anti"), "hop")
         hops.append(frontier)
     deps.unpersist()
     return reduce(DataFrame.unionByName, hops).select("seed", "id", "distance", "confidence")
 
 
 def reach_database(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
-    """seed, id, distance, confidence: fewest hops, and the best bottleneck over all paths of at most ``max_depth`` hops."""
-    deps = dependencies(edges).withColumn("c", F.least("c", F.lit(1.0))).persist()
+    """seed, id, distance, confidence: fewest hops, and the best bottleneck over all paths of at most ``max_depth`` hops.
+
+    A hop keeps what is new or better than before; earlier hops are not rewritten.
+    """
+    deps = dependencies(edges).withColumn("c", F.least("c", F.lit(1.0))).repartition("on").persist()
     frontier = seeds.select("seed", F.col("seed").alias("id"), F.lit(1.0).alias("confidence")).distinct()
-    best = None
+    hops = []
     for depth in range(1, max_depth + 1):
         step = frontier.select("seed", F.col("id").alias("on"), "confidence").join(deps, "on").groupBy("seed", "id").agg(F.max(F.least("confidence", "c")).alias("confidence"))
-        if best is None:
-            frontier = best = cut(step.withColumn("distance", F.lit(depth)))
-        else:
-            old = best.select("seed", "id", F.col("confidence").alias("was"), F.col("distance").alias("at"))
-            better = step.join(old, ["seed", "id"], "left").filter(F.col("was").isNull() | (F.col("confidence") > F.col("was")))
-            frontier = cut(better.select("seed", "id", "confidence", F.coalesce("at", F.lit(depth)).alias("distance")))
-            best = cut(best.join(frontier, ["seed", "id"], "left_anti").unionByName(frontier))
-        if frontier.isEmpty():
+        if hops:
+            old = reduce(DataFrame.unionByName, hops).groupBy("seed", "id").agg(F.max("confidence").alias("was"))
+            step = step.join(old, ["seed", "id"], "left").filter(F.col("was").isNull() | (F.col("confidence") > F.col("was"))).drop("was")
+        frontier, n = written(step.withColumn("distance", F.lit(depth)), "hop")
+        hops.append(frontier)
+        if not n:
             break
     deps.unpersist()
-    if best is None:
+    if not hops:
         return frontier.filter("false").select("seed", "id", F.lit(0).alias("distance"), "confidence")
-    return best.select("seed", "id", "distance", "confidence")
+    return reduce(DataFrame.unionByName, hops).groupBy("seed", "id").agg(F.min("distance").alias("distance"), F.max("confidence").alias("confidence"))
 
 
 def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int = 10, mode: str = "offline") -> DataFrame:

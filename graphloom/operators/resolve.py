@@ -86,10 +86,16 @@ def lexical(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 def import_table(refs: DataFrame, imports: DataFrame, nodes: DataFrame, packages: DataFrame) -> DataFrame:
     """pend_ord, dst, confidence: through the first import of the file that brings the name and has it. imports: pending rows."""
     brought = imports.select("repo", "src_file", F.col("target").alias("dotted"), F.filter(F.coalesce("names", F.array().cast("array<string>")), lambda n: n != "").alias("names"), F.col("pend_ord").alias("imp_ord"))
-    tries = refs.select("pend_ord", "repo", "src_file", strip_self(F.col("target")).alias("t")).join(brought, ["repo", "src_file"])
-    by_name = F.array_contains("names", F.col("t")) | F.array_contains("names", F.substring_index("t", ".", 1))
-    by_module = F.startswith("t", F.concat("dotted", F.lit(".")))
-    tries = tries.withColumn("hit", F.when(by_name, F.col("t")).when(by_module, F.expr("substring(t, length(dotted) + 2)"))).filter("hit is not null")
+    head = lambda c: F.substring_index(c, ".", 1)
+    # what an import offers and what a call asks for, so that they meet by equality: a name, or the module's first segment
+    named = F.transform("names", lambda n: F.struct(F.lit(0).alias("prio"), n.alias("word")))
+    offers = brought.select("repo", "src_file", "dotted", "imp_ord", F.explode(F.concat(named, F.array(F.struct(F.lit(1).alias("prio"), head("dotted").alias("word"))))).alias("o")).select("repo", "src_file", "dotted", "imp_ord", "o.*")
+    asked = refs.select("pend_ord", "repo", "src_file", strip_self(F.col("target")).alias("t"))
+    asked = asked.select("*", F.explode(F.array_distinct(F.array("t", head("t")))).alias("word"))
+    tries = asked.join(offers, ["repo", "src_file", "word"])
+    by_module = (F.col("word") == head("t")) & F.startswith("t", F.concat("dotted", F.lit(".")))
+    tries = tries.withColumn("hit", F.when(F.col("prio") == 0, F.col("t")).when(by_module, F.expr("substring(t, length(dotted) + 2)"))).filter("hit is not null")
+    tries = tries.groupBy("pend_ord", "imp_ord", "repo", "dotted").agg(F.min_by("hit", "prio").alias("hit"))
     tries = find_modules(tries, nodes, packages).filter("module_id is not null")
     sym = file_symbols(nodes).select(F.col("repo").alias("module_repo"), F.col("path").alias("module_path"), F.col("qualname").alias("hit"), "sym_id")
     rows = tries.join(sym, ["module_repo", "module_path", "hit"])

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
@@ -49,3 +50,21 @@ def small(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
     """Hint a broadcast of a cut table when its rows, measured as JSON, are within ``max_bytes``."""
     size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 32)).first()[0]
     return F.broadcast(df) if (size or 0) <= max_bytes else df
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` written to the shared folder and read back, and its number of rows, in one job.
+
+    Cuts the lineage as a checkpoint does, but computes its input once, keeps only the
+    columns that are read, and tells Spark the table's size.
+    """
+    spark, seen = df.sparkSession, Observation()
+    path = f"{checkpoint_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this engine in the shared folder, once their results are no longer read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/graphloom")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
