@@ -136,11 +136,21 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TERM_BREAK), lambda t: F.length(t) >= 3)
 
 
-def passages(docs: DataFrame, terms: DataFrame, reach: int = 6) -> DataFrame:
-    """key, term, passage: for each document and term of ``terms`` in it a hash of the words around the term, the least where it has several."""
-    around = lambda words: F.transform(
-        words, lambda t, i: F.struct(t.alias("term"), F.xxhash64(F.slice(words, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1)).alias("passage"))
-    )
+def passages(docs: DataFrame, terms: DataFrame, reach: int = 6, max_listed: int = 2_000) -> DataFrame:
+    """key, term, passage: for each document and term of the stored ``terms`` in it a hash of the words around the term, the least where it has several.
+
+    Up to ``max_listed`` terms are listed in the expression, so that only their
+    places are hashed; beyond that all places are, and meet the terms afterwards.
+    """
+    listed = [r[0] for r in terms.limit(max_listed + 1).collect()]
+    known = (lambda t: t.isin(listed)) if len(listed) <= max_listed else (lambda t: F.lit(True))
+
+    def around(words: Column) -> Column:
+        places = F.filter(F.transform(words, lambda t, i: F.when(known(t), i)), lambda i: i.isNotNull())
+        numbers = F.when(F.size(places) > 0, F.transform(words, lambda t: F.xxhash64(t))).otherwise(F.array().cast("array<bigint>"))
+        near = lambda n, i: F.slice(n, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1)
+        return let(numbers, lambda n: F.transform(places, lambda i: F.struct(F.get(words, i).alias("term"), F.xxhash64(near(n, i)).alias("passage"))))
+
     held = docs.select("key", F.explode(let(terms_of(F.col("text")), around)).alias("w")).select("key", "w.term", "w.passage")
     return held.join(broadcast_if_small(terms), "term", "left_semi").groupBy("key", "term").agg(F.min("passage").alias("passage"))
 
