@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from graphloom.plans.lineage import ship
+from graphloom.sources.languages import Bash, Go, Java, Scala, Script, TypeScript, literal
 
 Def = tuple[str, str, int, int, str, str | None]
 Ref = tuple[str, int, str, list[str]]
@@ -28,10 +29,15 @@ LANGUAGES = {
     ".tsx": "tsx", ".java": "java", ".scala": "scala", ".sc": "scala", ".go": "go", ".sh": "bash", ".bash": "bash",
 }
 #: Methods and functions that write or read datasets (fixed values).
-WRITE_METHODS = set("to_parquet to_csv to_sql to_json to_feather to_hdf to_pickle to_delta to_table saveAsTable save_as_table insertInto insert_into write_table write_parquet write_csv createOrReplaceTempView create_or_replace_temp_view".split())
-WRITE_FUNCTIONS = set("write_table write_parquet write_csv save_as_table".split())
-READ_METHODS = set("read_parquet read_csv read_json read_sql read_sql_table read_table read_feather read_pickle read_delta read_files table load".split())
-READ_FUNCTIONS = set("read_parquet read_csv read_json read_table".split())
+WRITE_METHODS = [
+    "to_parquet", "to_csv", "to_sql", "to_json", "to_feather", "to_hdf", "to_pickle", "to_delta", "to_table", "saveAsTable", "save_as_table", "insertInto", "insert_into",
+    "write_table", "write_parquet", "write_csv", "createOrReplaceTempView", "create_or_replace_temp_view",
+]
+WRITE_FUNCTIONS = ["write_table", "write_parquet", "write_csv", "save_as_table"]
+READ_METHODS = [
+    "read_parquet", "read_csv", "read_json", "read_sql", "read_sql_table", "read_table", "read_feather", "read_pickle", "read_delta", "read_files", "table", "load",
+]
+READ_FUNCTIONS = ["read_parquet", "read_csv", "read_json", "read_table"]
 EXTRACTORS: dict[str, Extractor] = {}
 
 
@@ -43,32 +49,116 @@ def language(name: str) -> Callable[[Extractor], Extractor]:
     return add
 
 
+def _blanked(line: str) -> str:
+    """A line of the same number of bytes that says nothing, or pass at its indentation."""
+    size = len(line.rstrip("\r\n").encode())
+    end = line[len(line.rstrip("\r\n")) :]
+    indent = len(line) - len(line.lstrip(" \t"))
+    return (line[:indent] + "pass" if size >= indent + 4 else line[: min(indent, size)]).ljust(size) + end
+
+
+def _repaired(text: str, tries: int = 20) -> str | None:
+    """``text`` with the lines blanked at which it can't be read on; None if that doesn't help."""
+    lines, blank = text.splitlines(keepends=True), set()
+    for _ in range(tries):
+        try:
+            ast.parse("".join(lines))
+            return "".join(lines)
+        except SyntaxError as e:
+            at = min(max((e.lineno or 1) - 1, 0), len(lines) - 1)
+            while at in blank or (at >= 0 and not lines[at].strip()):
+                at -= 1
+            if at < 0:
+                return None
+            blank.add(at)
+            lines[at] = _blanked(lines[at])
+        except ValueError:
+            return None
+    return None
+
+
+def _readable(text: str) -> str:
+    """Python source as it is, or with what is broken blanked: line by line within statements of the top level."""
+    try:
+        ast.parse(text)
+        return text
+    except SyntaxError:
+        pass
+    parts: list[list[str]] = [[]]
+    decorated = False
+    for line in text.splitlines(keepends=True):
+        if re.match(r"[^\s#)\]}]", line) and not re.match(r"(?:else|elif|except|finally)\b", line) and not decorated:
+            parts.append([])
+        decorated = line.startswith("@") or (decorated and not line[:1].strip())
+        parts[-1].append(line)
+    whole = "".join(_repaired("".join(p)) or "".join(map(_blanked, p)) for p in parts if p)
+    return whole if (whole := _repaired(whole)) is not None else ""
+
+
+_BRACKETS = re.compile(rb"\"\"\".*?\"\"\"|'''.*?'''|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|#[^\n]*|[()\[\]{}]", re.S)
+
+
+def _bracket_end(data: bytes, at: int) -> int:
+    """The place after the bracket that closes the one at ``at``."""
+    depth = 0
+    for m in _BRACKETS.finditer(data, at):
+        depth += (m[0] in b"([{") - (m[0] in b")]}") if len(m[0]) == 1 else 0
+        if not depth:
+            return m.end()
+    return len(data)
+
+
+def _parameters(data: bytes, at: int) -> str:
+    """The parameter list of the function whose definition starts at ``at``, as it is written."""
+    at = re.compile(rb"(?:async\s+)?def\s+\w+\s*").match(data, at).end()
+    if data[at : at + 1] == b"[":
+        at = _bracket_end(data, at)
+        at += len(data[at:]) - len(data[at:].lstrip())
+    return data[at : _bracket_end(data, at)].decode("utf-8", "replace")
+
+
+def _comment_above(lines: list[str], line: int) -> str | None:
+    """What the comment before a line says, blank lines between them or not."""
+    above = next((x.strip() for x in reversed(lines[: line - 1]) if x.strip()), "")
+    return (above.lstrip("/#- ").strip() or None) if above.startswith("#") else None
+
+
 @language("python")
 def python(text: str) -> tuple[list[Def], list[Ref]]:
+    text = _readable(text)
     tree = ast.parse(text)
     lines = [0]
     for line in text.encode().splitlines(keepends=True):
         lines.append(lines[-1] + len(line))
-    data = text.encode()
+    data, shown = text.encode(), text.splitlines()
     at = lambda line, col: lines[line - 1] + col
     source = lambda n: data[at(n.lineno, n.col_offset) : at(n.end_lineno, n.end_col_offset)].decode("utf-8", "replace")
     defs: list[Def] = []
     refs: list[Ref] = []
+    # the first statement of a block has no sibling before it that could be its comment
+    firsts = {id(own[0]) for n in ast.walk(tree) if not isinstance(n, ast.Module) for block in ("body", "orelse", "finalbody") if isinstance(own := getattr(n, block, None), list) and own}
+
+    def doc(n: ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) -> str | None:
+        own = ast.get_docstring(n, clean=False)
+        if own is not None:
+            return own.strip()
+        return None if n.decorator_list or id(n) in firsts else _comment_above(shown, n.lineno)
 
     def strings(args: list) -> list[tuple[int, str]]:
+        """Places and contents of arguments that are strings; what a formatted one has in braces stays."""
         out = []
         for a in args:
             if isinstance(a, ast.Constant) and isinstance(a.value, str):
-                out.append((at(a.lineno, a.col_offset), a.value))
+                out.append((at(a.lineno, a.col_offset), a.value.strip()))
             elif isinstance(a, ast.JoinedStr):
-                out.append((at(a.lineno, a.col_offset), re.sub(r"^[A-Za-z]{0,3}('''|\"\"\"|'|\")|('''|\"\"\"|'|\")$", "", source(a))))
+                out.append((at(a.lineno, a.col_offset), literal(source(a))))
         return out
 
     for n in ast.walk(tree):
         if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
             is_class = isinstance(n, ast.ClassDef)
-            params = "" if is_class else "(" + ast.unparse(n.args) + ")"
-            defs.append(("class" if is_class else "function", n.name, at(n.lineno, n.col_offset), at(n.end_lineno, n.end_col_offset), n.name + params, ast.get_docstring(n)))
+            begin = at(n.lineno, n.col_offset)
+            defs.append(("class" if is_class else "function", n.name, begin, at(n.end_lineno, n.end_col_offset), n.name + ("" if is_class else _parameters(data, begin)), doc(n)))
             refs += [("INHERITS", at(x.lineno, x.col_offset), source(x), []) for x in getattr(n, "bases", []) if isinstance(x, ast.Name | ast.Attribute)]
         elif isinstance(n, ast.Import):
             refs += [("IMPORTS", at(n.lineno, n.col_offset), a.name, []) for a in n.names]
@@ -109,127 +199,7 @@ def sql(text: str) -> tuple[list[Def], list[Ref]]:
     return [], refs
 
 
-class _Braces:
-    """A text whose strings and comments are blanked, with the end of each block."""
-
-    def __init__(self, text: str, line_comment: str = "//", quotes: str = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`") -> None:
-        self.text = text
-        self.code = re.sub(rf"\"\"\".*?\"\"\"|{quotes}|{line_comment}[^\n]*" + (r"|/\*.*?\*/" if line_comment == "//" else ""), lambda m: m[0][0] + _blank(m)[1:-1] + m[0][-1] if m[0][0] in "\"'`" else _blank(m), text, flags=re.S)
-        self.close: dict[int, int] = {}
-        stack = []
-        for m in re.finditer(r"[{}]", self.code):
-            if m[0] == "{":
-                stack.append(m.start())
-            elif stack:
-                self.close[stack.pop()] = m.end()
-
-    def end(self, at: int) -> int:
-        """End of the block that opens at or after ``at``, before the next statement; else of the line."""
-        m = re.compile(r"[^{};]*").match(self.code, at)
-        if m.end() < len(self.code) and self.code[m.end()] == "{":
-            return self.close.get(m.end(), len(self.code))
-        line = self.code.find("\n", at)
-        return len(self.code) if line < 0 else line
-
-    def params(self, at: int) -> str:
-        depth = 0
-        for i in range(at, len(self.code)):
-            depth += (self.code[i] == "(") - (self.code[i] == ")")
-            if not depth:
-                return self.text[at : i + 1]
-        return ""
-
-    def defs(self, kind: str, pattern: str, skip: set[str] = frozenset()) -> list[Def]:
-        out = []
-        for m in re.finditer(pattern, self.code, re.M):
-            name = m["name"]
-            if name not in skip:
-                paren = m.start("params") if "params" in m.re.groupindex and m["params"] else -1
-                params = self.params(paren) if paren >= 0 else ""
-                out.append((kind, name, m.start(), self.end(paren + len(params) if paren >= 0 else m.end()), name + params, None))
-        return out
-
-    def refs(self, kind: str, pattern: str, skip: set[str] = frozenset(), literal: bool = False) -> list[Ref]:
-        source = self.text if literal else self.code
-        return [(kind, m.start(g), m[g].strip(), []) for m in re.finditer(pattern, source, re.M) for g in range(1, (m.lastindex or 0) + 1) if m[g] and m[g].strip() and m[g].strip() not in skip and self.code[m.start()] == self.text[m.start()]]
-
-
-_KEYWORDS = set("if for while switch catch return function new typeof super this else do try await yield throw match case import require constructor synchronized".split())
-_GO_KEYWORDS = _KEYWORDS | set("defer go select func range".split())
-_CALL = r"(?<![\w$.])([A-Za-z_$][\w$]*(?:\s*\??\.\s*[A-Za-z_$][\w$]*)*)\s*\("
-
-
-def _calls(b: _Braces, defs: list[Def], pattern: str = _CALL, skip: set[str] = _KEYWORDS) -> list[Ref]:
-    """Calls outside the heads of definitions."""
-    heads = {(name, m) for _, name, start, end, _, _ in defs for m in [b.code.find(name, start, end)]}
-    return [r for r in b.refs("CALLS", pattern, skip) if (r[2], r[1]) not in heads]
-
-
-def _script(text: str) -> tuple[list[Def], list[Ref]]:
-    b = _Braces(text)
-    name = r"(?P<name>[A-Za-z_$][\w$]*)"
-    classes = b.defs("class", rf"\b(?:class|interface)\s+{name}")
-    defs = classes + b.defs("function", rf"\bfunction\s*\*?\s+{name}\s*(?:<[^>]*>)?\s*(?P<params>\()")
-    defs += b.defs("function", rf"\b(?:const|let|var)\s+{name}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b[^(]*)?(?P<params>\()(?=[^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=>{{]+)?(?:=>|\{{))")
-    for _, _, start, end, _, _ in classes:
-        body = b.code.find("{", start)
-        for d in b.defs("method", rf"(?:(?<=[{{}};])|^)\s*(?:(?:public|private|protected|static|async|get|set|override|readonly|abstract)\s+)*{name}\s*(?:<[^>]*>)?(?P<params>\()(?=[^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={{;]+)?\{{)", _KEYWORDS - {"constructor"}):
-            if body < d[2] < end and not any(x[2] <= d[2] and d[3] <= x[3] and x[0] != "class" for x in defs if x is not d):
-                defs.append(d)
-    refs = _calls(b, defs) + b.refs("INHERITS", r"\bextends\s+([A-Za-z_$][\w$]*)")
-    refs += b.refs("IMPORTS", r"\bimport\b[^;'\"]*['\"]([^'\"]+)['\"]", literal=True) + b.refs("IMPORTS", r"\brequire\s*\(\s*['\"]([^'\"]+)['\"]", literal=True)
-    return list(dict.fromkeys(defs)), refs
-
-
-for _name in ("javascript", "typescript", "tsx"):
-    EXTRACTORS[_name] = _script
-
-
-@language("java")
-def java(text: str) -> tuple[list[Def], list[Ref]]:
-    b = _Braces(text)
-    name = r"(?P<name>[A-Za-z_$][\w$]*)"
-    defs = b.defs("class", rf"\b(?:class|interface|enum)\s+{name}")
-    head = r"(?:^|(?<=[;{}]))\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s*)?"
-    tail = r"\s*(?P<params>\()(?=[^()]*\)\s*(?:throws\s+[\w.,\s]+)?"
-    defs += b.defs("method", head + r"(?!new\b|return\b|throw\b|else\b)[\w$.<>\[\],?]+\s+" + name + tail + "[{;])", _KEYWORDS)
-    defs += b.defs("method", head + name + tail + r"\{)", _KEYWORDS)
-    refs = _calls(b, defs, r"(?<![\w$])(?<!new )([A-Za-z_$][\w$]*)\s*\(") + b.refs("CALLS", r"\bnew\s+([A-Z][\w$]*)")
-    for m in re.finditer(r"\b(?:extends|implements)\s+([^{]+?)(?=\bimplements\b|\{)", b.code):
-        refs += [("INHERITS", m.start(1), x.strip(), []) for x in re.sub(r"<[^>]*>", "", m[1]).split(",") if x.strip()]
-    return defs, refs + b.refs("IMPORTS", r"^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;")
-
-
-@language("scala")
-def scala(text: str) -> tuple[list[Def], list[Ref]]:
-    b = _Braces(text)
-    name = r"(?P<name>[A-Za-z_$][\w$]*)"
-    defs = b.defs("class", rf"\b(?:class|object|trait)\s+{name}") + b.defs("function", rf"\bdef\s+{name}\s*(?:\[[^\]]*\])?(?P<params>\()?")
-    refs = _calls(b, defs) + b.refs("INHERITS", r"\bextends\s+([A-Za-z_$][\w$]*)")
-    refs += b.refs("IMPORTS", r"^\s*import\s+([^\n;]+)")
-    refs += b.refs("PRODUCES", r"\.(?:saveAsTable|insertInto)\s*\(\s*\"([^\"]+)\"", literal=True) + b.refs("PRODUCES", r"\.write\.\w+\s*\(\s*\"([^\"]+)\"", literal=True)
-    return defs, refs + b.refs("CONSUMES", r"\.table\s*\(\s*\"([^\"]+)\"", literal=True) + b.refs("CONSUMES", r"\.read\.(?!table\b)\w+\s*\(\s*\"([^\"]+)\"", literal=True)
-
-
-@language("go")
-def go(text: str) -> tuple[list[Def], list[Ref]]:
-    b = _Braces(text)
-    name = r"(?P<name>[A-Za-z_]\w*)"
-    defs = b.defs("function", rf"^func\s+{name}\s*(?:\[[^\]]*\])?(?P<params>\()") + b.defs("method", rf"^func\s*\([^)]*\)\s*{name}\s*(?P<params>\()")
-    defs += b.defs("class", rf"\b{name}\s+(?:struct|interface)\b(?=\s*\{{)")
-    refs = _calls(b, defs, skip=_GO_KEYWORDS)
-    for m in re.finditer(r"^import\s*(?:\(([^)]*)\)|(?:\w+\s+)?(\"[^\"]+\"))", text, re.M):
-        refs += [("IMPORTS", m.start(), x, []) for x in re.findall(r"\"([^\"]+)\"", m[0])]
-    return defs, refs
-
-
-@language("bash")
-def bash(text: str) -> tuple[list[Def], list[Ref]]:
-    b = _Braces(text, "#")
-    defs = b.defs("function", r"^\s*(?:function\s+)?(?P<name>[A-Za-z_][\w-]*)\s*\(\)") + b.defs("function", r"^\s*function\s+(?P<name>[A-Za-z_][\w-]*)\s*(?=\{)")
-    words = set("if then else elif fi for while until do done case esac in function return local export declare readonly time".split())
-    refs = b.refs("CALLS", r"(?:^|[;&|({]|\bthen\b|\bdo\b|\belse\b)[ \t]*([A-Za-z_./][\w./-]*)(?![\w./-]*\s*\(\)|[\w./-]*=)", words)
-    return defs, refs
+EXTRACTORS |= {name: lambda text, reader=reader: reader(text).read() for name, reader in (("java", Java), ("scala", Scala), ("go", Go), ("javascript", Script), ("typescript", TypeScript), ("tsx", TypeScript), ("bash", Bash))}
 
 
 def parse_file(repo: str, path: str, lang: str, content: bytes) -> tuple[list[dict], list[dict], list[dict]]:
@@ -250,7 +220,8 @@ def parse_file(repo: str, path: str, lang: str, content: bytes) -> tuple[list[di
     merged: dict[tuple[int, int], Def] = {}
     for d in defs:
         first = merged.get((d[2], d[3]))
-        merged[d[2], d[3]] = d if first is None else (*first[:4], first[4] if "(" in first[4] else d[4], first[5] or d[5])
+        params = [x[4][len(x[1]) :] for x in (first, d) if x]
+        merged[d[2], d[3]] = d if first is None else (*first[:4], first[1] + next(filter(None, params), ""), first[5] or d[5])
     ordered = sorted(merged.values(), key=lambda d: (d[2], -d[3]))
     spans, open_ = [], []
     for kind, name, start, end, signature, doc in ordered:
