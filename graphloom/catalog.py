@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import names as fn
 from graphloom.operators import data_edges, history, lookup, owners, reach, resolve, snapshot
 from graphloom.plans.lineage import written
+from graphloom.registry import ORACLES, QUERIES, query
 from graphloom.sources import binding as b
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 N, E, P = b.NODES, b.edges_sql("//"), b.PENDING
 SEED = "dataset::p7"
 
 
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _seeds(spark: SparkSession, *ids: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.lit(i) for i in ids])).alias("seed"))
 
@@ -516,3 +503,8 @@ def extract_polyglot(spark, sf_dir):
     text = F.concat(F.lit("class S"), k, F.lit(" extends S"), F.floor(F.col("ord") / 10).cast("string"), F.lit(" {\n  go(x) { return lib.f"), k, F.lit("(x); } // f()\n}\n"))
     out = extract(_sources(rows, "javascript", "s_nationkey", text)).filter("part <> 'edge' and not (kind <=> 'module')")
     return out.select("path", F.coalesce("src_scope", fn.id_part(F.col("id"), 3)).alias("qualname"), F.coalesce("kind", "type").alias("kind"), "target")
+
+
+import graphloom.catalog_sources  # noqa: E402, F401 (adds its queries)
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -121,6 +121,11 @@ def ignore_regex(pattern: str) -> str | None:
     return ("^" if anchored else "^(?:.*/)?") + out + ("/.*$" if folder else "(?:/.*)?$")
 
 
+def maybe_json(text: Column, schema: str, default: Column) -> Column:
+    """The value that a JSON text holds, or the default where it is missing, blank or broken."""
+    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema)).otherwise(default)
+
+
 def format_age(seconds: Column) -> Column:
     s = F.floor(seconds)
     unit = lambda n, u: F.concat(F.floor(s / n).cast("string"), F.lit(u))

@@ -35,6 +35,11 @@ def freshness(runs: DataFrame, as_of: Column, key: str = "repo", order: str = "o
     return last.select(key, "n_runs", age.alias("age_seconds"), F.round(age / 86400, 2).alias("age_days"), ((age > STALE_SECONDS) | failed | F.col("r.ran_at").isNull()).alias("stale"), failed.alias("failed"))
 
 
+def repos_with(statuses: Column, status: str) -> Column:
+    """Sorted names of the repos that a map of fetch results has in a state; none without a map."""
+    return F.coalesce(F.array_sort(F.map_keys(F.map_filter(statuses, lambda k, v: v["status"] == status))), F.array().cast("array<string>"))
+
+
 def last_per(runs: DataFrame, key: str, order: str = "ord") -> DataFrame:
     pick = Window.partitionBy(key).orderBy(F.desc(order))
     return runs.withColumn("__n", F.row_number().over(pick)).filter("__n = 1").drop("__n")

@@ -205,11 +205,10 @@ class Engine:
         blank = F.trim(F.coalesce("at", F.lit(""))) == ""
         ran = F.try_to_timestamp("at")
         age = F.greatest(F.lit(0).cast("long"), F.coalesce(F.floor((F.unix_micros(as_of) - F.unix_micros(ran)) / 1_000_000), F.lit(0)))
-        with_ = lambda s: F.array_sort(F.map_keys(F.map_filter("fetch_status", lambda k, v: v["status"] == s)))
-        failed = F.coalesce(with_("failed"), F.array().cast("array<string>"))
+        failed = history.repos_with(F.col("fetch_status"), "failed")
         return last.select(
             F.lit(True).alias("available"), F.col("id").alias("run_id"), "sha", F.col("at").alias("indexed_at"), age.alias("age_seconds"), F.round(age / 86400, 2).alias("age_days"),
-            ((age > STALE_SECONDS) | (F.size(failed) > 0) | blank).alias("stale"), F.size(F.map_keys("repo_shas")).alias("repo_count"), failed.alias("failed_repos"), F.coalesce(with_("dirty"), F.array().cast("array<string>")).alias("dirty_repos"),
+            ((age > STALE_SECONDS) | (F.size(failed) > 0) | blank).alias("stale"), F.size(F.map_keys("repo_shas")).alias("repo_count"), failed.alias("failed_repos"), history.repos_with(F.col("fetch_status"), "dirty").alias("dirty_repos"),
         )
 
 
