@@ -18,7 +18,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_min_max_near_dedup": near_dedup.OP2_SQL,
     "op5_fingerprint_chat": chat.OP5_SQL,
     "op7_jump_hash_shards": sharding.OP7_SQL,
+    "op8_suffix_dedup": substring_dedup.OP8_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
 }

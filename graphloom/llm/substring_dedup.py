@@ -350,3 +350,18 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of 200 bytes by its MD5, as hexadecimal digits; texts that are equal stand once, with their number.
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+t AS (SELECT h, max(n) AS n, count(*) AS copies, row_number() OVER () AS r FROM d GROUP BY h),
+w AS (SELECT r, i, md5_number_lower(substr(h, 2 * i + 1, 400)) AS k, copies FROM (SELECT r, h, copies, unnest(range(n - 199)) AS i FROM t WHERE n >= 200)),
+hit AS (SELECT r, i FROM (SELECT r, i, sum(copies) OVER (PARTITION BY k) AS m FROM w) WHERE m > 1),
+run AS (SELECT r, i, sum(CASE WHEN i <= p + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) AS p FROM hit)),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM run GROUP BY r, g),
+cut AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS p FROM s),
+per AS (SELECT t.h, count(a) AS n_spans, coalesce(sum(b - a), 0) AS n_removed, max(b) AS last, string_agg(substr(t.h, (2 * p + 1)::BIGINT, (2 * (a - p))::BIGINT), '' ORDER BY a) AS pieces FROM t LEFT JOIN cut USING (r) GROUP BY t.h, t.r)
+SELECT doc_id, n AS n_bytes, n_removed::BIGINT AS n_removed, n_spans, sha256(unhex(CASE WHEN n_spans = 0 THEN h ELSE pieces || substr(h, (2 * last + 1)::BIGINT) END)) AS kept_sha256
+FROM d JOIN per USING (h)
+"""
