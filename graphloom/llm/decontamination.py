@@ -22,7 +22,8 @@ occur in the items. Nor is an item compared where its part shares fewer words wi
 the window. This loses nothing.
 
 Parts are grouped by length; a window has the least length of its group. Items
-are dealt into blocks bounded in number and size, and each block is sent to every
+are dealt into blocks bounded in number and size, as a worker holds a block's
+tables (some 100 MB for ``block_items`` of 100 words). Each block is sent to every
 task of one pass over the documents; there is one block up to ``block_items``.
 
 Defined results: null or empty items and texts match nothing; null ids are reported
@@ -94,11 +95,13 @@ class Tables:
         self.steps = max(samples, math.ceil(1.6 * width))
         self.salt = rng.integers(1, 1 << 63, (tables, self.steps), dtype=np.uint64)
         self.sampled = np.sort(np.array([rng.choice(self.steps, samples, replace=False) for _ in range(tables)]), axis=1)
-        windows = np.array([x[at : at + width] for _, x, at in parts], np.int64)
-        keys = [self.keys(windows, t) for t in range(tables)]
-        self.windows = windows
-        self.order = [np.argsort(k, kind="stable") for k in keys]
-        self.known = [k[o] for k, o in zip(keys, self.order, strict=True)]
+        # twelve bytes a part and table, four a word: some 5 kB an item of 100 words
+        self.windows = np.array([x[at : at + width] for _, x, at in parts], np.int32)
+        self.order, self.known = [], []
+        for t in range(tables):
+            keys = self.keys(self.windows, t)
+            self.order.append(np.argsort(keys, kind="stable").astype(np.int32))
+            self.known.append(keys[self.order[-1]])
 
     def hits(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``windows`` and the parts that agree with them in a table and share all words but ``edits``, by row."""
@@ -123,7 +126,7 @@ class Tables:
 
     def keys(self, windows: np.ndarray, t: int) -> np.ndarray:
         """Sampled steps of the walk over each row, combined; past a window's end the walk reads a blank."""
-        padded = np.concatenate([windows, np.full((len(windows), 1), -2, np.int64)], axis=1).astype(np.uint64)
+        padded = np.concatenate([windows, np.full((len(windows), 1), -2, windows.dtype)], axis=1).astype(np.int64).astype(np.uint64)
         pos, row = np.zeros(len(windows), np.int64), np.arange(len(windows))
         key = np.zeros(len(windows), np.uint64)
         wanted = set(self.sampled[t].tolist())
@@ -254,8 +257,8 @@ def leaks(
     target_recall: float = 0.99,
     agreement: float = 0.55,
     samples: int = 3,
-    block_items: int = 5_000,
-    block_chars: int = 8_000_000,
+    block_items: int = 20_000,
+    block_chars: int = 16_000_000,
 ) -> DataFrame:
     """doc_id, item_id, start, end (code points), distance and item_words (in words): one row per leaked stretch."""
     spark = docs.sparkSession

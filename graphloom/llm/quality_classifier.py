@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_terms:
     n = lambda c, v: F.count_if(F.col(c).eqNullSafe(F.lit(v)))
     both = [n(c, v).alias(f"{c}_{v}") for c in CLASSES for v in (True, False)]
     total = kept.agg(*both).first()
-    counts = stored(kept.select(*CLASSES, F.explode("tokens").alias("token")).groupBy("token").agg(*both, F.count("*").alias("n")).filter("n >= 5"), "tokens")
+    counts = stored(kept.select(*CLASSES, F.explode("tokens").alias("token")).groupBy("token").agg(*both), "tokens")
     model = {}
     for c in CLASSES:
         pos, neg = total[f"{c}_True"], total[f"{c}_False"]
