@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,14 +72,50 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths written in each open :func:`scratch`, the innermost last.
+_scratches: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if _scratches:
+        _scratches[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete at its end what is :func:`stored` in it, but for what the yielded function stores.
+
+    Results that are read after it must come from there or from outside.
+    """
+    own: list[str] = []
+    outer = _scratches[-1] if _scratches else None
+    _scratches.append(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        path = own.pop()
+        if outer is not None:
+            outer.append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scratches.pop()
+        for path in own:
+            delete(spark, path)
+
+
 def row_bytes(df: DataFrame) -> Column:
     """About the bytes of a row in memory: 8 a value, and the contents of strings, binaries and arrays."""
     size = F.lit(16)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import shingles
-from graphloom.llm.common import broadcast_if_small, read, ship, stored
+from graphloom.llm.common import broadcast_if_small, read, scratch, ship, stored
 from graphloom.llm.components import connected_components
 
 PERMUTATIONS, BAND_ROWS = 64, 4
@@ -260,20 +260,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count as one node.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(signatures(docs), "signatures")
-    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes, "classes")
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    buckets = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("hub")).filter("m > 1")
-    shared = stored(buckets.join(hubs, "key").select("key", "doc_id", "n", "m", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
-    star = shared.filter("doc_id <> hub and 100 * least(n, hub_n) >= 75 * greatest(n, hub_n)").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    only = docs.dropna(subset=["doc_id"])
-    links = stored(confirm(stored(star, "pairs"), only), "star-links")
-    first = stored(connected_components(links), "components")
-    more = stored(settle(shared.filter("m > 2").select("key", "doc_id"), first, only), "block-links")
-    component = connected_components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    named = classes.join(component, classes.rep == component.id, "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    with scratch(docs.sparkSession) as keep:
+        signed = keep(signatures(docs), "signatures")
+        classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+        classes = stored(classes, "classes")
+        reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        buckets = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+        hubs = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("hub")).filter("m > 1")
+        shared = stored(buckets.join(hubs, "key").select("key", "doc_id", "n", "m", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
+        star = shared.filter("doc_id <> hub and 100 * least(n, hub_n) >= 75 * greatest(n, hub_n)").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+        only = docs.dropna(subset=["doc_id"])
+        links = stored(confirm(stored(star, "pairs"), only), "star-links")
+        first = stored(connected_components(links), "components")
+        more = stored(settle(shared.filter("m > 2").select("key", "doc_id"), first, only), "block-links")
+        component = connected_components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+        named = keep(classes.join(component, classes.rep == component.id, "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id")), "class-components")
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     grouped = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
     out = out.select("doc_id", "n_shingles", F.coalesce(grouped, F.col("doc_id")).alias("component_id"))

@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import broadcast_if_small, let, read, stored
+from graphloom.llm.common import broadcast_if_small, let, read, scratch, stored
 
 SPAN = "array<struct<kind:string,start:int,end:int,mask:string>>"
 TERM_BREAK = r"[^\p{L}\p{N}_]+"
@@ -179,28 +179,10 @@ def disclosing_terms(entities: DataFrame, holders: DataFrame, docs: DataFrame, m
     return scored.select("entity", "term", F.least(pmi / information, F.lit(1.0)).alias("disclosure")).filter(F.col("disclosure") >= generalise_at)
 
 
-def find_spans(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    reach: int = 200,
-    min_contexts: int = 3,
-    generalise_at: float = 0.9,
-    remove_at: float = 0.99,
-    into: str = "pii_spans",
-) -> DataFrame:
-    """``docs`` with ``into``: spans of the base kinds and of disclosing terms (kind ``term``), by kind and then start.
-
-    ``reach``: code points on either side of a value in which terms count as near.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.xxhash64(F.col(id_col).cast("string"), text)
-    # written once with their base spans, so the patterns go over each text once and no text is shuffled to meet them
-    docs_ = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != into]).alias("row"), text.alias("text"), key.alias("key"))
-    docs_ = stored(docs_.withColumn("spans", base_spans(F.col("text"))).drop("text"), "pii-spans")
-    own = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
-    plain = docs_.select("key", own.alias("text"))
-    holders = stored(docs_.filter(F.size("spans") > 0).select("key", own.alias("text"), "spans"), "pii-holders")
+def _doc_terms(docs: DataFrame, own: Column, reach: int, min_contexts: int, generalise_at: float, remove_at: float) -> DataFrame:
+    """key, remove, general: the terms that are to be masked in each document. docs: key, row, spans; own: its text."""
+    plain = docs.select("key", own.alias("text"))
+    holders = stored(docs.filter(F.size("spans") > 0).select("key", own.alias("text"), "spans"), "pii-holders")
     s = holders.select("key", "text", F.explode("spans").alias("s")).withColumns(
         {
             "entity": F.lower(F.expr("substring(text, s.start + 1, s.end - s.start)")),
@@ -214,7 +196,7 @@ def find_spans(
     context = F.xxhash64(F.expr("right(left, 40)"), F.expr("left(right, 40)"))
     entities = s.select("key", "entity", context.alias("context"), F.array_distinct(F.concat(terms_of(left), terms_of(right))).alias("near"))
     shown = stored(disclosing_terms(entities, holders.select("key", "text"), plain, min_contexts, generalise_at), "disclosing")
-    per_doc = (
+    return (
         entities.select("key", "entity").distinct().join(shown, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
         .groupBy("key")
         .agg(
@@ -222,7 +204,30 @@ def find_spans(
             F.sort_array(F.collect_set(F.when(F.col("disclosure") < remove_at, F.col("term")))).alias("general"),
         )
     )
-    per_doc = stored(per_doc, "doc-terms")
+
+
+def find_spans(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    reach: int = 200,
+    min_contexts: int = 3,
+    generalise_at: float = 0.9,
+    remove_at: float = 0.99,
+    into: str = "pii_spans",
+) -> DataFrame:
+    """``docs`` with ``into``: spans of the base kinds and of disclosing terms (kind ``term``), by kind and then start.
+
+    ``reach``: code points on either side of a value in which terms count as near.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.xxhash64(F.col(id_col).cast("string"), text)
+    # written once with their base spans, so the patterns go over each text once and no text is shuffled to meet them
+    docs_ = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != into]).alias("row"), text.alias("text"), key.alias("key"))
+    docs_ = stored(docs_.withColumn("spans", base_spans(F.col("text"))).drop("text"), "pii-spans")
+    own = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    with scratch(docs.sparkSession) as keep:
+        per_doc = keep(_doc_terms(docs_, own, reach, min_contexts, generalise_at, remove_at), "doc-terms")
     whole = lambda words: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
     rows = docs_.join(broadcast_if_small(per_doc), "key", "left").withColumn("text", own)
 

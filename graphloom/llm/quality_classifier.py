@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import shingles
-from graphloom.llm.common import broadcast_if_small, read, ship, stored
+from graphloom.llm.common import broadcast_if_small, read, scratch, ship, stored
 
 EDGES = ".,;:!?\"'()[]{}«»¿¡…"
 SYMBOLS = "#*$%&|<>"
@@ -91,6 +91,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_terms:
     driver for a ridge logistic regression.
     """
     ship(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels, max_labels, max_terms, least_g2)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, max_labels: int, max_terms: int, least_g2: float) -> dict[str, tuple[float, float, dict[str, float]]]:
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 0).alias("low"), (F.col("toxic") == 1).alias("toxic"))
     sample = labelled.dropna(subset=["doc_id"]).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", *CLASSES)  # at most max_labels ids

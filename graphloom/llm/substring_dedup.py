@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import broadcast_if_small, read, ship, stored
+from graphloom.llm.common import broadcast_if_small, read, scratch, ship, stored
 from graphloom.llm.gsaca import suffix_array
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
@@ -331,10 +331,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     data = F.encode(text, "UTF-8")
     rows = docs.select(F.col(id_col).alias("id"), data.alias("data"), *_key(data))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    copies = stored(rows.filter(F.length("data") >= width).groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2"), "copied-texts")
-    found = stored(find_repeats(docs, text_col, width, **options), "spans")
-    copied = copies.select("k1", "k2", none.alias("spans"), F.lit(True).alias("copied"))
-    spans = stored(found.join(broadcast_if_small(copies), ["k1", "k2"], "left_anti").withColumn("copied", F.lit(False)).unionByName(copied), "repeats")
+    with scratch(docs.sparkSession) as keep:
+        copies = stored(rows.filter(F.length("data") >= width).groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2"), "copied-texts")
+        found = stored(find_repeats(docs, text_col, width, **options), "spans")
+        copied = copies.select("k1", "k2", none.alias("spans"), F.lit(True).alias("copied"))
+        spans = keep(found.join(broadcast_if_small(copies), ["k1", "k2"], "left_anti").withColumn("copied", F.lit(False)).unionByName(copied), "repeats")
     both = rows.join(broadcast_if_small(spans).withColumnRenamed("spans", "found"), ["k1", "k2"], "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("data").cast("long").alias("end")))
     both = both.select("id", "data", F.when(F.col("copied"), whole).otherwise(F.coalesce("found", none)).alias("spans"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe
-from graphloom.llm.common import new_path, read, ship, stored, vocabulary_path
+from graphloom.llm.common import delete, new_path, read, ship, stored, vocabulary_path
 
 #: End of text of the 50k vocabulary (fixed value). No text encodes to it.
 END_ID = 50256
@@ -175,7 +175,9 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     path = new_path(spark, "token-files")
     write_token_files(docs, path)
-    counted = count_tokens(spark, path).withColumn("part", F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("long"))
+    counted = count_tokens(spark, path)
+    delete(spark, path)  # the scan is stored
+    counted = counted.withColumn("part", F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("long"))
     row = F.monotonically_increasing_id()
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("named"), F.shiftright(row, 33).alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("doc_no"))
     lost = F.raise_error(F.lit("the token files don't match the documents")).cast("long")
