@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloom import catalog
 from graphloom.functions import names as fn
-from graphloom.operators import history, resolve
-from graphloom.plans.engine import EDGE_COLUMNS, NODE_COLUMNS, Engine
+from graphloom.operators import history, reach, resolve, snapshot
+from graphloom.plans.engine import EDGE_COLUMNS, NODE_COLUMNS, Engine, numbered
 from graphloom.plans.lineage import checkpoint_dir
 from graphloom.registry import query
 from graphloom.schema import NODES
@@ -249,3 +249,25 @@ def sql_over_the_graph(spark, sf_dir):
 def pending_and_resolved(spark, sf_dir):
     """Unresolved references together with the edges."""
     return b.pending(spark, sf_dir).select("type", "repo").unionByName(b.edges(spark, sf_dir).select("type", "src"), allowMissingColumns=True).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH e AS ({catalog.E}) SELECT type, src, dst, edge_ord FROM e WHERE NOT (type = 'CALLS' AND edge_ord % 10 = 3)")
+def edge_delete(spark, sf_dir):
+    """Edges without a list of keys."""
+    edges = b.edges(spark, sf_dir)
+    return snapshot.delete_edges(edges, edges.filter("type = 'CALLS' and edge_ord % 10 = 3")).select("type", "src", "dst", "edge_ord")
+
+
+@query(f"WITH RECURSIVE {catalog._walk(catalog._ONE)}, o AS (SELECT dat.*, repo, path FROM dat LEFT JOIN (SELECT * REPLACE (CASE WHEN id LIKE '%5' THEN NULL ELSE path END AS path) FROM n) n USING (id)) SELECT id, row_number() OVER (ORDER BY distance, confidence DESC, repo NULLS LAST, path NULLS LAST, id)::INTEGER AS place FROM o")
+def blast_radius_database_order(spark, sf_dir):
+    """Places in the order of a database, where what has no path comes last."""
+    nodes = b.nodes(spark, sf_dir).withColumn("path", F.when(~F.endswith("id", F.lit("5")), F.col("path")))
+    found = reach.ranked(reach.blast_radius(b.edges(spark, sf_dir), nodes, catalog._seeds(spark, catalog.SEED), mode="database"), "database")
+    return numbered(found, ["distance", F.desc("confidence"), F.col("repo").asc_nulls_last(), F.col("path").asc_nulls_last(), "id"], "n").select("id", (F.col("n") + 1).cast("int").alias("place"))
+
+
+@query(f"SELECT n_nodes, n_edges FROM (SELECT count(*) AS n_nodes FROM ({catalog._snap(catalog._CURR, True)})), (SELECT count(*) AS n_edges FROM ({catalog._snap(catalog._CURR, True)}) a SEMI JOIN ({catalog._snap(catalog._CURR, True)}) b ON b.node_ord = a.node_ord + 1)")
+def engine_verify(spark, sf_dir):
+    """Counts of a stored graph whose ids are unique and whose edges have both ends."""
+    found = _indexed(spark, sf_dir).verify()
+    return spark.createDataFrame([(found["nodes"], found["edges"])], "n_nodes long, n_edges long")

@@ -79,9 +79,10 @@ def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth
     return best.join(named, "id", "left").select("id", "repo", "path", "owner", "confidence", "distance")
 
 
-def ranked(found: DataFrame) -> DataFrame:
-    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return found.orderBy("distance", F.desc(F.coalesce("confidence", F.lit(0.0))), empty("repo"), empty("path"), "id")
+def ranked(found: DataFrame, mode: str = "offline") -> DataFrame:
+    """Nearest and surest first. What has no repo or path comes first offline, as an empty name would, and last as in a database."""
+    name = (lambda c: F.coalesce(F.col(c), F.lit(""))) if mode == "offline" else (lambda c: F.col(c).asc_nulls_last())
+    return found.orderBy("distance", F.desc(F.coalesce("confidence", F.lit(0.0))), name("repo"), name("path"), "id")
 
 
 def by_owner(found: DataFrame) -> DataFrame:

@@ -67,6 +67,12 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[Da
     return nodes.join(ids.select("id"), "id", "left_anti"), keep.select(edges.columns)
 
 
+def delete_edges(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """Edges without those of the given type, source and target."""
+    by = ["type", "src", "dst"]
+    return edges.join(keys.select(by).distinct(), by, "left_anti").select(edges.columns)
+
+
 def changes(nodes: DataFrame, changed: DataFrame, gone: DataFrame) -> DataFrame:
     """op, node_id, kind, name, repo, path, owner, signature; a deleted node's parts come from its id and its kind is unknown."""
     part = lambda n: F.nullif(F.split_part("id", F.lit("::"), F.lit(n)), F.lit(""))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import data_edges, history, lookup, owners, reach, resolve, snapshot
 from graphloom.plans.lineage import cut
-from graphloom.schema import EDGES, NODES, STALE_SECONDS, GraphError
+from graphloom.schema import EDGES, NODES, STALE_SECONDS, GraphError, TableError
 from graphloom.sources import diffs, repos, tables
 from graphloom.sources.extract import extract
 
@@ -123,6 +123,15 @@ class Engine:
         last = history.latest(self.last_runs()).select("id").first()
         return last[0] if last else None
 
+    def verify(self) -> dict[str, int]:
+        """Counts of the stored graph; an error if its ids aren't unique or an edge lacks an end."""
+        nodes, edges = self.graph()
+        twice = nodes.groupBy("id").count().filter("count > 1").count()
+        loose = edges.count() - snapshot.with_endpoints(edges, nodes).count()
+        if twice or loose:
+            raise TableError(f"{twice} ids stand for several nodes, {loose} edges lack an end")
+        return {"nodes": nodes.count(), "edges": edges.count()}
+
     def clear(self) -> None:
         """Forget the graph and its snapshot; the run log and its changes stay."""
         spark = self.spark
@@ -154,7 +163,7 @@ class Engine:
         unknown = [r[0] for r in seeds.join(nodes, seeds.seed == nodes.id, "left_anti").collect()]
         if unknown:
             raise GraphError(f"not in the graph: {', '.join(unknown)}")
-        return reach.ranked(reach.blast_radius(edges, nodes, seeds, max_depth, mode))
+        return reach.ranked(reach.blast_radius(edges, nodes, seeds, max_depth, mode), mode)
 
     def find(self, pattern: str, limit: int = 50) -> DataFrame:
         return lookup.find_symbols(self.graph()[0], pattern, limit)

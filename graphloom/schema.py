@@ -23,4 +23,16 @@ STALE_SECONDS = 7 * 86400
 
 
 class GraphError(Exception):
-    """A graph folder that is missing, empty or unreadable."""
+    """What a user can mend: the command line shows its text alone."""
+
+
+class TableError(GraphError):
+    """A table or log that is missing, empty, broken or has another shape."""
+
+
+class CloneError(GraphError):
+    """A repository that can't be cloned."""
+
+
+class PullRequestError(GraphError):
+    """A pull request that can't be read."""

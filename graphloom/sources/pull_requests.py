@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.schema import GraphError
+from graphloom.schema import PullRequestError
 from graphloom.sources.diffs import WHOLE_FILE, changed_ranges, parse_diff
 
 #: An answer: status, the link header, the body.
@@ -26,7 +26,7 @@ def http_get(url: str, headers: dict[str, str]) -> tuple[int, str, bytes]:
     except urllib.error.HTTPError as e:
         return e.code, "", e.read()
     except OSError as e:
-        raise GraphError(f"{url}: {e}") from e
+        raise PullRequestError(f"{url}: {e}") from e
 
 
 def pages(url: str, token: str, get: Get = http_get) -> list[dict]:
@@ -36,7 +36,7 @@ def pages(url: str, token: str, get: Get = http_get) -> list[dict]:
     while at:
         status, link, body = get(at, headers)
         if status != 200:
-            raise GraphError(f"{url}: {REASONS.get(status, f'status {status}')}")
+            raise PullRequestError(f"{url}: {REASONS.get(status, f'status {status}')}")
         out += json.loads(body)
         following = re.search(r'<([^>]+)>\s*;\s*rel="next"', link)
         at = following[1] if following else None

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.schema import EDGES, NODES, PENDING, RUNS, GraphError
+from graphloom.schema import EDGES, NODES, PENDING, RUNS, TableError
 
 TAIL_BYTES = 1 << 16
 
@@ -32,7 +32,7 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines; blank lines are skipped, broken ones fail the read (:func:`check_jsonl` names the line)."""
     if not exists(spark, path):
-        raise GraphError(f"{path} doesn't exist")
+        raise TableError(f"{path} doesn't exist")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
@@ -54,7 +54,7 @@ def broken_line(spark: SparkSession, path: str) -> tuple[str, int] | None:
 def check_jsonl(spark: SparkSession, path: str) -> None:
     """Raise an error that names the first broken line of JSON lines, if there is one."""
     if at := broken_line(spark, path):
-        raise GraphError(f"truncated or invalid JSON at {at[0]}:{at[1]}")
+        raise TableError(f"truncated or invalid JSON at {at[0]}:{at[1]}")
 
 
 def write_jsonl(df: DataFrame, path: str) -> int:
@@ -67,7 +67,7 @@ def write_jsonl(df: DataFrame, path: str) -> int:
     fs, at = _fs(spark, path)
     fs.delete(at, True)
     if not fs.rename(_fs(spark, new)[1], at):
-        raise GraphError(f"{new} can't be renamed to {path}")
+        raise TableError(f"{new} can't be renamed to {path}")
     return seen.get["n"]
 
 
@@ -97,15 +97,18 @@ def current_version(spark: SparkSession, base: str) -> str | None:
 def load_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     version = current_version(spark, base)
     if version is None or not exists(spark, f"{base}/{version}/{name}"):
-        raise GraphError(f"no {name} at {base}")
+        raise TableError(f"no {name} at {base}")
     return spark.read.parquet(f"{base}/{version}/{name}")
 
 
 def load_graph(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the current version; a graph without nodes is an error."""
+    """Nodes and edges of the current version; a graph without nodes, or with a table of another shape, is an error."""
     nodes, edges = load_table(spark, base, "nodes"), load_table(spark, base, "edges")
+    for df, wanted, name in ((nodes, NODES, "nodes"), (edges, EDGES, "edges")):
+        if lost := {c.split()[0] for c in wanted.split(", ")} - set(df.columns):
+            raise TableError(f"{name} at {base} lack {', '.join(sorted(lost))}")
     if nodes.isEmpty():
-        raise GraphError(f"the graph at {base} has no nodes")
+        raise TableError(f"the graph at {base} has no nodes")
     return nodes, edges
 
 
@@ -175,7 +178,7 @@ def changes_of(spark: SparkSession, base: str, run_id: str) -> DataFrame:
     """The recorded changes of one run: op, node_id, kind, name, repo, path, owner, signature."""
     at = f"{base}/changes/run_id={run_id}"
     if not exists(spark, at):
-        raise GraphError(f"no changes of run {run_id} at {base}")
+        raise TableError(f"no changes of run {run_id} at {base}")
     return spark.read.parquet(at)
 
 
