@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import subprocess
 import sys
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -29,8 +30,9 @@ def arguments() -> argparse.ArgumentParser:
         v = verbs.add_parser(name, help="what a change affects")
         which = v.add_mutually_exclusive_group()
         which.add_argument("--changed", action="append", help="id of a changed symbol, any number of times")
-        which.add_argument("--diff", help="a diff file, or - for standard input")
-        which.add_argument("--branch", help="a branch of the repository here (HEAD unless given)")
+        which.add_argument("--diff", help="a git reference that all trees are compared with")
+        which.add_argument("--patch", help="a diff file, or - for standard input")
+        which.add_argument("--branch", nargs="?", const="HEAD", help="a branch of the repository here (HEAD unless given)")
         which.add_argument("--pr", help="number, owner/repo#number or address of a pull request")
         v.add_argument("--base", help="reference that the branch left")
         v.add_argument("--committed", action="store_true", help="leave out what isn't committed")
@@ -52,6 +54,8 @@ def arguments() -> argparse.ArgumentParser:
     v = verbs.add_parser("sql", help="a query over the views nodes, edges, runs and changes")
     v.add_argument("text")
     v.add_argument("--limit", type=int, default=1000, help="rows to show")
+    v = verbs.add_parser("export", help="write the graph as nodes.jsonl and edges.jsonl")
+    v.add_argument("folder")
     verbs.add_parser("clear", help="forget the graph; the run log stays")
     return out
 
@@ -68,38 +72,79 @@ class Session:
         verb: Callable[[], str] = getattr(self, f"do_{self.args.verb}")
         return verb()
 
-    def _changed(self) -> list[str]:
-        """Ids of what changed, by whichever option names it; at most what one change touches."""
+    def _here(self) -> git.WorkTree | None:
+        """The work tree that the working folder is in."""
+        top = git.WorkTree(self.cwd).ask("rev-parse", "--show-toplevel")
+        return git.WorkTree(top) if top else None
+
+    def _hints(self, tree: git.WorkTree | None) -> list[str | None]:
+        """Names that a tree may have in the graph: the one given, that of its remote, that of its folder."""
+        remote = diffs.remote_name(tree.ask("remote", "get-url", "origin") or "") if tree else None
+        return [(self.args.repo or "").rpartition("/")[2] or None, (remote or "").rpartition("/")[2] or None, tree.path.name if tree else None]
+
+    def _changed(self) -> tuple[str, list[str]]:
+        """What changed, in words, and the ids that it touches; at most what one change touches."""
         args, engine = self.args, self.engine
         if args.changed:
-            return args.changed
-        tree = git.WorkTree(self.cwd)
-        origin = diffs.remote_name(tree.ask("remote", "get-url", "origin") or "") or ""
+            return ", ".join(args.changed), sorted(set(args.changed))
+        tree = self._here()
         if args.pr:
             repo, number = diffs.pull_request(args.pr)
-            repo = repo or origin
+            repo = repo or (diffs.remote_name(tree.ask("remote", "get-url", "origin") or "") if tree else None)
             if not repo:
                 raise GraphError("the pull request's repository isn't known; give owner/repo#number")
             ranges = pull_requests.pull_request_ranges(self.spark, self.settings.api, repo, number, self.settings.token)
-            name = engine.repo_of(args.repo, repo.rpartition("/")[2])
+            name = engine.repo_of(self._hints(None)[0], repo.rpartition("/")[2])
             if not name:
                 raise GraphError(f"{repo} isn't in the graph; name it with --repo")
-            return [r[0] for r in engine.touched(ranges, name).collect()]
+            return f"pull request {repo}#{number}", [r[0] for r in engine.touched(ranges, name).collect()]
         if args.diff:
-            text = sys.stdin.read() if args.diff == "-" else Path(args.diff).read_text(encoding="utf-8", errors="replace")
-        else:
-            _, text = tree.branch_diff(args.branch or "HEAD", args.base, not args.committed)
-        return [r[0] for r in engine.changed_ids(text, args.repo, origin.rpartition("/")[2], self.cwd.name).collect()]
+            return f"diff against {args.diff}", self._changed_in_all(args.diff, tree)
+        if args.patch:
+            text = sys.stdin.read() if args.patch == "-" else Path(args.patch).read_text(encoding="utf-8", errors="replace")
+            return f"patch {args.patch}", [r[0] for r in engine.changed_ids(text, *self._hints(tree), self.cwd.name).collect()]
+        if tree is None:
+            raise GraphError("not inside a work tree; give --changed, --diff, --patch or --pr")
+        branch = args.branch or "HEAD"
+        base, text = tree.branch_diff(branch, args.base, not args.committed)
+        name = tree.ask("rev-parse", "--abbrev-ref", "HEAD") if branch == "HEAD" else branch
+        what = f"branch {name} against {base}" + ("" if args.committed else ", with what isn't committed")
+        return what, [r[0] for r in engine.changed_ids(text, *self._hints(tree)).collect()]
+
+    def _changed_in_all(self, ref: str, here: git.WorkTree | None) -> list[str]:
+        """Ids that differ from a reference in any tree that knows it: clones, trees of the settings, and the one here."""
+        remote, local = self._trees()
+        clones = Path(self.settings.clone_dir)
+        roots = {p.name: p for p in sorted(clones.iterdir())} if clones.is_dir() else {}
+        roots |= {n: Path(p) for n, p in local.items()}
+        if here and here.path.resolve() not in {p.resolve() for p in roots.values()}:
+            roots.setdefault(here.path.name, here.path)
+        found: set[str] = set()
+        for name, root in roots.items():
+            only, origin, _ = self._hints(git.WorkTree(root)) if (root / ".git").exists() else (None, None, None)
+            repo = self.engine.repo_of(name, origin)
+            if not (root / ".git").exists() or repo is None or only and only not in (repo, name):
+                continue
+            try:
+                text = diffs.git_diff(str(root), ref)
+            except subprocess.CalledProcessError:
+                continue  # a tree that doesn't know the reference
+            found |= {r[0] for r in self.engine.changed_ids(text, repo).collect()}
+        return sorted(found)
+
+    def _freshness(self) -> dict:
+        row = self.engine.freshness(F.current_timestamp()).first()
+        return row.asDict(recursive=True) if row else {"available": False}
 
     def do_query(self) -> str:
-        args, ids = self.args, self._changed()
-        if not ids:
-            return json.dumps({"changed": [], "affected": []}) if args.json else "no symbol of the graph changed"
-        found = self.engine.blast_radius(ids, args.max_depth, "offline" if args.offline else "database")
-        if not args.json:
-            return render.impact(found) + "\n" + render.freshness(self.engine.freshness(F.current_timestamp()))
-        fresh = self.engine.freshness(F.current_timestamp()).first()
-        return json.dumps({"changed": ids, "affected": _rows(found, 10_000), "freshness": fresh.asDict(recursive=True) if fresh else {"available": False}})
+        args = self.args
+        what, ids = self._changed()
+        found = self.engine.blast_radius(ids, args.max_depth, "offline" if args.offline else "database") if ids else None
+        if args.json:
+            rows = _rows(found, 10_000) if ids else []
+            return json.dumps({"freshness": self._freshness(), "change": what, "changed_ids": ids, "count": found.count() if ids else 0, "results": rows}, sort_keys=True)
+        fresh = render.freshness(self.engine.freshness(F.current_timestamp()))
+        return f"{fresh}\n{what}\n" + (render.impact(found) if ids else "no symbol of the graph changed")
 
     do_blast = do_query
 
@@ -107,7 +152,7 @@ class Session:
         found = self.engine.find(self.args.pattern, self.args.limit)
         rows = _rows(found, self.args.limit)
         if self.args.json:
-            return json.dumps(rows)
+            return json.dumps({"matches": rows, "freshness": self._freshness()}, sort_keys=True)
         return "\n".join(f"{r['kind']:9} {r['id']}" + (f"  ({r['owner']})" if r["owner"] else "") for r in rows) or f"nothing is named {self.args.pattern}"
 
     def do_runs(self) -> str:
@@ -144,6 +189,10 @@ class Session:
     def do_sql(self) -> str:
         return "\n".join(json.dumps(r, default=str) for r in _rows(self.engine.sql(self.args.text), self.args.limit))
 
+    def do_export(self) -> str:
+        counts = self.engine.export_jsonl(self.args.folder)
+        return f"{counts['nodes']} nodes and {counts['edges']} edges in {self.args.folder}"
+
     def do_clear(self) -> str:
         self.engine.clear()
         return f"{self.settings.graph_dir} is empty"

@@ -75,7 +75,7 @@ def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth
     found = (reach_offline if mode == "offline" else reach_database)(edges, seeds, max_depth)
     pick = Window.partitionBy("id").orderBy(F.desc("confidence"), "seed")
     best = found.withColumn("n", F.row_number().over(pick)).filter("n = 1")
-    named = nodes.groupBy("id").agg(F.max_by(F.struct("repo", "path", "owner"), "node_ord").alias("at")).select("id", "at.*")
+    named = nodes.join(found.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max_by(F.struct("repo", "path", "owner"), "node_ord").alias("at")).select("id", "at.*")
     return best.join(named, "id", "left").select("id", "repo", "path", "owner", "confidence", "distance")
 
 

@@ -123,6 +123,13 @@ class Engine:
         last = history.latest(self.last_runs()).select("id").first()
         return last[0] if last else None
 
+    def export_jsonl(self, folder: str) -> dict[str, int]:
+        """Write nodes.jsonl, and edges.jsonl with the unresolved references first; their numbers of rows."""
+        nodes, edges = self.graph()
+        if tables.exists(self.spark, f"{self.base}/{tables.current_version(self.spark, self.base)}/pending"):
+            edges = self.all_edges().drop("pending")
+        return {"nodes": tables.write_jsonl(nodes, f"{folder}/nodes.jsonl"), "edges": tables.write_jsonl(edges, f"{folder}/edges.jsonl")}
+
     def verify(self) -> dict[str, int]:
         """Counts of the stored graph; an error if its ids aren't unique or an edge lacks an end."""
         nodes, edges = self.graph()
@@ -162,7 +169,7 @@ class Engine:
         seeds = self.spark.createDataFrame([(i,) for i in sorted(set(ids))], "seed string")
         unknown = [r[0] for r in seeds.join(nodes, seeds.seed == nodes.id, "left_anti").collect()]
         if unknown:
-            raise GraphError(f"not in the graph: {', '.join(unknown)}")
+            raise GraphError(f"not in the graph: {', '.join(unknown)} (find lists what is)")
         return reach.ranked(reach.blast_radius(edges, nodes, seeds, max_depth, mode), mode)
 
     def find(self, pattern: str, limit: int = 50) -> DataFrame:

@@ -57,6 +57,22 @@ def check_jsonl(spark: SparkSession, path: str) -> None:
         raise TableError(f"truncated or invalid JSON at {at[0]}:{at[1]}")
 
 
+def load_jsonl(spark: SparkSession, path: str, schema: str, least: int = 0) -> DataFrame:
+    """Rows of JSON lines that are known to be whole: a missing, empty or broken file is an error that says which."""
+    rows = read_jsonl(spark, path, schema)
+    fs, at = _fs(spark, path)
+    if least and fs.isFile(at) and fs.getFileStatus(at).getLen() == 0:
+        raise TableError(f"{path} is empty")
+    try:
+        n = rows.agg(F.count(F.struct("*")), F.max(F.hash("*"))).first()[0]  # reads all fields
+    except Exception:
+        check_jsonl(spark, path)
+        raise
+    if n < least:
+        raise TableError(f"{path} is empty: it has {n} rows")
+    return rows
+
+
 def write_jsonl(df: DataFrame, path: str) -> int:
     """Write JSON lines beside ``path`` and rename them into its place; the number of rows."""
     from pyspark.sql import Observation
@@ -102,7 +118,12 @@ def load_table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def load_graph(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the current version; a graph without nodes, or with a table of another shape, is an error."""
+    """Nodes and edges of the current version, or of nodes.jsonl and edges.jsonl where there is none.
+
+    A graph without nodes, or with a table of another shape, is an error.
+    """
+    if current_version(spark, base) is None and exists(spark, f"{base}/nodes.jsonl"):
+        return load_jsonl(spark, f"{base}/nodes.jsonl", NODES, 1), load_jsonl(spark, f"{base}/edges.jsonl", EDGES)
     nodes, edges = load_table(spark, base, "nodes"), load_table(spark, base, "edges")
     for df, wanted, name in ((nodes, NODES, "nodes"), (edges, EDGES, "edges")):
         if lost := {c.split()[0] for c in wanted.split(", ")} - set(df.columns):

@@ -48,21 +48,28 @@ def test_verbs(say, work):
     code, out, _ = say("reindex")
     assert code == 0 and " 0 deleted" in out
     code, out, _ = say("find", "LOAD", "--json")
-    assert [r["id"] for r in json.loads(out)] == ["core-lib::lib.py::load"]
+    found = json.loads(out)
+    assert [r["id"] for r in found["matches"]] == ["core-lib::lib.py::load"] and found["freshness"]["available"]
     code, out, _ = say("query", "--changed", "core-lib::lib.py::load", "--json")
     found = json.loads(out)
-    assert {r["id"]: r["owner"] for r in found["affected"]} == {"app::app.py::job": "@apps", "core-lib::lib.py::shared": "@core", "app::app.py": "@apps"} or {r["id"] for r in found["affected"]} >= {"app::app.py::job", "core-lib::lib.py::shared"}
+    assert {r["id"]: r["owner"] for r in found["results"]} == {"app::app.py::job": "@apps", "core-lib::lib.py::shared": "@core"} and found["count"] == 2
     assert found["freshness"]["available"] and not found["freshness"]["stale"]
     assert "@core" in say("blast", "--changed", "core-lib::lib.py::load", "--offline")[1]
     code, _, err = say("query", "--changed", "nothing")
-    assert code == 1 and "nothing" in err
+    assert code == 1 and "nothing" in err and "find" in err
+    with pytest.raises(SystemExit):
+        say("query", "--changed", "x", "--pr", "1")
     (work / "core-lib" / "lib.py").write_text(LIB.replace("return path", "return path + ''"))
     found = json.loads(say("query", "--branch", "HEAD", "--json", cwd=work / "core-lib")[1])
-    assert set(found["changed"]) == {"core-lib::lib.py", "core-lib::lib.py::load"}
-    assert say("query", "--branch", "HEAD", "--committed", cwd=work / "core-lib")[1] == "no symbol of the graph changed"
+    assert set(found["changed_ids"]) == {"core-lib::lib.py", "core-lib::lib.py::load"}
+    assert say("query", "--branch", "HEAD", "--committed", cwd=work / "core-lib")[1].endswith("no symbol of the graph changed")
+    assert json.loads(say("query", "--diff", "HEAD", "--json")[1])["changed_ids"] == found["changed_ids"]
+    assert json.loads(say("query", "--diff", "HEAD", "--repo", "app", "--json")[1])["changed_ids"] == []
+    code, _, err = say("query", cwd=work)
+    assert code == 1 and "work tree" in err
     (work / "c.diff").write_text("--- a/app.py\n+++ b/app.py\n@@ -5 +5 @@\n")
-    assert say("query", "--diff", str(work / "c.diff"), "--repo", "App")[1].startswith("nothing depends on it")
-    code, _, err = say("query", "--diff", str(work / "c.diff"), "--repo", "zzz")
+    assert say("query", "--patch", str(work / "c.diff"), "--repo", "acme/App")[1].endswith("nothing depends on it")
+    code, _, err = say("query", "--patch", str(work / "c.diff"), "--repo", "zzz")
     assert code == 1 and "zzz" in err
     (work / "core-lib" / "lib.py").write_text(LIB + "\n\ndef more():\n    return shared()\n")
     code, out, _ = say("run")
@@ -76,6 +83,27 @@ def test_verbs(say, work):
     assert say("sql", "SELECT count(*) AS n FROM runs")[1] == '{"n": 2}'
 
 
+def test_jsonl_graph(spark, tmp_path, say):
+    """A graph of two files of JSON lines is read as it is; what is wrong with one is said."""
+
+    def find():
+        return say("--graph-dir", str(tmp_path), "find", "run", "--json")
+
+    code, _, err = find()
+    assert code == 1 and str(tmp_path) in err
+    (tmp_path / "nodes.jsonl").write_text("")
+    (tmp_path / "edges.jsonl").write_text("")
+    assert find()[0] == 1 and "empty" in find()[2]
+    (tmp_path / "nodes.jsonl").write_text('{"id": "a::f.py::run", "kind": "function"\n')
+    assert find()[0] == 1 and "nodes.jsonl:1" in find()[2]
+    (tmp_path / "nodes.jsonl").write_text('{"id": "a::f.py::run", "kind": "function", "name": "run", "repo": "a"}\n{"id": "b::g.py::use", "kind": "function", "name": "use", "repo": "b"}\n')
+    (tmp_path / "edges.jsonl").write_text('{"type": "CALLS", "src": "b::g.py::use", "dst": "a::f.py::run", "confidence": 0.9}\n')
+    found = json.loads(find()[1])
+    assert [r["id"] for r in found["matches"]] == ["a::f.py::run"] and not found["freshness"]["available"]
+    found = json.loads(say("--graph-dir", str(tmp_path), "query", "--offline", "--json", "--changed", "a::f.py::run")[1])
+    assert [r["id"] for r in found["results"]] == ["b::g.py::use"]
+
+
 def test_tools(spark, work, say):
     cache = GraphCache(spark, str(work / "graph"))
     tools = Tools(cache)
@@ -93,8 +121,12 @@ def test_tools(spark, work, say):
     edges = cache.engine.run_edges(cache.engine.graph_state())
     assert edges.filter("type = 'RECORDED'").count() == cache.engine.run_changes(cache.engine.graph_state()).count()
     assert cache.engine.all_edges().filter("pending").count() > 0
+    out = work / "out"
+    assert say("export", str(out))[0] == 0
+    copy = GraphCache(spark, str(out)).graph()
+    assert copy[0].count() == cache.graph()[0].count() and copy[1].count() > cache.graph()[1].count()
     assert say("clear")[0] == 0 and say("find", "load")[0] == 1 and cache.engine.runs().count() == 3
-    assert say("reindex")[0] == 0 and json.loads(say("find", "load", "--json")[1])
+    assert say("reindex")[0] == 0 and json.loads(say("find", "load", "--json")[1])["matches"]
 
 
 def test_settings(tmp_path):
