@@ -22,7 +22,7 @@ def parse_diff(lines: DataFrame, default_path: str | None = None, by: str | None
     Headers are found wherever a line looks like one, and hold until the next.
     """
     keys = [by] if by else []
-    order = Window.partitionBy(*keys).orderBy("ord") if by else Window.partitionBy(F.lit(0)).orderBy("ord")
+    order = Window.partitionBy(*keys).orderBy("ord") if by else Window.partitionBy(F.lit(0)).orderBy("ord")  # without keys: one diff's lines
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = lambda mark, side: F.when(F.startswith("line", F.lit(mark)), F.regexp_replace(F.trim(F.substring("line", 5, 1 << 20)), f"^{side}/", ""))
     git = F.startswith("line", F.lit("diff --git "))
@@ -33,6 +33,7 @@ def parse_diff(lines: DataFrame, default_path: str | None = None, by: str | None
     rows = rows.withColumn("__old_now", F.last(mark, ignorenulls=True).over(upto)["p"])
     file = F.when(F.col("__new").isNotNull(), F.struct(F.coalesce(null_("__new"), F.col("__old_now"), F.lit(default_path)).alias("path"), F.col("__old_now").alias("old_path"), null_("__new").isNull().alias("deleted"))).when(git, F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit(False).alias("deleted")))
     rows = rows.withColumn("__file", F.last(file, ignorenulls=True).over(upto))
+    # the head of a hunk in the unified format (fixed pattern)
     hunk = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
     n = lambda i: F.regexp_extract("line", hunk, i)
     count = lambda i: F.when(n(i) == "", 1).otherwise(n(i).try_cast("int"))
