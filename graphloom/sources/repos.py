@@ -11,6 +11,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.names import glob_regex, ignore_regex
 from graphloom.plans.lineage import cut, ship
@@ -26,15 +27,11 @@ OWNER_FILES = ("CODEOWNERS", ".github/CODEOWNERS", "docs/CODEOWNERS")
 
 def all_files(spark: SparkSession, repo: str, root: str) -> DataFrame:
     """repo, path (relative), length, content of a tree, hidden files too (Spark's own file sources pass over those)."""
-    return trees(spark, {repo: root})
+    return with_content(trees(spark, {repo: root}))
 
 
-def trees(spark: SparkSession, roots: dict[str, str], files_per_task: int = 512) -> DataFrame:
-    """repo, path, length, content of all files of the trees; content is null above the size that is parsed.
-
-    A task walks each tree for names and sizes; the files are then dealt out anew and
-    read, so neither the driver nor a walking task holds contents.
-    """
+def trees(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """repo, root, path, length of all files of the trees. A task walks each tree; nothing is read yet."""
     ship(spark)
     rows = spark.createDataFrame(list(roots.items()), "repo string, root string").repartition(len(roots), "repo")
 
@@ -45,7 +42,20 @@ def trees(spark: SparkSession, roots: dict[str, str], files_per_task: int = 512)
                 while part := list(islice(found, 10_000)):
                     yield pd.DataFrame([(repo, root, path, size) for path, size in part], columns=["repo", "root", "path", "length"])
 
-    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return cut(rows.mapInPandas(listed, "repo string, root string, path string, length long"))
+
+
+def with_content(files: DataFrame, files_per_task: int = 512) -> DataFrame:
+    """Files of :func:`trees` with their content, read in tasks of some files each; null above the size that is parsed.
+
+    Files that have content stay as they are. Whatever is to be left out is best left out before.
+    """
+    if "content" in files.columns:
+        return files
+    columns = [c for c in files.columns if c != "root"]
+    tasks = max(1, -(-files.count() // files_per_task))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for low in range(0, len(batch), 16):
                 part = batch.iloc[low : low + 16]
@@ -56,15 +66,14 @@ def trees(spark: SparkSession, roots: dict[str, str], files_per_task: int = 512)
                         continue
                     with open_file(f"{root.rstrip('/')}/{path}") as f:
                         own.append(f.read())
-                yield pd.DataFrame({"repo": part["repo"], "path": part["path"], "length": part["length"], "content": own})
+                yield part[columns].assign(content=own)
 
-    names = cut(rows.mapInPandas(listed, "repo string, root string, path string, length long"))
-    tasks = max(1, -(-names.count() // files_per_task))
-    return names.repartition(tasks, "repo", "path").mapInPandas(contents, "repo string, path string, length long, content binary")
+    schema = T.StructType([files.schema[c] for c in columns] + [T.StructField("content", T.BinaryType())])
+    return files.repartition(tasks, "repo", "path").mapInPandas(read, schema)
 
 
 def _text_of(files: DataFrame, path: str) -> str:
-    found = files.filter((F.col("path") == path) & (F.col("length") <= MAX_FILE_BYTES)).select(F.decode("content", "UTF-8")).first()
+    found = with_content(files.filter((F.col("path") == path) & (F.col("length") <= MAX_FILE_BYTES))).select(F.decode("content", "UTF-8")).first()
     return found[0] if found else ""
 
 
@@ -87,7 +96,7 @@ def source_files(files: DataFrame, languages: list[str] | None = None, path_glob
         pattern = ignore_regex(line)
         if pattern:
             ignored = F.when(F.col("path").rlike(pattern), F.lit(not line.startswith("!"))).otherwise(ignored)
-    return rows.filter(~ignored).select("repo", "path", "lang", "content")
+    return with_content(rows.filter(~ignored)).select("repo", "path", "lang", "content")
 
 
 def _toml_names(text: str) -> list:
@@ -145,14 +154,14 @@ def packages(files: DataFrame) -> DataFrame:
             rows = [(r, n) for r, p, c in batch[["repo", "path", "content"]].itertuples(index=False) for n in sorted(package_names(p, bytes(c or b"").decode("utf-8", "replace")))]
             yield pd.DataFrame(rows, columns=["repo", "name"])
 
-    return wanted.mapInPandas(run, "repo string, name string").distinct()
+    return with_content(wanted).mapInPandas(run, "repo string, name string").distinct()
 
 
 def owner_rules(files: DataFrame) -> DataFrame:
     """repo, ord, pattern, regex, owner: the rules of the first owner file that exists in each repo."""
     ship(files.sparkSession)
     place = F.array_position(F.array(*[F.lit(p) for p in OWNER_FILES]), F.col("path"))
-    own = files.filter(F.col("path").isin(*OWNER_FILES)).groupBy("repo").agg(F.min_by("content", place).alias("content"))
+    own = with_content(files.filter(F.col("path").isin(*OWNER_FILES))).groupBy("repo").agg(F.min_by("content", place).alias("content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
