@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from graphloom import catalog
 from graphloom.functions import names as fn
 from graphloom.operators import history, reach, resolve, snapshot
-from graphloom.plans.engine import EDGE_COLUMNS, NODE_COLUMNS, Engine, numbered
-from graphloom.plans.lineage import checkpoint_dir
+from graphloom.plans.engine import EDGE_COLUMNS, NODE_COLUMNS, Engine
+from graphloom.plans.lineage import checkpoint_dir, numbered
 from graphloom.registry import query
 from graphloom.schema import NODES
 from graphloom.sources import binding as b

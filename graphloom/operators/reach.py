@@ -1,10 +1,11 @@
 """Reverse reachability ("blast radius") by frontier joins.
 
 Each hop is one job: a join of the frontier with the dependency edges, a grouped
-maximum, and a table of the new frontier in the shared folder. So plans stay
-small, a lost executor costs one hop, and Spark knows each frontier's size. The
-edges are dealt by their target once; a frontier too large to broadcast moves to
-them. All seeds travel in one loop keyed (seed, id).
+maximum, and the new frontier, which is held as literal rows while it is short and
+as a table in the shared folder beyond. So plans stay small, a lost executor costs
+one hop, and Spark knows each frontier's size. The edges are dealt by their target
+once; a frontier too large to broadcast moves to them. All seeds travel in one loop
+keyed (seed, id).
 """
 
 from __future__ import annotations
@@ -24,6 +25,19 @@ def dependencies(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("type").isin(*DEPENDENCY_TYPES)).select(F.col("src").alias("id"), F.col("dst").alias("on"), F.coalesce("confidence", F.lit(1.0)).alias("c"), ord_.alias("edge_ord"))
 
 
+#: Rows up to which a frontier is held by the driver.
+SHORT = 2_000
+
+
+def _settled(hop: DataFrame, last: int) -> tuple[DataFrame, int]:
+    """A hop's rows, computed once, and their number. After a long hop the next is written without trying."""
+    if last <= SHORT:
+        rows = hop.limit(SHORT + 1).collect()
+        if len(rows) <= SHORT:
+            return hop.sparkSession.createDataFrame(rows, hop.schema), len(rows)
+    return written(hop, "hop")
+
+
 def reach_offline(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
     """seed, id, distance, confidence: fewest hops, and the best bottleneck over paths of that many hops.
 
@@ -32,14 +46,14 @@ def reach_offline(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> Da
     """
     deps = dependencies(edges).repartition("on").persist()
     first = deps.join(seeds.select(F.col("seed"), F.col("seed").alias("on")).distinct(), "on").groupBy("seed", "id").agg(F.max_by("c", "edge_ord").alias("confidence"))
-    frontier, n = written(first.withColumn("distance", F.lit(1)), "hop")
+    frontier, n = _settled(first.withColumn("distance", F.lit(1)), 0)
     hops, depth = [frontier], 1
     while depth < max_depth and n:
         depth += 1
         step = frontier.select("seed", F.col("id").alias("on"), "confidence").join(deps, "on")
         step = step.groupBy("seed", "id").agg(F.max(F.least("confidence", "c")).alias("confidence")).withColumn("distance", F.lit(depth))
         seen = reduce(DataFrame.unionByName, hops).select("seed", "id")
-        frontier, n = written(step.join(seen, ["seed", "id"], "left_anti"), "hop")
+        frontier, n = _settled(step.join(seen, ["seed", "id"], "left_anti"), n)
         hops.append(frontier)
     deps.unpersist()
     return reduce(DataFrame.unionByName, hops).select("seed", "id", "distance", "confidence")
@@ -52,13 +66,13 @@ def reach_database(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> D
     """
     deps = dependencies(edges).withColumn("c", F.least("c", F.lit(1.0))).repartition("on").persist()
     frontier = seeds.select("seed", F.col("seed").alias("id"), F.lit(1.0).alias("confidence")).distinct()
-    hops = []
+    hops, n = [], 0
     for depth in range(1, max_depth + 1):
         step = frontier.select("seed", F.col("id").alias("on"), "confidence").join(deps, "on").groupBy("seed", "id").agg(F.max(F.least("confidence", "c")).alias("confidence"))
         if hops:
             old = reduce(DataFrame.unionByName, hops).groupBy("seed", "id").agg(F.max("confidence").alias("was"))
             step = step.join(old, ["seed", "id"], "left").filter(F.col("was").isNull() | (F.col("confidence") > F.col("was"))).drop("was")
-        frontier, n = written(step.withColumn("distance", F.lit(depth)), "hop")
+        frontier, n = _settled(step.withColumn("distance", F.lit(depth)), n)
         hops.append(frontier)
         if not n:
             break

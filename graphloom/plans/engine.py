@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import data_edges, history, lookup, owners, reach, resolve, snapshot
-from graphloom.plans.lineage import cut
+from graphloom.plans.lineage import cut, numbered
 from graphloom.schema import EDGES, NODES, STALE_SECONDS, GraphError, TableError
 from graphloom.sources import diffs, repos, tables
 from graphloom.sources.extract import extract
@@ -22,15 +22,6 @@ def _edges(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in EDGE_COLUMNS.items()])
 
 
-def numbered(df: DataFrame, by: list[str], into: str) -> DataFrame:
-    """``df`` with its rank from 0 in a total order, by a distributed sort and the sizes of its ranges."""
-    row = F.monotonically_increasing_id()
-    rows = cut(df.orderBy(*by).withColumns({"__part": F.shiftright(row, 33), "__row": row.bitwiseAND(F.lit((1 << 33) - 1))}))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("__part").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0)))  # a row per partition
-    return rows.join(F.broadcast(sizes.drop("count")), "__part").withColumn(into, F.col("__before") + F.col("__row")).drop("__part", "__row", "__before")
-
-
 def parse(spark: SparkSession, roots: dict[str, str], languages: list[str] | None = None, path_globs: dict[str, list[str]] | None = None, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, pending, structural edges of the trees; their order is that of repos, paths and offsets."""
     order = {r: i for i, r in enumerate(roots)}

@@ -7,6 +7,8 @@ their predecessor.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
@@ -90,9 +92,17 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN f ON f.nn = n_name
 """
 
 
+#: The folder whose tables each session's views show.
+_shown: WeakKeyDictionary[SparkSession, str] = WeakKeyDictionary()
+
+
 def views(spark: SparkSession, sf_dir: str) -> None:
+    """Show the tables of a folder as views; once, as each takes a look at its files."""
+    if _shown.get(spark) == sf_dir:
+        return
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    _shown[spark] = sf_dir
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
