@@ -47,8 +47,9 @@ def normalize_dataset(raw: Column) -> Column:
     n = F.regexp_replace(F.regexp_replace(n, r"^dbfs:", ""), r"^/", "")
     n = F.regexp_replace(F.regexp_replace(n, r"\{[^}]*\}", "*"), r"/+$", "")
     n = F.regexp_replace(F.substring_index(n, "/", -1), r"\.(" + "|".join(DATASET_ENDINGS) + ")$", "")
-    n = strip_space(n)
-    return F.when((F.length(n) >= 3) & ~n.isin(DATASET_STOPLIST) & (n != "*"), n)
+    # a lambda's variable, as the optimizer would write out the patterns for each use
+    said = lambda n: F.when((F.length(n) >= 3) & ~n.isin(DATASET_STOPLIST) & (n != "*"), n)
+    return F.element_at(F.transform(F.array(strip_space(n)), said), 1)
 
 
 def table_key(name: Column) -> Column:
