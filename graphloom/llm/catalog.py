@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, decontamination, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, warc
+from graphloom.llm import chat, decontamination, lexical, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, warc, whitening
 
 QUERIES = {
     "op10_separator_scan": token_counts.op10_separator_scan,
     "op11_capture_index": warc.op11_capture_index,
+    "op12_tput_search": lexical.op12_tput_search,
+    "op13_randomised_whitening": whitening.op13_randomised_whitening,
     "op1_hierarchical_quality": quality_classifier.op1_hierarchical_quality,
     "op2_min_max_near_dedup": near_dedup.op2_min_max_near_dedup,
     "op3_cost_balanced_packing": packing.op3_cost_balanced_packing,
@@ -20,6 +22,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op11_capture_index": warc.OP11_SQL,
+    "op12_tput_search": lexical.OP12_SQL,
     "op2_min_max_near_dedup": near_dedup.OP2_SQL,
     "op5_fingerprint_chat": chat.OP5_SQL,
     "op7_jump_hash_shards": sharding.OP7_SQL,
