@@ -201,10 +201,9 @@ def fetch(postings: Postings, limits: DataFrame, k: int, block_items: int) -> Da
                 bound = own[0][3]
                 if len(at) >= k:
                     bound = max(bound, int(np.partition(partial[at], len(at) - k)[len(at) - k]))
-                out.append(pd.DataFrame({"item": item, "segment": group["segment"].iloc[0], "place": at, "partial": partial[at], "seen": seen[at], "bound": bound}))
-        if not out:
-            return pd.DataFrame({c: [] for c in ("item", "segment", "place", "partial", "seen", "bound")})
-        return pd.concat(out)
+                out.append((np.full(len(at), item), at, partial[at], seen[at], np.full(len(at), bound)))
+        item, at, partial, seen, bound = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 5
+        return pd.DataFrame({"item": item, "segment": group["segment"].iloc[0], "place": at, "partial": partial, "seen": seen, "bound": bound})
 
     found = sent.groupBy("segment", "block").applyInPandas(run, "item long, segment long, place int, partial long, seen long, bound long")
     found = found.join(broadcast_if_small(stored(slack, "lexical-slack")), "item").withColumn("most", F.col("partial") - F.col("seen") + F.col("slack"))
@@ -219,13 +218,15 @@ def exact_scores(postings: Postings, candidates: DataFrame, asked: DataFrame) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = [[np.zeros(0, np.int64)] * 4]
             for r in batch.itertuples(index=False):
                 order = np.argsort(r.places)
                 places, at = np.asarray(r.places)[order], np.asarray(r.at)
                 i = np.minimum(np.searchsorted(places, at), len(places) - 1)
                 hit = places[i] == at
-                if hit.any():
-                    yield pd.DataFrame({"item": np.asarray(r.items)[hit], "segment": r.segment, "place": at[hit], "score": np.asarray(r.scores)[order][i[hit]]})
+                out.append((np.asarray(r.items)[hit], np.full(hit.sum(), r.segment), at[hit], np.asarray(r.scores)[order][i[hit]]))
+            item, segment, at, score = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pd.DataFrame({"item": item, "segment": segment, "place": at, "score": score})
 
     lists = postings.lists.select("term", "segment", "places", "scores").join(broadcast_if_small(wanted), ["term", "segment"])
     looked = lists.mapInPandas(run, "item long, segment long, place int, score long")
