@@ -6,11 +6,13 @@ first. Three phases, each a job over the lists of the terms that are asked for:
 
 1. The head of every list, the ``k`` highest scores, gives each item partial
    scores; the k-th of them is a lower bound of its k-th best document.
-2. The bound over the number of the item's lists is its threshold, the same for all
-   of them. Of every list the prefix down to the threshold is sent, a segment to a
-   task; a document in no prefix can't reach the bound. The partial scores raise
-   the bound, and what a document may have below the thresholds decides whether it
-   stays a candidate.
+2. A share of the bound over the number of the item's lists is its threshold, the
+   same for all of them. Of every list the prefix down to the threshold is sent, a
+   segment to a task; a document in no prefix can't reach the bound. The partial
+   scores raise the bound, and what a document may have below the thresholds decides
+   whether it stays a candidate. The whole bound (share 1) sends least, but here the
+   heads of long items seldom meet, so it sent 99 % of the postings as well, and left
+   32 candidates for each of the best; a quarter (share 4) leaves 2.
 3. The exact scores of the candidates are looked up in all lists of their item.
 
 A task holds the postings of one segment, ``segment_docs`` documents or
@@ -45,6 +47,8 @@ NO_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 RAW = "term binary, segment long, places array<int>, tf array<int>, n array<int>, ids array<long>"
 LISTS = "term string, segment long, places array<int>, scores array<long>, head_places array<int>, head_scores array<long>, top long"
+#: Partitions that a list is dealt over at most.
+LIST_PARTS = 16
 #: Bytes of the terms asked for that the tasks may hold; beyond it all terms are written and joined with those asked for.
 TERM_BYTES = 16 << 20
 
@@ -123,7 +127,8 @@ class Postings:
         weights = weights.join(terms, "term", "left_semi").withColumn("weight", F.floor(1000 * F.log((2.0 * n_docs + 2) / (2 * F.col("df") + 1))).cast("long"))
         self.weights = stored(weights.filter("weight > 0"), "postings-weights")
         scored = blocks.join(broadcast_if_small(self.weights.select("term", "weight")), "term").mapInPandas(scorer(n_docs, max(1, n_terms), k), LISTS)
-        self.lists = stored(scored.repartitionByRange("term", "segment").sortWithinPartitions("term", "segment"), "postings")
+        # a list lies in a few partitions, so that a frequent term isn't one task
+        self.lists = stored(scored.repartition("term", F.pmod("segment", F.lit(LIST_PARTS))).sortWithinPartitions("term", "segment"), "postings")
 
 
 def scorer(n_docs: int, n_terms: int, k: int):  # noqa: ANN201
@@ -161,54 +166,51 @@ def lower_bounds(postings: Postings, asked: DataFrame, k: int) -> DataFrame:
     return kth(partial, "partial", k)
 
 
-def thresholds(asked: DataFrame, bounds: DataFrame, tops: DataFrame) -> DataFrame:
-    """item, term, bound, least, below: the uniform threshold, and the most that a list can have below it. Terms without a list don't count."""
+def thresholds(asked: DataFrame, bounds: DataFrame, tops: DataFrame, share: int = 4) -> DataFrame:
+    """item, term, bound, least, below, slack: the uniform threshold, and the most that a list, and all of the item's, can have below it. Terms without a list don't count."""
     rows = asked.join(tops, "term").join(bounds, "item")
-    m = F.count("*").over(Window.partitionBy("item"))
-    least = F.greatest(F.lit(1), F.ceil(F.col("bound") / m)).cast("long")
-    return rows.withColumn("least", least).select("item", "term", "bound", "least", F.least("top", F.col("least") - 1).alias("below"))
+    of = Window.partitionBy("item")
+    least = F.greatest(F.lit(1), F.ceil(F.col("bound") / (F.count("*").over(of) * share))).cast("long")
+    rows = rows.withColumn("least", least).withColumn("below", F.least("top", F.col("least") - 1))
+    return rows.select("item", "term", "bound", "least", "below", F.sum("below").over(of).alias("slack"))
 
 
 def fetch(postings: Postings, limits: DataFrame, k: int, block_items: int) -> DataFrame:
-    """Phase 2: item, segment, place, partial, most of the documents that may still be among the ``k`` best.
+    """Phase 2: item, segment, place, most of the documents that may still be among the ``k`` best.
 
     A list is cut at the lowest threshold of the items that ask for it, and a segment's prefixes meet in a task for each block of items.
     """
-    asks = limits.withColumn("block", F.floor(F.col("item") / block_items)).groupBy("term", "block").agg(F.collect_list(F.struct("item", "least", "below", "bound")).alias("asks"), F.min("least").alias("lowest"))
+    asks = limits.withColumn("block", F.floor(F.col("item") / block_items)).groupBy("term", "block").agg(F.collect_list(F.struct("item", "least", "below", "bound", "slack")).alias("asks"), F.min("least").alias("lowest"))
     sent = postings.lists.select("term", "segment", "places", "scores", "top").join(broadcast_if_small(stored(asks, "lexical-asks")), "term").filter("top >= lowest")
     kept = F.aggregate("scores", F.lit(0), lambda a, s: a + F.when(s >= F.col("lowest"), 1).otherwise(0))
     sent = sent.withColumn("kept", kept).select("segment", "block", F.slice("places", 1, F.col("kept")).alias("places"), F.slice("scores", 1, F.col("kept")).alias("scores"), "asks")
-    # what an item may have below the thresholds of all its lists, also of those without a block in the segment
-    slack = limits.groupBy("item").agg(F.sum("below").alias("slack"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         lists = [(np.asarray(p), np.asarray(s)) for p, s in zip(group["places"], group["scores"], strict=True)]
-        asked: dict[int, list[tuple[int, int, int, int]]] = {}
+        asked: dict[int, list[tuple[int, dict]]] = {}
         for i, asks_of in enumerate(group["asks"]):
             for a in asks_of:
-                asked.setdefault(a["item"], []).append((i, a["least"], a["below"], a["bound"]))
+                asked.setdefault(a["item"], []).append((i, a))
         room = 1 + max(int(p.max()) for p, _ in lists)
-        out = []
+        out = [[np.zeros(0, np.int64)] * 4]
         for item, own in asked.items():
-            partial, seen = np.zeros(room, np.int64), np.zeros(room, np.int64)
-            for i, least, below, _ in own:
+            partial, most = np.zeros(room, np.int64), np.full(room, own[0][1]["slack"])
+            for i, a in own:
                 places, scores = lists[i]
-                cut = int(np.searchsorted(-scores, -least, side="right"))
+                cut = int(np.searchsorted(-scores, -a["least"], side="right"))
                 partial[places[:cut]] += scores[:cut]
-                seen[places[:cut]] += below
+                most[places[:cut]] += scores[:cut] - a["below"]
             at = np.flatnonzero(partial)
-            if len(at):
-                bound = own[0][3]
-                if len(at) >= k:
-                    bound = max(bound, int(np.partition(partial[at], len(at) - k)[len(at) - k]))
-                out.append((np.full(len(at), item), at, partial[at], seen[at], np.full(len(at), bound)))
-        item, at, partial, seen, bound = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 5
-        return pd.DataFrame({"item": item, "segment": group["segment"].iloc[0], "place": at, "partial": partial, "seen": seen, "bound": bound})
-
-    found = sent.groupBy("segment", "block").applyInPandas(run, "item long, segment long, place int, partial long, seen long, bound long")
-    found = found.join(broadcast_if_small(stored(slack, "lexical-slack")), "item").withColumn("most", F.col("partial") - F.col("seen") + F.col("slack"))
-    found = stored(found.filter("most >= bound").drop("seen", "slack", "bound"), "lexical-partial")
-    return found.join(broadcast_if_small(stored(kth(found, "partial", k), "lexical-bounds")), "item").filter("most >= bound")
+            bound = own[0][1]["bound"]
+            if len(at) >= k:
+                bound = max(bound, int(np.partition(partial[at], len(at) - k)[len(at) - k]))
+            at = at[most[at] >= bound]
+            out.append((np.full(len(at), item), at, partial[at], most[at]))
+        item, at, partial, most = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"item": item, "segment": group["segment"].iloc[0], "place": at, "partial": partial, "most": most})
+
+    found = stored(sent.groupBy("segment", "block").applyInPandas(run, "item long, segment long, place int, partial long, most long"), "lexical-partial")
+    return found.join(broadcast_if_small(stored(kth(found, "partial", k), "lexical-bounds")), "item").filter("most >= bound").select("item", "segment", "place", "most")
 
 
 def exact_scores(postings: Postings, candidates: DataFrame, asked: DataFrame) -> DataFrame:
