@@ -9,6 +9,7 @@ from graphloom.functions import names as fn
 from graphloom.operators import data_edges, history, lookup, owners, reach, resolve, snapshot
 from graphloom.plans.lineage import written
 from graphloom.registry import ORACLES, QUERIES, query
+from graphloom.schema import DEPENDENCY_TYPES
 from graphloom.sources import binding as b
 
 N, E, P = b.NODES, b.edges_sql("//"), b.PENDING
@@ -19,6 +20,11 @@ def _seeds(spark: SparkSession, *ids: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.lit(i) for i in ids])).alias("seed"))
 
 
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that a walk follows, written as in a graph folder, since it reads them twice."""
+    return written(b.edges(spark, sf_dir).filter(F.col("type").isin(*DEPENDENCY_TYPES)), "edges")[0]
+
+
 def _walk(seeds: str, depth: int = 10) -> str:
     return f"""e AS (SELECT src, dst, confidence AS c FROM ({E}) WHERE type IN ('CALLS', 'IMPORTS', 'CONSUMES', 'INHERITS')), s AS ({seeds}),
 r AS (SELECT seed, src AS id, 1 AS d, c FROM e JOIN s ON dst = seed UNION SELECT r.seed, e.src, r.d + 1, least(r.c, e.c) FROM r JOIN e ON e.dst = r.id WHERE r.d < {depth}),
@@ -35,28 +41,28 @@ _NAMED = "id, repo, path, owner, confidence, distance"
 
 @query(f"WITH RECURSIVE {_walk(_ONE)} SELECT {_NAMED} FROM off LEFT JOIN n USING (id)")
 def blast_radius_offline(spark, sf_dir):
-    return reach.ranked(reach.blast_radius(b.edges(spark, sf_dir), b.nodes(spark, sf_dir), _seeds(spark, SEED)))
+    return reach.ranked(reach.blast_radius(_edges(spark, sf_dir), b.nodes(spark, sf_dir), _seeds(spark, SEED)))
 
 
 @query(f"WITH RECURSIVE {_walk(_ONE)} SELECT {_NAMED} FROM dat LEFT JOIN n USING (id)")
 def blast_radius_database(spark, sf_dir):
-    return reach.ranked(reach.blast_radius(b.edges(spark, sf_dir), b.nodes(spark, sf_dir), _seeds(spark, SEED), mode="database"))
+    return reach.ranked(reach.blast_radius(_edges(spark, sf_dir), b.nodes(spark, sf_dir), _seeds(spark, SEED), mode="database"))
 
 
 @query(f"WITH RECURSIVE {_walk(_ONE, 3)} SELECT {_NAMED} FROM off LEFT JOIN n USING (id)")
 def blast_radius_depth_limited(spark, sf_dir):
-    return reach.ranked(reach.blast_radius(b.edges(spark, sf_dir), b.nodes(spark, sf_dir), _seeds(spark, SEED), max_depth=3))
+    return reach.ranked(reach.blast_radius(_edges(spark, sf_dir), b.nodes(spark, sf_dir), _seeds(spark, SEED), max_depth=3))
 
 
 @query(f"WITH RECURSIVE {_walk(_MANY)}, o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY confidence DESC, seed) AS k FROM off) SELECT {_NAMED} FROM o LEFT JOIN n USING (id) WHERE k = 1")
 def blast_radius_multi_seed(spark, sf_dir):
-    return reach.ranked(reach.blast_radius(b.edges(spark, sf_dir), b.nodes(spark, sf_dir), _seeds(spark, "dataset::p7", "dataset::p11", "NATION_0")))
+    return reach.ranked(reach.blast_radius(_edges(spark, sf_dir), b.nodes(spark, sf_dir), _seeds(spark, "dataset::p7", "dataset::p11", "NATION_0")))
 
 
 @query(f"""WITH RECURSIVE {_walk(_MANY)}, o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY confidence DESC, seed) AS k FROM off)
 SELECT coalesce(nullif(owner, ''), '(no owner)') AS owner, count(*) AS n_affected, min(distance) AS nearest, max(confidence) AS confidence FROM o LEFT JOIN n USING (id) WHERE k = 1 GROUP BY 1""")
 def blast_radius_by_owner(spark, sf_dir):
-    return reach.by_owner(reach.blast_radius(b.edges(spark, sf_dir), b.nodes(spark, sf_dir), _seeds(spark, "dataset::p7", "dataset::p11", "NATION_0")))
+    return reach.by_owner(reach.blast_radius(_edges(spark, sf_dir), b.nodes(spark, sf_dir), _seeds(spark, "dataset::p7", "dataset::p11", "NATION_0")))
 
 
 @query(f"SELECT * REPLACE (coalesce(start_line, 0) AS start_line, coalesce(end_line, 0) AS end_line) FROM ({N})")

@@ -6,7 +6,7 @@ import argparse
 import json
 import subprocess
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -17,7 +17,7 @@ from graphloom import config
 from graphloom.plans import provenance, render
 from graphloom.plans.engine import Engine
 from graphloom.schema import GraphError
-from graphloom.sources import diffs, git, pull_requests
+from graphloom.sources import diffs, git, pull_requests, tables
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -40,6 +40,8 @@ def arguments() -> argparse.ArgumentParser:
         v.add_argument("--max-depth", type=int, default=10)
         v.add_argument("--offline", action="store_true", help="shortest paths only")
         v.add_argument("--json", action="store_true")
+        v.add_argument("--limit", type=int, help="rows to send, all unless given")
+        v.add_argument("--out", help="write the rows as JSON lines to this folder instead")
     v = verbs.add_parser("find", help="symbols by a part of their name")
     v.add_argument("pattern")
     v.add_argument("--limit", type=int, default=50)
@@ -68,9 +70,11 @@ class Session:
         self.settings = config.load(args.config, {"graph_dir": args.graph_dir, "clone_dir": args.clone_dir}, cwd=self.cwd)
         self.engine = Engine(spark, self.settings.graph_dir)
 
-    def run(self) -> str:
-        verb: Callable[[], str] = getattr(self, f"do_{self.args.verb}")
-        return verb()
+    def run(self) -> Iterator[str]:
+        """The command's output, piece by piece: results of any number of rows don't gather here."""
+        verb: Callable[[], str | Iterator[str]] = getattr(self, f"do_{self.args.verb}")
+        out = verb()
+        yield from [out] if isinstance(out, str) else out
 
     def _here(self) -> git.WorkTree | None:
         """The work tree that the working folder is in."""
@@ -136,15 +140,29 @@ class Session:
         row = self.engine.freshness(F.current_timestamp()).first()
         return row.asDict(recursive=True) if row else {"available": False}
 
-    def do_query(self) -> str:
+    def do_query(self) -> Iterator[str]:
         args = self.args
         what, ids = self._changed()
         found = self.engine.blast_radius(ids, args.max_depth, "offline" if args.offline else "database") if ids else None
+        count = found.count() if ids else 0
+        if ids and args.limit is not None:
+            found = found.limit(args.limit)
+        if args.out and ids:
+            tables.write_jsonl(found, args.out)
         if args.json:
-            rows = _rows(found, 10_000) if ids else []
-            return json.dumps({"freshness": self._freshness(), "change": what, "changed_ids": ids, "count": found.count() if ids else 0, "results": rows}, sort_keys=True)
-        fresh = render.freshness(self.engine.freshness(F.current_timestamp()))
-        return f"{fresh}\n{what}\n" + (render.impact(found) if ids else "no symbol of the graph changed")
+            head = {"change": what, "changed_ids": ids, "count": count, "freshness": self._freshness()} | ({"out": args.out} if args.out else {})
+            yield json.dumps(head, sort_keys=True)[:-1] + ', "results": ['
+            if ids and not args.out:
+                for n, r in enumerate(found.toLocalIterator()):
+                    yield ("," if n else "") + json.dumps(r.asDict(recursive=True), sort_keys=True)
+            yield "]}"
+            return
+        yield render.freshness(self.engine.freshness(F.current_timestamp()))
+        yield what
+        if args.out and ids:
+            yield f"{count} rows in {args.out}"
+        else:
+            yield from render.impact(found) if ids else ["no symbol of the graph changed"]
 
     do_blast = do_query
 
@@ -155,7 +173,7 @@ class Session:
             return json.dumps({"matches": rows, "freshness": self._freshness()}, sort_keys=True)
         return "\n".join(f"{r['kind']:9} {r['id']}" + (f"  ({r['owner']})" if r["owner"] else "") for r in rows) or f"nothing is named {self.args.pattern}"
 
-    def do_runs(self) -> str:
+    def do_runs(self) -> str | Iterator[str]:
         return render.run_changes(self.engine.run_changes(self.args.sha)) if self.args.sha else render.runs(self.engine.last_runs(self.args.limit), self.args.limit)
 
     def _index(self, roots: dict[str, str], statuses: dict[str, dict]) -> str:
@@ -206,7 +224,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, cwd:
     args = arguments().parse_args(argv)
     spark = spark or SparkSession.builder.appName("graphloom").getOrCreate()
     try:
-        print(Session(spark, args, cwd).run())
+        for piece in Session(spark, args, cwd).run():
+            print(piece)
     except (GraphError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -103,9 +103,17 @@ def import_table(refs: DataFrame, imports: DataFrame, nodes: DataFrame, packages
 
 
 def exact_qualname(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pend_ord, dst, confidence 0.80: the first symbol of the repo with the qualified name, other than the source."""
-    rows = refs.select("pend_ord", "repo", "src", strip_self(F.col("target")).alias("qualname")).join(symbols(nodes), ["repo", "qualname"]).filter("id <> src")
-    return rows.groupBy("pend_ord").agg(F.min_by("id", "node_ord").alias("dst")).select(*_found("dst", F.lit(0.8)))
+    """pend_ord, dst, confidence 0.80: the first symbol of the repo with the qualified name, other than the source.
+
+    Only the source can be passed over, so the first two of each name suffice, and
+    calls meet one row however many namesakes there are.
+    """
+    ids = symbols(nodes).groupBy("repo", "qualname", "id").agg(F.min("node_ord").alias("node_ord"))
+    place = F.row_number().over(Window.partitionBy("repo", "qualname").orderBy("node_ord"))
+    two = ids.withColumn("place", place).filter("place <= 2").groupBy("repo", "qualname").agg(F.min_by("id", "place").alias("first"), F.max_by("id", "place").alias("second"))
+    rows = refs.select("pend_ord", "repo", "src", strip_self(F.col("target")).alias("qualname")).join(two, ["repo", "qualname"])
+    rows = rows.withColumn("dst", F.when(F.col("first") != F.col("src"), F.col("first")).otherwise(F.col("second"))).filter("dst <> src")
+    return rows.select(*_found("dst", F.lit(0.8)))
 
 
 def by_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:

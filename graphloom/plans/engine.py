@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import data_edges, history, lookup, owners, reach, resolve, snapshot
+from graphloom.operators import data_edges, history, lookup, merkle, owners, reach, resolve, snapshot
 from graphloom.plans.lineage import cut, numbered
-from graphloom.schema import EDGES, NODES, STALE_SECONDS, GraphError, TableError
+from graphloom.schema import EDGES, NODES, PENDING, STALE_SECONDS, GraphError, TableError
 from graphloom.sources import diffs, repos, tables
 from graphloom.sources.extract import extract
+from graphloom.sources.store import Patch, Replace, Store, difference
 
 NODE_COLUMNS = ["id", "kind", "name", "repo", "path", "owner", "signature", "docstring", "start_line", "end_line", "lang", "node_ord"]
 EDGE_COLUMNS = {"type": "string", "src": "string", "dst": "string", "confidence": "double", "line": "int", "raw": "string", "dataset": "string", "derived": "boolean", "package": "string", "source": "string", "edge_ord": "long"}
@@ -64,6 +65,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.base = spark, base.rstrip("/")
+        self.store = Store(spark, self.base)
         self.pending: DataFrame | None = None
 
     def build(self, roots: dict[str, str], languages: list[str] | None = None, path_globs: dict[str, list[str]] | None = None, **options: object) -> tuple[DataFrame, DataFrame]:
@@ -81,43 +83,64 @@ class Engine:
         With ``state_run`` other than the snapshot's run (a store that went its own
         way) or ``full``, everything is upserted; ``full`` also prunes.
         """
-        spark, has = self.spark, tables.current_version(self.spark, self.base) is not None
+        spark, store = self.spark, self.store
+        has = store.manifest() is not None
         state = self.graph_state() if has else None
         mismatch = has and state_run not in ("same", state)
         compare = has and not full and not mismatch
-        old_nodes = tables.load_table(spark, self.base, "snapshot_nodes") if compare else None
-        old_edges = tables.load_table(spark, self.base, "snapshot_edges") if compare else None
-        up, gone, stale = cut(snapshot.upserts(nodes, old_nodes)), cut(snapshot.deletes(nodes, old_nodes)), cut(snapshot.stale_edges(edges, old_edges))
-        stored = nodes
+        tree = merkle.tree(nodes)
+        if compare:
+            diff = merkle.changes(tree, store)
+            up, gone = cut(nodes.join(diff.upserts.select("id"), "id", "left_semi").select(nodes.columns)), diff.deletes.select("id")
+            snapshot_nodes = {"snapshot_nodes": Patch(diff.upserts, diff.deletes)}
+            trees = {n: difference(t.rows, store.load(n), t.keys, t.by) for n, t in merkle.tables(tree).items() if n != "snapshot_nodes"}
+        else:
+            up, gone = nodes, nodes.select("id").limit(0)
+            snapshot_nodes, trees = {}, merkle.tables(tree)
+        keys = ["type", "src", "dst"]
+        links = snapshot.snapshot_edges(edges)
         if has:
-            current = tables.load_table(spark, self.base, "nodes")
-            gone_now = snapshot.deletes(nodes, current.select("id")) if full else gone
-            stored = snapshot.upsert(current, up.dropDuplicates(["id"]), ["id"]).join(gone_now.select("id"), "id", "left_anti").select(NODE_COLUMNS)
-        n_up, n_gone, n_stale, n_all = up.count(), gone.count(), stale.count(), nodes.count()
-        linked = snapshot.with_endpoints(edges, stored).select(list(EDGE_COLUMNS))
+            current = store.load("nodes")
+            gone_now = cut(snapshot.deletes(nodes, current.select("id"))) if full else gone
+            stored = snapshot.upsert(current, up.dropDuplicates(["id"]).select(NODE_COLUMNS), ["id"]).join(gone_now.select("id"), "id", "left_anti").select(NODE_COLUMNS)
+            kept_nodes: Replace | Patch = Patch(up.dropDuplicates(["id"]).select(NODE_COLUMNS), gone_now.select("id"))
+        else:
+            stored, kept_nodes = nodes, Replace(nodes.select(NODE_COLUMNS), ["id"])
+        linked = resolve.dedupe(snapshot.with_endpoints(edges, stored).select(list(EDGE_COLUMNS)))
+        if has:
+            kept_edges = difference(linked, store.load("edges"), keys, ignore=("edge_ord",))
+            kept_links = difference(links, store.load("snapshot_edges"), keys)
+        else:
+            kept_edges, kept_links = Replace(linked, keys), Replace(links, keys)
+        n_stale = kept_links.deletes.count() if compare and kept_links.deletes is not None else 0
+        n_up, n_gone, n_all = up.count(), gone.count(), nodes.count()
         run_id = spark.range(1).select(history.run_id(F.to_timestamp(F.lit(at)), F.lit(sha))).first()[0]
         # a run's changes are a table of their own, as the first index of a large graph changes all of it
         changed = snapshot.changes(nodes, up, gone).withColumn("change_id", F.concat_ws(":", F.lit(run_id), "op", "node_id"))
         changed.write.mode("overwrite").parquet(f"{self.base}/changes/run_id={run_id}")
-        pending = self.pending
-        written = {"nodes": stored, "edges": linked, "snapshot_nodes": snapshot.snapshot_nodes(nodes), "snapshot_edges": snapshot.snapshot_edges(edges), "state": spark.createDataFrame([(run_id, sha, at)], "run_id string, sha string, at string")}
-        tables.save_version(spark, self.base, written | ({"pending": pending} if pending is not None else {}))
+        pending = {}
+        if self.pending is not None:
+            rows = self.pending.withColumn("place", F.col("pend_ord").bitwiseAND(F.lit((1 << 24) - 1)))
+            by = ["repo", "src_file", "place"]
+            pending = {"pending": difference(rows, store.load("pending"), by, ignore=("pend_ord",)) if store.has("pending") else Replace(rows, by)}
+        now = Replace(spark.createDataFrame([(run_id, sha, at)], "run_id string, sha string, at string"), ["run_id"])
+        store.save(nodes=kept_nodes, edges=kept_edges, snapshot_edges=kept_links, state=now, **snapshot_nodes, **trees, **pending)
         status = F.from_json(F.lit(_json(fetch_status or {})), "map<string,struct<status:string,reason:string,operation:string,sha:string,previous_sha:string>>")
         run = spark.range(1).select(F.lit(run_id).alias("id"), F.lit(sha).alias("sha"), F.lit(at).alias("at"), F.lit(source).alias("source"), F.lit(trigger_repo).alias("trigger_repo"), F.from_json(F.lit(_json(repo_shas or {})), "map<string,string>").alias("repo_shas"), F.lit(n_up).alias("upserted"), F.lit(n_gone).alias("deleted"), status.alias("fetch_status"))
         tables.append_run(run.coalesce(1), f"{self.base}/runs")
-        return {"run_id": run_id, "nodes": n_all, "upserted": n_up, "deleted": n_gone, "stale_edges": n_stale, "unchanged": n_all - n_up, "pending_edges": pending.count() if pending is not None else 0, "resolved_edges": edges.count(), "recovered": bool(mismatch)}
+        return {"run_id": run_id, "nodes": n_all, "upserted": n_up, "deleted": n_gone, "stale_edges": n_stale, "unchanged": n_all - n_up, "pending_edges": store.load("pending").count() if store.has("pending") else 0, "resolved_edges": edges.count(), "recovered": bool(mismatch)}
 
     def graph_state(self) -> str | None:
         """The run that the stored graph is of; the newest of the log where no state was kept."""
-        if tables.current_version(self.spark, self.base) is not None:
-            return tables.load_table(self.spark, self.base, "state").first().run_id
+        if self.store.manifest() is not None:
+            return self.store.load("state").first().run_id
         last = history.latest(self.last_runs()).select("id").first()
         return last[0] if last else None
 
     def export_jsonl(self, folder: str) -> dict[str, int]:
         """Write nodes.jsonl, and edges.jsonl with the unresolved references first; their numbers of rows."""
         nodes, edges = self.graph()
-        if tables.exists(self.spark, f"{self.base}/{tables.current_version(self.spark, self.base)}/pending"):
+        if self.store.has("pending"):
             edges = self.all_edges().drop("pending")
         return {"nodes": tables.write_jsonl(nodes, f"{folder}/nodes.jsonl"), "edges": tables.write_jsonl(edges, f"{folder}/edges.jsonl")}
 
@@ -133,14 +156,16 @@ class Engine:
     def clear(self) -> None:
         """Forget the graph and its snapshot; the run log and its changes stay."""
         spark = self.spark
-        nodes, edges, state = (spark.createDataFrame([], s) for s in (NODES, EDGES, "run_id string, sha string, at string"))
-        empty = {"nodes": nodes, "edges": edges, "snapshot_nodes": snapshot.snapshot_nodes(nodes), "snapshot_edges": snapshot.snapshot_edges(edges), "state": state.unionByName(spark.createDataFrame([("", "", "")], state.schema))}
-        tables.save_version(spark, self.base, empty, keep=1)
+        nodes, edges, pending = (spark.createDataFrame([], s) for s in (NODES, EDGES, f"{PENDING}, place long"))
+        keys = ["type", "src", "dst"]
+        state = Replace(spark.createDataFrame([("", "", "")], "run_id string, sha string, at string"), ["run_id"])
+        none = {"nodes": Replace(nodes.select(NODE_COLUMNS), ["id"]), "edges": Replace(edges.select(list(EDGE_COLUMNS)), keys), "snapshot_edges": Replace(snapshot.snapshot_edges(edges), keys), "pending": Replace(pending, ["repo", "src_file", "place"])}
+        Store(spark, self.base, keep=1).save(state=state, **none, **merkle.tables(merkle.tree(nodes)))
 
     def all_edges(self) -> DataFrame:
         """Unresolved references, then structural and resolved edges: type, src, dst and what else each has."""
         _, edges = self.graph()
-        pending = tables.load_table(self.spark, self.base, "pending").select("type", F.concat_ws("::", "repo", "src_file", F.nullif("src_scope", F.lit(""))).alias("src"), F.col("target").alias("dst"), "line", F.col("pend_ord").alias("edge_ord"))
+        pending = self.store.load("pending").select("type", F.concat_ws("::", "repo", "src_file", F.nullif("src_scope", F.lit(""))).alias("src"), F.col("target").alias("dst"), "line", F.col("pend_ord").alias("edge_ord"))
         return _edges(pending).withColumn("pending", F.lit(True)).unionByName(edges.withColumn("pending", F.lit(False)))
 
     def sql(self, text: str, **args: object) -> DataFrame:
@@ -153,7 +178,20 @@ class Engine:
         return self.spark.sql(text, args=args or None)
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        return tables.load_graph(self.spark, self.base)
+        """Nodes and edges of the current version, or of nodes.jsonl and edges.jsonl where there is none.
+
+        A graph without nodes, or with a table of another shape, is an error.
+        """
+        spark, base = self.spark, self.base
+        if self.store.manifest() is None and tables.exists(spark, f"{base}/nodes.jsonl"):
+            return tables.load_jsonl(spark, f"{base}/nodes.jsonl", NODES, 1), tables.load_jsonl(spark, f"{base}/edges.jsonl", EDGES)
+        nodes, edges = self.store.load("nodes"), self.store.load("edges")
+        for df, wanted, name in ((nodes, NODES, "nodes"), (edges, EDGES, "edges")):
+            if lost := {c.split()[0] for c in wanted.split(", ")} - set(df.columns):
+                raise TableError(f"{name} at {base} lack {', '.join(sorted(lost))}")
+        if nodes.isEmpty():
+            raise TableError(f"the graph at {base} has no nodes")
+        return nodes, edges
 
     def blast_radius(self, ids: list[str], max_depth: int = 10, mode: str = "offline") -> DataFrame:
         nodes, edges = self.graph()
@@ -179,8 +217,8 @@ class Engine:
         return lookup.changed_nodes(self.graph()[0], ranges, repo).orderBy("id")
 
     def repo_of(self, *hints: str) -> str | None:
-        """The indexed repo that the first fitting hint means: by its name, else by its name in lower case with dashes as underscores."""
-        known = [r[0] for r in self.graph()[0].filter("kind = 'repo'").select("id").collect()]  # a row per repo
+        """The indexed repo that the first fitting hint means: by its name, else by its name in lower case with dashes as underscores (the first of several)."""
+        known = sorted(r[0] for r in self.graph()[0].filter("kind = 'repo'").select("id").collect())  # a row per repo
         plain = lambda x: x.lower().replace("-", "_")
         loose = {plain(r): r for r in reversed(known)}
         fits = (h if h in known else loose.get(plain(h)) for h in hints if h)

@@ -52,22 +52,32 @@ def small(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
     return F.broadcast(df) if (size or 0) <= max_bytes else df
 
 
+def written_at(df: DataFrame, name: str) -> tuple[str, int]:
+    """The folder that ``df`` was written to in the shared folder, and its number of rows, in one job."""
+    spark, seen = df.sparkSession, Observation()
+    path = f"{checkpoint_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return path, seen.get["n"]
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """``df`` written to the shared folder and read back, and its number of rows, in one job.
+    """``df`` written to the shared folder and read back, and its number of rows.
 
     Cuts the lineage as a checkpoint does, but computes its input once, keeps only the
     columns that are read, and tells Spark the table's size.
     """
-    spark, seen = df.sparkSession, Observation()
-    path = f"{checkpoint_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+    path, n = written_at(df, name)
+    return df.sparkSession.read.schema(df.schema).parquet(path), n
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def remove_written(spark: SparkSession) -> None:
     """Delete all intermediate tables of this engine in the shared folder, once their results are no longer read."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/graphloom")
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    remove(spark, f"{checkpoint_dir(spark)}/graphloom")
 
 
 def numbered(df: DataFrame, by: list[str], into: str) -> DataFrame:

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from itertools import groupby
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def impact(found: DataFrame, limit: int = 10_000) -> str:
-    """A ranked impact result by owner; at most ``limit`` rows are fetched for display."""
-    rows = found.limit(limit + 1).collect()
-    lines = []
-    owner = lambda r: r.owner or "(no owner)"
-    for who, own in groupby(sorted(rows[:limit], key=lambda r: (owner(r), r.distance, -(r.confidence or 0), r.id)), key=owner):
-        lines.append(who)
-        lines += [f"  {r.distance}  {r.confidence:.2f}  {r.id}" for r in own]
-    if len(rows) > limit:
-        lines.append(f"... more than {limit} rows")
-    return "\n".join(lines) or "nothing depends on it"
+def impact(found: DataFrame, limit: int | None = None) -> Iterator[str]:
+    """Lines of an impact result by owner, nearest and surest first; rows come a partition at a time. ``limit``: rows, all unless given."""
+    owner = F.when(F.coalesce("owner", F.lit("")) == "", F.lit("(no owner)")).otherwise(F.col("owner"))
+    rows = found.withColumn("who", owner).orderBy("who", "distance", F.desc(F.coalesce("confidence", F.lit(0.0))), "id")
+    who = None
+    for r in (rows if limit is None else rows.limit(limit)).toLocalIterator():
+        if r.who != who:
+            who = r.who
+            yield who
+        yield f"  {r.distance}  {r.confidence:.2f}  {r.id}"
+    if who is None:
+        yield "nothing depends on it"
 
 
 def freshness(record: DataFrame) -> str:
@@ -36,12 +37,14 @@ def runs(log: DataFrame, limit: int = 20) -> str:
     return "\n".join(map(line, rows)) or "no run is recorded"
 
 
-def run_changes(changes: DataFrame, limit: int = 10_000) -> str:
-    """A run's changes by operation, kind and id; at most ``limit`` are fetched for display."""
-    rows = changes.orderBy("op", F.col("kind").asc_nulls_last(), "node_id").limit(limit + 1).collect()
-    signs = {"upsert": "+", "delete": "-"}
-    lines = [f"{signs.get(r.op, r.op)} {r.kind or 'unknown'} {r.node_id}" + (f"  ({r.owner})" if r.owner else "") for r in rows[:limit]]
-    return "\n".join(lines + [f"... more than {limit} changes"] * (len(rows) > limit)) or "nothing changed"
+def run_changes(changes: DataFrame, limit: int | None = None) -> Iterator[str]:
+    """Lines of a run's changes by operation, kind and id, a partition at a time. ``limit``: changes, all unless given."""
+    rows = changes.orderBy("op", F.col("kind").asc_nulls_last(), "node_id")
+    signs, n = {"upsert": "+", "delete": "-"}, 0
+    for n, r in enumerate((rows if limit is None else rows.limit(limit)).toLocalIterator(), 1):
+        yield f"{signs.get(r.op, r.op)} {r.kind or 'unknown'} {r.node_id}" + (f"  ({r.owner})" if r.owner else "")
+    if not n:
+        yield "nothing changed"
 
 
 def indexed(result: dict) -> str:

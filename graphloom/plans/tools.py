@@ -59,13 +59,14 @@ class Tools:
         rows = lookup.find_symbols(self.cache.graph()[0], pattern, limit).collect()
         return {"pattern": pattern, "symbols": [r.asDict() for r in rows]}
 
-    def blast_radius(self, ids: list[str], max_depth: int = 10, limit: int = 10_000) -> dict:
-        """What depends on the ids, nearest first; at most ``limit`` rows are sent, all are counted."""
+    def blast_radius(self, ids: list[str], max_depth: int = 10, limit: int | None = None) -> dict:
+        """What depends on the ids, nearest first. ``limit``: rows that are sent, all unless given; all are counted."""
         nodes, edges = self.cache.graph()
         seeds = self.cache.engine.spark.createDataFrame([(i,) for i in sorted(set(ids))], "seed string")
         unknown = [r[0] for r in seeds.join(nodes, seeds.seed == nodes.id, "left_anti").collect()]  # of the ids given
         found = reach.blast_radius(edges, nodes, seeds, max_depth, "offline")
-        return {"ids": ids, "unknown": unknown, "total": found.count(), "affected": [r.asDict() for r in reach.ranked(found).limit(limit).collect()]}
+        rows = reach.ranked(found)
+        return {"ids": ids, "unknown": unknown, "total": found.count(), "affected": [r.asDict() for r in (rows if limit is None else rows.limit(limit)).toLocalIterator()]}
 
     def graph_freshness(self) -> dict:
         row = self.cache.engine.freshness(F.current_timestamp()).first()

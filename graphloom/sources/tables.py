@@ -74,35 +74,64 @@ def load_jsonl(spark: SparkSession, path: str, schema: str, least: int = 0) -> D
 
 
 def write_jsonl(df: DataFrame, path: str) -> int:
-    """Write JSON lines beside ``path`` and rename them into its place; the number of rows."""
+    """Write JSON lines beside ``path`` and rename them into its place; the number of rows.
+
+    What was there moves aside first and comes back if the new lines can't take its place.
+    """
     from pyspark.sql import Observation
 
     spark, seen = df.sparkSession, Observation()
     new = f"{path}.{uuid.uuid4().hex[:12]}"
     df.observe(seen, F.count("*").alias("n")).write.option("ignoreNullFields", "false").json(new)
     fs, at = _fs(spark, path)
-    fs.delete(at, True)
+    aside = _fs(spark, f"{new}.old")[1]
+    before = fs.exists(at)
+    if before and not fs.rename(at, aside):
+        raise TableError(f"{path} can't be moved aside")
     if not fs.rename(_fs(spark, new)[1], at):
+        if before:
+            fs.rename(aside, at)
         raise TableError(f"{new} can't be renamed to {path}")
+    if before:
+        fs.delete(aside, True)
     return seen.get["n"]
 
 
-def save_version(spark: SparkSession, base: str, tables: dict[str, DataFrame], keep: int = 2) -> str:
-    """Write a new version of the tables, then a pointer of the next number to it; readers never see half of one.
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = _fs(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, at = _fs(spark, path)
+    stream = fs.create(at, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
+def publish(spark: SparkSession, base: str, version: str, keep: int = 2) -> list[str]:
+    """Point to a version by a pointer of the next number; the versions whose pointers were removed.
 
-    A pointer is an empty file named by its number and version, created in one step.
-    Versions before the last ``keep`` pointers are removed.
+    A pointer is an empty file named by its number and version, created in one step,
+    so readers never see half of a version and of two writers one fails. The last
+    ``keep`` pointers stay.
     """
-    version = uuid.uuid4().hex[:12]
-    for name, df in tables.items():
-        df.write.parquet(f"{base}/{version}/{name}")
     pointers = names_in(spark, f"{base}/pointers")
     fs, at = _fs(spark, f"{base}/pointers/{int(pointers[-1][:12]) + 1 if pointers else 1:012d}-{version}")
     fs.create(at, False).close()
-    for old in pointers[: 1 - keep] if keep > 1 else pointers:
-        fs.delete(_fs(spark, f"{base}/{old[13:]}")[1], True)
-        fs.delete(_fs(spark, f"{base}/pointers/{old}")[1], False)
-    return version
+    old = pointers[: 1 - keep] if keep > 1 else pointers
+    for name in old:
+        delete(spark, f"{base}/pointers/{name}")
+    return [name[13:] for name in old]
 
 
 def current_version(spark: SparkSession, base: str) -> str | None:
@@ -110,29 +139,6 @@ def current_version(spark: SparkSession, base: str) -> str | None:
     return pointers[-1][13:] if pointers else None
 
 
-def load_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    version = current_version(spark, base)
-    if version is None or not exists(spark, f"{base}/{version}/{name}"):
-        raise TableError(f"no {name} at {base}")
-    return spark.read.parquet(f"{base}/{version}/{name}")
-
-
-def load_graph(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the current version, or of nodes.jsonl and edges.jsonl where there is none.
-
-    A graph without nodes, or with a table of another shape, is an error.
-    """
-    if current_version(spark, base) is None and exists(spark, f"{base}/nodes.jsonl"):
-        return load_jsonl(spark, f"{base}/nodes.jsonl", NODES, 1), load_jsonl(spark, f"{base}/edges.jsonl", EDGES)
-    nodes, edges = load_table(spark, base, "nodes"), load_table(spark, base, "edges")
-    for df, wanted, name in ((nodes, NODES, "nodes"), (edges, EDGES, "edges")):
-        if lost := {c.split()[0] for c in wanted.split(", ")} - set(df.columns):
-            raise TableError(f"{name} at {base} lack {', '.join(sorted(lost))}")
-    if nodes.isEmpty():
-        raise TableError(f"the graph at {base} has no nodes")
-    return nodes, edges
-
-
 def append_run(run: DataFrame, path: str) -> int:
     """Append records to the log in a folder of the next number; the number."""
     spark = run.sparkSession

@@ -54,5 +54,5 @@ def test_branch_diff(origin):
 
 def test_render(spark):
     rows = spark.createDataFrame([("b", "@t", 0.9, 1), ("c", None, 0.5, 2)], "id string, owner string, confidence double, distance int")
-    assert render.impact(rows) == "(no owner)\n  2  0.50  c\n@t\n  1  0.90  b"
-    assert render.impact(rows.limit(0)) == "nothing depends on it"
+    assert "\n".join(render.impact(rows)) == "(no owner)\n  2  0.50  c\n@t\n  1  0.90  b"
+    assert list(render.impact(rows.limit(0))) == ["nothing depends on it"] and len(list(render.impact(rows, 1))) == 2

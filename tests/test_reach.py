@@ -1,11 +1,13 @@
 """Both modes against enumerations of paths, on random multigraphs with cycles and parallel edges."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import reach
+from graphloom.operators import adjacency, data_edges, reach
+from graphloom.plans.lineage import written
 
 EDGES = "type string, src string, dst string, confidence double, edge_ord long"
 
@@ -69,3 +71,67 @@ def test_last_parallel_edge_and_structure(spark):
     owners = reach.by_owner(reach.blast_radius(edges, nodes, spark.createDataFrame([("a",)], "seed string"))).collect()
     assert [(r.owner, r.n_affected) for r in owners] == [("(no owner)", 1)]
     assert reach.reach_offline(edges.filter(F.lit(False)), spark.createDataFrame([("a",)], "seed string")).count() == 0
+
+
+@pytest.mark.parametrize("options", [{"hub_rows": 2}, {"hub_rows": 1, "buckets": 3}])
+def test_hubs_in_blocks(spark, options, monkeypatch):
+    monkeypatch.setattr(adjacency, "SHORT", 3)
+    rng = random.Random(7)
+    rows = [(f"n{rng.randrange(12)}", f"n{min(rng.randrange(12), rng.randrange(12))}", rng.randrange(1, 6) / 10) for _ in range(40)]
+    seeds = spark.createDataFrame([(f"n{i}",) for i in range(5)], "seed string")
+    found = {(r.seed, r.id): (r.distance, r.confidence) for r in reach.reach_offline(frame(spark, rows), seeds, 4, **options).collect()}
+    assert found == {(f"n{s}", k): v for s in range(5) for k, v in offline(rows, f"n{s}", 4).items()}
+
+
+def test_a_hub_leaves_no_bucket_above_twice_the_median(spark):
+    rows = spark.range(200_000).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), F.when(F.col("id") % 2 == 0, "hub").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("on"), F.lit(0.5).alias("c"))
+    side = adjacency.Adjacency(rows, buckets=8)
+    sizes = sorted(r["count"] for r in side.table.groupBy(F.input_file_name()).count().collect())
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4] and sum(sizes) == 200_000
+    assert side.back(spark.createDataFrame([("hub",), ("t1",), ("none",)], "on string"), 3).count() == 100_001
+    path, name = side.path, side.name
+    own = side.table.filter("on = 't1'").select(F.input_file_name()).first()[0]
+    for file in os.listdir(path.removeprefix("file://")):  # a short frontier reads the buckets of its slots alone
+        if file.startswith("part-") and not own.endswith(file):
+            os.remove(f"{path.removeprefix('file://')}/{file}")
+    assert [r.id for r in side.back(spark.createDataFrame([("t1",)], "on string"), 1).collect()] == ["r1"]
+    side.drop()
+    assert not spark.catalog.tableExists(name) and not os.path.exists(path.removeprefix("file://"))
+
+
+def test_many_seeds_in_words_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(reach, "WORDS", 2)
+    rng = random.Random(8)
+    rows = [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}", rng.randrange(1, 10) / 10) for _ in range(500)]
+    names = [f"n{i}" for i in range(300)]
+    seeds = spark.createDataFrame([(n,) for n in names], "seed string")
+    brute = {s: offline(rows, s, 3) for s in names}
+    walk = reach.walk_offline(frame(spark, rows), seeds, 3)
+    assert walk.words == ["b0", "b1"] and walk.rows.agg(F.max("grp")).first()[0] == 2
+    assert {(r.seed, r.id): (r.distance, r.confidence) for r in walk.by_seed().collect()} == {(s, k): v for s in names for k, v in brute[s].items()}
+    best = {}
+    for s in sorted(names, reverse=True):
+        for k, (d, c) in brute[s].items():
+            if k not in best or c >= best[k][0]:
+                best[k] = (c, d)
+    assert {r.id: (r.confidence, r.distance) for r in walk.best().collect()} == best
+
+
+@pytest.mark.parametrize("mode", ["offline", "database"])
+def test_classes_walk_as_their_edges_would(spark, mode):
+    """Readers, writers and sources that are both, in classes by name, key and wildcard; a seed doesn't reach itself through its own class."""
+    rng = random.Random(9)
+    name = lambda: rng.choice(["s.alpha", "t.alpha", "beta", "be*", "gamma_1", "gamma_2", "gamma_*"])
+    ref = lambda i: (f"m{rng.randrange(14)}", name(), i)
+    sides = [spark.createDataFrame([ref(i) for i in range(12)], "src string, norm string, line int").withColumn("key", F.element_at(F.split("norm", r"\."), -1)) for _ in range(2)]
+    members = written(data_edges.classes(*sides), "members")[0]
+    expanded = data_edges.expand(members)
+    plain = frame(spark, [(f"m{rng.randrange(14)}", f"m{rng.randrange(14)}", rng.randrange(1, 10) / 10) for _ in range(10)])
+    both = plain.unionByName(expanded.select("type", "src", "dst", "confidence", F.lit(1 << 62).alias("edge_ord")))
+    seeds = spark.createDataFrame([(f"m{i}",) for i in range(6)], "seed string")
+    f = reach.reach_offline if mode == "offline" else reach.reach_database
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(f(plain, seeds, 4, classes=members, hub_rows=2)) == rows(f(both, seeds, 4))
+    sizes = data_edges.class_sizes(members).collect()
+    pairs = members.filter("reads").alias("r").join(members.filter("not reads").alias("w"), "class").filter("r.src <> w.src").select("class", "r.src", "w.src").distinct().groupBy("class").count()
+    assert {r["class"]: r.n_links for r in sizes if r.n_links} == {r["class"]: r["count"] for r in pairs.collect()}
