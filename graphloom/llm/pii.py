@@ -72,26 +72,48 @@ KINDS: list[tuple[str, str, str | None, Callable[[Column], Column], str]] = [
 ]
 
 
-def prefix_sums(values: Column, block: int = 128) -> Column:
-    """For each element of an integer array the sum of those before it, through sums of blocks."""
-    plus = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
+def _scan(values: Column, fold: Callable[[Column], Column], block: int = 128) -> Column:
+    """For each element of an integer array the fold of those before it (of an empty array where there are none), through folds of blocks."""
 
     def of(v: Column) -> Column:
         n_blocks = F.ceil(F.size(v) / block).cast("int")
-        sums = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: plus(F.slice(v, k * block + 1, F.lit(block))))
+        folds = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: fold(F.slice(v, k * block + 1, F.lit(block))))
 
-        def with_sums(s: Column) -> Column:
-            before = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: plus(F.slice(s, F.lit(1), k)))
+        def with_folds(s: Column) -> Column:
+            before = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: fold(F.slice(s, F.lit(1), k)))
             return let(
                 before,
-                lambda b: F.transform(v, lambda x, i: F.get(b, F.floor(i / block).cast("int")) + plus(F.slice(v, F.floor(i / block).cast("int") * block + 1, i % block))),
+                lambda b: F.transform(v, lambda x, i: fold(F.concat(F.array(F.get(b, F.floor(i / block).cast("int"))), F.slice(v, F.floor(i / block).cast("int") * block + 1, i % block)))),
             )
 
-        return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(let(sums, with_sums))
+        return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(let(folds, with_folds))
 
     return let(values, of)
 
 
+def prefix_sums(values: Column, block: int = 128) -> Column:
+    """For each element of an integer array the sum of those before it."""
+    return _scan(values, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y), block)
+
+
+def prefix_maxima(values: Column, block: int = 128) -> Column:
+    """For each element of an array of integers from 0 the largest of those before it, 0 for the first."""
+    return _scan(values, lambda x: F.coalesce(F.array_max(x), F.lit(0)), block)
+
+
+def pieces(text: Column, body: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
+    """``body`` with a function that cuts ``text`` from a code point on, so many of them, in time of the piece's length.
+
+    A string is scanned from its start for each cut; four bytes a code point aren't.
+    """
+    mark = F.unhex(F.lit("0000FEFF"))  # else a byte order mark at a piece's start would be lost
+
+    def of(wide: Column) -> Column:
+        return body(lambda start, n: F.decode(F.concat(mark, F.substring(wide, start * 4 + 1, n * 4)), "UTF-32"))
+
+    return let(F.encode(text, "UTF-32"), of)
+
+
 def matches(text: Column, kind: str, pattern: str, check: Callable[[Column], Column], mask: Column) -> Column:
     """Spans, in code points, of the leftmost non-overlapping matches that pass ``check``.
 
@@ -183,15 +205,19 @@ def _doc_terms(docs: DataFrame, own: Column, reach: int, min_contexts: int, gene
     """key, remove, general: the terms that are to be masked in each document. docs: key, row, spans; own: its text."""
     plain = docs.select("key", own.alias("text"))
     holders = stored(docs.filter(F.size("spans") > 0).select("key", own.alias("text"), "spans"), "pii-holders")
-    s = holders.select("key", "text", F.explode("spans").alias("s")).withColumns(
-        {
-            "entity": F.lower(F.expr("substring(text, s.start + 1, s.end - s.start)")),
-            "left": F.expr(f"substring(text, greatest(s.start - {reach}, 0) + 1, least(s.start, {reach}))"),
-            "right": F.expr(f"substring(text, s.end + 1, {reach})"),
-        }
-    )
+    # cut inside the row, so that a text isn't copied for each of its spans
+    def seen(piece: Callable[[Column, Column], Column]) -> Column:
+        return F.transform(
+            "spans",
+            lambda s: F.struct(
+                s["start"].alias("start"), F.lower(piece(s["start"], s["end"] - s["start"])).alias("entity"),
+                piece(F.greatest(s["start"] - reach, F.lit(0)), F.least(s["start"], F.lit(reach))).alias("left"), piece(s["end"], F.lit(reach)).alias("right"),
+            ),
+        )
+
+    s = holders.select("key", F.explode(pieces(F.col("text"), seen)).alias("s")).select("key", "s.*")
     # a term cut by the edge of the reach isn't one
-    left = F.when(F.col("s.start") > reach, F.regexp_replace("left", r"^[\p{L}\p{N}_]+", "")).otherwise(F.col("left"))
+    left = F.when(F.col("start") > reach, F.regexp_replace("left", r"^[\p{L}\p{N}_]+", "")).otherwise(F.col("left"))
     right = F.when(F.length("right") == reach, F.regexp_replace("right", r"[\p{L}\p{N}_]+$", "")).otherwise(F.col("right"))
     context = F.xxhash64(F.expr("right(left, 40)"), F.expr("left(right, 40)"))
     entities = s.select("key", "entity", context.alias("context"), F.array_distinct(F.concat(terms_of(left), terms_of(right))).alias("near"))
@@ -245,24 +271,31 @@ def find_spans(
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """``text`` with each maximal run of overlapping spans replaced by the first one's mask."""
+    """``text`` with each maximal run of overlapping spans replaced by the first one's mask.
+
+    A span begins a run where none before it reaches beyond its start; a run ends with the largest end in it.
+    """
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["mask"].alias("mask"))))
-    empty = F.array().cast("array<struct<start:int,end:int,mask:string>>")
-
-    def add(a: Column, s: Column) -> Column:
-        last = F.element_at(a, -1)
-        return F.when(F.size(a) == 0, F.array(s)).when(
-            s["start"] < last["end"],
-            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["mask"].alias("mask")))),
-        ).otherwise(F.concat(a, F.array(s)))
-
-    def cut(runs: Column) -> Column:
-        before = lambda i: F.coalesce(F.get(runs, i - 1)["end"], F.lit(0))
-        pieces = F.transform(runs, lambda r, i: F.concat(F.substring(text, before(i) + 1, r["start"] - before(i)), r["mask"]))
-        end = F.element_at(runs, -1)["end"]
-        return F.concat(F.array_join(pieces, ""), F.substring(text, end + 1, F.length(text)))
-
-    return F.when(F.size(spans) == 0, text).otherwise(let(F.aggregate(ordered, empty, add), cut))
+
+    def runs(o: Column) -> Column:
+        ends = F.transform(o, lambda s: s["end"])
+
+        def heads(reached: Column) -> Column:
+            rows = F.transform(o, lambda s, i: F.struct(s["start"].alias("start"), s["mask"].alias("mask"), F.get(reached, i).alias("before")))
+            return F.filter(rows, lambda r: r["start"] >= r["before"])
+
+        # what lies before a run, and its mask; then what lies behind the last one
+        def joined(h: Column) -> Column:
+            def cut(piece: Callable[[Column, Column], Column]) -> Column:
+                parts = F.transform(h, lambda r: F.concat(piece(r["before"], r["start"] - r["before"]), r["mask"]))
+                last = F.array_max(ends)
+                return F.concat(F.array_join(parts, ""), piece(last, F.length(text) - last))
+
+            return pieces(text, cut)
+
+        return let(let(prefix_maxima(ends), heads), joined)
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(ordered, runs))
 
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:

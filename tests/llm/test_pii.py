@@ -1,4 +1,8 @@
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from graphloom.llm import pii
 
@@ -69,3 +73,41 @@ def test_redaction(spark):
 
 def test_empty(spark):
     assert pii.find_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_redaction_of_overlapping_spans(spark):
+    """Runs of overlapping spans against a plain loop, with characters of any width and byte order marks."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(60):
+        text = "".join(rnd.choice("ab é\U0001f600\ufeff") for _ in range(rnd.randrange(1, 400)))
+        spans = []
+        for _ in range(rnd.randrange(0, 300 if i % 2 else 12)):
+            a = rnd.randrange(len(text))
+            spans.append(("k", a, min(len(text), a + rnd.randrange(1, 9)), rnd.choice(["<A>", "<B>", ""])))
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, f"i int, text string, spans {pii.SPAN}")
+    found = {r.i: r.t for r in df.select("i", pii.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    for i, text, spans in rows:
+        runs = []
+        for _, a, z, mask in sorted(spans, key=lambda s: (s[1], s[2], s[3])):
+            if runs and a < runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], z)
+            else:
+                runs.append([a, z, mask])
+        out, at = "", 0
+        for a, z, mask in runs:
+            out, at = out + text[at:a] + mask, z
+        assert found[i] == out + text[at:]
+
+
+def test_many_spans_take_linear_time(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, "so mail a@b.cc now and then to me; " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert len(pii.sanitize(df).first().text) == n * len("so mail <EMAIL> now and then to me; ")
+        return time.perf_counter() - began
+
+    seconds(10)
+    few, many = seconds(4000), seconds(16000)
+    assert many < 6 * few + 2
