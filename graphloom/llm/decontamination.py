@@ -43,6 +43,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -268,7 +269,7 @@ def leaks(
     blocks = max(1, -(-n // block_items), -(-chars // block_chars))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def against(k: int) -> DataFrame:
+    def against(k: int) -> tuple[DataFrame, Broadcast]:
         own = [tuple(r) for r in bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
         shared = spark.sparkContext.broadcast(own)
 
@@ -281,9 +282,16 @@ def leaks(
                     found += [(d, *hit) for d, own in zip(part["doc_id"], matcher.find(list(part["text"])), strict=True) for hit in own]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "start", "end", "distance", "item_words"]).astype("Int64")
 
-        return rows.mapInPandas(run, LEAKS)
+        return rows.mapInPandas(run, LEAKS), shared
 
-    return reduce(DataFrame.unionAll, [against(k) for k in range(blocks)])
+    if blocks == 1:
+        return against(0)[0]
+    passes = []
+    for k in range(blocks):  # a block of items is let go before the next is fetched
+        found, shared = against(k)
+        passes.append(stored(found, "leaks"))
+        shared.destroy()
+    return reduce(DataFrame.unionAll, passes)
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
