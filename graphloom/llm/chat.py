@@ -14,8 +14,10 @@ gives the text back.
 Defined results: a null text or role is empty; turns are ordered by number,
 then role and text, so ties and repeated rows have a fixed order; rows of a null
 conversation id form one conversation; a record of an unknown layout or broken
-JSON has an error and no turns; an empty table gives no rows; other columns are
-not read. A conversation's turns are formatted row by row and read back in a
+JSON has an error and no turns; an empty table gives no rows. A table of turns
+with further columns has another fingerprint, so :func:`format_turns` takes it for an
+unknown layout and raises an error; callers select its four columns first. A
+conversation's turns are formatted row by row and read back in a
 stream, so a conversation of any length needs the memory of one turn.
 """
 
