@@ -26,8 +26,9 @@ def test_suffix_array(s):
 @given(st.lists(st.tuples(st.integers(0, 1), st.binary(max_size=400).map(lambda x: bytes(b % 2 for b in x))), min_size=1, max_size=12))
 def test_order(rows):
     groups = np.array([g for g, _ in rows])
-    order = sd._ordered([x for _, x in rows], groups)
-    assert [rows[i] for i in order] == sorted(rows)
+    for piece in (1, 2, 3, 75):
+        order = sd._ordered([x for _, x in rows], groups, piece)
+        assert [rows[i] for i in order] == sorted(rows)
 
 
 @settings(max_examples=200, deadline=None)
@@ -109,5 +110,30 @@ def test_windows_are_found_by_the_order(spark, monkeypatch):
     assert wrong != sd.repeated_offsets(contexts, [1] * 40, 20, 8)
 
 
+def test_bytes_are_ordered_by_the_grouping_alone(spark, monkeypatch):
+    """With symbols of a byte or two nothing is sorted but by the grouping: without it the windows are lost, with it they are those of the default."""
+    contexts = [(1, bytes([65 + i % 2] * 10) + b"anchor00" + bytes([66 + i // 20] * 10) + b"%d" % i, 10, 2) for i in range(40)]
+    expected = sd.repeated_offsets(contexts, [1] * 40, 20, 8)
+    monkeypatch.setattr(sd, "sorted", None, raising=False)
+    for piece in (1, 2):
+        assert sd.repeated_offsets(contexts, [1] * 40, 20, 8, piece) == expected
+    monkeypatch.setattr(sd, "suffix_array", lambda s: sorted(range(len(s)), key=lambda i: hashlib.md5(b"%d" % i).digest()))
+    assert sd.repeated_offsets(contexts, [1] * 40, 20, 8, 2) != expected
+
+
+def test_symbols_of_two_bytes_give_the_same_removal(spark):
+    docs = spark.createDataFrame(list(enumerate(sample())), "doc_id long, text string")
+    rows = lambda **o: sorted(map(tuple, sd.find_repeats(docs, **o).select("k1", "k2", F.to_json("spans")).collect()))
+    assert rows(piece=2) == rows() != []
+
+
+def test_null_ids_and_equal_ids(spark):
+    """Ids say nothing: rows without one, and rows that share one, are texts like others."""
+    text = "".join(chr(97 + i * i % 26) for i in range(300))
+    docs = spark.createDataFrame([(None, text + "left"), (None, "right" + text), (7, "short"), (7, None)], "doc_id long, text string")
+    got = sorted(((r.id, r.n_bytes, sum(s.end - s.start for s in r.spans)) for r in sd.remove_repeats(docs).collect()), key=repr)
+    assert got == [(7, 0, 0), (7, 5, 0), (None, 304, 300), (None, 305, 300)]
+
+
 def test_empty(spark):
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
