@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import names as fn
-from graphloom.operators import data_edges, history, lookup, owners, reach, resolve, snapshot
-from graphloom.plans.lineage import written
+from graphloom.operators import data_edges, history, lookup, merkle, owners, reach, resolve, snapshot
+from graphloom.plans.lineage import checkpoint_dir, written
 from graphloom.registry import ORACLES, QUERIES, query
 from graphloom.schema import DEPENDENCY_TYPES
 from graphloom.sources import binding as b
+from graphloom.sources.store import Replace, Store, difference
 
 N, E, P = b.NODES, b.edges_sql("//"), b.PENDING
 SEED = "dataset::p7"
@@ -276,6 +279,34 @@ def data_edges_wildcard(spark, sf_dir):
     return data_edges.derived(t.filter("type = 'CONSUMES_PENDING'"), t.filter("type = 'PRODUCES_PENDING'"))
 
 
+_CLASSES = """m AS (SELECT 'name:' || norm AS class, TRUE AS reads, src FROM c WHERE norm IN (SELECT w_norm FROM p) UNION ALL SELECT 'name:' || w_norm, FALSE, w_src FROM p WHERE w_norm IN (SELECT norm FROM c)
+UNION ALL SELECT 'key:' || key, TRUE, src FROM c WHERE key IN (SELECT w_key FROM p) UNION ALL SELECT 'key:' || w_key, FALSE, w_src FROM p WHERE w_key IN (SELECT key FROM c)
+UNION ALL SELECT 'reads:' || norm, TRUE, src FROM c WHERE norm IN (SELECT norm FROM wn WHERE contains(norm, '*')) UNION ALL SELECT 'reads:' || norm, FALSE, w_src FROM wn JOIN p USING (w_norm) WHERE contains(norm, '*')
+UNION ALL SELECT 'writes:' || w_norm, FALSE, w_src FROM p WHERE w_norm IN (SELECT w_norm FROM wn WHERE contains(w_norm, '*')) UNION ALL SELECT 'writes:' || w_norm, TRUE, src FROM wn JOIN c USING (norm) WHERE contains(w_norm, '*'))"""
+
+
+@query(f"""WITH {_TARGETS}, {_DERIVED}, {_CLASSES}, s AS (SELECT class, src, bool_or(reads) AS r, bool_or(NOT reads) AS w FROM m GROUP BY class, src)
+SELECT class, CASE split_part(class, ':', 1) WHEN 'name' THEN 0.8::DOUBLE WHEN 'key' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence, count(*) FILTER (r) AS n_readers, count(*) FILTER (w) AS n_writers,
+  (count(*) FILTER (r)) * (count(*) FILTER (w)) - count(*) FILTER (r AND w) AS n_links FROM s GROUP BY class""")
+def derived_edge_classes(spark, sf_dir):
+    """The derived edges as classes of readers and writers, with the links that each stands for."""
+    b.views(spark, sf_dir)
+    t = data_edges.targets(spark.sql(_DATA))
+    return data_edges.class_sizes(data_edges.classes(t.filter("type = 'CONSUMES_PENDING'"), t.filter("type = 'PRODUCES_PENDING'")))
+
+
+@query(f"""WITH RECURSIVE {_TARGETS}, {_DERIVED}, e AS (SELECT src, w_src AS dst, m.c AS c FROM db UNION ALL SELECT 's' || (s_suppkey + 1), 's' || s_suppkey, 0.9::DOUBLE FROM supplier),
+r AS (SELECT src AS id, 1 AS d, c FROM e WHERE dst = 's5' UNION SELECT e.src, r.d + 1, least(r.c, e.c) FROM r JOIN e ON e.dst = r.id WHERE r.d < 3), n AS (SELECT id, min(d) AS d FROM r GROUP BY id)
+SELECT id, d::INTEGER AS distance, max(c) AS confidence FROM r JOIN n USING (id, d) GROUP BY id, d""")
+def blast_radius_through_classes(spark, sf_dir):
+    """What depends on a supplier within three hops, walked from writers through classes to readers instead of over their product."""
+    b.views(spark, sf_dir)
+    t = data_edges.targets(spark.sql(_DATA))
+    members, _ = written(data_edges.classes(t.filter("type = 'CONSUMES_PENDING'"), t.filter("type = 'PRODUCES_PENDING'")), "classes")
+    calls = spark.sql("SELECT 'CALLS' AS type, 's' || CAST(s_suppkey + 1 AS STRING) AS src, 's' || CAST(s_suppkey AS STRING) AS dst, CAST(0.9 AS DOUBLE) AS confidence, s_suppkey AS edge_ord FROM supplier")
+    return reach.reach_offline(calls, _seeds(spark, "s5"), 3, classes=members).select("id", "distance", "confidence")
+
+
 @query(f"WITH {_TARGETS} SELECT DISTINCT 'dataset::' || key AS id, 'dataset' AS kind, key AS name, '' AS repo FROM t")
 def dataset_nodes(spark, sf_dir):
     b.views(spark, sf_dir)
@@ -383,6 +414,27 @@ def index_run_changes(spark, sf_dir):
     return snapshot.changes(curr, snapshot.upserts(curr, old), snapshot.deletes(curr, old))
 
 
+@query(f"WITH {_SNAP} SELECT 'upsert' AS op, id, repo FROM up UNION ALL SELECT 'delete', id, 'r' || (o_custkey % 25) FROM prev ANTI JOIN curr USING (id)")
+def snapshot_tree_changes(spark, sf_dir):
+    """The difference of two snapshots by descent through unequal repos, folders and files of their hash trees."""
+    prev, curr = _pair(spark, sf_dir)
+    store = Store(spark, f"{checkpoint_dir(spark)}/graphloom/snapshot-{uuid.uuid4().hex}")
+    store.save(**merkle.tables(merkle.tree(prev)))
+    found = merkle.changes(merkle.tree(curr), store)
+    return found.upserts.select(F.lit("upsert").alias("op"), "id", "repo").unionByName(found.deletes.select(F.lit("delete").alias("op"), "id", "repo"))
+
+
+@query(f"WITH {_SNAP} SELECT id, signature, node_ord FROM curr")
+def delta_store_merge(spark, sf_dir):
+    """A keyed table after the changes of a second run were written over it as deltas, merged as it is read."""
+    prev, curr = _pair(spark, sf_dir)
+    rows = lambda df: df.select("id", "signature", "node_ord")
+    store = Store(spark, f"{checkpoint_dir(spark)}/graphloom/store-{uuid.uuid4().hex}")
+    store.save(nodes=Replace(rows(prev), ["id"]))
+    store.save(nodes=difference(rows(curr), store.load("nodes"), ["id"]))
+    return store.load("nodes")
+
+
 _RUNS = "SELECT event_id AS ord, 'u' || CAST(user_id AS STRING) AS repo, CAST(ts AS TIMESTAMP) AS ran_at, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'updated' END AS status, 'sha' || CAST(event_id AS STRING) AS sha FROM events"
 _AS_OF = "2024-02-06 00:00:00"
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Fields that a lookup searches, and kinds that it finds.
+FIELDS = ("id", "name", "path", "signature")
+FOUND_KINDS = ("function", "method", "class", "module")
+
 
 def find_symbols(nodes: DataFrame, pattern: str, limit: int = 50) -> DataFrame:
     """Functions, methods, classes and modules that hold the pattern in any case; exact names first."""
     p = F.lower(F.lit(pattern))
-    fields = [F.coalesce(F.lower(c), F.lit("")).contains(p) for c in ("id", "name", "path", "signature")]
-    rows = nodes.filter(F.col("kind").isin("function", "method", "class", "module")).filter(fields[0] | fields[1] | fields[2] | fields[3])
+    fields = [F.coalesce(F.lower(c), F.lit("")).contains(p) for c in FIELDS]
+    rows = nodes.filter(F.col("kind").isin(*FOUND_KINDS)).filter(fields[0] | fields[1] | fields[2] | fields[3])
     order = [F.when(F.lower("name") == p, 0).otherwise(1), F.lower("name"), F.lower("repo"), F.coalesce("path", F.lit("")), F.col("id")]
     return rows.orderBy(*order).limit(limit).select("id", "kind", "name", "repo", "path", "owner", "signature")
 
@@ -18,15 +22,54 @@ def find_symbols(nodes: DataFrame, pattern: str, limit: int = 50) -> DataFrame:
 def changed_nodes(nodes: DataFrame, ranges: DataFrame, repo: str | None = None) -> DataFrame:
     """Ids of nodes that overlap a changed range of their path; a module counts once its path is listed.
 
-    ranges: [repo,] path, start, end (inclusive; null: none). Symbols join on their
-    path with the overlap as a residual, and are kept once.
+    ranges: [repo,] path, start, end (inclusive; null: none). A symbol is touched if,
+    of the ranges that start by its end, the one that reaches furthest reaches its
+    start: a running maximum over both, sorted by line, so that a file of many
+    symbols and ranges costs their sum and not their product.
     """
     keys = ["repo", "path"] if "repo" in ranges.columns else ["path"]
     own = nodes if repo is None else nodes.filter(F.col("repo") == repo)
-    overlap = [own[k] == ranges[k] for k in keys] + [own["start_line"] <= ranges["end"], ranges["start"] <= own["end_line"]]
-    condition = overlap[0]
-    for x in overlap[1:]:
-        condition = condition & x
-    symbols = own.filter("kind not in ('module', 'repo', 'dataset')").join(ranges, condition, "left_semi")
+    none = F.lit(None)
+    symbols = own.filter("kind not in ('module', 'repo', 'dataset') and start_line is not null and end_line is not null").join(ranges.select(keys).distinct(), keys, "left_semi")
+    events = symbols.select(*keys, F.col("end_line").alias("line"), F.lit(1).alias("order"), none.cast("int").alias("reach"), "id", F.col("start_line").alias("from"))
+    events = events.unionByName(ranges.filter("start is not null and `end` is not null").select(*keys, F.col("start").alias("line"), F.lit(0).alias("order"), F.col("end").alias("reach"), none.cast("string").alias("id"), none.cast("int").alias("from")))
+    reach = F.max("reach").over(Window.partitionBy(*keys).orderBy("line", "order").rowsBetween(Window.unboundedPreceding, 0))
+    touched = events.withColumn("reach", reach).filter("order = 1 and reach >= `from`")
     modules = own.filter("kind = 'module'").join(ranges.select(keys).distinct(), keys, "left_semi")
-    return symbols.select("id").unionByName(modules.select("id")).distinct()
+    return touched.select("id").unionByName(modules.select("id")).distinct()
+
+
+#: Characters of a gram, and the buckets that the postings of grams are dealt into.
+GRAM, GRAM_SLOTS = 3, 256
+
+
+def _slot(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_SLOTS)).cast("string")
+
+
+def _grams(text: Column) -> Column:
+    """The distinct stretches of three characters of a text in lower case."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_distinct(F.when(F.length(t) >= GRAM, F.transform(F.sequence(F.lit(1), F.length(t) - GRAM + 1), lambda i: F.substring(t, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>")))
+
+
+def gram_postings(nodes: DataFrame) -> DataFrame:
+    """gram, id, slot: what the searched fields of a symbol or module hold, once each."""
+    rows = nodes.filter(F.col("kind").isin(*FOUND_KINDS)).select("id", F.explode(F.array_distinct(F.concat(*[_grams(F.col(c)) for c in FIELDS]))).alias("gram")).distinct()
+    return rows.select("gram", "id", _slot(F.col("gram")).alias("slot"))
+
+
+def gram_slots(spark: SparkSession, pattern: str) -> tuple[list[str], list[str]]:
+    """A pattern's grams and their slots; none where it is too short to have any."""
+    found = spark.range(1).select(F.explode(_grams(F.lit(pattern))).alias("gram")).select("gram", _slot(F.col("gram"))).collect()
+    return [r[0] for r in found], sorted({r[1] for r in found})
+
+
+def with_grams(postings: DataFrame, grams: list[str], rarest: int = 4) -> DataFrame:
+    """Ids that have the rarest of the grams, counted first. Whoever asks verifies them: grams don't tell their order or field."""
+    own = postings.filter(F.col("gram").isin(grams))
+    counts = dict(map(tuple, own.groupBy("gram").count().collect()))  # a row per gram of the pattern
+    if len(counts) < len(grams):
+        return own.select("id").limit(0)
+    few = sorted(grams, key=lambda g: (counts[g], g))[:rarest]
+    return own.filter(F.col("gram").isin(few)).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(few)).select("id")

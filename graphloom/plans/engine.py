@@ -5,15 +5,15 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import data_edges, history, lookup, merkle, owners, reach, resolve, snapshot
-from graphloom.plans.lineage import cut, numbered
+from graphloom.plans.lineage import cut, numbered, written
 from graphloom.schema import EDGES, NODES, PENDING, STALE_SECONDS, GraphError, TableError
 from graphloom.sources import diffs, repos, tables
 from graphloom.sources.extract import extract
-from graphloom.sources.store import Patch, Replace, Store, difference
+from graphloom.sources.store import Patch, Replace, Store, difference, slot_bucket
 
 NODE_COLUMNS = ["id", "kind", "name", "repo", "path", "owner", "signature", "docstring", "start_line", "end_line", "lang", "node_ord"]
 EDGE_COLUMNS = {"type": "string", "src": "string", "dst": "string", "confidence": "double", "line": "int", "raw": "string", "dataset": "string", "derived": "boolean", "package": "string", "source": "string", "edge_ord": "long"}
@@ -43,8 +43,8 @@ def parse(spark: SparkSession, roots: dict[str, str], languages: list[str] | Non
     return nodes, pending, _edges(structural)
 
 
-def resolve_graph(nodes: DataFrame, pending: DataFrame, packages: DataFrame, rules: DataFrame, registry: DataFrame | None = None, preresolved: DataFrame | None = None, fixes: frozenset[str] = frozenset()) -> tuple[DataFrame, DataFrame]:
-    """All nodes with owners and datasets, and the resolved, deduplicated edges."""
+def resolve_graph(nodes: DataFrame, pending: DataFrame, packages: DataFrame, rules: DataFrame, registry: DataFrame | None = None, preresolved: DataFrame | None = None, fixes: frozenset[str] = frozenset()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All nodes with owners and datasets, the resolved, deduplicated edges, and the classes of the derived ones, which aren't among them."""
     nodes = cut(owners.assign_owners(nodes, rules, registry))
     refs = cut(resolve.attribute(pending, nodes))
     of = lambda *kinds: refs.filter(F.col("type").isin(*[f"{k}_PENDING" for k in kinds]))
@@ -52,12 +52,31 @@ def resolve_graph(nodes: DataFrame, pending: DataFrame, packages: DataFrame, rul
     calls = resolve.cascade(of("CALLS", "INHERITS"), imports, nodes, packages)
     brought = resolve.imports_to_edges(of("IMPORTS"), nodes, packages, fixes)
     data = data_edges.targets(of("PRODUCES", "CONSUMES"))
-    derived = data_edges.derived(data.filter("type = 'CONSUMES_PENDING'"), data.filter("type = 'PRODUCES_PENDING'"))
-    found = [_edges(x.withColumnRenamed("pend_ord", "edge_ord")) for x in (calls, brought, data_edges.direct(data))] + [_edges(derived.withColumn("edge_ord", F.lit((1 << 62)).cast("long")))]
+    classes, _ = written(data_edges.classes(data.filter("type = 'CONSUMES_PENDING'"), data.filter("type = 'PRODUCES_PENDING'")), "classes")
+    found = [_edges(x.withColumnRenamed("pend_ord", "edge_ord")) for x in (calls, brought, data_edges.direct(data))]
     edges = resolve.dedupe(reduce(DataFrame.unionByName, found))
     if preresolved is not None:
         edges = resolve.with_preresolved(edges, _edges(preresolved))
-    return nodes.unionByName(data_edges.dataset_nodes(data).withColumn("node_ord", F.lit(1 << 62)), allowMissingColumns=True), edges
+    return nodes.unionByName(data_edges.dataset_nodes(data).withColumn("node_ord", F.lit(1 << 62)), allowMissingColumns=True), edges, classes
+
+
+def with_derived(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges with those that the classes stand for, one for each source and target; of equally sure ones the derived edge."""
+    links = _edges(data_edges.expand(classes).withColumn("edge_ord", F.lit(1 << 62)))
+    pick = Window.partitionBy("src", "dst").orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), F.coalesce("derived", F.lit(False)).desc(), "edge_ord")
+    consumes = edges.filter("type = 'CONSUMES'").unionByName(links).withColumn("__n", F.row_number().over(pick)).filter("__n = 1").drop("__n")
+    return edges.filter("not (type <=> 'CONSUMES')").unionByName(consumes)
+
+
+def lost_links(old: DataFrame, new: DataFrame) -> DataFrame:
+    """type, src, dst of derived edges that ``old`` classes stand for and ``new`` ones don't; only classes that changed are expanded."""
+    by = ["class", "reads", "src", "norm"]
+    gone = old.select(by).exceptAll(new.select(by)).select("class").distinct()
+    before = data_edges.expand(written(old.join(gone, "class", "left_semi"), "lost-classes")[0]).select("src", "dst")
+    before, n = written(before, "lost-links")
+    readers = new.filter("reads").join(before.select("src").distinct(), "src", "left_semi").select(new.columns)
+    now = data_edges.expand(written(readers.unionByName(new.filter("not reads")), "kept-classes")[0]).select("src", "dst") if n else before
+    return before.join(now, ["src", "dst"], "left_anti").select(F.lit("CONSUMES").alias("type"), "src", "dst")
 
 
 class Engine:
@@ -66,16 +85,18 @@ class Engine:
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.base = spark, base.rstrip("/")
         self.store = Store(spark, self.base)
+        #: The references and the classes of derived edges of what was built here.
         self.pending: DataFrame | None = None
+        self.classes: DataFrame | None = None
 
     def build(self, roots: dict[str, str], languages: list[str] | None = None, path_globs: dict[str, list[str]] | None = None, **options: object) -> tuple[DataFrame, DataFrame]:
-        """Nodes and edges (structural and resolved) of source trees."""
+        """Nodes and edges (structural and resolved) of source trees. Derived edges are expanded from their classes where they are read."""
         files = repos.trees(self.spark, roots)
         nodes, pending, structural = parse(self.spark, roots, languages, path_globs, files)
         order = self.spark.createDataFrame(list(enumerate(roots)), "repo_ord long, repo string")
-        nodes, edges = resolve_graph(nodes, pending, repos.packages(files).join(order, "repo"), repos.owner_rules(files), **options)
+        nodes, edges, self.classes = resolve_graph(nodes, pending, repos.packages(files).join(order, "repo"), repos.owner_rules(files), **options)
         self.pending = cut(pending)
-        return cut(nodes), cut(structural.unionByName(edges))
+        return cut(nodes), with_derived(cut(structural.unionByName(edges)), self.classes)
 
     def index(self, nodes: DataFrame, edges: DataFrame, at: str, sha: str = "unknown", full: bool = False, source: str = "local", trigger_repo: str = "", repo_shas: dict | None = None, fetch_status: dict | None = None, state_run: str | None = "same") -> dict:
         """Publish a graph: difference to the last snapshot, keyed upsert and deletes, run log, new snapshot.
@@ -89,6 +110,10 @@ class Engine:
         mismatch = has and state_run not in ("same", state)
         compare = has and not full and not mismatch
         tree = merkle.tree(nodes)
+        by = ["class", "reads", "src", "norm"]
+        classes = self.classes
+        if classes is not None:  # their edges are stored as classes alone
+            edges = edges.filter("not coalesce(derived, false)")
         if compare:
             diff = merkle.changes(tree, store)
             up, gone = cut(nodes.join(diff.upserts.select("id"), "id", "left_semi").select(nodes.columns)), diff.deletes.select("id")
@@ -106,13 +131,27 @@ class Engine:
             kept_nodes: Replace | Patch = Patch(up.dropDuplicates(["id"]).select(NODE_COLUMNS), gone_now.select("id"))
         else:
             stored, kept_nodes = nodes, Replace(nodes.select(NODE_COLUMNS), ["id"])
+        grams: Replace | Patch = Replace(lookup.gram_postings(stored), ["gram", "id"], "slot")
+        if has and not full:  # only what changed is cut into grams again
+            touched = current.join(up.select("id").unionByName(gone_now.select("id")).distinct(), "id", "left_semi")
+            grams = difference(lookup.gram_postings(up), lookup.gram_postings(touched), ["gram", "id"], "slot")
         linked = resolve.dedupe(snapshot.with_endpoints(edges, stored).select(list(EDGE_COLUMNS)))
+        links_kept: dict[str, Replace | Patch] = {}
+        n_lost = n_links = 0
+        if classes is not None:
+            classes, _ = written(classes.join(stored.select(F.col("id").alias("src")), "src", "left_semi").select(classes.columns), "linked-classes")
+            shared = classes.filter("class not like 'name:%'")  # names are in the classes of their keys; what a key and a wildcard link counts in each
+            n_links = data_edges.class_sizes(shared).agg(F.coalesce(F.sum("n_links"), F.lit(0))).first()[0]
+            links_kept["classes"] = difference(classes, store.load("classes"), by) if store.has("classes") else Replace(classes, by)
+            n_lost = lost_links(store.load("classes"), classes).count() if compare and store.has("classes") else 0
+        elif has and store.has("classes") and not edges.filter("derived").isEmpty():  # edges that come expanded stand for themselves
+            links_kept["classes"] = Replace(store.load("classes").limit(0), by)
         if has:
             kept_edges = difference(linked, store.load("edges"), keys, ignore=("edge_ord",))
             kept_links = difference(links, store.load("snapshot_edges"), keys)
         else:
             kept_edges, kept_links = Replace(linked, keys), Replace(links, keys)
-        n_stale = kept_links.deletes.count() if compare and kept_links.deletes is not None else 0
+        n_stale = n_lost + (kept_links.deletes.count() if compare and kept_links.deletes is not None else 0)
         n_up, n_gone, n_all = up.count(), gone.count(), nodes.count()
         run_id = spark.range(1).select(history.run_id(F.to_timestamp(F.lit(at)), F.lit(sha))).first()[0]
         # a run's changes are a table of their own, as the first index of a large graph changes all of it
@@ -121,14 +160,14 @@ class Engine:
         pending = {}
         if self.pending is not None:
             rows = self.pending.withColumn("place", F.col("pend_ord").bitwiseAND(F.lit((1 << 24) - 1)))
-            by = ["repo", "src_file", "place"]
-            pending = {"pending": difference(rows, store.load("pending"), by, ignore=("pend_ord",)) if store.has("pending") else Replace(rows, by)}
+            place = ["repo", "src_file", "place"]
+            pending = {"pending": difference(rows, store.load("pending"), place, ignore=("pend_ord",)) if store.has("pending") else Replace(rows, place)}
         now = Replace(spark.createDataFrame([(run_id, sha, at)], "run_id string, sha string, at string"), ["run_id"])
-        store.save(nodes=kept_nodes, edges=kept_edges, snapshot_edges=kept_links, state=now, **snapshot_nodes, **trees, **pending)
+        store.save(nodes=kept_nodes, grams=grams, edges=kept_edges, snapshot_edges=kept_links, state=now, **snapshot_nodes, **trees, **pending, **links_kept)
         status = F.from_json(F.lit(_json(fetch_status or {})), "map<string,struct<status:string,reason:string,operation:string,sha:string,previous_sha:string>>")
         run = spark.range(1).select(F.lit(run_id).alias("id"), F.lit(sha).alias("sha"), F.lit(at).alias("at"), F.lit(source).alias("source"), F.lit(trigger_repo).alias("trigger_repo"), F.from_json(F.lit(_json(repo_shas or {})), "map<string,string>").alias("repo_shas"), F.lit(n_up).alias("upserted"), F.lit(n_gone).alias("deleted"), status.alias("fetch_status"))
         tables.append_run(run.coalesce(1), f"{self.base}/runs")
-        return {"run_id": run_id, "nodes": n_all, "upserted": n_up, "deleted": n_gone, "stale_edges": n_stale, "unchanged": n_all - n_up, "pending_edges": store.load("pending").count() if store.has("pending") else 0, "resolved_edges": edges.count(), "recovered": bool(mismatch)}
+        return {"run_id": run_id, "nodes": n_all, "upserted": n_up, "deleted": n_gone, "stale_edges": n_stale, "unchanged": n_all - n_up, "pending_edges": store.load("pending").count() if store.has("pending") else 0, "resolved_edges": edges.count(), "derived_links": n_links, "recovered": bool(mismatch)}
 
     def graph_state(self) -> str | None:
         """The run that the stored graph is of; the newest of the log where no state was kept."""
@@ -159,7 +198,9 @@ class Engine:
         nodes, edges, pending = (spark.createDataFrame([], s) for s in (NODES, EDGES, f"{PENDING}, place long"))
         keys = ["type", "src", "dst"]
         state = Replace(spark.createDataFrame([("", "", "")], "run_id string, sha string, at string"), ["run_id"])
-        none = {"nodes": Replace(nodes.select(NODE_COLUMNS), ["id"]), "edges": Replace(edges.select(list(EDGE_COLUMNS)), keys), "snapshot_edges": Replace(snapshot.snapshot_edges(edges), keys), "pending": Replace(pending, ["repo", "src_file", "place"])}
+        none = {"nodes": Replace(nodes.select(NODE_COLUMNS), ["id"]), "grams": Replace(lookup.gram_postings(nodes), ["gram", "id"], "slot"), "edges": Replace(edges.select(list(EDGE_COLUMNS)), keys), "snapshot_edges": Replace(snapshot.snapshot_edges(edges), keys), "pending": Replace(pending, ["repo", "src_file", "place"])}
+        if self.store.has("classes"):
+            none["classes"] = Replace(self.store.load("classes").limit(0), ["class", "reads", "src", "norm"])
         Store(spark, self.base, keep=1).save(state=state, **none, **merkle.tables(merkle.tree(nodes)))
 
     def all_edges(self) -> DataFrame:
@@ -178,31 +219,43 @@ class Engine:
         return self.spark.sql(text, args=args or None)
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        """Nodes and edges of the current version, or of nodes.jsonl and edges.jsonl where there is none.
+        """Nodes and edges, the derived ones among them."""
+        nodes, edges, classes = self.parts()
+        return nodes, edges if classes is None else with_derived(edges, classes)
+
+    def parts(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """Nodes, edges and classes of derived edges of the current version, or of nodes.jsonl and edges.jsonl where there is none.
 
         A graph without nodes, or with a table of another shape, is an error.
         """
         spark, base = self.spark, self.base
         if self.store.manifest() is None and tables.exists(spark, f"{base}/nodes.jsonl"):
-            return tables.load_jsonl(spark, f"{base}/nodes.jsonl", NODES, 1), tables.load_jsonl(spark, f"{base}/edges.jsonl", EDGES)
+            return tables.load_jsonl(spark, f"{base}/nodes.jsonl", NODES, 1), tables.load_jsonl(spark, f"{base}/edges.jsonl", EDGES), None
         nodes, edges = self.store.load("nodes"), self.store.load("edges")
         for df, wanted, name in ((nodes, NODES, "nodes"), (edges, EDGES, "edges")):
             if lost := {c.split()[0] for c in wanted.split(", ")} - set(df.columns):
                 raise TableError(f"{name} at {base} lack {', '.join(sorted(lost))}")
         if nodes.isEmpty():
             raise TableError(f"the graph at {base} has no nodes")
-        return nodes, edges
+        return nodes, edges, self.store.load("classes") if self.store.has("classes") else None
 
     def blast_radius(self, ids: list[str], max_depth: int = 10, mode: str = "offline") -> DataFrame:
-        nodes, edges = self.graph()
+        nodes, edges, classes = self.parts()
         seeds = self.spark.createDataFrame([(i,) for i in sorted(set(ids))], "seed string")
         unknown = [r[0] for r in seeds.join(nodes, seeds.seed == nodes.id, "left_anti").collect()]
         if unknown:
             raise GraphError(f"not in the graph: {', '.join(unknown)} (find lists what is)")
-        return reach.ranked(reach.blast_radius(edges, nodes, seeds, max_depth, mode), mode)
+        return reach.ranked(reach.blast_radius(edges, nodes, seeds, max_depth, mode, classes), mode)
 
     def find(self, pattern: str, limit: int = 50) -> DataFrame:
-        return lookup.find_symbols(self.graph()[0], pattern, limit)
+        """Symbols that hold a pattern. The postings of its rarest grams say which nodes are looked at; a pattern too short for grams looks at all."""
+        nodes, _, _ = self.parts()
+        if self.store.manifest() is not None:
+            grams, slots = lookup.gram_slots(self.spark, pattern)
+            if grams:
+                ids = lookup.with_grams(self.store.load("grams", [slot_bucket(s) for s in slots]), grams)
+                nodes = nodes.join(ids, "id", "left_semi")
+        return lookup.find_symbols(nodes, pattern, limit)
 
     def changed_ids(self, diff: str, *hints: str, default_path: str | None = None) -> DataFrame:
         """Ids that a diff touches in the repo that the first fitting hint means."""
@@ -214,11 +267,11 @@ class Engine:
 
     def touched(self, ranges: DataFrame, repo: str) -> DataFrame:
         """Ids of the nodes of a repo that changed ranges (path, start, end) touch."""
-        return lookup.changed_nodes(self.graph()[0], ranges, repo).orderBy("id")
+        return lookup.changed_nodes(self.parts()[0], ranges, repo).orderBy("id")
 
     def repo_of(self, *hints: str) -> str | None:
         """The indexed repo that the first fitting hint means: by its name, else by its name in lower case with dashes as underscores (the first of several)."""
-        known = sorted(r[0] for r in self.graph()[0].filter("kind = 'repo'").select("id").collect())  # a row per repo
+        known = sorted(r[0] for r in self.parts()[0].filter("kind = 'repo'").select("id").collect())  # a row per repo
         plain = lambda x: x.lower().replace("-", "_")
         loose = {plain(r): r for r in reversed(known)}
         fits = (h if h in known else loose.get(plain(h)) for h in hints if h)

@@ -50,4 +50,4 @@ def run_changes(changes: DataFrame, limit: int | None = None) -> Iterator[str]:
 def indexed(result: dict) -> str:
     """The counts of one run of the index."""
     extra = "; the store had another state, so all was written" if result["recovered"] else ""
-    return f"run {result['run_id']}: {result['nodes']} nodes ({result['upserted']} written, {result['deleted']} deleted, {result['unchanged']} unchanged), {result['resolved_edges']} edges, {result['pending_edges']} references, {result['stale_edges']} edges gone{extra}"
+    return f"run {result['run_id']}: {result['nodes']} nodes ({result['upserted']} written, {result['deleted']} deleted, {result['unchanged']} unchanged), {result['resolved_edges']} edges, {result['derived_links']} links from readers to writers, {result['pending_edges']} references, {result['stale_edges']} edges gone{extra}"

@@ -12,35 +12,39 @@ from graphloom.sources import tables
 
 
 class GraphCache:
-    """Nodes and edges of the current version, persisted once and dropped when the pointer moves."""
+    """Nodes, edges and classes of derived edges of the current version, persisted once and dropped when the pointer moves."""
 
     def __init__(self, spark: SparkSession, base: str, attempts: int = 5) -> None:
         self.engine, self.attempts = Engine(spark, base), attempts
         self.version: str | None = None
-        self._held: tuple[DataFrame, DataFrame] | None = None
+        self._held: tuple[DataFrame, DataFrame, DataFrame | None] | None = None
 
-    def graph(self) -> tuple[DataFrame, DataFrame]:
+    def graph(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """The tables; read again if the pointer moved while they were read."""
         for _ in range(self.attempts):
             version = tables.current_version(self.engine.spark, self.engine.base)
             if self._held and version == self.version:
                 return self._held
             self.refresh()
-            held = tuple(df.persist() for df in self.engine.graph())
+            held = tuple(None if df is None else df.persist() for df in self.engine.parts())
             held[0].count()
             if tables.current_version(self.engine.spark, self.engine.base) == version:
                 self.version, self._held = version, held
                 return held
-            for df in held:
-                df.unpersist()
+            self._let_go(held)
         raise GraphError(f"the graph at {self.engine.base} changed {self.attempts} times while it was read")
 
     def refresh(self) -> None:
         """Let go of what is held; the next call reads anew."""
-        for df in self._held or ():
-            df.unpersist()
+        self._let_go(self._held or ())
         self._held = self.version = None
 
+    @staticmethod
+    def _let_go(held: tuple[DataFrame | None, ...]) -> None:
+        for df in held:
+            if df is not None:
+                df.unpersist()
+
 
 class Tools:
     """Answers as plain dictionaries, ready for JSON."""
@@ -61,10 +65,10 @@ class Tools:
 
     def blast_radius(self, ids: list[str], max_depth: int = 10, limit: int | None = None) -> dict:
         """What depends on the ids, nearest first. ``limit``: rows that are sent, all unless given; all are counted."""
-        nodes, edges = self.cache.graph()
+        nodes, edges, classes = self.cache.graph()
         seeds = self.cache.engine.spark.createDataFrame([(i,) for i in sorted(set(ids))], "seed string")
         unknown = [r[0] for r in seeds.join(nodes, seeds.seed == nodes.id, "left_anti").collect()]  # of the ids given
-        found = reach.blast_radius(edges, nodes, seeds, max_depth, "offline")
+        found = reach.blast_radius(edges, nodes, seeds, max_depth, "offline", classes)
         rows = reach.ranked(found)
         return {"ids": ids, "unknown": unknown, "total": found.count(), "affected": [r.asDict() for r in (rows if limit is None else rows.limit(limit)).toLocalIterator()]}
 

@@ -25,16 +25,23 @@ def open_file(path: str) -> BinaryIO:
     return store.open_input_file(at)
 
 
-def walk(root: str, skip_dirs: set[str]) -> Iterator[tuple[str, int]]:
-    """Relative path and size of each file below ``root``, folders of these names left out, in the order of their names."""
+def walk(root: str, folders: list[str], skip_dirs: set[str], budget: int) -> Iterator[tuple[str, int | None]]:
+    """Relative path and size of each file below some folders of a tree; folders of the skipped names are left out.
+
+    After ``budget`` entries the folders that are left come instead of what is in them, without a size.
+    """
     from pyarrow import fs
 
     store, base = store_of(root.rstrip("/"))
-    todo = [base]
-    while todo:
-        for entry in sorted(store.get_file_info(fs.FileSelector(todo.pop())), key=lambda e: e.path):
+    todo = list(folders)
+    while todo and budget > 0:
+        folder = todo.pop()
+        for entry in store.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base)):
+            budget -= 1
+            at = f"{folder}/{entry.base_name}" if folder else entry.base_name
             if entry.type == fs.FileType.Directory:
                 if entry.base_name not in skip_dirs:
-                    todo.append(entry.path)
+                    todo.append(at)
             elif entry.type == fs.FileType.File:
-                yield entry.path[len(base) :].lstrip("/"), entry.size
+                yield at, entry.size
+    yield from ((folder, None) for folder in todo)

@@ -9,6 +9,7 @@ while later runs write beside it. Files that no kept manifest names are deleted.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from dataclasses import dataclass
@@ -48,6 +49,11 @@ def bucket_of(value: Column) -> Column:
     return F.substring(F.sha2(F.coalesce(value, F.lit("")), 256), 1, 16)
 
 
+def slot_bucket(value: str) -> str:
+    """:func:`bucket_of` of a value that the driver has."""
+    return hashlib.sha256(value.encode()).hexdigest()[:16]
+
+
 def difference(new: DataFrame, old: DataFrame, keys: list[str], by: str | None = None, ignore: tuple[str, ...] = ()) -> Patch:
     """What makes ``old`` into ``new``: keys are compared by one join, rows by their columns but the ignored ones. Written once."""
     cols = [c for c in new.columns if c not in keys and c not in ignore]
@@ -140,14 +146,14 @@ class Store:
 
     def _clean(self, dropped: dict[str, dict]) -> None:
         """Delete what only versions that are no longer kept consist of."""
-        live = set()
-        for v in [p[13:] for p in names_in(self.spark, f"{self.base}/pointers")]:
-            live |= _folders(self.manifest(v))
+        kept = [p[13:] for p in names_in(self.spark, f"{self.base}/pointers")]
+        live = set().union(*(_folders(self.manifest(v)) for v in kept))
+        in_use = {at.partition("/")[0] for at in live} | set(kept)
         for version, manifest in dropped.items():
-            for at in _folders(manifest) - live:
+            gone = _folders(manifest) - live
+            whole = ({at.partition("/")[0] for at in gone} | {version}) - in_use
+            for at in whole | {at for at in gone if at.partition("/")[0] not in whole}:
                 delete(self.spark, f"{self.base}/{at}")
-            if not any(at.startswith(f"{version}/") for at in live):
-                delete(self.spark, f"{self.base}/{version}")
 
 
 def _folders(manifest: dict) -> set[str]:
