@@ -322,7 +322,7 @@ SELECT n.id, CASE WHEN kind = 'dataset' THEN NULL ELSE coalesce(w.o, CASE repo W
 def owner_last_match(spark, sf_dir):
     nodes = b.nodes(spark, sf_dir).withColumn("owner", F.lit(None).cast("string"))
     repos = nodes.filter("kind = 'repo'").select("repo")
-    rules = spark.createDataFrame([(i, fn.ignore_regex(p), o) for i, (p, o) in enumerate(_RULES)], "ord int, regex string, owner string")
+    rules = spark.createDataFrame([(i, fn.ignore_regex(p), fn.rule_key(p), o) for i, (p, o) in enumerate(_RULES)], "ord int, regex string, key string, owner string")
     registry = spark.createDataFrame([("NATION_3", "@three", 0), ("NATION_4/nowhere", "@four", 1)], "key string, owner string, ord int")
     return owners.assign_owners(nodes, repos.crossJoin(F.broadcast(rules)), registry).select("id", "owner")  # five rules
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,14 +215,21 @@ def jsonl_round_trip(spark, sf_dir):
     return tables.read_jsonl(spark, at, NODES).select("id", "kind", "name", "repo", "path", "owner", "start_line")
 
 
+#: The graph folder that each session indexed last, and the tables it is of: several queries read it.
+_known: WeakKeyDictionary[SparkSession, tuple[str, Engine]] = WeakKeyDictionary()
+
+
 def _indexed(spark, sf_dir) -> Engine:
-    """Two runs of the index over two states of the orders, the second with an earlier clock."""
+    """Two runs of the index over two states of the orders, the second with an earlier clock; made once for a folder of tables."""
+    if spark in _known and _known[spark][0] == sf_dir:
+        return _known[spark][1]
     engine = Engine(spark, _folder(spark, "engine"))
     shape = lambda df: df.withColumns({"docstring": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "start_line": F.lit(1), "end_line": F.lit(2)}).select(NODE_COLUMNS)
     for nodes, at in zip(catalog._pair(spark, sf_dir), ("2024-01-02T00:00:00Z", "2024-01-01T00:00:00Z"), strict=True):
         edges = nodes.select(F.lit("CALLS").alias("type"), F.col("id").alias("src"), F.concat(F.lit("o"), (F.col("node_ord") + 1).cast("string")).alias("dst"), F.lit(0.5).alias("confidence"), F.col("node_ord").alias("edge_ord"))
         edges = edges.select(*[(F.col(c) if c in edges.columns else F.lit(None)).cast(t).alias(c) for c, t in EDGE_COLUMNS.items()])
         engine.index(shape(nodes), edges, at, "abc")
+    _known[spark] = sf_dir, engine
     return engine
 
 
@@ -262,7 +270,7 @@ def edge_delete(spark, sf_dir):
 def blast_radius_database_order(spark, sf_dir):
     """Places in the order of a database, where what has no path comes last."""
     nodes = b.nodes(spark, sf_dir).withColumn("path", F.when(~F.endswith("id", F.lit("5")), F.col("path")))
-    found = reach.ranked(reach.blast_radius(b.edges(spark, sf_dir), nodes, catalog._seeds(spark, catalog.SEED), mode="database"), "database")
+    found = reach.ranked(reach.blast_radius(catalog._edges(spark, sf_dir), nodes, catalog._seeds(spark, catalog.SEED), mode="database"), "database")
     return numbered(found, ["distance", F.desc("confidence"), F.col("repo").asc_nulls_last(), F.col("path").asc_nulls_last(), "id"], "n").select("id", (F.col("n") + 1).cast("int").alias("place"))
 
 

@@ -131,3 +131,31 @@ def format_age(seconds: Column) -> Column:
     s = F.floor(seconds)
     unit = lambda n, u: F.concat(F.floor(s / n).cast("string"), F.lit(u))
     return F.when(s < 60, unit(1, "s")).when(s < 3600, unit(60, "m")).when(s < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+
+
+def rule_key(pattern: str) -> str:
+    """What a path must have for an ignore-file pattern to fit: the folders it starts with, a name, an ending, or nothing in particular.
+
+    Rules and paths meet by these keys and are compared afterwards, so a path meets a few of many rules.
+    """
+    p = pattern.strip().removeprefix("!").rstrip("/")
+    segments = p.lstrip("/").split("/")
+    plain = [not set(x) & set("*?[\\") for x in segments]
+    if "/" in p:
+        literal = segments[: plain.index(False) if False in plain else None]
+        return "^" + "/".join(literal) if literal else "any"
+    if plain[0]:
+        return f"name:{segments[0]}"
+    rest = segments[0][1:]
+    if segments[0].startswith("*") and "." in rest and not set(rest) & set("*?[\\"):
+        return "ext:" + rest[rest.rindex(".") :]
+    return "any"
+
+
+def path_keys(path: Column) -> Column:
+    """The keys of :func:`rule_key` that a path answers to."""
+    segments = F.split(path, "/")
+    starts = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat(F.lit("^"), F.array_join(F.slice(segments, F.lit(1), i), "/")))
+    names = F.transform(segments, lambda x: F.concat(F.lit("name:"), x))
+    endings = F.transform(F.filter(segments, lambda x: F.contains(x, F.lit("."))), lambda x: F.concat(F.lit("ext:"), F.regexp_extract(x, r"\.[^.]*$", 0)))
+    return F.array_distinct(F.concat(starts, names, endings, F.array(F.lit("any"))))

@@ -5,16 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.names import path_keys
+
+
+def last_match(paths: DataFrame, rules: DataFrame, value: str) -> DataFrame:
+    """[repo,] path, ``value`` of the last rule that fits each distinct path. rules: [repo,] ord, regex, [key,] and the value.
+
+    Paths and rules meet by equal keys (see ``names.rule_key``) of all repos at once; the expression is tried on those that meet.
+    """
+    on = ["repo", "key"] if "repo" in rules.columns else ["key"]
+    rules = rules if "key" in rules.columns else rules.withColumn("key", F.lit("any"))
+    meet = paths.select("repo", "path", F.explode(path_keys(F.col("path"))).alias("key")).join(rules.select(*on, "ord", "regex", value), on)
+    return meet.filter(F.regexp_like("path", F.col("regex"))).groupBy("repo", "path").agg(F.max_by(value, "ord").alias(value))
+
 
 def assign_owners(nodes: DataFrame, rules: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """``nodes`` with owner filled where it is null.
 
-    rules: repo, ord, regex, owner; registry: key, owner, ord. Rules are matched
-    once per distinct path; the registry's first prefix wins, then the repo's entry.
+    rules: repo, ord, regex, owner, and their key if known; registry: key, owner, ord.
+    Rules are matched once per distinct path; the registry's first prefix wins, then the repo's entry.
     """
     paths = nodes.filter("owner is null and path is not null").select("repo", "path").distinct()
-    hit = paths.join(rules.withColumnsRenamed({"owner": "rule_owner"}), "repo").filter(F.regexp_like("path", F.col("regex")))
-    found = hit.groupBy("repo", "path").agg(F.max_by("rule_owner", "ord").alias("by_rule"))
+    found = last_match(paths, rules.withColumnRenamed("owner", "by_rule"), "by_rule")
     out = nodes.join(found, ["repo", "path"], "left")
     fallback = F.lit(None).cast("string")
     if registry is not None:

@@ -27,8 +27,7 @@ def parse(spark: SparkSession, roots: dict[str, str], languages: list[str] | Non
     """nodes, pending, structural edges of the trees; their order is that of repos, paths and offsets."""
     order = {r: i for i, r in enumerate(roots)}
     files = repos.trees(spark, roots) if files is None else files
-    parts = [repos.source_files(files.filter(F.col("repo") == repo), languages, (path_globs or {}).get(repo)) for repo in roots]
-    rows = cut(extract(reduce(DataFrame.unionByName, parts).select("repo", "path", "lang", "content")))
+    rows = cut(extract(repos.source_files(files, languages, path_globs)))
     repo = F.coalesce("repo", F.split_part("src", F.lit("::"), F.lit(1)))
     # numbered file by file: the file's rank by repo and path, then the row's place in it
     place = spark.createDataFrame(list(order.items()), "repo string, repo_ord int")

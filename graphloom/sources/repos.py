@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.functions.names import glob_regex, ignore_regex
+from graphloom.functions.names import glob_regex, ignore_regex, rule_key
+from graphloom.operators.owners import last_match
 from graphloom.plans.lineage import ship, written
 from graphloom.schema import MAX_FILE_BYTES
 from graphloom.sources.extract import LANGUAGES
@@ -87,31 +88,50 @@ def with_content(files: DataFrame, files_per_task: int = 512) -> DataFrame:
     return files.repartition(tasks, "repo", "path").mapInPandas(read, schema)
 
 
-def _text_of(files: DataFrame, path: str) -> str:
-    found = with_content(files.filter((F.col("path") == path) & (F.col("length") <= MAX_FILE_BYTES))).select(F.decode("content", "UTF-8")).first()
-    return found[0] if found else ""
+RULES = "ord long, regex string, key string, ignored boolean"
 
 
-def source_files(files: DataFrame, languages: list[str] | None = None, path_globs: list[str] | None = None, ignore: str | None = None) -> DataFrame:
-    """repo, path, lang, content of the files to parse: known endings, not ignored, not too large.
+def _rules(text: str, first: int = 0) -> list[tuple]:
+    """ord, regex, key, ignored of the patterns of an ignore file."""
+    return [(first + i, regex, rule_key(line), not line.startswith("!")) for i, line in enumerate(text.splitlines()) if (regex := ignore_regex(line))]
+
+
+def ignore_rules(files: DataFrame) -> DataFrame:
+    """repo, ord, regex, key, ignored: the rules of all repos' ignore files, those of the second file after those of the first."""
+    ship(files.sparkSession)
+    own = with_content(files.filter(F.col("path").isin(*IGNORE_FILES) & (F.col("length") <= MAX_FILE_BYTES))).select("repo", "path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(repo, *r) for repo, path, text in batch.itertuples(index=False) for r in _rules(bytes(text or b"").decode("utf-8", "replace"), IGNORE_FILES.index(path) << 32)]
+            yield pd.DataFrame(rows, columns=["repo", "ord", "regex", "key", "ignored"])
+
+    return own.mapInPandas(run, f"repo string, {RULES}")
+
+
+def source_files(files: DataFrame, languages: list[str] | None = None, path_globs: list[str] | dict[str, list[str]] | None = None, ignore: str | None = None) -> DataFrame:
+    """repo, path, lang, content of the files to parse, of all repos: known endings, not ignored, not too large.
 
     The last ignore rule that fits decides, a rule with ! letting a path in again.
+    ``path_globs`` hold for all repos, or for those they are given for; ``ignore``
+    stands for the ignore files of all repos.
     """
+    spark = files.sparkSession
     ending = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     lang = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])[ending]
     rows = files.filter(F.col("length") <= MAX_FILE_BYTES).withColumn("lang", lang).filter("lang is not null")
     rows = rows.filter(~F.arrays_overlap(F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1), F.array(*[F.lit(d) for d in SKIP_DIRS])) | (F.size(F.split("path", "/")) == 1))
     if languages:
         rows = rows.filter(F.col("lang").isin(languages))
-    if path_globs:
+    if isinstance(path_globs, dict):
+        given = {repo: globs for repo, globs in path_globs.items() if globs}
+        own = F.create_map(*[x for repo, globs in given.items() for x in (F.lit(repo), F.array(*map(F.lit, globs)))])[F.col("repo")] if given else None
+        rows = rows if own is None else rows.filter(F.coalesce(F.exists(own, lambda g: F.regexp_like("path", glob_regex(g))), F.lit(True)))
+    elif path_globs:
         rows = rows.filter(F.exists(F.array(*[F.lit(g) for g in path_globs]), lambda g: F.regexp_like("path", glob_regex(g))))
-    text = ignore if ignore is not None else "\n".join(_text_of(files, f) for f in IGNORE_FILES)
-    ignored = F.lit(False)
-    for line in text.splitlines():
-        pattern = ignore_regex(line)
-        if pattern:
-            ignored = F.when(F.col("path").rlike(pattern), F.lit(not line.startswith("!"))).otherwise(ignored)
-    return with_content(rows.filter(~ignored)).select("repo", "path", "lang", "content")
+    rules = ignore_rules(files) if ignore is None else spark.createDataFrame(_rules(ignore), RULES)
+    ignored = last_match(rows.select("repo", "path").distinct(), rules, "ignored").filter("ignored")
+    return with_content(rows.join(ignored, ["repo", "path"], "left_anti")).select("repo", "path", "lang", "content")
 
 
 def _toml_names(text: str) -> list:
@@ -173,7 +193,7 @@ def packages(files: DataFrame) -> DataFrame:
 
 
 def owner_rules(files: DataFrame) -> DataFrame:
-    """repo, ord, pattern, regex, owner: the rules of the first owner file that exists in each repo."""
+    """repo, ord, pattern, regex, key, owner: the rules of the first owner file that exists in each repo."""
     ship(files.sparkSession)
     place = F.array_position(F.array(*[F.lit(p) for p in OWNER_FILES]), F.col("path"))
     own = with_content(files.filter(F.col("path").isin(*OWNER_FILES))).groupBy("repo").agg(F.min_by("content", place).alias("content"))
@@ -185,7 +205,7 @@ def owner_rules(files: DataFrame) -> DataFrame:
                 for i, line in enumerate(bytes(content or b"").decode("utf-8", "replace").splitlines()):
                     pattern, *names = line.split() or [""]
                     if pattern and not pattern.startswith("#") and names and (regex := ignore_regex(pattern)):
-                        rows.append((repo, i, pattern, regex, " ".join(names)))
-            yield pd.DataFrame(rows, columns=["repo", "ord", "pattern", "regex", "owner"])
+                        rows.append((repo, i, pattern, regex, rule_key(pattern), " ".join(names)))
+            yield pd.DataFrame(rows, columns=["repo", "ord", "pattern", "regex", "key", "owner"])
 
-    return own.mapInPandas(run, "repo string, ord int, pattern string, regex string, owner string")
+    return own.mapInPandas(run, "repo string, ord int, pattern string, regex string, key string, owner string")

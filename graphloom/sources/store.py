@@ -122,7 +122,7 @@ class Store:
         return version
 
     def _replaced(self, change: Replace, at: str) -> dict:
-        rows, n = written(change.rows, "table")
+        rows, n = (change.rows, 0) if change.by else written(change.rows, "table")  # buckets follow the values of ``by``, or the number of rows
         table = {"keys": change.keys, "by": change.by, "buckets": max(1, min(MAX_BUCKETS, -(-n // self.bucket_rows))), "schema": rows.schema.jsonValue(), "deltas": []}
         return table | {"base": dict.fromkeys(self._write(rows, table, at), at)}
 

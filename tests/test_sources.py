@@ -153,3 +153,38 @@ def test_git_diff(tmp_path):
     run("commit", "-m", "x")
     (tmp_path / "f.py").write_text("a\nc\n")
     assert "@@ -2 +2 @@" in diffs.git_diff(str(tmp_path))
+
+
+def test_rules_by_key_are_those_of_all_rules(spark):
+    """Every pattern that fits a path shares a key with it; the last rule of many decides as one by one."""
+    import random
+
+    from graphloom.functions.names import ignore_regex, path_keys, rule_key
+    from graphloom.operators.owners import last_match
+
+    rng = random.Random(3)
+    seg = lambda: rng.choice(["a", "b", "src", "x.py", "y.tar.gz", "é"])
+    wild = lambda: rng.choice([seg(), seg(), "*", "*.py", "*.gz", "?", "[ab]", "**", "s*", "*a", "a\\\\b"])
+    rules = [(f"r{i % 3}", i, p, ignore_regex(p), rule_key(p), f"o{i}") for i in range(600) if (p := rng.choice(["", "/", "!"]) + "/".join(wild() for _ in range(rng.randrange(1, 4))) + rng.choice(["", "/"])) and ignore_regex(p)]
+    paths = sorted({(f"r{rng.randrange(3)}", "/".join(seg() for _ in range(rng.randrange(1, 5)))) for _ in range(150)})
+    table = spark.createDataFrame(rules, "repo string, ord int, pattern string, regex string, key string, owner string")
+    files = spark.createDataFrame(paths, "repo string, path string")
+    fits = {(r.repo, r.path): r.o for r in files.join(table, "repo").filter(F.regexp_like("path", F.col("regex"))).groupBy("repo", "path").agg(F.max_by("owner", "ord").alias("o")).collect()}
+    assert {(r.repo, r.path): r.owner for r in last_match(files, table, "owner").collect()} == fits and len(fits) > 100
+    assert [rule_key(p) for p in ("/src/a*/b", "a/b", "*.tar.gz", "Makefile", "!gen/", "**/x", "/supp/")] == ["^src", "^a/b", "ext:.gz", "name:Makefile", "name:gen", "any", "^supp"]
+    keys = files.select(F.explode(path_keys(F.col("path"))).alias("key")).filter("key <> 'any'").count() / len(paths)
+    assert keys < 20
+
+
+def test_listing_goes_on_where_the_budget_ended(spark, tmp_path):
+    for i in range(40):
+        at = tmp_path / f"d{i % 7}" / f"e{i % 3}"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"f{i}.py").write_text("x" * i)
+    (tmp_path / ".hidden").write_text("h")
+    (tmp_path / "d1" / "node_modules").mkdir()
+    (tmp_path / "d1" / "node_modules" / "no.js").write_text("")
+    other = {"r": str(tmp_path), "s": f"file://{tmp_path / 'd0'}"}
+    of = lambda df: sorted((r.repo, r.path, r.length) for r in df.collect())
+    assert of(repos.trees(spark, other, budget=5)) == of(repos.trees(spark, other))
+    assert len(of(repos.trees(spark, other))) == 41 + 6
