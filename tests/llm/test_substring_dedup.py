@@ -103,7 +103,7 @@ def test_seams_of_long_texts(spark, monkeypatch):
 def test_windows_are_found_by_the_order(spark, monkeypatch):
     """Without the order of the suffix grouping nothing but the exact copies is found."""
     real = sd._ordered
-    monkeypatch.setattr(sd, "_ordered", lambda strings, groups: sorted(real(strings, groups), key=lambda i: hashlib.md5(b"%d" % i).digest()))
+    monkeypatch.setattr(sd, "_ordered", lambda strings, groups, piece: sorted(real(strings, groups, piece), key=lambda i: hashlib.md5(b"%d" % i).digest()))
     contexts = [(1, bytes([65 + i % 2] * 10) + b"anchor00" + bytes([66 + i // 20] * 10) + b"%d" % i, 10, 2) for i in range(40)]
     wrong = sd.repeated_offsets(contexts, [1] * 40, 20, 8)
     monkeypatch.setattr(sd, "_ordered", real)
