@@ -130,7 +130,7 @@ def test_null_ids_and_equal_ids(spark):
     """Ids say nothing: rows without one, and rows that share one, are texts like others."""
     text = "".join(chr(97 + i * i % 26) for i in range(300))
     docs = spark.createDataFrame([(None, text + "left"), (None, "right" + text), (7, "short"), (7, None)], "doc_id long, text string")
-    got = sorted(((r.id, r.n_bytes, sum(s.end - s.start for s in r.spans)) for r in sd.remove_repeats(docs).collect()), key=repr)
+    got = sorted(((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans)) for r in sd.remove_repeats(docs).collect()), key=repr)
     assert got == [(7, 0, 0), (7, 5, 0), (None, 304, 300), (None, 305, 300)]
 
 
