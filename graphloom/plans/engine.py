@@ -127,11 +127,11 @@ class Engine:
             current = store.load("nodes")
             gone_now = cut(snapshot.deletes(nodes, current.select("id"))) if full else gone
             stored = snapshot.upsert(current, up.dropDuplicates(["id"]).select(NODE_COLUMNS), ["id"]).join(gone_now.select("id"), "id", "left_anti").select(NODE_COLUMNS)
-            kept_nodes: Replace | Patch = Patch(up.dropDuplicates(["id"]).select(NODE_COLUMNS), gone_now.select("id"))
+            kept_nodes = Patch(up.dropDuplicates(["id"]).select(NODE_COLUMNS), gone_now.select("id")) if compare else Replace(stored, ["id"])
         else:
             stored, kept_nodes = nodes, Replace(nodes.select(NODE_COLUMNS), ["id"])
         grams: Replace | Patch = Replace(lookup.gram_postings(stored), ["gram", "id"], "slot")
-        if has and not full:  # only what changed is cut into grams again
+        if compare:  # only what changed is cut into grams again
             touched = current.join(up.select("id").unionByName(gone_now.select("id")).distinct(), "id", "left_semi")
             grams = difference(lookup.gram_postings(up), lookup.gram_postings(touched), ["gram", "id"], "slot")
         linked = resolve.dedupe(snapshot.with_endpoints(edges, stored).select(list(EDGE_COLUMNS)))
@@ -222,21 +222,22 @@ class Engine:
         nodes, edges, classes = self.parts()
         return nodes, edges if classes is None else with_derived(edges, classes)
 
-    def parts(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-        """Nodes, edges and classes of derived edges of the current version, or of nodes.jsonl and edges.jsonl where there is none.
+    def parts(self, at: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """Nodes, edges and classes of derived edges of the current version (or of a manifest's), or of nodes.jsonl and edges.jsonl where there is none.
 
         A graph without nodes, or with a table of another shape, is an error.
         """
         spark, base = self.spark, self.base
-        if self.store.manifest() is None and tables.exists(spark, f"{base}/nodes.jsonl"):
+        now = at or self.store.manifest()
+        if now is None and tables.exists(spark, f"{base}/nodes.jsonl"):
             return tables.load_jsonl(spark, f"{base}/nodes.jsonl", NODES, 1), tables.load_jsonl(spark, f"{base}/edges.jsonl", EDGES), None
-        nodes, edges = self.store.load("nodes"), self.store.load("edges")
+        nodes, edges = self.store.load("nodes", at=now), self.store.load("edges", at=now)
         for df, wanted, name in ((nodes, NODES, "nodes"), (edges, EDGES, "edges")):
             if lost := {c.split()[0] for c in wanted.split(", ")} - set(df.columns):
                 raise TableError(f"{name} at {base} lack {', '.join(sorted(lost))}")
         if nodes.isEmpty():
             raise TableError(f"the graph at {base} has no nodes")
-        return nodes, edges, self.store.load("classes") if self.store.has("classes") else None
+        return nodes, edges, self.store.load("classes", at=now) if "classes" in now["tables"] else None
 
     def blast_radius(self, ids: list[str], max_depth: int = 10, mode: str = "offline") -> DataFrame:
         nodes, edges, classes = self.parts()
@@ -248,12 +249,12 @@ class Engine:
 
     def find(self, pattern: str, limit: int = 50) -> DataFrame:
         """Symbols that hold a pattern. The postings of its rarest grams say which nodes are looked at; a pattern too short for grams looks at all."""
-        nodes, _, _ = self.parts()
-        if self.store.manifest() is not None:
-            grams, slots = lookup.gram_slots(self.spark, pattern)
-            if grams:
-                ids = lookup.with_grams(self.store.load("grams", [slot_bucket(s) for s in slots]), grams)
-                nodes = nodes.join(ids, "id", "left_semi")
+        now = self.store.manifest()
+        nodes, _, _ = self.parts(now)
+        grams, slots = lookup.gram_slots(self.spark, pattern)
+        if now is not None and grams:
+            ids = lookup.with_grams(self.store.load("grams", [slot_bucket(s) for s in slots], now), grams)
+            nodes = nodes.join(ids, "id", "left_semi")
         return lookup.find_symbols(nodes, pattern, limit)
 
     def changed_ids(self, diff: str, *hints: str, default_path: str | None = None) -> DataFrame:

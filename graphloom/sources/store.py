@@ -83,9 +83,12 @@ class Store:
         found = self.manifest()
         return found is not None and name in found["tables"]
 
-    def load(self, name: str, buckets: list[str] | None = None) -> DataFrame:
-        """The rows of a table now, of some buckets if given: no other bucket's files are read."""
-        found = self.manifest()
+    def load(self, name: str, buckets: list[str] | None = None, at: dict | None = None) -> DataFrame:
+        """The rows of a table now, or of the version of a manifest, so that several tables are of one.
+
+        Of some ``buckets`` if given: no other bucket's files are read.
+        """
+        found = at or self.manifest()
         if found is None or name not in found["tables"]:
             raise TableError(f"no {name} at {self.base}")
         return self._merged(found["tables"][name], buckets)
