@@ -167,16 +167,21 @@ def imports_to_edges(refs: DataFrame, nodes: DataFrame, packages: DataFrame, fix
 
 
 def path_imports(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges of ./ and ../ imports: the first existing file of the path itself, with an ending, or an index file."""
+    """Edges of ./ and ../ imports: the first existing file of the path itself, with an ending, or an index file.
+
+    A file offers itself under the few names that may mean it, the best file of a
+    name is found among these, and references meet one row instead of trying all endings.
+    """
     endings = ["", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", "/index.js", "/index.ts"]
-    rows = refs.filter(F.col("target").rlike(r"^\.\.?/"))
+    names = F.array(*[F.when(F.endswith("path", F.lit(e)), F.struct(F.lit(n).alias("n"), F.expr(f"left(path, length(path) - {len(e)})").alias("joined"))) for n, e in enumerate(endings)])
+    offers = file_modules(nodes).select("repo", "module_id", F.explode(F.array_compact(names)).alias("o")).groupBy("repo", "o.joined").agg(F.min_by("module_id", "o.n").alias("module_id"))
+    # dealt out before their paths are joined, as a small file of references is one task
+    rows = refs.filter(F.col("target").rlike(r"^\.\.?/")).select("repo", "src", "src_file", "line", "target", "pend_ord").repartition("pend_ord")
     parts = F.filter(F.concat(F.slice(F.split("src_file", "/"), F.lit(1), F.size(F.split("src_file", "/")) - 1), F.split("target", "/")), lambda p: (p != ".") & (p != ""))
     step = lambda a, p: F.when((p == "..") & (F.size(a) > 0) & (F.element_at(a, -1) != ".."), F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(F.concat(a, F.array(p)))
     joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
-    rows = rows.withColumn("joined", joined).select("*", F.posexplode(F.array(*[F.lit(e) for e in endings])).alias("n", "ending"))
-    rows = rows.withColumn("path", F.concat("joined", "ending")).join(file_modules(nodes), ["repo", "path"])
-    best = rows.groupBy("pend_ord").agg(F.min_by(F.struct("src", "module_id", "line", "target"), "n").alias("m"))
-    return best.select(F.lit("IMPORTS").alias("type"), F.col("m.src").alias("src"), F.col("m.module_id").alias("dst"), F.lit(0.95).alias("confidence"), F.col("m.line").alias("line"), F.col("m.target").alias("raw"), F.lit(None).cast("string").alias("package"), "pend_ord")
+    best = rows.select("repo", "src", "line", "target", "pend_ord", joined.alias("joined")).join(offers, ["repo", "joined"])
+    return best.select(F.lit("IMPORTS").alias("type"), "src", F.col("module_id").alias("dst"), F.lit(0.95).alias("confidence"), "line", F.col("target").alias("raw"), F.lit(None).cast("string").alias("package"), "pend_ord")
 
 
 def dedupe(edges: DataFrame, order: str = "edge_ord") -> DataFrame:
