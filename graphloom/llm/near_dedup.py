@@ -109,20 +109,20 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = 75, block: int = 2
 
 
 def rare_keys(ids: DataFrame, docs: DataFrame, percent: int = 75, slots: int = 1 << 20) -> DataFrame:
-    """key, doc_id: for each of the documents those of its shingles, the rarest first, of which similar documents share one.
+    """key, doc_id, c: for each of the documents (doc_id, c) those of its shingles, the rarest first, of which similar documents share one.
 
     Sets of n shingles that are similar to ``percent`` lack at most n - ceil(n *
     percent / 100) of each other's, so any one more of them meet in whatever order
     all sets are gone through; going by rarity makes the meetings few. Rarity is
     counted in a table of ``slots`` numbers, its only effect is on cost.
     """
-    texts = docs.join(broadcast_if_small(ids), "doc_id", "left_semi")
+    texts = docs.join(broadcast_if_small(ids), "doc_id").select("doc_id", "c", "text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingles.shingle_set(shingles.split(t)).view(np.int64) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "c": batch["c"], "shingles": [shingles.shingle_set(shingles.split(t)).view(np.int64) for t in batch["text"]]})
 
-    held = stored(texts.mapInPandas(sets, "doc_id long, shingles array<long>"), "loose-sets")
+    held = stored(texts.mapInPandas(sets, "doc_id long, c long, shingles array<long>"), "loose-sets")
     counts = held.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(slots)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
     # at most one row per slot
     seen = np.zeros(slots, np.int64)
@@ -132,12 +132,12 @@ def rare_keys(ids: DataFrame, docs: DataFrame, percent: int = 75, slots: int = 1
 
     def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc_id, own in batch.itertuples(index=False):
+            for doc_id, c, own in batch.itertuples(index=False):
                 take = len(own) - -(-len(own) * percent // 100) + 1
                 order = np.lexsort((own, shared.value[own % slots]))[:take]
-                yield pd.DataFrame({"key": own[order], "doc_id": doc_id})
+                yield pd.DataFrame({"key": own[order], "doc_id": doc_id, "c": c})
 
-    return held.mapInPandas(rarest, "key long, doc_id long")
+    return held.mapInPandas(rarest, "key long, doc_id long, c long")
 
 
 def overlaps_in(sets: list[np.ndarray], component: list[int], percent: int = 75) -> list[tuple[int, int]]:
@@ -186,17 +186,17 @@ def settle(buckets: DataFrame, component: DataFrame, docs: DataFrame, block: int
     merely share a frequent passage don't meet. Members of what is then a bucket are
     dealt into blocks; a component of more than ``block`` members has blocks of its
     own, which are compared with the blocks of others only. A task holds two blocks
-    at most.
+    at most. A document meets its component once, whatever its number of buckets.
     """
-    named = buckets.join(component, buckets.doc_id == component.id, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    held = buckets.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    named = held.join(component, held.doc_id == component.id, "left").select(F.explode("keys").alias("key"), "doc_id", F.coalesce("component", "doc_id").alias("c"))
     state = named.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
     state = stored(state.select("key", (F.col("m") > block).alias("wide")), "open-buckets")
-    open_ = stored(named.select("key", "doc_id").join(broadcast_if_small(state), "key"), "open-members")
-    wide = stored(open_.filter("wide").select("doc_id").distinct(), "wide-members")
-    buckets = open_.filter("not wide").select("key", "doc_id")
+    open_ = stored(named.join(broadcast_if_small(state), "key"), "open-members")
+    wide = stored(open_.filter("wide").select("doc_id", "c").distinct(), "wide-members")
+    member = open_.filter("not wide").select("key", "doc_id", "c")
     if not wide.isEmpty():
-        buckets = buckets.unionByName(stored(rare_keys(wide, docs), "rare-keys"))
-    member = buckets.join(component, buckets.doc_id == component.id, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        member = member.unionByName(stored(rare_keys(wide, docs), "rare-keys"))
     parts = member.groupBy("key", "c").agg(F.count("*").alias("mc"))
     large = F.col("mc") > block
     open_keys = (

@@ -87,3 +87,21 @@ def test_min_max_estimates_similarity():
     agree = np.mean([(a[k] == b[k]).mean() for k in (0, 1)])
     assert abs(agree - 0.6) < 0.15
     assert len(near_dedup.band_keys(*a)) == 32
+
+
+def test_a_document_meets_its_component_once(spark, monkeypatch):
+    stored, plans = near_dedup.stored, {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(near_dedup, "stored", seen)
+    buckets = spark.createDataFrame([(k, d) for k in range(5) for d in range(4)], "key long, doc_id long")
+    component = spark.createDataFrame([(1, 0), (0, 0)], "id long, component long")
+    docs = spark.createDataFrame([(i, "a b c d e f g h") for i in range(4)], "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.settle(buckets, component, docs).collect())) == [(0, 2), (0, 3)]
+    for name, plan in plans.items():
+        if "LeftOuter" in plan:  # buckets are listed above the join, not below it
+            assert plan.index("Generate explode") < plan.index("LeftOuter"), name
+    assert sum("LeftOuter" in p for p in plans.values()) >= 1 and "LeftOuter" not in plans["blocks"]
