@@ -262,7 +262,7 @@ def pending_and_resolved(spark, sf_dir):
 @query(f"WITH e AS ({catalog.E}) SELECT type, src, dst, edge_ord FROM e WHERE NOT (type = 'CALLS' AND edge_ord % 10 = 3)")
 def edge_delete(spark, sf_dir):
     """Edges without a list of keys."""
-    edges = b.edges(spark, sf_dir)
+    edges = b.edges(spark, sf_dir, catalog._EDGE)
     return snapshot.delete_edges(edges, edges.filter("type = 'CALLS' and edge_ord % 10 = 3")).select("type", "src", "dst", "edge_ord")
 
 

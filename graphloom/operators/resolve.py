@@ -190,9 +190,10 @@ def dedupe(edges: DataFrame, order: str = "edge_ord") -> DataFrame:
     return edges.withColumn("__n", F.row_number().over(pick)).filter("__n = 1").drop("__n")
 
 
-def with_preresolved(edges: DataFrame, preresolved: DataFrame) -> DataFrame:
-    """Edges and those of another resolver (confidence 1 and source scip where unset), deduplicated; ours come first."""
+def with_preresolved(edges: DataFrame, preresolved: DataFrame, parts: int | None = None) -> DataFrame:
+    """Edges and those of another resolver (confidence 1 and source scip where unset), deduplicated; ours come first. ``parts``: partitions to compare them in, where their number is known."""
     extra = preresolved.withColumn("confidence", F.coalesce("confidence", F.lit(1.0))).withColumn("source", F.coalesce("source", F.lit("scip")))
     both = edges.withColumn("__from", F.lit(0)).unionByName(extra.withColumn("__from", F.lit(1)), allowMissingColumns=True)
+    both = both.repartition(parts, "type", "src", "dst") if parts else both
     pick = Window.partitionBy("type", "src", "dst").orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), "__from", "edge_ord")
     return both.withColumn("__n", F.row_number().over(pick)).filter("__n = 1").drop("__n", "__from")
