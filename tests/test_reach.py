@@ -1,5 +1,6 @@
 """Both modes against enumerations of paths, on random multigraphs with cycles and parallel edges."""
 
+import re
 import os
 import random
 
@@ -135,3 +136,21 @@ def test_classes_walk_as_their_edges_would(spark, mode):
     sizes = data_edges.class_sizes(members).collect()
     pairs = members.filter("reads").alias("r").join(members.filter("not reads").alias("w"), "class").filter("r.src <> w.src").select("class", "r.src", "w.src").distinct().groupBy("class").count()
     assert {r["class"]: r.n_links for r in sizes if r.n_links} == {r["class"]: r["count"] for r in pairs.collect()}
+
+
+def test_links_are_not_shuffled_and_none_is_lost(spark):
+    from graphloom.operators import data_edges
+
+    rows = [("key:k", i % 2 == 0, f"n{i % 7}", f"k{i % 3}", "k", 0.7) for i in range(60)] + [("reads:a*", True, f"n{i}", "a*", f"q{i % 2}", 0.5) for i in range(5)] + [("reads:a*", False, f"n{i}", "ab", "ab", 0.5) for i in range(3, 9)]
+    members = spark.createDataFrame(rows, "class string, reads boolean, src string, norm string, key string, confidence double")
+    best = {}
+    for c, _, src, norm, key, conf in (r for r in rows if r[1]):
+        for _, _, dst, w_norm, w_key, _ in (w for w in rows if not w[1] and w[0] == c):
+            if src != dst and (conf != 0.5 or key != w_key):
+                best[src, dst] = max(best.get((src, dst), (0, "")), (0.5 if conf == 0.5 else 0.8 if norm == w_norm else 0.7, key))
+    for options in ({}, {"pack": 2, "hub": 3}):
+        df = data_edges.expand(members, **options)
+        assert {(r.src, r.dst): (r.confidence, r.dataset) for r in df.collect()} == best and df.count() == len(best)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(writers") < plan.index("RepartitionByExpression")  # links are listed after the shuffle
+    assert not re.search(r"hashpartitioning\([^)]*w_src", df._jdf.queryExecution().executedPlan().toString().split("RepartitionByExpression")[0].split("Generate explode(writers")[0])
