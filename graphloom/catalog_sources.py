@@ -12,7 +12,7 @@ from graphloom import catalog
 from graphloom.functions import names as fn
 from graphloom.operators import history, reach, resolve, snapshot
 from graphloom.plans.engine import EDGE_COLUMNS, NODE_COLUMNS, Engine
-from graphloom.plans.lineage import checkpoint_dir, numbered
+from graphloom.plans.lineage import checkpoint_dir, numbered, parts
 from graphloom.registry import query
 from graphloom.schema import NODES
 from graphloom.sources import binding as b
@@ -111,13 +111,16 @@ def _pending(df: DataFrame) -> DataFrame:
 
 
 def _of_parts(spark, sf_dir, lang: str, text: Column) -> DataFrame:
-    return extract(_table(spark, sf_dir, "SELECT p_partkey AS k, CAST(p_partkey AS STRING) AS s FROM part").select(*_file("k", text), F.lit(lang).alias("lang")))
+    keys = _table(spark, sf_dir, "SELECT p_partkey AS k, CAST(p_partkey AS STRING) AS s FROM part")
+    keys = keys.repartition(parts(keys.count(), 2_500), "k")  # a few MB of keys, one task by their size, are many files
+    return extract(keys.select(*_file("k", text), F.lit(lang).alias("lang")))
 
 
 def _both(df: DataFrame) -> DataFrame:
-    """path, what (kind or type), name (qualified name and signature, or scope and target)."""
-    defs = df.filter("part = 'node' and kind <> 'module'").select("path", F.col("kind").alias("what"), F.concat_ws(" ", fn.id_part(F.col("id"), 3), "signature", F.coalesce("docstring", F.lit("-"))).alias("name"))
-    return defs.unionByName(_pending(df).select("path", F.col("type").alias("what"), F.concat_ws(" ", F.coalesce("scope", F.lit("")), "target").alias("name")))
+    """path, what (kind or type), name (qualified name and signature, or scope and target), by one pass over the files."""
+    rows, is_def = df.filter("part = 'pending' or (part = 'node' and kind <> 'module')"), F.col("part") == "node"
+    name = F.when(is_def, F.concat_ws(" ", fn.id_part(F.col("id"), 3), "signature", F.coalesce("docstring", F.lit("-")))).otherwise(F.concat_ws(" ", F.coalesce("src_scope", F.lit("")), "target"))
+    return rows.select("path", F.when(is_def, F.col("kind")).otherwise(F.col("type")).alias("what"), name.alias("name"))
 
 
 def _expected(*rows: tuple[str, str]) -> str:
