@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.lineage import written
+
 #: Fields that a lookup searches, and kinds that it finds.
 FIELDS = ("id", "name", "path", "signature")
 FOUND_KINDS = ("function", "method", "class", "module")
@@ -53,10 +55,30 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.when(F.length(t) >= GRAM, F.transform(F.sequence(F.lit(1), F.length(t) - GRAM + 1), lambda i: F.substring(t, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>")))
 
 
+def _grams_of(nodes: DataFrame) -> DataFrame:
+    """id, grams: what the searched fields of a symbol or module hold, once each. Nodes of an id meet before they are cut into grams, of which there are many more."""
+    said = nodes.filter(F.col("kind").isin(*FOUND_KINDS)).select("id", F.struct(*FIELDS[1:]).alias("said")).groupBy("id").agg(F.collect_list("said").alias("said"))
+    fields = [_grams(F.col("id")), F.flatten(F.transform("said", lambda x: F.concat(*[_grams(x[c]) for c in FIELDS[1:]])))]
+    return said.select("id", F.array_distinct(F.concat(*fields)).alias("grams"))
+
+
+def _postings(rows: DataFrame, grams: str) -> DataFrame:
+    return rows.select("id", F.explode(grams).alias("gram")).select("gram", "id", _slot(F.col("gram")).alias("slot"))
+
+
 def gram_postings(nodes: DataFrame) -> DataFrame:
-    """gram, id, slot: what the searched fields of a symbol or module hold, once each."""
-    rows = nodes.filter(F.col("kind").isin(*FOUND_KINDS)).select("id", F.explode(F.array_distinct(F.concat(*[_grams(F.col(c)) for c in FIELDS]))).alias("gram")).distinct()
-    return rows.select("gram", "id", _slot(F.col("gram")).alias("slot"))
+    """gram, id, slot of the nodes' grams, which are written as lists."""
+    return _postings(written(_grams_of(nodes), "grams")[0], "grams")
+
+
+def gram_changes(new: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings that the nodes ``new`` have and ``old`` lack, and the other way round: ids are joined, not postings. Written once."""
+    none = F.array().cast("array<string>")
+    both = _grams_of(new).withColumnRenamed("grams", "n").join(_grams_of(old).withColumnRenamed("grams", "o"), "id", "full")
+    sides = {x: F.coalesce(x, none) for x in ("n", "o")}
+    rows = both.withColumns(sides).select("id", F.array_except("n", "o").alias("put"), F.array_except("o", "n").alias("gone")).filter("size(put) + size(gone) > 0")
+    rows, _ = written(rows, "gram-changes")
+    return _postings(rows, "put"), _postings(rows, "gone")
 
 
 def gram_slots(spark: SparkSession, pattern: str) -> tuple[list[str], list[str]]:

@@ -33,7 +33,7 @@ def _fold(rows: DataFrame, by: list[str], *members: str) -> DataFrame:
 
 @dataclass
 class Tree:
-    """leaves: lazily, of all nodes; files (repo, folder, path) and folders and repos with their hashes: written."""
+    """leaves of all nodes, files (repo, folder, path), folders and repos with their hashes: written."""
 
     leaves: DataFrame
     files: DataFrame
@@ -42,7 +42,7 @@ class Tree:
 
 
 def tree(nodes: DataFrame) -> Tree:
-    own = leaves(nodes)
+    own, _ = written(leaves(nodes), "merkle-leaves")
     files, _ = written(_fold(own, ["repo", "path"], "id", "hash").withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1)), "merkle-files")
     folders, _ = written(_fold(files, ["repo", "folder"], "path", *FOLD), "merkle-folders")
     repos, _ = written(_fold(folders, ["repo"], "folder", *FOLD), "merkle-repos")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import data_edges, history, lookup, merkle, owners, reach, resolve, snapshot
-from graphloom.plans.lineage import cut, numbered, written
+from graphloom.plans.lineage import cut, numbered, sized, written
 from graphloom.schema import EDGES, NODES, PENDING, STALE_SECONDS, GraphError, TableError
 from graphloom.sources import diffs, repos, tables
 from graphloom.sources.extract import extract
@@ -103,6 +103,10 @@ class Engine:
         With ``state_run`` other than the snapshot's run (a store that went its own
         way) or ``full``, everything is upserted; ``full`` also prunes.
         """
+        with sized(self.spark, 2 * max(nodes.count(), edges.count())):  # both sides of a difference
+            return self._index(nodes, edges, at, sha, full, source, trigger_repo, repo_shas, fetch_status, state_run)
+
+    def _index(self, nodes: DataFrame, edges: DataFrame, at: str, sha: str, full: bool, source: str, trigger_repo: str, repo_shas: dict | None, fetch_status: dict | None, state_run: str | None) -> dict:
         spark, store = self.spark, self.store
         has = store.manifest() is not None
         state = self.graph_state() if has else None
@@ -115,7 +119,7 @@ class Engine:
             edges = edges.filter("not coalesce(derived, false)")
         if compare:
             diff = merkle.changes(tree, store)
-            up, gone = cut(nodes.join(diff.upserts.select("id"), "id", "left_semi").select(nodes.columns)), diff.deletes.select("id")
+            up, gone = written(nodes.join(diff.upserts.select("id"), "id", "left_semi").select(nodes.columns), "upserts")[0], diff.deletes.select("id")
             snapshot_nodes = {"snapshot_nodes": Patch(diff.upserts, diff.deletes)}
             trees = {n: difference(t.rows, store.load(n), t.keys, t.by) for n, t in merkle.tables(tree).items() if n != "snapshot_nodes"}
         else:
@@ -130,10 +134,12 @@ class Engine:
             kept_nodes = Patch(up.dropDuplicates(["id"]).select(NODE_COLUMNS), gone_now.select("id")) if compare else Replace(stored, ["id"])
         else:
             stored, kept_nodes = nodes, Replace(nodes.select(NODE_COLUMNS), ["id"])
-        grams: Replace | Patch = Replace(lookup.gram_postings(stored), ["gram", "id"], "slot")
+        grams: Replace | Patch
         if compare:  # only what changed is cut into grams again
             touched = current.join(up.select("id").unionByName(gone_now.select("id")).distinct(), "id", "left_semi")
-            grams = difference(lookup.gram_postings(up), lookup.gram_postings(touched), ["gram", "id"], "slot")
+            grams = Patch(*lookup.gram_changes(up, touched))
+        else:
+            grams = Replace(lookup.gram_postings(stored), ["gram", "id"], "slot")
         linked = resolve.dedupe(snapshot.with_endpoints(edges, stored).select(list(EDGE_COLUMNS)))
         links_kept: dict[str, Replace | Patch] = {}
         n_lost = n_links = 0

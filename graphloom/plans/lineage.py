@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+_PARTITIONS, _ADVISORY = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,6 +60,24 @@ def parts(rows: int, each: int = 200_000) -> int:
     return max(1, -(-rows // each))
 
 
+@contextmanager
+def sized(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs within have a shuffle partition for about 200,000 of ``rows``, of 8 MB at most after merging.
+
+    So a task's share fits into memory at any size. Fewer partitions than the session
+    has are not made; what the session had is back afterwards.
+    """
+    wanted = {_PARTITIONS: str(max(int(spark.conf.get(_PARTITIONS)), parts(rows))), _ADVISORY: "8m"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written_at(df: DataFrame, name: str) -> tuple[str, int]:
     """The folder that ``df`` was written to in the shared folder, and its number of rows, in one job."""
     spark, seen = df.sparkSession, Observation()

@@ -22,8 +22,9 @@ from graphloom.plans.lineage import written
 from graphloom.schema import TableError
 from graphloom.sources.tables import current_version, delete, exists, names_in, publish, read_text, write_text
 
-#: Rows of a bucket that a table is cut for when it is written whole.
+#: Rows of a bucket that a table is cut for when it is written whole, and rows that a task writes of a bucket.
 BUCKET_ROWS = 1_000_000
+SHARE_ROWS = 250_000
 MAX_BUCKETS = 4096
 
 
@@ -67,8 +68,8 @@ def difference(new: DataFrame, old: DataFrame, keys: list[str], by: str | None =
 
 
 class Store:
-    def __init__(self, spark: SparkSession, base: str, max_deltas: int = 8, keep: int = 2, bucket_rows: int = BUCKET_ROWS) -> None:
-        self.spark, self.base, self.max_deltas, self.keep, self.bucket_rows = spark, base, max_deltas, keep, bucket_rows
+    def __init__(self, spark: SparkSession, base: str, max_deltas: int = 8, keep: int = 2, bucket_rows: int = BUCKET_ROWS, share_rows: int = SHARE_ROWS) -> None:
+        self.spark, self.base, self.max_deltas, self.keep, self.bucket_rows, self.share_rows = spark, base, max_deltas, keep, bucket_rows, share_rows
 
     def manifest(self, version: str | None = None) -> dict | None:
         version = version or current_version(self.spark, self.base)
@@ -109,8 +110,17 @@ class Store:
 
     def _write(self, rows: DataFrame, table: dict, at: str) -> list[str]:
         """Write rows by bucket; the buckets that have any."""
-        bucket = bucket_of(F.col(table["by"])) if table["by"] else F.pmod(F.xxhash64(*table["keys"]), F.lit(table["buckets"])).cast("string")
-        rows.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.base}/{at}")
+        if table["by"]:  # a value may have most of the rows, so its bucket is measured
+            rows = rows.withColumn("bucket", bucket_of(F.col(table["by"])))
+            large = rows.groupBy("bucket").count().filter(F.col("count") > self.share_rows).select("bucket", F.ceil(F.col("count") / self.share_rows).cast("int").alias("shares")).collect()  # fewer than rows / share_rows
+            shares = F.lit(1)
+            if large:
+                rows, shares = rows.join(F.broadcast(self.spark.createDataFrame(large, "bucket string, shares int")), "bucket", "left"), F.coalesce("shares", F.lit(1))
+        else:
+            rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*table["keys"]), F.lit(table["buckets"])).cast("string"))
+            shares = F.lit(-(-self.bucket_rows // self.share_rows) if table["buckets"] > 1 else 1)
+        # a task sorts what it writes by bucket, so a bucket's rows are dealt over tasks
+        rows.repartition("bucket", F.pmod(F.hash(*table["keys"]), shares)).drop("shares").write.partitionBy("bucket").parquet(f"{self.base}/{at}")
         return [x.removeprefix("bucket=") for x in names_in(self.spark, f"{self.base}/{at}") if x.startswith("bucket=")]
 
     def save(self, **changes: Replace | Patch) -> str:

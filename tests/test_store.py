@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import lookup, merkle, snapshot
 from graphloom.plans.engine import Engine
+from graphloom.plans.lineage import sized
 from graphloom.schema import TableError
 from graphloom.sources.store import Patch, Replace, Store, bucket_of, difference, slot_bucket
 
@@ -138,3 +139,39 @@ def test_another_engine_publishes_the_references_of_the_store(spark, tmp_path):
     third = engine.index(*engine.build({"lib": str(tmp_path / "lib")}), "2024-01-03T00:00:00Z", "c")
     assert third["deleted"] == 1 and third["derived_links"] == 0 and third["stale_edges"] >= 2
     assert not [r for r in engine.graph()[1].collect() if "three" in r.src]
+
+
+def test_a_slot_that_has_most_rows_is_written_by_several_tasks(spark, tmp_path):
+    """All nodes share grams; their slot was one task's at any size."""
+    table = spark.range(4000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("slot"), F.col("id").cast("string").alias("id"))
+    store = Store(spark, str(tmp_path), share_rows=500)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small shares would be merged
+    try:
+        version = store.save(grams=Replace(table, ["id"], "slot"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [f for f in os.listdir(tmp_path / version / "grams" / f"bucket={slot_bucket('hot')}") if f.endswith(".parquet")]
+    assert len(files) > 1 and rows(store.load("grams")) == rows(table)
+    assert rows(store.load("grams", [slot_bucket("s3")])) == rows(table.filter("slot = 's3'"))
+
+
+def test_grams_change_by_ids(spark):
+    """What changes of postings is that of their differences; several nodes of an id count together."""
+    both = [("a", "function", "run_a", "x/p.py", "f(A)"), ("d", "class", "Dup", None, None), ("d", "class", "Other", "q.py", None)]
+    new = both + [("b", "method", "Straße", "x/p.py", "g"), ("n", "dataset", "never", None, None)]
+    old = both[:1] + [("d", "class", "Dup", None, None), ("b", "method", "gone", "x/p.py", None), ("c", "module", "c.py", "c.py", None)]
+    new, old = (spark.createDataFrame(x, "id string, kind string, name string, path string, signature string") for x in (new, old))
+    put, gone = lookup.gram_changes(new, old)
+    of_new, of_old = ({tuple(r) for r in lookup.gram_postings(x).collect()} for x in (new, old))
+    assert {tuple(r) for r in put.collect()} == of_new - of_old and {tuple(r) for r in gone.collect()} == of_old - of_new
+    assert len(rows(lookup.gram_postings(new))) == len(of_new) and {"dup", "oth"} <= {g for g, i, _ in of_new if i == "d"}
+
+
+def test_jobs_are_sized_by_rows(spark):
+    """Shuffles have partitions by rows within, and the session's own afterwards."""
+    key, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    with sized(spark, 10_000_000):
+        assert spark.conf.get(key) == "50"
+    with sized(spark, 10):
+        assert spark.conf.get(key) == before
+    assert spark.conf.get(key) == before
