@@ -191,11 +191,15 @@ class Engine:
     def verify(self) -> dict[str, int]:
         """Counts of the stored graph; an error if its ids aren't unique or an edge lacks an end."""
         nodes, edges = self.graph()
-        twice = nodes.groupBy("id").count().filter("count > 1").count()
-        loose = edges.count() - snapshot.with_endpoints(edges, nodes).count()
-        if twice or loose:
-            raise TableError(f"{twice} ids stand for several nodes, {loose} edges lack an end")
-        return {"nodes": nodes.count(), "edges": edges.count()}
+        with sized(self.spark, nodes.count() + edges.count()):
+            ids, _ = written(nodes.groupBy("id").agg(F.count("*").alias("n")), "ids")
+            n_nodes, twice = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
+            has = lambda end: ids.select(F.col("id").alias(end), F.lit(True).alias(f"has_{end}"))
+            ends = edges.select("src", "dst").join(has("src"), "src", "left").join(has("dst"), "dst", "left")
+            n_edges, whole = ends.agg(F.count("*"), F.count_if(F.col("has_src") & F.col("has_dst"))).first()
+        if twice or n_edges > whole:
+            raise TableError(f"{twice} ids stand for several nodes, {n_edges - whole} edges lack an end")
+        return {"nodes": n_nodes, "edges": n_edges}
 
     def clear(self) -> None:
         """Forget the graph and its snapshot; the run log and its changes stay."""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.plans.engine import Engine
-from graphloom.schema import GraphError
+from graphloom.schema import GraphError, TableError
 from graphloom.streaming import runlog
 
 LIB = {
@@ -92,3 +92,19 @@ def test_index_and_queries(spark, built, tmp_path):
     assert engine.runs().count() == 4
     runlog.follow_runs(spark, f"{engine.base}/runs", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_verify_counts_twins_and_loose_edges(spark, tmp_path):
+    """Ids that stand twice and edges without an end are errors; both are counted by one pass over the edges."""
+    node = "id string, kind string, name string, repo string, path string, owner string, signature string, docstring string, start_line int, end_line int, lang string, node_ord long"
+    edge = "type string, src string, dst string, confidence double, line int, raw string, dataset string, derived boolean, package string, source string, edge_ord long"
+    nodes = spark.createDataFrame([(x, "function", x, "r", "p.py", None, None, None, 1, 2, None, i) for i, x in enumerate("abca")], node)
+    edges = spark.createDataFrame([("CALLS", s, d, *[None] * 7, 0) for s, d in ("ab", "bc", "ax", "xa", "xy")], edge)
+    engine = Engine(spark, str(tmp_path))
+    engine.graph = lambda: (nodes, edges)
+    with pytest.raises(TableError, match="1 ids stand for several nodes, 3 edges lack an end"):
+        engine.verify()
+    engine.graph = lambda: (nodes.filter("node_ord < 3"), edges.filter("src <> 'x' and dst <> 'x'"))
+    assert engine.verify() == {"nodes": 3, "edges": 2}
+    engine.graph = lambda: (nodes.filter("node_ord < 3"), edges.limit(0))
+    assert engine.verify() == {"nodes": 3, "edges": 0}
