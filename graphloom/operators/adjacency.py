@@ -15,10 +15,12 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.lineage import checkpoint_dir, remove
+from graphloom.plans.lineage import checkpoint_dir, parts, remove, sized
 
 #: Rows up to which a frontier's slots are told to the scan by value.
 SHORT = 2_000
+#: Rows above which a bucket's share makes more buckets: a task sorts a bucket.
+BUCKET_ROWS = 500_000
 #: A bucket holds about this many blocks of a hub that fills it.
 BLOCKS_A_BUCKET = 16
 
@@ -28,14 +30,20 @@ def _slot(on: Column, block: Column) -> Column:
 
 
 class Adjacency:
-    """Edges (on, id, c, ...) by slot. ``hub_rows``: in-edges above which a target is split; by default a sixteenth of a bucket's share. The edges are read twice: for their degrees, and to be written."""
+    """Edges (on, id, c, ...) by slot. ``hub_rows``: in-edges above which a target is split; by default a sixteenth of a bucket's share. The edges are counted, read for their degrees, and read to be written.
+
+    ``buckets`` are the session's shuffle partitions by default, or more where these
+    would hold more than ``BUCKET_ROWS``.
+    """
 
     def __init__(self, edges: DataFrame, buckets: int | None = None, hub_rows: int | None = None) -> None:
         spark = self.spark = edges.sparkSession
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        limit = hub_rows or max(1000, edges.count() // (BLOCKS_A_BUCKET * self.buckets))
-        # fewer than rows / limit, so at most BLOCKS_A_BUCKET * buckets of them
-        found = edges.groupBy("on").count().filter(F.col("count") > limit).select("on", F.ceil(F.col("count") / limit).cast("int").alias("blocks")).collect()
+        n = edges.count()
+        self.buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts(n, BUCKET_ROWS))
+        limit = hub_rows or max(1000, n // (BLOCKS_A_BUCKET * self.buckets))
+        with sized(spark, n):
+            # fewer than rows / limit, so at most BLOCKS_A_BUCKET * buckets of them
+            found = edges.groupBy("on").count().filter(F.col("count") > limit).select("on", F.ceil(F.col("count") / limit).cast("int").alias("blocks")).collect()
         self.hubs = spark.createDataFrame(found, "on string, blocks int") if found else None
         block = F.lit(0)
         if self.hubs is not None:

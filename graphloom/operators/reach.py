@@ -90,8 +90,9 @@ class _Walk:
         self.into = self.out = None
         if classes is not None:
             reads, writes = classes.filter("reads").select("class", "src", "confidence"), classes.filter("not reads").select("class", "src")
-            self.into = Adjacency(writes.select(F.col("src").alias("on"), F.col("class").alias("id")).distinct(), **options)
-            self.out = Adjacency(reads.groupBy(F.col("class").alias("on"), F.col("src").alias("id")).agg(F.max("confidence").alias("c")), **options)
+            # members that repeat are merged with what a hop reaches
+            self.into = Adjacency(writes.select(F.col("src").alias("on"), F.col("class").alias("id")), **options)
+            self.out = Adjacency(reads.select(F.col("class").alias("on"), F.col("src").alias("id"), F.col("confidence").alias("c")), **options)
         numbers = numbered(seeds.select("seed").distinct(), ["seed"], "no")
         self.seeds, self.n = written(numbers, "seeds")
         self.words = [f"b{i}" for i in range(min(WORDS, max(1, -(-self.n // BITS))))]

@@ -154,3 +154,48 @@ def test_links_are_not_shuffled_and_none_is_lost(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(writers") < plan.index("RepartitionByExpression")  # links are listed after the shuffle
     assert not re.search(r"hashpartitioning\([^)]*w_src", df._jdf.queryExecution().executedPlan().toString().split("RepartitionByExpression")[0].split("Generate explode(writers")[0])
+
+
+def test_buckets_follow_rows(spark, monkeypatch):
+    """A task sorts a bucket, so a bucket's share doesn't grow with the edges."""
+    monkeypatch.setattr(adjacency, "BUCKET_ROWS", 100, raising=False)
+    rows = spark.range(1_000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 50).cast("string").alias("on"))
+    side = adjacency.Adjacency(rows)
+    assert side.buckets == 10 and side.table.count() == 1_000
+    assert side.back(spark.createDataFrame([("7",)], "on string"), 1).count() == 20
+    side.drop()
+
+
+@pytest.mark.parametrize("f", [reach.reach_offline, reach.reach_database])
+def test_members_by_name_walk_as_classes(spark, f):
+    """Members found by distinct names, with references and members that repeat, reach what the classes do."""
+    rng = random.Random(10)
+    name = lambda: rng.choice(["s3://b/alpha.csv", "t.alpha", "t.alpha.csv", "beta", "be_{x}", "gamma_1", "gamma_2", "gamma_{x}", "tmp"])
+    rows = [(rng.choice(["CONSUMES_PENDING", "PRODUCES_PENDING"]), f"m{rng.randrange(14)}", name(), i, i) for i in range(40)]
+    refs = spark.createDataFrame(rows, "type string, src string, target string, line int, pend_ord long")
+    t = data_edges.targets(refs)
+    members = data_edges.classes(*(t.filter(f"type = '{k}_PENDING'") for k in ("CONSUMES", "PRODUCES")))
+    found = data_edges.walk_members(refs)
+    key = ["class", "reads", "src", "confidence"]
+    assert set(map(tuple, found.select(key).collect())) == set(map(tuple, members.select(key).collect()))
+    seeds = spark.createDataFrame([(f"m{i}",) for i in range(4)], "seed string")
+    plain = frame(spark, [("m1", "m20", 0.4)])
+    walked = lambda m: sorted(map(tuple, f(plain, seeds, 3, classes=m).collect()))
+    assert walked(found) == walked(written(members, "members")[0]) != []
+
+
+def test_names_are_read_once(spark):
+    """The filter on what a name means isn't moved below the distinct, where it would read the name of every reference."""
+    refs = spark.createDataFrame([("CONSUMES_PENDING", "m1", "s.alpha", 1, 1)], "type string, src string, target string, line int, pend_ord long")
+    seen = []
+
+    def recorded(df, name):
+        seen.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return written(df, name)
+
+    original, data_edges.written = data_edges.written, recorded
+    try:
+        data_edges.targets(refs)
+    finally:
+        data_edges.written = original
+    assert seen and not any("Aggregate" in p and "regexp_replace" in p for _, p in seen)
