@@ -35,3 +35,9 @@ def test_pending_is_not_dealt_by_nation(spark):
     """There are 25 nations at any size, so a join by nation that shuffles has a share of all orders in a task."""
     found = [x for x in _plan(b.pending(spark, "/root/testdata/sf0.001")).splitlines() if re.search(r"Join \w+, \(nn#\d+ = n_name#\d+\)|Join \w+, \(.*nn#\d+", x)]
     assert len(found) >= 4 and all("strategy=broadcast" in x for x in found)
+
+
+def test_pairs_meet_suppliers_in_partitions_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(b, "rows", lambda *_: {"orders": 1_500_000, "lineitem": 6_000_000})
+    b.views(spark, "/root/testdata/sf0.001")
+    assert re.search(r"RepartitionByExpression \[l_suppkey#\d+L?\], 30\b", _plan(b.edges(spark, "/root/testdata/sf0.001")))
