@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import names as fn
 from graphloom.operators import data_edges, history, lookup, merkle, owners, reach, resolve, snapshot
-from graphloom.plans.lineage import checkpoint_dir, written
+from graphloom.plans.lineage import checkpoint_dir, sized, written
 from graphloom.registry import ORACLES, QUERIES, query
 from graphloom.schema import DEPENDENCY_TYPES
 from graphloom.sources import binding as b
@@ -24,8 +24,12 @@ def _seeds(spark: SparkSession, *ids: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges that a walk follows, written as in a graph folder, since it reads them twice."""
-    return written(b.edges(spark, sf_dir).filter(F.col("type").isin(*DEPENDENCY_TYPES)), "edges")[0]
+    """The edges that a walk follows, written as in a graph folder, since it reads them twice.
+
+    In small splits: a shuffle to more than 200 partitions holds the rows of a split in memory.
+    """
+    with sized(spark, b.rows(spark, sf_dir)["lineitem"]):
+        return written(b.edges(spark, sf_dir).filter(F.col("type").isin(*DEPENDENCY_TYPES)), "edges")[0]
 
 
 def _walk(seeds: str, depth: int = 10) -> str:

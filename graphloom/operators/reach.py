@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.adjacency import Adjacency
-from graphloom.plans.lineage import numbered, written, written_at
+from graphloom.plans.lineage import numbered, sized, written, written_at
 from graphloom.schema import DEPENDENCY_TYPES
 
 #: Seeds a word: the sign bit stays free.
@@ -44,6 +44,8 @@ class Found:
     rows: DataFrame
     seeds: DataFrame
     words: list[str]
+    #: Number of rows.
+    n: int
 
     @property
     def group(self) -> int:
@@ -101,6 +103,7 @@ class _Walk:
         bit = lambda i: F.when(F.floor(at / BITS) == i, F.expr(f"shiftleft(1L, CAST(no % {group} % {BITS} AS INT))")).otherwise(F.lit(0).cast("long")).alias(f"b{i}")
         self.start = self.seeds.select(F.col("seed").alias("on"), F.floor(F.col("no") / group).alias("grp"), *[bit(i) for i in range(len(self.words))])
         self.hops: list[str] = []
+        self.kept = 0
 
     def merged(self, step: DataFrame, keys: list[str]) -> DataFrame:
         return step.groupBy(*keys).agg(*[F.bit_or(w).alias(w) for w in self.words])
@@ -137,6 +140,7 @@ class _Walk:
         path, n = written_at(left, "hop")
         self.schema = left.schema
         self.hops.append(path)
+        self.kept += n
         return self.read([path]), n
 
     def read(self, paths: list[str]) -> DataFrame:
@@ -147,7 +151,7 @@ class _Walk:
         for side in (self.direct, self.into, self.out):
             if side is not None:
                 side.drop()
-        return Found(self.read(self.hops), self.seeds, self.words)
+        return Found(self.read(self.hops), self.seeds, self.words, self.kept)
 
 
 def walk_offline(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, classes: DataFrame | None = None, **options: int) -> Found:
@@ -200,6 +204,8 @@ def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth
         raise ValueError(f"unknown mode {mode}")
     found = (walk_offline if mode == "offline" else walk_database)(edges, seeds, max_depth, classes)
     named = nodes.join(found.rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max_by(F.struct("repo", "path", "owner"), "node_ord").alias("at")).select("id", "at.*")
+    with sized(nodes.sparkSession, found.n):  # written here, so that nodes are read in small splits
+        named, _ = written(named, "named")
     return found.best().join(named, "id", "left").select("id", "repo", "path", "owner", "confidence", "distance")
 
 

@@ -199,3 +199,20 @@ def test_names_are_read_once(spark):
     finally:
         data_edges.written = original
     assert seen and not any("Aggregate" in p and "regexp_replace" in p for _, p in seen)
+
+
+def test_walks_read_tables_in_small_splits(spark, monkeypatch):
+    """A shuffle to more than 200 partitions holds a split's rows in memory, so edges and names are written while splits are small."""
+    from graphloom import catalog
+
+    seen = {}
+
+    def recorded(df, name):
+        seen[name] = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        return written(df, name)
+
+    for module in (catalog, reach):
+        monkeypatch.setattr(module, "written", recorded)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert catalog.blast_radius_multi_seed(spark, "/root/testdata/sf0.001").count() > 0
+    assert seen["edges"] == seen["named"] == "32m" and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
