@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import names as fn
 from graphloom.operators import data_edges, history, lookup, merkle, owners, reach, resolve, snapshot
-from graphloom.plans.lineage import checkpoint_dir, sized, written
+from graphloom.plans.lineage import checkpoint_dir, parts, sized, written
 from graphloom.registry import ORACLES, QUERIES, query
 from graphloom.schema import DEPENDENCY_TYPES
 from graphloom.sources import binding as b
@@ -548,13 +548,15 @@ def extract_python(spark, sf_dir):
 @query("""SELECT p_brand AS path, k.type, CASE k.type WHEN 'PRODUCES_PENDING' THEN 'w.p' || p_partkey ELSE k.pre || (p_partkey % 7) END AS target
 FROM part CROSS JOIN (SELECT unnest(['PRODUCES_PENDING', 'CONSUMES_PENDING', 'CONSUMES_PENDING']) AS type, unnest(['', 'q', 's.r']) AS pre) k""")
 def extract_sql(spark, sf_dir):
-    from graphloom.sources.extract import extract
+    """One file a brand, in pieces: there are 25 brands at any size of the tables, so files grow with them."""
+    from graphloom.sources.extract import extract_pieces
 
     b.views(spark, sf_dir)
     rows = spark.table("part").withColumn("ord", F.col("p_partkey"))
     n = (F.col("ord") % 7).cast("string")
     text = F.concat(F.lit("-- from nowhere\nCREATE TABLE IF NOT EXISTS w.p"), F.col("ord").cast("string"), F.lit(" AS SELECT 'join x' FROM q"), n, F.lit(" t JOIN s.r"), n, F.lit(" u ON t.a = u.a;\n"))
-    return extract(_sources(rows, "sql", "p_brand", text)).filter("part = 'pending'").select("path", "type", "target")
+    pieces = rows.select(F.lit("r").alias("repo"), F.col("p_brand").alias("path"), F.lit("sql").alias("lang"), "ord", F.encode(text, "UTF-8").alias("content"))
+    return extract_pieces(pieces, parts(rows.count(), 50_000)).filter("part = 'pending'").select("path", "type", "target")
 
 
 @query("""SELECT s_nationkey::VARCHAR AS path, 'S' || s_suppkey || x.m AS qualname, x.kind AS kind, NULL AS target FROM supplier CROSS JOIN (SELECT unnest(['', '.go']) AS m, unnest(['class', 'method']) AS kind) x
